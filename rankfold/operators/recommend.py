@@ -47,24 +47,41 @@ def recommend_popular(users: DataFrame, pop: DataFrame, n: int, seen: DataFrame
     p = _popular_ranked(pop, categories, category)
     users = users.select(U).distinct()
     if seen is None:
+        # the global top-n list has <= n rows: a bounded broadcast
         top = top_k(p.withColumn("_g", F.lit(1)), n, F.desc("popularity"), partition="_g").drop("_g")
         return users.crossJoin(F.broadcast(top)).select(U, "rank", I, "score")
-    ranked = global_rank(p, [F.desc("popularity"), F.asc(I)])
-    s = (seen.select(U, I).join(users, U, "left_semi")
-             .join(ranked.select(I, "grank"), I))
-    w = Window.partitionBy(U).orderBy("grank")
-    gaps = (s.withColumn("_g", F.col("grank") - F.row_number().over(w))
-              .where(F.col("_g") < n)
-              .groupBy(U, "_g").agg(F.count(F.lit(1)).alias("_c"))
-              .groupBy(U).agg(F.map_from_entries(F.collect_list(F.struct("_g", "_c"))).alias("_m")))
-    # _m holds at most n entries per user (one per gap value < n): bounded
-    slots = users.join(gaps, U, "left").select(
-        U, F.posexplode(F.sequence(F.lit(1), F.lit(n))).alias("_pos", "rank"), "_m")
-    acc = F.aggregate(F.sequence(F.lit(0), F.col("rank") - 1), F.lit(0).cast("long"),
-                      lambda a, g: a + F.coalesce(F.element_at(F.col("_m"), g.cast("long")), F.lit(0).cast("long")))
-    slots = slots.withColumn("grank", F.col("rank") + F.when(F.col("_m").isNull(), F.lit(0)).otherwise(acc))
-    out = slots.join(ranked.select("grank", I, "score"), "grank")
-    return out.select(U, F.col("rank").cast("int").alias("rank"), I, "score")
+    ranked = global_rank(p, [F.desc("popularity"), F.asc(I)], "rank")
+    seen_r = (seen.select(U, I).join(users, U, "left_semi")
+                  .join(ranked.select(I, "rank"), I).select(U, "rank"))
+    want = users.withColumn("_want", F.lit(n))
+    slots = first_unseen(want, seen_r, [U], n)
+    out = slots.join(ranked.select(F.col("rank").alias("_pos"), I, "score"), "_pos")
+    return out.select(U, F.col("slot").cast("int").alias("rank"), I, "score")
+
+
+def first_unseen(want: DataFrame, seen_ranks: DataFrame, keys, n: int) -> DataFrame:
+    """Positions of the first ``_want`` (<= n) unseen entries of a ranked list.
+
+    ``want``: keys + ``_want``; ``seen_ranks``: keys + ``rank`` (1-based
+    positions of already-seen entries). With s_1 < s_2 < ... the seen
+    positions and g_i = s_i - i, the j-th unseen position is
+    j + #{i : g_i < j}. Only g < n matters, so the per-key state is a map of
+    at most n entries — the list itself is never expanded per key.
+    Returns keys + ``slot`` (j) + ``_pos`` (position in the ranked list).
+    """
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy("rank")
+    gaps = (seen_ranks.withColumn("_g", F.col("rank") - F.row_number().over(w))
+                      .where(F.col("_g") < n)
+                      .groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_c"))
+                      .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_g", "_c"))).alias("_m")))
+    slots = want.join(gaps, keys, "left").select(
+        *keys, F.explode(F.sequence(F.lit(1), F.least(F.col("_want"), F.lit(n)))).alias("slot"), "_m")
+    before = F.aggregate(F.sequence(F.lit(0), F.col("slot") - 1), F.lit(0).cast("long"),
+                         lambda a, g: a + F.coalesce(F.element_at(F.col("_m"), g.cast("long")),
+                                                     F.lit(0).cast("long")))
+    pos = F.col("slot") + F.when(F.col("_m").isNull(), F.lit(0)).otherwise(before)
+    return slots.select(*keys, "slot", pos.cast("long").alias("_pos"))
 
 
 def output_projection(recs: DataFrame, reason: str | None = None,
@@ -98,3 +115,147 @@ def warm_users(users: DataFrame, inter: DataFrame) -> DataFrame:
 
 
 DEFAULT_N = DEFAULTS.default_recommendations
+
+
+# ---------------------------------------------------------------- R-1..R-3
+
+def recommend_scored(users: DataFrame, scores: DataFrame, seen: DataFrame, n: int,
+                     categories: DataFrame | None = None, category=None) -> DataFrame:
+    """R-3 core: raw scores -> mask seen (J-4) -> category (B-10) -> top-n (W-4)
+    -> normalise by the user's best score (B-13)."""
+    s = scores.join(users.select(U).distinct(), U, "left_semi")
+    s = s.join(seen.select(U, I), [U, I], "left_anti")
+    if category is not None:
+        s = s.join(categories.where(F.col("category") == F.lit(str(category))).select(I), I, "left_semi")
+    top = top_k(s, n, F.desc("raw"))
+    return normalise_scores(top).select(U, F.col("rank").cast("int").alias("rank"), I, "score")
+
+
+def recommend_collaborative(users: DataFrame, train: DataFrame, pop: DataFrame, n: int,
+                            B: DataFrame | None = None, user_factors: DataFrame | None = None,
+                            item_factors: DataFrame | None = None, categories: DataFrame | None = None,
+                            category=None) -> DataFrame:
+    """R-1/R-2/R-3/R-8: EASE scores when B is given, else factor dot products;
+    users without training history get the popularity list."""
+    from rankfold.operators import ease, factors as FX
+    users = users.select(U).distinct()
+    warm = warm_users(users, train)
+    if B is not None:
+        raw = ease.score_ease(train.join(warm, U, "left_semi"), B)
+        recs = recommend_scored(warm, raw, train, n, categories, category)
+    else:
+        items = item_factors
+        if category is not None:
+            items = items.join(categories.where(F.col("category") == F.lit(str(category)))
+                               .select(F.col(I).alias("id")), "id", "left_semi")
+        uf = user_factors.join(warm.withColumnRenamed(U, "id"), "id", "left_semi")
+        top = FX.top_k_dot(uf, items, n, seen=train.join(warm, U, "left_semi"))
+        recs = normalise_scores(top).select(U, F.col("rank").cast("int").alias("rank"), I, "score")
+    cold = recommend_popular(cold_users(users, train), pop, n, categories=categories, category=category)
+    return recs.withColumn("source", F.lit("collaborative")).unionByName(
+        cold.withColumn("source", F.lit("popular")))
+
+
+# ---------------------------------------------------------------- R-4
+
+def recommend_content(users: DataFrame, train: DataFrame, pop: DataFrame, item_class: DataFrame,
+                      class_sim: DataFrame, n: int, categories: DataFrame | None = None,
+                      category=None) -> DataFrame:
+    """R-4: mean cosine of each unseen item to the user's history, top-n.
+
+    Items with the same TF-IDF vector share a class, so a user's score for an
+    item is a class score: sum_c' n(u,c') sim(c',c) / |h_u|. Inside a class
+    all items tie, so the list takes each class's first unseen items by
+    item_id (``first_unseen``) — only classes that can still reach the top-n
+    (fewer than n available items in strictly better classes) are expanded.
+    Scores are ranked on 9 decimals so float noise cannot split exact ties.
+    """
+    users = users.select(U).distinct()
+    ic = item_class
+    if category is not None:
+        ic = ic.join(categories.where(F.col("category") == F.lit(str(category))).select(I), I, "left_semi")
+    warm = warm_users(users, train)
+    h = train.select(U, I).join(warm, U, "left_semi").join(item_class, I)
+    n_hist = h.groupBy(U).agg(F.count(F.lit(1)).alias("_nh"))
+    uc = h.groupBy(U, "cls").agg(F.count(F.lit(1)).alias("_cnt"))
+    sim = class_sim.select(F.col("cls_a").alias("cls"), "cls_b", "sim")
+    cs = (uc.join(F.broadcast(sim), "cls")   # class table bounded by the vocabulary cap
+            .groupBy(U, F.col("cls_b").alias("cls")).agg(F.sum(F.col("_cnt") * F.col("sim")).alias("_s"))
+            .join(n_hist, U).withColumn("raw", F.col("_s") / F.col("_nh"))
+            .withColumn("_s9", F.round("raw", 9)))
+    ranked = global_rank(ic.select(I, "cls"), [F.asc("cls"), F.asc(I)], "_gr")
+    starts = ranked.groupBy("cls").agg(F.min("_gr").alias("_st"), F.count(F.lit(1)).alias("_size"))
+    ranked = ranked.join(starts, "cls").select(I, "cls", (F.col("_gr") - F.col("_st") + 1).alias("rank"))
+    seen_r = h.select(U, I).join(ranked, I).select(U, "cls", "rank")
+    seen_c = seen_r.groupBy(U, "cls").agg(F.count(F.lit(1)).alias("_seen"))
+    cand = (cs.join(starts.select("cls", "_size"), "cls")
+              .join(seen_c, [U, "cls"], "left")
+              .withColumn("_avail", F.col("_size") - F.coalesce("_seen", F.lit(0))))
+    w_incl = Window.partitionBy(U).orderBy(F.desc("_s9")).rangeBetween(Window.unboundedPreceding, 0)
+    w_tie = Window.partitionBy(U, "_s9")
+    better = F.sum("_avail").over(w_incl) - F.sum("_avail").over(w_tie)
+    kept = cand.withColumn("_better", better).where((F.col("_better") < n) & (F.col("_avail") > 0))
+    want = kept.select(U, "cls", F.least(F.col("_avail"), F.lit(n)).alias("_want"), "raw", "_s9")
+    slots = first_unseen(want.select(U, "cls", "_want"), seen_r, [U, "cls"], n)
+    items = (slots.join(ranked.select("cls", F.col("rank").alias("_pos"), I), ["cls", "_pos"])
+                  .join(want.select(U, "cls", "raw", "_s9"), [U, "cls"]))
+    top = top_k(items, n, F.desc("_s9"))
+    recs = top.select(U, F.col("rank").cast("int").alias("rank"), I, clip01("raw").alias("score"))
+    cold = recommend_popular(cold_users(users, train), pop, n, categories=categories, category=category)
+    return recs.withColumn("source", F.lit("content")).unionByName(cold.withColumn("source", F.lit("popular")))
+
+
+# ---------------------------------------------------------------- R-6
+
+def blend(collab: DataFrame, content: DataFrame, n: int, wa: float | None = None,
+          wb: float | None = None) -> DataFrame:
+    """R-6: weighted sum of the two (already normalised, 6 dp) scores, missing = 0.
+
+    Ties keep the collaborative list first (in its rank order), then the
+    content-only items in content rank order.
+    """
+    wa = DEFAULTS.hybrid_collab_weight if wa is None else wa
+    wb = DEFAULTS.hybrid_content_weight if wb is None else wb
+    a = collab.select(U, I, F.round("score", 6).alias("_sa"), F.col("rank").alias("_ra"))
+    b = content.select(U, I, F.round("score", 6).alias("_sb"), F.col("rank").alias("_rb"))
+    j = a.join(b, [U, I], "full_outer")
+    j = j.withColumn("score", clip01(F.lit(wa) * F.coalesce("_sa", F.lit(0.0))
+                                     + F.lit(wb) * F.coalesce("_sb", F.lit(0.0))))
+    j = j.withColumn("_src", F.when(F.col("_ra").isNotNull(), F.lit(0)).otherwise(F.lit(1)))
+    j = j.withColumn("_lr", F.coalesce("_ra", "_rb"))
+    top = top_k(j, n, [F.desc("score"), F.asc("_src"), F.asc("_lr")], ties=())
+    return top.select(U, F.col("rank").cast("int").alias("rank"), I, "score")
+
+
+def recommend_hybrid(users: DataFrame, bundle, n: int, category=None) -> DataFrame:
+    """R-6 over-fetching min(3n, 50) from each side."""
+    k = min(3 * n, 50)
+    a = recommend_collaborative(users, bundle.train, bundle.pop, k, bundle.B, bundle.user_factors,
+                                bundle.item_factors, bundle.categories, category)
+    b = recommend_content(users, bundle.train, bundle.pop, bundle.item_class, bundle.class_sim, k,
+                          bundle.categories, category)
+    return blend(a, b, n)
+
+
+def recommend(users: DataFrame, bundle, n: int | None = None, kind: str = "collaborative",
+              category=None) -> DataFrame:
+    """R-9 / R-10: bulk dispatcher; output is the B-14 projection per user."""
+    n = DEFAULTS.default_recommendations if n is None else n
+    if not 1 <= n <= DEFAULTS.max_recommendations:
+        raise ValueError(f"n must be in [1, {DEFAULTS.max_recommendations}]")
+    if kind == "collaborative":
+        r = recommend_collaborative(users, bundle.train, bundle.pop, n, bundle.B, bundle.user_factors,
+                                    bundle.item_factors, bundle.categories, category)
+        reason = F.when(F.col("source") == "popular", F.lit(REASON_POPULAR)).otherwise(F.lit(REASON_COLLAB))
+    elif kind == "content_based":
+        if bundle.class_sim is None:
+            return recommend(users, bundle, n, "collaborative", category)
+        r = recommend_content(users, bundle.train, bundle.pop, bundle.item_class, bundle.class_sim, n,
+                              bundle.categories, category)
+        reason = F.when(F.col("source") == "popular", F.lit(REASON_POPULAR)).otherwise(F.lit(REASON_CONTENT))
+    elif kind == "hybrid":
+        r = recommend_hybrid(users, bundle, n, category).withColumn("source", F.lit("hybrid"))
+        reason = F.lit(REASON_HYBRID)
+    else:
+        raise ValueError(f"unknown recommendation type {kind!r}")
+    return output_projection(r.withColumn("reason", reason), None, bundle.categories)

@@ -50,3 +50,22 @@ def prepared(spark: SparkSession, sf_dir: str, table: str = "E") -> Prepared:
 
 def test_users(p: Prepared) -> DataFrame:
     return p.test.select("user_id").distinct()
+
+
+def bundle(spark: SparkSession, sf_dir: str, table: str = "E", ease: bool = True,
+           factors: bool = False, max_items: int | None = None):
+    """Model bundle over a test table: content model always, EASE on request."""
+    from rankfold.operators import ease as EA
+    from rankfold.operators.model import build_bundle
+    p = prepared(spark, sf_dir, table)
+    cats = TT.categories(spark, sf_dir)
+    B = EA.ease_fit(p.train, 500.0, max_items) if ease else None
+    uf = vf = None
+    if factors:
+        vf = uf = TT.factors(spark, sf_dir)
+    return p, build_bundle(p.train, p.pairs, p.pop, cats, B, uf, vf)
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request users: every customer id (most are cold for table E)."""
+    return TT.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("user_id"))
