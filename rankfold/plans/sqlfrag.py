@@ -184,3 +184,46 @@ etop AS (
          LEAST(1.0, GREATEST(0.0, CASE WHEN MAX(raw) OVER (PARTITION BY user_id) > 0
                                        THEN raw / MAX(raw) OVER (PARTITION BY user_id) ELSE 0.5 END)) AS score
   FROM etop)"""
+
+
+def popular_top(k: int, name: str = "ptop", where: str = "") -> str:
+    """Unmasked popularity list (global max even when filtered)."""
+    return f"""{name} AS (
+  SELECT item_id, LEAST(1.0, ln(1 + popularity) / ln(1 + (SELECT MAX(popularity) FROM pop))) AS score,
+         CAST(rk AS BIGINT) AS rank FROM (
+    SELECT p.item_id, p.popularity, row_number() OVER (ORDER BY p.popularity DESC, p.item_id) AS rk
+    FROM pop p {where}) WHERE rk <= {k})"""
+
+
+REQS = """reqs AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS user_id FROM customer),
+warm AS (SELECT user_id FROM reqs WHERE user_id IN (SELECT user_id FROM train)),
+cold AS (SELECT user_id FROM reqs WHERE user_id NOT IN (SELECT user_id FROM train))"""
+
+
+def cold_popular(name: str, top: str = "ptop") -> str:
+    return f"""{name} AS (SELECT c.user_id, p.item_id, p.score, p.rank FROM cold c CROSS JOIN {top} p)"""
+
+
+def project(recs: str, reason: str) -> str:
+    return f"""SELECT r.user_id, CAST(r.rank AS INTEGER) AS rank, r.item_id AS product_id,
+       'Product ' || r.item_id AS product_name, ROUND(r.score, 6) AS score, {reason} AS reason,
+       c.category, CAST(NULL AS DOUBLE) AS price
+FROM {recs} r LEFT JOIN cat c ON r.item_id = c.item_id"""
+
+
+REASON_COLLAB = "CASE WHEN r.src = 'popular' THEN 'Trending item' ELSE 'Users with similar behavior also interacted with this item' END"
+REASON_CONTENT = "CASE WHEN r.src = 'popular' THEN 'Trending item' ELSE 'Similar item features to products you''ve viewed' END"
+REASON_HYBRID = "'Recommended based on your browsing patterns and similar item features'"
+
+
+def blend(a: str, b: str, n: int, name: str = "hrecs") -> str:
+    return f"""hj AS (
+  SELECT COALESCE(a.user_id, b.user_id) AS user_id, COALESCE(a.item_id, b.item_id) AS item_id,
+         LEAST(1.0, GREATEST(0.0, 0.6 * COALESCE(ROUND(a.score, 6), 0.0) + 0.4 * COALESCE(ROUND(b.score, 6), 0.0))) AS score,
+         CASE WHEN a.item_id IS NOT NULL THEN 0 ELSE 1 END AS src_order,
+         COALESCE(a.rank, b.rank) AS lr
+  FROM {a} a FULL OUTER JOIN {b} b ON a.user_id = b.user_id AND a.item_id = b.item_id),
+{name} AS (
+  SELECT user_id, item_id, score, CAST(rk AS BIGINT) AS rank, 'hybrid' AS src FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, src_order, lr) AS rk FROM hj)
+  WHERE rk <= {n})"""
