@@ -7,7 +7,7 @@ Inputs are long tables: recs (user_id, rank, item_id) and truth
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfold.functions.exprs import clip01, discount, ideal_dcg, safe_div
@@ -73,7 +73,6 @@ def intra_list_diversity(recs: DataFrame, factors: DataFrame) -> DataFrame:
     Sum over pairs i != j of v_i.v_j = ||sum v||^2 - sum ||v||^2, so no pair
     join: one aggregate of the summed vector per user.
     """
-    dim = F.size(F.first("factor"))
     j = recs.select(U, I).join(factors.select(F.col("id").alias(I), "factor"), I)
     agg = j.groupBy(U).agg(
         F.count(F.lit(1)).alias("k"),
@@ -86,7 +85,6 @@ def intra_list_diversity(recs: DataFrame, factors: DataFrame) -> DataFrame:
     norm2 = F.aggregate(summed, F.lit(0.0), lambda a, x: a + x * x)
     out = agg.where(F.col("k") >= 2).select(
         U, "k", clip01(F.lit(1.0) - (norm2 - F.col("sq")) / (F.col("k") * (F.col("k") - 1))).alias("ild"))
-    del dim
     return out
 
 
@@ -95,7 +93,7 @@ def category_entropy(recs: DataFrame, categories: DataFrame) -> DataFrame:
     c = (recs.select(U, I).join(categories.select(I, "category"), I, "left")
              .withColumn("category", F.coalesce("category", F.lit("unknown"))))
     cnt = c.groupBy(U, "category").agg(F.count(F.lit(1)).alias("c"))
-    tot = F.sum("c").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy(U))
+    tot = F.sum("c").over(Window.partitionBy(U))
     p = cnt.withColumn("p", F.col("c") / tot)
     per = p.groupBy(U).agg(F.count(F.lit(1)).alias("n_cats"),
                            (-F.sum(F.col("p") * F.log(F.col("p") + F.lit(1e-12)))).alias("h"))
@@ -133,3 +131,50 @@ def coverage_metrics(recs: DataFrame, users: DataFrame, items: DataFrame, pop: D
         F.col("unique_items_recommended").cast("bigint").alias("unique_items_recommended"),
         F.col("total_catalog_items").cast("bigint").alias("total_catalog_items"),
         F.col("tail_items_in_catalog").cast("bigint").alias("tail_items_in_catalog"))
+
+
+def evaluation_report(recs: DataFrame, truth: DataFrame, pairs: DataFrame, pop: DataFrame,
+                      factors: DataFrame, categories: DataFrame, k: int = 10) -> DataFrame:
+    """V-14: ranking + diversity/novelty + coverage as one long (metric, value) table.
+
+    Diversity, entropy and novelty are averaged over lists with >= 2 factor
+    items, as the reference does; every part is an aggregate of one recs table.
+    """
+    rk = ranking_metrics(recs, truth, k)
+    ild = intra_list_diversity(recs, factors)
+    ild_users = ild.select(U)
+    ent = category_entropy(recs, categories).join(ild_users, U, "left_semi")
+    nov = novelty(recs, pop).join(ild_users, U, "left_semi")
+    div = (ild.agg(F.avg("ild").alias("a"))
+              .crossJoin(ent.agg(F.avg("entropy").alias("b")))
+              .crossJoin(nov.agg(F.avg("novelty").alias("c"))))  # one-row sides
+    cov = coverage_metrics(recs, pairs, pairs, pop)
+    row = rk.crossJoin(div).crossJoin(cov)  # one-row sides
+    metrics = [
+        ("precision_at_10", F.col("precision_at_k")), ("recall_at_10", F.col("recall_at_k")),
+        ("ndcg_at_10", F.col("ndcg_at_k")), ("mrr_at_10", F.col("mrr_at_k")),
+        ("hit_rate_at_10", F.col("hit_rate_at_k")), ("f1_at_10", F.col("f1_at_k")),
+        ("n_eval_users", F.col("n_eval_users").cast("double")),
+        ("intra_list_diversity", F.round(F.coalesce("a", F.lit(0.0)), 4)),
+        ("category_entropy_at_10", F.round(F.coalesce("b", F.lit(0.0)), 4)),
+        ("novelty_at_10", F.round(F.coalesce("c", F.lit(0.0)), 4)),
+        ("catalog_coverage", F.col("catalog_coverage")), ("user_coverage", F.col("user_coverage")),
+        ("long_tail_coverage", F.col("long_tail_coverage")),
+    ]
+    arr = F.array(*[F.struct(F.lit(n).alias("metric"), v.cast("double").alias("value")) for n, v in metrics])
+    return row.select(F.inline(arr))
+
+
+def popularity_baseline(ev: DataFrame, k: int = 10, ts: str = "ts", tiebreak: str = "event_id") -> DataFrame:
+    """V-15: global time split (W-3), the k most frequent train items (W-5),
+    share of test users with any test item among them."""
+    from rankfold.operators.split import global_split, global_top_k
+    sp = global_split(ev.select(U, I, ts, tiebreak), ts, tiebreak, 0.8)
+    train, test = sp.where(F.col("is_train")), sp.where(~F.col("is_train"))
+    counts = train.groupBy(I).agg(F.count(F.lit(1)).alias("n"))
+    top = global_top_k(counts, k, F.desc("n")).select(I)  # k rows
+    hit = (test.join(F.broadcast(top).withColumn("_h", F.lit(1)), I, "left")
+               .groupBy(U).agg(F.max(F.coalesce("_h", F.lit(0))).alias("hit")))
+    return hit.agg(F.round(F.avg("hit"), 6).alias("hit_rate_at_10"),
+                   F.sum("hit").cast("bigint").alias("hits"),
+                   F.count(F.lit(1)).cast("bigint").alias("n_test_users"))
