@@ -74,3 +74,10 @@ def safe_div(a, b) -> Column:
 
 def all_of(conds) -> Column:
     return reduce(lambda x, y: x & y, conds)
+
+
+def round4(c) -> Column:
+    """4-dp rounding used by reports: half-up on the 9-dp value, so float
+    noise never decides a half step (the SQL oracle does the same)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(F.round(c.cast("double"), 9), 4)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankfold.functions.exprs import clip01, discount, ideal_dcg, safe_div
+from rankfold.functions.exprs import clip01, discount, ideal_dcg, round4, safe_div
 
 U, I = "user_id", "item_id"
 
@@ -125,9 +125,9 @@ def coverage_metrics(recs: DataFrame, users: DataFrame, items: DataFrame, pop: D
     tail_hit = tail.join(rec_items, I, "left_semi").agg(F.count(F.lit(1)).alias("_tail_rec"))
     row = n_items.crossJoin(n_rec).crossJoin(uc).crossJoin(tail_n).crossJoin(tail_hit)  # one-row sides
     return row.select(
-        F.round(F.coalesce(safe_div("unique_items_recommended", "total_catalog_items"), F.lit(0.0)), 4).alias("catalog_coverage"),
-        F.round(F.coalesce(safe_div("users_with_recs", "n_users"), F.lit(0.0)), 4).alias("user_coverage"),
-        F.round(F.coalesce(safe_div("_tail_rec", "tail_items_in_catalog"), F.lit(0.0)), 4).alias("long_tail_coverage"),
+        round4(F.coalesce(safe_div("unique_items_recommended", "total_catalog_items"), F.lit(0.0))).alias("catalog_coverage"),
+        round4(F.coalesce(safe_div("users_with_recs", "n_users"), F.lit(0.0))).alias("user_coverage"),
+        round4(F.coalesce(safe_div("_tail_rec", "tail_items_in_catalog"), F.lit(0.0))).alias("long_tail_coverage"),
         F.col("unique_items_recommended").cast("bigint").alias("unique_items_recommended"),
         F.col("total_catalog_items").cast("bigint").alias("total_catalog_items"),
         F.col("tail_items_in_catalog").cast("bigint").alias("tail_items_in_catalog"))
@@ -155,9 +155,9 @@ def evaluation_report(recs: DataFrame, truth: DataFrame, pairs: DataFrame, pop:
         ("ndcg_at_10", F.col("ndcg_at_k")), ("mrr_at_10", F.col("mrr_at_k")),
         ("hit_rate_at_10", F.col("hit_rate_at_k")), ("f1_at_10", F.col("f1_at_k")),
         ("n_eval_users", F.col("n_eval_users").cast("double")),
-        ("intra_list_diversity", F.round(F.coalesce("a", F.lit(0.0)), 4)),
-        ("category_entropy_at_10", F.round(F.coalesce("b", F.lit(0.0)), 4)),
-        ("novelty_at_10", F.round(F.coalesce("c", F.lit(0.0)), 4)),
+        ("intra_list_diversity", round4(F.coalesce("a", F.lit(0.0)))),
+        ("category_entropy_at_10", round4(F.coalesce("b", F.lit(0.0)))),
+        ("novelty_at_10", round4(F.coalesce("c", F.lit(0.0)))),
         ("catalog_coverage", F.col("catalog_coverage")), ("user_coverage", F.col("user_coverage")),
         ("long_tail_coverage", F.col("long_tail_coverage")),
     ]

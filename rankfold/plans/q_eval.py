@@ -197,7 +197,7 @@ def _coverage(spark, sf_dir):
 
 
 @query("v11_catalog_coverage_e", Q.with_prep("E", *_EASE_ALL, _COV, body="""
-SELECT ROUND(unique_items_recommended / total_catalog_items, 4) AS catalog_coverage,
+SELECT CAST(ROUND(CAST(CAST(ROUND(unique_items_recommended / total_catalog_items, 9) AS VARCHAR) AS DECIMAL(38, 12)), 4) AS DOUBLE) AS catalog_coverage,
        CAST(unique_items_recommended AS BIGINT) AS unique_items_recommended,
        CAST(total_catalog_items AS BIGINT) AS total_catalog_items FROM cov""", recursive=True))
 def v11_catalog_coverage_e(spark, sf_dir):
@@ -205,13 +205,13 @@ def v11_catalog_coverage_e(spark, sf_dir):
 
 
 @query("v12_user_coverage_e", Q.with_prep("E", *_EASE_ALL, _COV, body="""
-SELECT ROUND(users_with_recs / n_users, 4) AS user_coverage FROM cov""", recursive=True))
+SELECT CAST(ROUND(CAST(CAST(ROUND(users_with_recs / n_users, 9) AS VARCHAR) AS DECIMAL(38, 12)), 4) AS DOUBLE) AS user_coverage FROM cov""", recursive=True))
 def v12_user_coverage_e(spark, sf_dir):
     return _coverage(spark, sf_dir).select("user_coverage")
 
 
 @query("v13_long_tail_coverage_e", Q.with_prep("E", *_EASE_ALL, _COV, body="""
-SELECT ROUND(COALESCE(tail_rec / NULLIF(tail_items_in_catalog, 0), 0.0), 4) AS long_tail_coverage,
+SELECT CAST(ROUND(CAST(CAST(ROUND(COALESCE(tail_rec / NULLIF(tail_items_in_catalog, 0), 0.0), 9) AS VARCHAR) AS DECIMAL(38, 12)), 4) AS DOUBLE) AS long_tail_coverage,
        CAST(tail_items_in_catalog AS BIGINT) AS tail_items_in_catalog FROM cov""", recursive=True))
 def v13_long_tail_coverage_e(spark, sf_dir):
     return _coverage(spark, sf_dir).select("long_tail_coverage", "tail_items_in_catalog")
@@ -227,13 +227,13 @@ SELECT metric, value FROM (
   UNION ALL SELECT 'hit_rate_at_10', ROUND(COALESCE(h, 0.0), 6) FROM agg
   UNION ALL SELECT 'f1_at_10', ROUND(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) FROM agg
   UNION ALL SELECT 'n_eval_users', CAST(n AS DOUBLE) FROM agg
-  UNION ALL SELECT 'intra_list_diversity', ROUND(COALESCE((SELECT AVG(ild) FROM ild), 0.0), 4)
-  UNION ALL SELECT 'category_entropy_at_10', ROUND(COALESCE((SELECT AVG(CASE WHEN n_cats > 1 THEN h / ln(n_cats) ELSE 0.0 END)
-                                                            FROM ent WHERE user_id IN (SELECT user_id FROM ild)), 0.0), 4)
-  UNION ALL SELECT 'novelty_at_10', ROUND(COALESCE((SELECT AVG(novelty) FROM nov WHERE user_id IN (SELECT user_id FROM ild)), 0.0), 4)
-  UNION ALL SELECT 'catalog_coverage', ROUND(unique_items_recommended / total_catalog_items, 4) FROM cov
-  UNION ALL SELECT 'user_coverage', ROUND(users_with_recs / n_users, 4) FROM cov
-  UNION ALL SELECT 'long_tail_coverage', ROUND(COALESCE(tail_rec / NULLIF(tail_items_in_catalog, 0), 0.0), 4) FROM cov)""",
+  UNION ALL SELECT 'intra_list_diversity', CAST(ROUND(CAST(CAST(ROUND(COALESCE((SELECT AVG(ild) FROM ild), 0.0), 9) AS VARCHAR) AS DECIMAL(38, 12)), 4) AS DOUBLE)
+  UNION ALL SELECT 'category_entropy_at_10', CAST(ROUND(CAST(CAST(ROUND(COALESCE((SELECT AVG(CASE WHEN n_cats > 1 THEN h / ln(n_cats) ELSE 0.0 END)
+                                                            FROM ent WHERE user_id IN (SELECT user_id FROM ild)), 0.0), 9) AS VARCHAR) AS DECIMAL(38, 12)), 4) AS DOUBLE)
+  UNION ALL SELECT 'novelty_at_10', CAST(ROUND(CAST(CAST(ROUND(COALESCE((SELECT AVG(novelty) FROM nov WHERE user_id IN (SELECT user_id FROM ild)), 0.0), 9) AS VARCHAR) AS DECIMAL(38, 12)), 4) AS DOUBLE)
+  UNION ALL SELECT 'catalog_coverage', CAST(ROUND(CAST(CAST(ROUND(unique_items_recommended / total_catalog_items, 9) AS VARCHAR) AS DECIMAL(38, 12)), 4) AS DOUBLE) FROM cov
+  UNION ALL SELECT 'user_coverage', CAST(ROUND(CAST(CAST(ROUND(users_with_recs / n_users, 9) AS VARCHAR) AS DECIMAL(38, 12)), 4) AS DOUBLE) FROM cov
+  UNION ALL SELECT 'long_tail_coverage', CAST(ROUND(CAST(CAST(ROUND(COALESCE(tail_rec / NULLIF(tail_items_in_catalog, 0), 0.0), 9) AS VARCHAR) AS DECIMAL(38, 12)), 4) AS DOUBLE) FROM cov)""",
     recursive=True))
 def v14_evaluation_report_e(spark, sf_dir):
     """V-14: unified report as a long (metric, value) table; diversity means over
