@@ -227,3 +227,8 @@ def blend(a: str, b: str, n: int, name: str = "hrecs") -> str:
   SELECT user_id, item_id, score, CAST(rk AS BIGINT) AS rank, 'hybrid' AS src FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, src_order, lr) AS rk FROM hj)
   WHERE rk <= {n})"""
+
+
+def r4(expr: str) -> str:
+    """4-dp half-up rounding of the 9-dp value (mirrors ``round4`` in Spark)."""
+    return f"CAST(ROUND(CAST(CAST(ROUND({expr}, 9) AS VARCHAR) AS DECIMAL(38, 12)), 4) AS DOUBLE)"
