@@ -55,8 +55,9 @@ def gram(hist: DataFrame, active: DataFrame | None = None, l2: float | None = No
     h = hist.select(U, I, F.col("weight").cast("double").alias("w"))
     if active is not None:
         h = h.join(active.select(I), I, "left_semi")  # AQE broadcasts it when small
-    n_u = F.count(F.lit(1)).over(Window.partitionBy(U))
-    h = h.withColumn("_s", F.greatest(F.lit(1), F.ceil(n_u / F.lit(chunk))).cast("int"))
+    # history length per user: partial aggregate, joined back (AQE splits a hot user)
+    n_u = h.groupBy(U).agg(F.count(F.lit(1)).alias("_nu"))
+    h = h.join(n_u, U).withColumn("_s", F.greatest(F.lit(1), F.ceil(F.col("_nu") / F.lit(chunk))).cast("int"))
     left = h.withColumn("_salt", F.pmod(F.xxhash64(I), F.col("_s")).cast("int"))
     right = h.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
     a, b = left.alias("a"), right.alias("b")
@@ -120,8 +121,8 @@ def ease_fit(train: DataFrame, l2: float | None = None, max_items: int | None =
     spark = train.sparkSession
     l2 = DEFAULTS.ease_lambda if l2 is None else l2
     act = active_items(train, max_items)
-    idx = (act.select(I).orderBy(I).rdd.zipWithIndex()
-              .map(lambda r: (r[0][0], int(r[1]))).toDF(f"{I} string, idx long"))
+    from rankfold.operators.ranking import global_rank
+    idx = global_rank(act.select(I), [F.asc(I)], "idx").select(I, (F.col("idx") - 1).alias("idx"))
     idx_path = scratch_path(spark, "ease-index")
     idx.write.parquet(idx_path)
     idx = spark.read.parquet(idx_path)

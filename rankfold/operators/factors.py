@@ -100,10 +100,9 @@ def svd_fit(inter: DataFrame, k: int = 50, user: str = U, item: str = I):
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
     spark = inter.sparkSession
-    uidx = inter.select(user).distinct().orderBy(user).rdd.zipWithIndex().map(
-        lambda r: (r[0][0], int(r[1]))).toDF(f"{user} string, uix long")
-    iidx = inter.select(item).distinct().orderBy(item).rdd.zipWithIndex().map(
-        lambda r: (r[0][0], int(r[1]))).toDF(f"{item} string, iix long")
+    from rankfold.operators.ranking import global_rank
+    uidx = global_rank(inter.select(user).distinct(), [F.asc(user)], "uix").select(user, (F.col("uix") - 1).alias("uix"))
+    iidx = global_rank(inter.select(item).distinct(), [F.asc(item)], "iix").select(item, (F.col("iix") - 1).alias("iix"))
     n_items = iidx.count()
     n_users = uidx.count()
     k = max(1, min(k, min(n_users, n_items) - 1))

@@ -7,7 +7,7 @@ the shuffle — a hot user or item is pre-aggregated per task before it moves.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfold.config import DEFAULTS
@@ -124,15 +124,15 @@ def with_bucket(pop: DataFrame, high: int | None = None, medium: int | None = No
 def dictionary_encode(df: DataFrame, key: str, order=None, name: str | None = None) -> DataFrame:
     """J-3: dense 0-based index over the distinct keys, ordered by ``order``.
 
-    Uses ``zipWithIndex``-style ranking without a global single-partition
-    window: distinct keys are range-partitioned and numbered per partition,
-    then offset by the running partition sizes (two passes, all distributed).
+    No global single-partition window: keys are range-partitioned and numbered
+    per partition, then offset by the running partition sizes (``global_rank``).
     """
+    from rankfold.operators.ranking import global_rank
     name = name or f"{key}_idx"
     keys = df.select(key).distinct()
-    order = order or [key]
-    rdd = keys.orderBy(*order).rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    return rdd.toDF(keys.columns + [name])
+    order = order or [F.asc(key)]
+    g = global_rank(keys, order, "_g")
+    return g.select(key, (F.col("_g") - 1).alias(name))
 
 
 def first_appearance_order(inter: DataFrame) -> DataFrame:

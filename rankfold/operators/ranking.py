@@ -1,19 +1,50 @@
-"""Global ordering helpers that never funnel a whole table into one task."""
+"""Exact global / per-key ordering that never funnels a whole table — or one
+hot key — into a single task.
+
+``global_rank``: ``orderBy`` range-partitions on the full sort key (a hot value
+of the first key is still split by the tie-break columns across partitions);
+``monotonically_increasing_id`` numbers rows inside each sorted partition; the
+table is materialised once with a reliable ``checkpoint`` (shared folder,
+survives executor loss, and makes both passes see identical rows); per-
+partition row counts (one row per partition) give the offsets.
+
+``rank_within``: position of a row inside its key in the same way — the key's
+first global position comes from a partial+final aggregate, so a key holding a
+third of the table is ranked by many tasks, not one window task.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from rankfold.session import shared_dir
+
+_LOW33 = (1 << 33) - 1
 
 
 def global_rank(df: DataFrame, order, rank_col: str = "grank") -> DataFrame:
-    """1-based position of every row in a total order, computed distributed.
-
-    ``orderBy`` range-partitions on the full sort key (so a hot value of the
-    first key is still split by the tie-break columns), and ``zipWithIndex``
-    numbers rows per partition after one small job that counts partition sizes.
-    """
-    sorted_df = df.orderBy(*order)
-    schema = T.StructType(list(sorted_df.schema.fields) + [T.StructField(rank_col, T.LongType(), False)])
-    rdd = sorted_df.rdd.zipWithIndex().map(lambda r: tuple(r[0]) + (r[1] + 1,))
-    return sorted_df.sparkSession.createDataFrame(rdd, schema)
+    """Add the 1-based position of every row in a total order."""
+    shared_dir(df.sparkSession)  # make sure the checkpoint folder is set
+    s = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    pid = F.shiftright(F.col("_mid"), 33)
+    sizes = s.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_c"))
+    # one row per partition: a global window over it is tiny
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.select("_pid", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
+    out = s.join(F.broadcast(offs), pid == F.col("_pid"))
+    return out.withColumn(rank_col, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW33)) + 1).drop(
+        "_mid", "_pid", "_off")
+
+
+def rank_within(df: DataFrame, keys, order, rank_col: str = "rank", count_col: str | None = None) -> DataFrame:
+    """Add the 1-based position inside ``keys`` for the given ``order`` (and
+    optionally the key's row count) without a per-key window."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    g = global_rank(df, [*[F.col(k).asc() for k in keys], *order], "_gr")
+    aggs = [F.min("_gr").alias("_start")]
+    if count_col:
+        aggs.append(F.count(F.lit(1)).alias(count_col))
+    starts = g.groupBy(*keys).agg(*aggs)
+    out = g.join(starts, keys).withColumn(rank_col, F.col("_gr") - F.col("_start") + 1)
+    return out.drop("_gr", "_start")

@@ -69,9 +69,11 @@ def first_unseen(want: DataFrame, seen_ranks: DataFrame, keys, n: int) -> DataFr
     at most n entries — the list itself is never expanded per key.
     Returns keys + ``slot`` (j) + ``_pos`` (position in the ranked list).
     """
+    from rankfold.operators.ranking import rank_within
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy("rank")
-    gaps = (seen_ranks.withColumn("_g", F.col("rank") - F.row_number().over(w))
+    # i = position of the seen entry among the key's seen entries (no per-key window)
+    seen_i = rank_within(seen_ranks, keys, [F.asc("rank")], "_i")
+    gaps = (seen_i.withColumn("_g", F.col("rank") - F.col("_i"))
                       .where(F.col("_g") < n)
                       .groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_c"))
                       .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_g", "_c"))).alias("_m")))

@@ -24,14 +24,12 @@ def temporal_holdout(df: DataFrame, key: str = U, order=("last_ts", I),
 
     n < 2: all train (``singletons='train'``) or dropped (``'drop'``);
     otherwise the first max(1, floor(n*(1-f))) rows in ``order`` are train.
-    One window (shuffle by key, sort within key); a hot key only sorts its own
-    rows — the window frame is row-local, nothing is collected per key.
+    Positions come from ``rank_within`` (a globally range-partitioned sort), so
+    a user holding a large share of all rows is split over many tasks.
     """
+    from rankfold.operators.ranking import rank_within
     keep = 1.0 - test_fraction
-    w = Window.partitionBy(key).orderBy(*_sort_cols(order))
-    wn = Window.partitionBy(key)
-    out = (df.withColumn("_rn", F.row_number().over(w))
-             .withColumn("_n", F.count(F.lit(1)).over(wn)))
+    out = rank_within(df, [key], _sort_cols(order), "_rn", count_col="_n")
     if singletons == "drop":
         out = out.where(F.col("_n") >= 2)
     cut = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(keep)))
@@ -40,31 +38,18 @@ def temporal_holdout(df: DataFrame, key: str = U, order=("last_ts", I),
 
 
 def global_split(df: DataFrame, ts: str = "ts", tiebreak: str = "event_id",
-                 train_fraction: float = 0.8, bucket: str = "1 hour") -> DataFrame:
-    """W-3: order ALL rows by (ts, tiebreak); first floor(N*f) rows are train.
+                 train_fraction: float = 0.8) -> DataFrame:
+    """W-3: order ALL rows by (ts, tiebreak); the first floor(N*f) rows are train.
 
-    No single-partition ``row_number``: rows are counted per time bucket
-    (a small table: one row per bucket), the bucket holding the cut row is
-    found by a running sum over those few rows, and an exact rank is computed
-    only inside that one bucket. Rows of earlier buckets are train, later test.
+    ``global_rank`` gives exact positions from a range-partitioned sort — no
+    single-partition ``row_number``, and ties on ``ts`` (even one timestamp
+    holding most rows) are split by the tie-break across partitions.
     """
-    b = F.date_trunc("hour", F.col(ts)) if bucket == "1 hour" else F.window(ts, bucket).start
-    tagged = df.withColumn("_b", b)
-    counts = tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    wcum = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("_c").over(Window.partitionBy(F.lit(1)))
-    # counts has one row per bucket (time-bounded), so a global window here is cheap
-    bounds = (counts.withColumn("_hi", F.sum("_c").over(wcum))
-                    .withColumn("_lo", F.col("_hi") - F.col("_c"))
-                    .withColumn("_cut", F.floor(total * F.lit(train_fraction)))
-                    .select("_b", "_lo", "_hi", "_cut"))
-    j = tagged.join(F.broadcast(bounds), "_b")
-    in_cut = (F.col("_lo") < F.col("_cut")) & (F.col("_hi") > F.col("_cut"))
-    wb = Window.partitionBy("_b").orderBy(F.col(ts), F.col(tiebreak))
-    inside = (j.where(in_cut)
-               .withColumn("is_train", (F.col("_lo") + F.row_number().over(wb)) <= F.col("_cut")))
-    outside = j.where(~in_cut).withColumn("is_train", F.col("_hi") <= F.col("_cut"))
-    return inside.unionByName(outside).drop("_b", "_lo", "_hi", "_cut")
+    from rankfold.operators.ranking import global_rank
+    g = global_rank(df, [F.col(ts).asc(), F.col(tiebreak).asc()], "_g")
+    n = df.agg(F.count(F.lit(1)).alias("_N"))
+    j = g.crossJoin(F.broadcast(n))  # one-row side
+    return j.withColumn("is_train", F.col("_g") <= F.floor(F.col("_N") * F.lit(train_fraction))).drop("_g", "_N")
 
 
 def top_k(df: DataFrame, k: int, by, partition=U, ties=(I,), rank_col: str = "rank") -> DataFrame:

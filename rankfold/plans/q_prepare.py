@@ -306,10 +306,10 @@ WITH r AS (SELECT l_orderkey * 100 + l_linenumber AS event_id,
                   COUNT(*) OVER () AS n FROM lineitem)
 SELECT event_id, rn <= FLOOR(n * 0.8) AS is_train FROM r""")
 def w3_global_split_l(spark, sf_dir):
-    """W-3 on lineitem, whose ship dates tie heavily (one bucket holds many rows)."""
+    """W-3 on lineitem, whose ship dates tie heavily (split by the tie-break)."""
     li = TT.table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("event_id"), F.col("l_shipdate").alias("ts"))
-    return S.global_split(li, "ts", "event_id", 0.8, bucket="1 hour").select("event_id", "is_train")
+    return S.global_split(li, "ts", "event_id", 0.8).select("event_id", "is_train")
 
 
 @query("w4_top_k_per_user_l", Q.with_prep(L, body="""
