@@ -157,9 +157,9 @@ def drift(log: DataFrame, value: str = "score", buckets=SCORE_BUCKETS, q: float
 def staleness(log: DataFrame, key: str = "model_version", limit_s: float = 604800.0, ts: str = "ts") -> DataFrame:
     """T-9: age of each key's first appearance (its 'reload') at the log's last time."""
     now = log.agg(F.max(ts).alias("_now"))
-    r = log.groupBy(key).agg(F.min(ts).alias("_reload")).crossJoin(now)  # one-row side
-    age = F.unix_seconds(F.col("_now").cast("timestamp")) - F.unix_seconds(F.col("_reload").cast("timestamp"))
-    return r.select(key, age.cast("bigint").alias("age_seconds"), (age > limit_s).alias("stale"))
+    r = log.groupBy(key).agg(F.min(ts).alias("_reload")).crossJoin(F.broadcast(now))  # one-row side
+    age = (F.unix_micros(F.col("_now").cast("timestamp")) - F.unix_micros(F.col("_reload").cast("timestamp"))) / 1e6
+    return r.select(key, age.alias("age_seconds"), (age > limit_s).alias("stale"))
 
 
 def absence(log: DataFrame, series: str = "endpoint", window: str = "1 hour", ts: str = "ts") -> DataFrame:
@@ -173,9 +173,9 @@ def absence(log: DataFrame, series: str = "endpoint", window: str = "1 hour", ts
     w = Window.partitionBy(series).orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last("_last", ignorenulls=True).over(w)
     end = F.col("window_start") + F.expr(f"INTERVAL {int(seconds(window))} SECONDS")
-    since = F.unix_seconds(end.cast("timestamp")) - F.unix_seconds(last.cast("timestamp"))
+    since = (F.unix_micros(end.cast("timestamp")) - F.unix_micros(last.cast("timestamp"))) / 1e6
     return j.select("window_start", series, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
-                    (F.coalesce("n", F.lit(0)) == 0).alias("down"), since.cast("bigint").alias("seconds_since_seen"))
+                    (F.coalesce("n", F.lit(0)) == 0).alias("down"), since.alias("seconds_since_seen"))
 
 
 def hold(cond: DataFrame, windows_needed: int, series=("series",), order: str = "window_start",

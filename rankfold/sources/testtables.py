@@ -57,3 +57,21 @@ def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("string").alias("id"),
         F.transform("embedding", lambda x: x.cast("double")).alias("factor"))
+
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request / prediction log derived from ``events`` (one row per request):
+    endpoint = event type, 5xx for 'error' events, latency = value / 100 s,
+    prediction score = value / 500, weekly model versions."""
+    ev = table(spark, sf_dir, "events")
+    et = F.col("event_type")
+    return ev.select(
+        F.col("ts"), et.alias("endpoint"),
+        F.when(et.isin("purchase", "signup"), F.lit("POST")).otherwise(F.lit("GET")).alias("method"),
+        F.when(et == "error", F.lit(500)).otherwise(F.lit(200)).alias("status"),
+        (F.col("value") / 100.0).alias("duration_s"),
+        F.when(et == "click", F.lit("content_based")).when(et == "purchase", F.lit("hybrid"))
+         .otherwise(F.lit("collaborative")).alias("recommendation_type"),
+        (F.col("value") / 500.0).alias("score"),
+        F.concat(F.lit("v"), F.weekofyear("ts").cast("string")).alias("model_version"),
+        F.col("user_id").cast("string").alias("user_id"))
