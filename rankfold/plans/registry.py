@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 def load_all():
     # importing the modules registers their queries
     for mod in ("q_prepare", "q_eval", "q_models", "q_recommend", "q_quality", "q_fairness", "q_rerank",
-                "q_explain", "q_telemetry", "q_sources"):
+                "q_explain", "q_telemetry", "q_sources", "q_streaming"):
         try:
             __import__(f"rankfold.plans.{mod}")
         except ModuleNotFoundError as e:
