@@ -7,6 +7,7 @@ registered query is one Catalyst plan from the parquet scans to the result.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +29,18 @@ class Prepared:
     active: DataFrame        # active users (user_id, n_items)
     pairs: DataFrame         # pairs of active users
     pop: DataFrame           # (item_id, popularity) over active pairs
-    split: DataFrame         # pairs + is_train
-    train: DataFrame
-    test: DataFrame
+
+    @cached_property
+    def split(self) -> DataFrame:  # pairs + is_train (built on first use)
+        return S.temporal_holdout(self.pairs, order=("last_ts", "item_id"), test_fraction=TEST_FRACTION)
+
+    @cached_property
+    def train(self) -> DataFrame:
+        return self.split.where(F.col("is_train")).drop("is_train")
+
+    @cached_property
+    def test(self) -> DataFrame:
+        return self.split.where(~F.col("is_train")).drop("is_train")
 
 
 def prepared(spark: SparkSession, sf_dir: str, table: str = "E") -> Prepared:
@@ -42,10 +52,7 @@ def prepared(spark: SparkSession, sf_dir: str, table: str = "E") -> Prepared:
     active = P.active_users(inter, MIN_ITEMS, MAX_USERS)
     pairs = P.filter_active(inter, active)
     pop = P.item_popularity(pairs)
-    sp = S.temporal_holdout(pairs, order=("last_ts", "item_id"), test_fraction=TEST_FRACTION)
-    return Prepared(ev, inter, active, pairs, pop, sp,
-                    sp.where(F.col("is_train")).drop("is_train"),
-                    sp.where(~F.col("is_train")).drop("is_train"))
+    return Prepared(ev, inter, active, pairs, pop)
 
 
 def test_users(p: Prepared) -> DataFrame:

@@ -417,3 +417,15 @@ def j7_hits_l(spark, sf_dir):
     j = recs.join(t, ["user_id", "item_id"], "left")
     return j.select("user_id", "item_id", F.col("rank").cast("bigint").alias("rank"),
                     F.col("_t").isNotNull().alias("hit"))
+
+
+@query("j5_cooccurrence_l", Q.with_prep(L, body="""
+SELECT a.item_id AS item_a, b.item_id AS item_b, ROUND(SUM(a.weight * b.weight), 6) AS g
+FROM train a JOIN train b ON a.user_id = b.user_id AND a.item_id <= b.item_id
+GROUP BY a.item_id, b.item_id"""))
+def j5_cooccurrence_l(spark, sf_dir):
+    """J-5 at scale: salted user self-join of L's train pairs (i <= j)."""
+    from rankfold.operators import ease
+    p = flows.prepared(spark, sf_dir, L)
+    g = ease.gram(p.train, mirror=False)
+    return g.select(F.col("i").alias("item_a"), F.col("j").alias("item_b"), F.round("g", 6).alias("g"))
