@@ -170,7 +170,9 @@ def ease_fit(train: DataFrame, l2: float | None = None, max_items: int | None =
     if top_m:
         w = Window.partitionBy("dst").orderBy(F.desc(F.abs("weight")), "src")
         out = out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_m).drop("_r")
-    return out
+    b_path = scratch_path(spark, "ease-B")
+    out.write.parquet(b_path)  # the model table: written once, read by scoring / explanations
+    return spark.read.parquet(b_path)
 
 
 def score_ease(hist: DataFrame, B: DataFrame) -> DataFrame:

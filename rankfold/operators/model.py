@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from rankfold.operators import features as FT
+from rankfold.session import materialize
 
 
 @dataclass
@@ -27,9 +28,10 @@ def content_model(items: DataFrame, categories: DataFrame | None, pop: DataFrame
                   high: int | None = None, medium: int | None = None, max_features: int | None = None):
     """C-3 + C-2 + C-4: item texts -> TF-IDF -> classes -> class cosine."""
     texts = FT.item_features(items, categories, pop, high, medium)
-    tf = FT.tfidf(texts, "item_id", "text", max_features)
+    tf = materialize(FT.tfidf(texts, "item_id", "text", max_features))
     item_class, class_vec = FT.item_classes(tf, items)
-    sim = FT.class_similarity(class_vec, item_class)
+    item_class = materialize(item_class)
+    sim = materialize(FT.class_similarity(class_vec, item_class))
     return texts, tf, item_class, sim
 
 

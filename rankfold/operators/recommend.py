@@ -50,7 +50,7 @@ def recommend_popular(users: DataFrame, pop: DataFrame, n: int, seen: DataFrame
         # the global top-n list has <= n rows: a bounded broadcast
         top = top_k(p.withColumn("_g", F.lit(1)), n, F.desc("popularity"), partition="_g").drop("_g")
         return users.crossJoin(F.broadcast(top)).select(U, "rank", I, "score")
-    ranked = global_rank(p, [F.desc("popularity"), F.asc(I)], "rank")
+    ranked = global_rank(p, [F.desc("popularity"), F.asc(I)], "rank", materialize=True)
     seen_r = (seen.select(U, I).join(users, U, "left_semi")
                   .join(ranked.select(I, "rank"), I).select(U, "rank"))
     want = users.withColumn("_want", F.lit(n))
@@ -185,7 +185,8 @@ def recommend_content(users: DataFrame, train: DataFrame, pop: DataFrame, item_c
             .groupBy(U, F.col("cls_b").alias("cls")).agg(F.sum(F.col("_cnt") * F.col("sim")).alias("_s"))
             .join(n_hist, U).withColumn("raw", F.col("_s") / F.col("_nh"))
             .withColumn("_s9", F.round("raw", 9)))
-    ranked = global_rank(ic.select(I, "cls"), [F.asc("cls"), F.asc(I)], "_gr")
+    # catalog-sized and read three times below: ranked once and materialised
+    ranked = global_rank(ic.select(I, "cls"), [F.asc("cls"), F.asc(I)], "_gr", materialize=True)
     starts = ranked.groupBy("cls").agg(F.min("_gr").alias("_st"), F.count(F.lit(1)).alias("_size"))
     ranked = ranked.join(starts, "cls").select(I, "cls", (F.col("_gr") - F.col("_st") + 1).alias("rank"))
     seen_r = h.select(U, I).join(ranked, I).select(U, "cls", "rank")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rankfold.operators import prepare as P
 from rankfold.operators import split as S
+from rankfold.session import shared_dir
 from rankfold.sources import testtables as TT
 
 K = 10
@@ -31,8 +32,13 @@ class Prepared:
     pop: DataFrame           # (item_id, popularity) over active pairs
 
     @cached_property
-    def split(self) -> DataFrame:  # pairs + is_train (built on first use)
-        return S.temporal_holdout(self.pairs, order=("last_ts", "item_id"), test_fraction=TEST_FRACTION)
+    def split(self) -> DataFrame:
+        """pairs + is_train, built on first use and written once as a reliable
+        checkpoint in the shared folder: every model / evaluation step reads
+        it, so its lineage is cut here instead of being re-planned per use."""
+        sp = S.temporal_holdout(self.pairs, order=("last_ts", "item_id"), test_fraction=TEST_FRACTION)
+        shared_dir(sp.sparkSession)
+        return sp.checkpoint(eager=True)
 
     @cached_property
     def train(self) -> DataFrame:

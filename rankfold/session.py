@@ -65,3 +65,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder (never a machine-local tmp on a cluster)."""
     base = shared_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Write a model / intermediate table once to the shared folder (reliable
+    checkpoint): later plans read it instead of re-deriving its lineage, and it
+    survives executor loss."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
