@@ -142,6 +142,8 @@ def recommend_collaborative(users: DataFrame, train: DataFrame, pop: DataFrame,
     from rankfold.operators import ease, factors as FX
     users = users.select(U).distinct()
     warm = warm_users(users, train)
+    if B is None and (user_factors is None or item_factors is None):
+        raise ValueError("collaborative recommendations need EASE weights or latent factors")
     if B is not None:
         raw = ease.score_ease(train.join(warm, U, "left_semi"), B)
         recs = recommend_scored(warm, raw, train, n, categories, category)
