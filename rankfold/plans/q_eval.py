@@ -256,3 +256,36 @@ def v15_popularity_baseline_e(spark, sf_dir):
     """V-15: global time split, 10 most frequent train items, share of test users hitting one."""
     ev = TT.events_e(spark, sf_dir)
     return V.popularity_baseline(ev, K)
+
+
+@query("s2_distinct_recommended_items_e", Q.with_prep("E", *_EASE_ALL, body="""
+SELECT DISTINCT item_id FROM erecs""", recursive=True))
+def s2_distinct_recommended_items_e(spark, sf_dir):
+    """S-2: distinct union of all users' lists."""
+    from rankfold.operators.split import distinct_items
+    _, recs = ease_recs_all(spark, sf_dir)
+    return distinct_items(recs)
+
+
+@query("g9_ground_truth_lists_l", Q.with_prep("L", body="""
+SELECT user_id, string_agg(item_id, ',' ORDER BY item_id) AS truth, COUNT(*) AS n_truth FROM test GROUP BY user_id"""))
+def g9_ground_truth_lists_l(spark, sf_dir):
+    """G-9: each user's held-out items as one sorted list (the user's own rows only)."""
+    p = flows.prepared(spark, sf_dir, "L")
+    g = p.test.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("item_id")), ",").alias("truth"),
+                                      F.count(F.lit(1)).alias("n_truth"))
+    return g
+
+
+@query("c12_train_flow_e")
+def c12_train_flow_e(spark, sf_dir):
+    """C-12 (rows check): split -> content -> EASE -> SVD -> evaluate -> bundle + run log."""
+    from rankfold.plans.training import train
+    return train(spark, sf_dir, "E")
+
+
+@query("w10_random_user_sample_l")
+def w10_random_user_sample_l(spark, sf_dir):
+    """W-10 (rows check): 100 users in seeded-hash order (repeatable sample)."""
+    from rankfold.operators.split import sample_users
+    return sample_users(flows.prepared(spark, sf_dir, "L").pairs, 100, seed=42)
