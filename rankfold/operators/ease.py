@@ -180,3 +180,79 @@ def score_ease(hist: DataFrame, B: DataFrame) -> DataFrame:
     h = hist.select(U, F.col(I).alias("src"), F.col("weight").cast("double").alias("w"))
     j = h.join(B, "src")
     return j.groupBy(U, F.col("dst").alias(I)).agg(F.sum(F.col("w") * F.col("weight")).alias("raw"))
+
+
+def score_ease_topk(hist: DataFrame, B: DataFrame, k: int, block: int = 512,
+                    user_batch: int = 512) -> DataFrame:
+    """R-1 + J-4 + W-4 at scale: per user the k best unseen active items by EASE score.
+
+    Block GEMM instead of ``history JOIN B`` (whose intermediate has
+    sum_u |h_u| x n_active rows): B is laid out by column block in the shared
+    folder; every user's sparse history row meets every block once; a task
+    densifies ``user_batch`` histories, multiplies by the (n_active x block)
+    slice, masks the users' own items and keeps only the top k per block. The
+    shuffle carries users x blocks x k candidates. Output (user_id, item_id, raw).
+    """
+    from rankfold.operators.ranking import global_rank
+    spark = hist.sparkSession
+    items = B.select(F.col("src").alias(I)).union(B.select(F.col("dst").alias(I))).distinct()
+    idx = global_rank(items, [F.asc(I)], "_g", materialize=True).select(I, (F.col("_g") - 1).alias("idx"))
+    n = idx.count()
+    if n == 0:
+        return spark.createDataFrame([], f"{U} string, {I} string, raw double")
+    nb = max(1, math.ceil(n / block))
+    bpath = scratch_path(spark, "ease-blocks")
+    (B.join(idx.select(F.col(I).alias("src"), F.col("idx").alias("r")), "src")
+      .join(idx.select(F.col(I).alias("dst"), F.col("idx").alias("c")), "dst")
+      .select("r", "c", "weight", (F.col("c") / F.lit(block)).cast("int").alias("blk"))
+      .write.partitionBy("blk").parquet(bpath))
+    hv = (hist.select(U, I, F.col("weight").cast("double").alias("w")).join(idx, I)
+              .groupBy(U).agg(F.collect_list("idx").alias("_r"), F.collect_list("w").alias("_w")))
+    # one row per (user, block); the user's own history row is the only per-user state
+    x = (hv.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+           .repartition("blk", U).sortWithinPartitions("blk"))
+    schema = T.StructType([T.StructField(U, T.StringType()), T.StructField("c", T.LongType()),
+                           T.StructField("raw", T.DoubleType())])
+
+    def run(it):
+        cached = {}
+
+        def block_matrix(b):
+            if b not in cached:
+                cached.clear()  # one block in memory at a time (rows arrive sorted by block)
+                t = read_shared_parquet(f"{bpath}/blk={b}")
+                lo = b * block
+                width = min(block, n - lo)
+                M = np.zeros((n, width))
+                M[t["r"].to_numpy(np.int64), t["c"].to_numpy(np.int64) - lo] = t["weight"].to_numpy(np.float64)
+                cached[b] = (M, lo)
+            return cached[b]
+
+        for pdf in it:
+            for b, g in pdf.groupby("blk", sort=False):
+                M, lo = block_matrix(int(b))
+                width = M.shape[1]
+                users = g[U].to_numpy()
+                rs, ws = g["_r"].to_numpy(), g["_w"].to_numpy()
+                for s in range(0, len(g), user_batch):
+                    sl = slice(s, s + user_batch)
+                    ur, uw, uu = rs[sl], ws[sl], users[sl]
+                    rows = np.repeat(np.arange(len(ur)), [len(a) for a in ur])
+                    cols = np.concatenate(ur).astype(np.int64) if len(rows) else np.array([], dtype=np.int64)
+                    vals = np.concatenate(uw).astype(np.float64) if len(rows) else np.array([])
+                    Ub = np.zeros((len(ur), n))
+                    np.add.at(Ub, (rows, cols), vals)
+                    S = Ub @ M
+                    inb = (cols >= lo) & (cols < lo + width)  # mask the users' own items
+                    S[rows[inb], cols[inb] - lo] = -np.inf
+                    kk = min(k, width)
+                    part = np.argpartition(-S, kk - 1, axis=1)[:, :kk]
+                    sc = np.take_along_axis(S, part, axis=1)
+                    ok = np.isfinite(sc)
+                    ui = np.repeat(np.arange(len(ur)), kk).reshape(len(ur), kk)[ok]
+                    yield pd.DataFrame({U: uu[ui], "c": (part[ok] + lo).astype(np.int64), "raw": sc[ok]})
+
+    cand = x.mapInPandas(run, schema)
+    named = cand.join(idx.select(F.col("idx").alias("c"), I), "c")
+    w = Window.partitionBy(U).orderBy(F.desc("raw"), F.asc(I))
+    return named.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k).select(U, I, "raw")

@@ -144,7 +144,11 @@ def recommend_collaborative(users: DataFrame, train: DataFrame, pop: DataFrame,
     warm = warm_users(users, train)
     if B is None and (user_factors is None or item_factors is None):
         raise ValueError("collaborative recommendations need EASE weights or latent factors")
-    if B is not None:
+    if B is not None and category is None:
+        # block GEMM with the seen mask and a per-block top-n (no history x B join)
+        raw = ease.score_ease_topk(train.join(warm, U, "left_semi"), B, n)
+        recs = recommend_scored(warm, raw, train, n)
+    elif B is not None:
         raw = ease.score_ease(train.join(warm, U, "left_semi"), B)
         recs = recommend_scored(warm, raw, train, n, categories, category)
     else:

@@ -49,7 +49,7 @@ def ease_recs_all(spark, sf_dir, k=K):
     p = flows.prepared(spark, sf_dir, "E")
     B = EA.ease_fit(p.train, 500.0)
     users = p.train.select("user_id").distinct()
-    recs = R.recommend_scored(users, EA.score_ease(p.train, B), p.train, k)
+    recs = R.recommend_scored(users, EA.score_ease_topk(p.train, B, k), p.train, k)
     return p, recs
 
 

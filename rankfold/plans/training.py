@@ -34,7 +34,7 @@ def train(spark: SparkSession, sf_dir: str, table: str = "E", cfg: Settings = DE
         uf, vf, evr = FX.svd_fit(p.train, k=cfg.svd_components)
     b = build_bundle(p.train, p.pairs, p.pop, TT.categories(spark, sf_dir), B, uf, vf)
     users = p.test.select("user_id").distinct()
-    recs = R.recommend_scored(users, EA.score_ease(p.train.join(users, "user_id", "left_semi"), B),
+    recs = R.recommend_scored(users, EA.score_ease_topk(p.train.join(users, "user_id", "left_semi"), B, cfg.eval_k),
                               p.train, cfg.eval_k)
     rep = V.ranking_metrics(recs, p.test, cfg.eval_k, empty_list="zero")
     cov = V.coverage_metrics(recs, p.pairs, p.pairs, p.pop).select("catalog_coverage")
