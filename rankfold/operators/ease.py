@@ -196,7 +196,7 @@ def score_ease_topk(hist: DataFrame, B: DataFrame, k: int, block: int = 512,
     from rankfold.operators.ranking import global_rank
     spark = hist.sparkSession
     items = B.select(F.col("src").alias(I)).union(B.select(F.col("dst").alias(I))).distinct()
-    idx = global_rank(items, [F.asc(I)], "_g", materialize=True).select(I, (F.col("_g") - 1).alias("idx"))
+    idx = global_rank(items, [F.asc(I)], "_g").select(I, (F.col("_g") - 1).alias("idx"))
     n = idx.count()
     if n == 0:
         return spark.createDataFrame([], f"{U} string, {I} string, raw double")

@@ -3,8 +3,9 @@ hot key — into a single task.
 
 ``global_rank``: ``orderBy`` range-partitions on the full sort key (a hot value
 of the first key is still split by the tie-break columns across partitions);
-``monotonically_increasing_id`` numbers rows inside each sorted partition;
-per-partition row counts (one row per partition, broadcast) give the offsets.
+``monotonically_increasing_id`` numbers rows inside each sorted partition; the
+numbered table is materialised once (reliable checkpoint); per-partition row
+counts (one row per partition, broadcast) give the offsets.
 
 ``rank_within``: position of a row inside its key in the same way — the key's
 first global position comes from a partial+final aggregate, so a key holding a
@@ -21,21 +22,20 @@ from rankfold.session import shared_dir
 _LOW33 = (1 << 33) - 1
 
 
-def global_rank(df: DataFrame, order, rank_col: str = "grank", materialize: bool = False) -> DataFrame:
+def global_rank(df: DataFrame, order, rank_col: str = "grank", materialize: bool = True) -> DataFrame:
     """Add the 1-based position of every row in a total order.
 
-    Both uses of the sorted table (partition sizes and the rows) read the same
-    range-partitioning exchange (Spark reuses it), and a sort on a total order
-    is deterministic, so a recomputed task after executor loss yields the
-    same ids. ``materialize=True`` instead writes a reliable checkpoint to the
-    shared folder (for very long lineages).
+    The sorted, numbered table is written once as a reliable checkpoint in the
+    shared folder: the stored ids fix the partition boundaries, so the
+    partition-size pass and the row pass agree. (Reading the sort twice is
+    not safe: adaptive execution may coalesce the two reads of one shuffle
+    differently, and the offsets would no longer line up.) The checkpoint also
+    survives executor loss.
     """
-    s = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
-    if df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
-        materialize = True  # without exchange reuse the two branches could sample different bounds
-    if materialize:
-        shared_dir(df.sparkSession)
-        s = s.checkpoint(eager=True)
+    if not materialize:
+        raise ValueError("global_rank needs a materialised sort (see docstring)")
+    shared_dir(df.sparkSession)
+    s = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
     pid = F.shiftright(F.col("_mid"), 33)
     sizes = s.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_c"))
     # one row per partition: a global window over it is tiny

@@ -75,3 +75,17 @@ def test_latest_property(spark):
                                   "timestamp long, itemid long, property string, value string")
     got = {r.item_id: r.value for r in P.latest_property(props).collect()}
     assert got == {"5": "b"}
+
+
+def test_global_rank_is_exact_on_many_partitions(spark):
+    # large enough for several range partitions and adaptive coalescing
+    from rankfold.operators.ranking import global_rank, rank_within
+    df = spark.range(300_000).select((F.col("id") * 7919 % 300_000).alias("v"), (F.col("id") % 13).alias("k"))
+    g = global_rank(df, [F.asc("v")], "r")
+    agg = g.agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"),
+                F.sum(F.when(F.col("r") == F.col("v") + 1, 1).otherwise(0)).alias("ok")).first()
+    assert (agg.n, agg.lo, agg.hi, agg.ok) == (300_000, 1, 300_000, 300_000)
+    w = rank_within(df, ["k"], [F.asc("v")], "rk", count_col="n")
+    bad = w.groupBy("k").agg(F.min("rk").alias("a"), F.max("rk").alias("b"), F.first("n").alias("n"),
+                             F.count(F.lit(1)).alias("c")).where("a != 1 OR b != n OR c != n").count()
+    assert bad == 0
