@@ -87,10 +87,11 @@ def _ease(spark, sf_dir):
 
 
 @query("f1_popularity_thresholds_e", Q.with_prep(E, body="""
-SELECT quantile_cont(popularity, 0.5) AS p50, quantile_cont(popularity, 0.8) AS p80,
-       quantile_cont(popularity, 0.95) AS p95 FROM pop"""))
+SELECT ROUND(quantile_cont(popularity, 0.5), 6) AS p50, ROUND(quantile_cont(popularity, 0.8), 6) AS p80,
+       ROUND(quantile_cont(popularity, 0.95), 6) AS p95 FROM pop"""))
 def f1_popularity_thresholds_e(spark, sf_dir):
-    return FA.thresholds(flows.prepared(spark, sf_dir, E).pop, (50, 80, 95))
+    t = FA.thresholds(flows.prepared(spark, sf_dir, E).pop, (50, 80, 95))
+    return t.select(*[F.round(c, 6).alias(c) for c in t.columns])
 
 
 @query("f2_popularity_bias_e", Q.with_prep(E, *_EASE_ALL, _f(_PB), body="SELECT * FROM pbf", recursive=True))

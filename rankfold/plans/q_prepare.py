@@ -234,18 +234,20 @@ def g7_latest_property_e(spark, sf_dir):
     return P.latest_property(props, "purchase", ts="timestamp")
 
 
-_G10 = """SELECT quantile_cont(popularity, 0.2) AS p20, quantile_cont(popularity, 0.5) AS p50,
-       quantile_cont(popularity, 0.8) AS p80, quantile_cont(popularity, 0.95) AS p95 FROM pop"""
+_G10 = """SELECT ROUND(quantile_cont(popularity, 0.2), 6) AS p20, ROUND(quantile_cont(popularity, 0.5), 6) AS p50,
+       ROUND(quantile_cont(popularity, 0.8), 6) AS p80, ROUND(quantile_cont(popularity, 0.95), 6) AS p95 FROM pop"""
 
 
 @query("g10_popularity_percentiles_l", Q.with_prep(L, body=_G10))
 def g10_popularity_percentiles_l(spark, sf_dir):
-    return P.popularity_percentiles(flows.prepared(spark, sf_dir, L).pop)
+    q = P.popularity_percentiles(flows.prepared(spark, sf_dir, L).pop)
+    return q.select(*[F.round(c, 6).alias(c) for c in q.columns])
 
 
 @query("g10_popularity_percentiles_e", Q.with_prep(E, body=_G10))
 def g10_popularity_percentiles_e(spark, sf_dir):
-    return P.popularity_percentiles(flows.prepared(spark, sf_dir, E).pop)
+    q = P.popularity_percentiles(flows.prepared(spark, sf_dir, E).pop)
+    return q.select(*[F.round(c, 6).alias(c) for c in q.columns])
 
 
 @query("g11_top_category_counts_l", Q.with_prep(L, body="""
