@@ -73,21 +73,33 @@ def gram(hist: DataFrame, active: DataFrame | None = None, l2: float | None = No
     return g
 
 
-def _cg_solve_block(rows, cols, vals, diag, n, targets, tol=1e-10, max_iter=None):
-    """Solve A X = E[:, targets] for a block of unit vectors (A SPD, sparse COO
-    sorted by row). Vectorised over the block's columns."""
-    b = len(targets)
-    max_iter = max_iter or max(10 * n, 50)
-    order_starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.array([], dtype=int)
-    row_ids = rows[order_starts] if len(rows) else np.array([], dtype=int)
+def _matvec_factory(rows, cols, vals, n, dense_limit: int = 8192, temp_budget: int = 32_000_000):
+    """A @ X for the (symmetric) Gram: dense BLAS when n <= dense_limit
+    (n^2 doubles), else a sparse COO product chunked over X's columns so the
+    nnz x chunk temporary stays under ``temp_budget`` doubles."""
+    if n <= dense_limit:
+        A = np.zeros((n, n))
+        A[rows, cols] = vals
+        return lambda X: A @ X
+    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.array([], dtype=int)
+    row_ids = rows[starts] if len(rows) else np.array([], dtype=int)
+    chunk = max(1, temp_budget // max(1, len(vals)))
 
-    def matvec(X):
-        prod = vals[:, None] * X[cols]
+    def mv(X):
         out = np.zeros((n, X.shape[1]))
-        if len(rows):
-            out[row_ids] = np.add.reduceat(prod, order_starts, axis=0)
+        for c0 in range(0, X.shape[1], chunk):
+            Xc = X[:, c0:c0 + chunk]
+            if len(rows):
+                out[row_ids, c0:c0 + chunk] = np.add.reduceat(vals[:, None] * Xc[cols], starts, axis=0)
         return out
+    return mv
+
 
+def _cg_solve_block(matvec, diag, n, targets, tol=1e-10, max_iter=None):
+    """Solve A X = E[:, targets] for a block of unit vectors (A SPD), Jacobi
+    preconditioned, vectorised over the block's columns."""
+    b = len(targets)
+    max_iter = max_iter or max(10 * n, 50)
     Bm = np.zeros((n, b))
     Bm[targets, np.arange(b)] = 1.0
     X = np.zeros((n, b))
@@ -151,10 +163,11 @@ def ease_fit(train: DataFrame, l2: float | None = None, max_items: int | None =
         diag = np.zeros(n)
         dm = rows == cols
         diag[rows[dm]] = vals[dm]
+        matvec = _matvec_factory(rows, cols, vals, n)
         for pdf in it:
             for blk in pdf["id"].tolist():
                 targets = np.arange(blk * block, min(n, (blk + 1) * block))
-                Pm = _cg_solve_block(rows, cols, vals, diag, n, targets, tol)
+                Pm = _cg_solve_block(matvec, diag, n, targets, tol)
                 pjj = Pm[targets, np.arange(len(targets))]
                 Bm = -Pm / pjj[None, :]
                 rr, cc = np.meshgrid(np.arange(n), targets, indexing="ij")

@@ -92,3 +92,19 @@ def test_svd_factors_unit_norm_and_evr(spark, fx1):
     for r in uf.collect() + vf.collect():
         assert np.linalg.norm(r.factor) == pytest.approx(1.0, abs=1e-6)
     assert 0.0 < evr <= 1.0 + 1e-9
+
+
+def test_sparse_and_dense_matvec_agree():
+    rng = np.random.default_rng(2)
+    n = 30
+    A = rng.random((n, n)) * (rng.random((n, n)) < 0.2)
+    A = A + A.T + n * np.eye(n)
+    r, c = np.nonzero(A)
+    order = np.lexsort((c, r))
+    r, c, v = r[order], c[order], A[r[order], c[order]]
+    X = rng.random((n, 7))
+    dense = EA._matvec_factory(r, c, v, n)(X)
+    sparse = EA._matvec_factory(r, c, v, n, dense_limit=0, temp_budget=50)(X)
+    assert np.allclose(dense, A @ X) and np.allclose(sparse, A @ X)
+    P = EA._cg_solve_block(EA._matvec_factory(r, c, v, n, dense_limit=0), np.diag(A).copy(), n, np.arange(n))
+    assert np.abs(A @ P - np.eye(n)).max() < 1e-6
