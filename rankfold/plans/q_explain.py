@@ -10,7 +10,6 @@ from rankfold.operators import recommend as R
 from rankfold.plans import flows
 from rankfold.plans import sqlfrag as Q
 from rankfold.plans.registry import query
-from rankfold.sources import testtables as TT
 
 E = "E"
 

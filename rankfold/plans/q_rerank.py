@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from rankfold.operators import rerank as M
 from rankfold.plans import sqlfrag as Q

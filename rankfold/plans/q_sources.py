@@ -58,7 +58,6 @@ def a2_property_source_multi(spark, sf_dir):
     props.where(F.col("value").isin("view", "click")).write.option("header", True).csv(f"{base}/part1")
     props.where(~F.col("value").isin("view", "click")).write.option("header", True).csv(f"{base}/part2")
     p = IO.read_properties(spark, [f"{base}/part1", f"{base}/part2", f"{base}/part3_missing"])
-    # epoch-ms timestamps order exactly like the source microseconds only up to ms; keep ms ties by value
     return P.latest_property(p, "categoryid", ts="timestamp")
 
 

@@ -3,7 +3,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from rankfold.operators import fairness as FA
 from rankfold.operators import recommend as R

@@ -1,7 +1,6 @@
 """Model invariants: EASE solve, TF-IDF formula, closed-form LIME, SHAP, SVD."""
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from rankfold.operators import ease as EA
 from rankfold.operators import explain as X

@@ -110,3 +110,23 @@ def test_recommend_cold_start_and_validation(spark):
         R.recommend(users, b, 5, "unknown")
     with pytest.raises(ValueError):
         R.recommend(users, b, 101, "hybrid")
+
+
+def test_sources_missing_files_and_bundle(spark, tmp_path):
+    from rankfold.sources import io as IO
+    with pytest.raises(Exception):
+        IO.read_events(spark, str(tmp_path / "no_such_events.csv"), fmt="csv").count()
+    p1 = str(tmp_path / "part1")
+    spark.createDataFrame([(1, 5, "categoryid", "a")], IO.PROPERTIES).write.option("header", True).csv(p1)
+    got = IO.read_properties(spark, [p1, str(tmp_path / "part2_missing")])
+    assert got.count() == 1
+    assert IO.read_properties(spark, [str(tmp_path / "none")]).count() == 0
+    with pytest.raises(RuntimeError, match="not initialised"):
+        IO.load_bundle(spark, str(tmp_path / "no_bundle"))
+
+
+def test_run_rows_rename_at(spark):
+    from rankfold.sources import io as IO
+    m = spark.createDataFrame([(0.5, 3)], "`precision@10` double, n long")
+    rows = {r.key: r.value for r in IO.run_rows(spark, m, "hybrid", {"k": 10}, run_id="r1").collect()}
+    assert rows["precision_at_10"] == "0.5" and rows["k"] == "10" and rows["n"] == "3.0"
