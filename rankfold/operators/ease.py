@@ -221,7 +221,8 @@ def score_ease_topk(hist: DataFrame, B: DataFrame, k: int, block: int = 512,
       .write.partitionBy("blk").parquet(bpath))
     hv = (hist.select(U, I, F.col("weight").cast("double").alias("w")).join(idx, I)
               .groupBy(U).agg(F.collect_list("idx").alias("_r"), F.collect_list("w").alias("_w")))
-    # one row per (user, block); the user's own history row is the only per-user state
+    # one row per (user, block); the user's history row holds at most the
+    # active-item cap entries (it is restricted to the active items above)
     x = (hv.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
            .repartition("blk", U).sortWithinPartitions("blk"))
     schema = T.StructType([T.StructField(U, T.StringType()), T.StructField("c", T.LongType()),

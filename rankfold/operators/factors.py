@@ -46,10 +46,11 @@ def top_k_dot(user_factors: DataFrame, item_factors: DataFrame, k: int,
     """
     uf = user_factors.select(F.col("id").alias(U), "factor")
     if seen is not None:
-        s = seen.groupBy(U).agg(F.collect_set(I).alias("_seen"))
-        uf = uf.join(s, U, "left")
+        # only the number of seen items is needed here (masking is the anti join below)
+        s = seen.groupBy(U).agg(F.count(F.lit(1)).alias("_nseen"))
+        uf = uf.join(s, U, "left").fillna({"_nseen": 0})
     else:
-        uf = uf.withColumn("_seen", F.lit(None).cast("array<string>"))
+        uf = uf.withColumn("_nseen", F.lit(0).cast("long"))
     blocks = item_blocks(item_factors, block)
     n_blocks = blocks.count()  # bounded: items / block
     # block GEMM: each user row is replicated once per item block and meets it
@@ -67,8 +68,8 @@ def top_k_dot(user_factors: DataFrame, item_factors: DataFrame, k: int,
                 V = np.vstack(g["_vecs"].iloc[0]).astype(np.float64)
                 Um = np.vstack(g["factor"].to_numpy()).astype(np.float64)
                 S = Um @ V.T
-                for row, uid, sn in zip(S, g[U].to_numpy(), g["_seen"].to_numpy()):
-                    m = k + (len(sn) if sn is not None else 0)
+                for row, uid, ns in zip(S, g[U].to_numpy(), g["_nseen"].to_numpy()):
+                    m = k + int(ns)
                     if m < len(row):
                         idx = np.argpartition(-row, m - 1)[:m]
                     else:

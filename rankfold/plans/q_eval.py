@@ -268,13 +268,16 @@ def s2_distinct_recommended_items_e(spark, sf_dir):
 
 
 @query("g9_ground_truth_lists_l", Q.with_prep("L", body="""
-SELECT user_id, string_agg(item_id, ',' ORDER BY item_id) AS truth, COUNT(*) AS n_truth FROM test GROUP BY user_id"""))
+SELECT user_id, item_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS BIGINT) AS pos,
+       COUNT(*) OVER (PARTITION BY user_id) AS n_truth FROM test"""))
 def g9_ground_truth_lists_l(spark, sf_dir):
-    """G-9: each user's held-out items as one sorted list (the user's own rows only)."""
+    """G-9: each user's held-out set kept long (position in the user's sorted
+    list + its size) — no per-user array, so a huge history is never one row."""
+    from rankfold.operators.ranking import rank_within
     p = flows.prepared(spark, sf_dir, "L")
-    g = p.test.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("item_id")), ",").alias("truth"),
-                                      F.count(F.lit(1)).alias("n_truth"))
-    return g
+    r = rank_within(p.test.select("user_id", "item_id"), ["user_id"], [F.asc("item_id")], "pos", count_col="n_truth")
+    return r.select("user_id", "item_id", F.col("pos").cast("bigint").alias("pos"),
+                    F.col("n_truth").cast("bigint").alias("n_truth"))
 
 
 @query("c12_train_flow_e")
