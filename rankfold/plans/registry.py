@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
@@ -9,14 +10,25 @@ ORACLE: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``."""
+    """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``.
+
+    Event times are naive UTC (``TIMESTAMP_NTZ``); converting them to
+    instants depends on the session time zone, so a registered query pins it
+    to UTC (on the caller's session) before it builds its plan.
+    """
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
-        return fn
+        return run
     return deco
 
 
