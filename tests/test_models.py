@@ -107,3 +107,34 @@ def test_sparse_and_dense_matvec_agree():
     assert np.allclose(dense, A @ X) and np.allclose(sparse, A @ X)
     P = EA._cg_solve_block(EA._matvec_factory(r, c, v, n, dense_limit=0), np.diag(A).copy(), n, np.arange(n))
     assert np.abs(A @ P - np.eye(n)).max() < 1e-6
+
+
+def test_ease_block_topk_equals_join_form(spark):
+    from pyspark.sql import Window, functions as F
+    rng = np.random.default_rng(11)
+    rows = [(f"u{u:02d}", f"i{i:02d}", float(rng.integers(1, 6))) for u in range(40) for i in range(30)
+            if rng.random() < 0.25]
+    train = spark.createDataFrame(rows, "user_id string, item_id string, weight double")
+    B = EA.ease_fit(train, 50.0, block=8)
+    fast = {(r.user_id, r.item_id): r.raw for r in EA.score_ease_topk(train, B, 5, block=7, user_batch=3).collect()}
+    raw = EA.score_ease(train, B).join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    w = Window.partitionBy("user_id").orderBy(F.desc("raw"), F.asc("item_id"))
+    ref = {(r.user_id, r.item_id): r.raw for r in raw.withColumn("k", F.row_number().over(w)).where("k <= 5").collect()}
+    assert set(fast) == set(ref)
+    assert all(abs(fast[k] - ref[k]) < 1e-9 for k in ref)
+
+
+def test_factor_block_topk_equals_brute_force(spark):
+    from rankfold.operators.factors import top_k_dot
+    rng = np.random.default_rng(4)
+    U_ = rng.normal(size=(25, 6))
+    V_ = rng.normal(size=(40, 6))
+    uf = spark.createDataFrame([(f"u{i}", [float(x) for x in r]) for i, r in enumerate(U_)], "id string, factor array<double>")
+    vf = spark.createDataFrame([(f"v{i}", [float(x) for x in r]) for i, r in enumerate(V_)], "id string, factor array<double>")
+    seen = spark.createDataFrame([(f"u{i}", f"v{(i * 7) % 40}") for i in range(25)], "user_id string, item_id string")
+    got = {(r.user_id, r.rank): r.item_id for r in top_k_dot(uf, vf, 4, seen=seen, block=9).collect()}
+    for i in range(25):
+        s = U_[i] @ V_.T
+        s[(i * 7) % 40] = -np.inf
+        best = np.argsort(-s, kind="stable")[:4]
+        assert [got[(f"u{i}", k + 1)] for k in range(4)] == [f"v{j}" for j in best]
