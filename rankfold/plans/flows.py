@@ -21,6 +21,7 @@ K = 10
 MIN_ITEMS = 5
 MAX_USERS = 50_000
 TEST_FRACTION = 0.2
+MATERIALIZE_SPLIT = True  # measured: re-deriving the split per use is slower
 
 
 @dataclass
@@ -38,7 +39,7 @@ class Prepared:
         it, so its lineage is cut here instead of being re-planned per use."""
         sp = S.temporal_holdout(self.pairs, order=("last_ts", "item_id"), test_fraction=TEST_FRACTION)
         shared_dir(sp.sparkSession)
-        return sp.checkpoint(eager=True)
+        return sp.checkpoint(eager=True) if MATERIALIZE_SPLIT else sp
 
     @cached_property
     def train(self) -> DataFrame:
