@@ -169,3 +169,18 @@ def read_latest(spark: SparkSession, path: str, keys) -> DataFrame:
     p = spark.read.parquet(path)
     w = Window.partitionBy(*keys).orderBy(F.desc("_epoch"))
     return p.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "_epoch", "epoch")
+
+
+def distinct_keys_writer(path: str, keys):
+    """Per-epoch distinct keys (overwrite ``epoch=<id>``): exact distinct counts
+    on a stream without unbounded operator state — the sink holds the keys."""
+    def write(batch: DataFrame, epoch_id: int):
+        batch.select(*keys).distinct().write.mode("overwrite").parquet(f"{path}/epoch={epoch_id}")
+    return write
+
+
+def windowed_popularity(spark: SparkSession, path: str, window_col: str = "window_start",
+                        item: str = "item_id", user: str = "user_id") -> DataFrame:
+    """T-16 / G-4: distinct users per item and window from the per-epoch keys."""
+    k = spark.read.parquet(path).select(window_col, item, user).distinct()
+    return k.groupBy(window_col, item).agg(F.count(F.lit(1)).alias("popularity"))
