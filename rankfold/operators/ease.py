@@ -45,7 +45,8 @@ def active_items(train: DataFrame, max_items: int | None = None) -> DataFrame:
     max_items = DEFAULTS.ease_max_items if max_items is None else max_items
     s = train.groupBy(I).agg(F.sum("weight").alias("total")).where(F.col("total") > 0)
     if max_items:
-        s = s.orderBy(F.desc("total"), F.asc(I)).limit(max_items)
+        from rankfold.operators.ranking import top_n
+        s = top_n(s, max_items, [F.desc("total"), F.asc(I)])
     return s
 
 

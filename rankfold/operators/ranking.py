@@ -57,3 +57,16 @@ def rank_within(df: DataFrame, keys, order, rank_col: str = "rank", count_col: s
     starts = g.groupBy(*keys).agg(*aggs)
     out = g.join(starts, keys).withColumn(rank_col, F.col("_gr") - F.col("_start") + 1)
     return out.drop("_gr", "_start")
+
+
+def top_n(df: DataFrame, n: int, order, small: int = 1000) -> DataFrame:
+    """The first ``n`` rows in a total order.
+
+    Small n: ``orderBy().limit()`` (TakeOrderedAndProject: every partition
+    sends at most n rows to the final merge). Large n (e.g. a 50,000-user or
+    16,000-item cap): that merge would pull n rows per partition into one
+    task, so rank with ``global_rank`` instead and keep positions <= n.
+    """
+    if n <= small:
+        return df.orderBy(*order).limit(n)
+    return global_rank(df, order, "_top_rank").where(F.col("_top_rank") <= n).drop("_top_rank")
