@@ -64,9 +64,10 @@ def top_k(df: DataFrame, k: int, by, partition=U, ties=(I,), rank_col: str = "ra
 
 
 def global_top_k(df: DataFrame, k: int, by, ties=(I,)) -> DataFrame:
-    """W-5: global top-k (TakeOrderedAndProject); adds 1-based rank."""
+    """W-5: global top-k (``ranking.top_n``); adds 1-based rank (k rows)."""
+    from rankfold.operators.ranking import top_n
     order = _sort_cols(by if isinstance(by, (list, tuple)) else [by]) + _sort_cols(ties)
-    top = df.orderBy(*order).limit(k)
+    top = top_n(df, k, order)
     # k rows only: ranking them in one window is bounded by k
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
@@ -75,10 +76,11 @@ def sample_users(users: DataFrame, n: int | None, seed: int | None = None, key:
     """W-9 (seed=None: first n users in id order) / W-10 (seeded hash order)."""
     if n is None:
         return users.select(key).distinct()
+    from rankfold.operators.ranking import top_n
     u = users.select(key).distinct()
     if seed is None:
-        return u.orderBy(key).limit(n)
-    return u.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+        return top_n(u, n, [F.asc(key)])
+    return top_n(u, n, [F.xxhash64(F.col(key), F.lit(seed)).asc(), F.asc(key)])
 
 
 def union_parts(*dfs: DataFrame) -> DataFrame:
