@@ -28,9 +28,18 @@ MATERIALIZE_SPLIT = True  # measured: re-deriving the split per use is slower
 class Prepared:
     events: DataFrame        # (user_id, item_id, event, ts, event_id, weight)
     inter: DataFrame         # all pairs (user_id, item_id, weight, last_ts, n_events)
-    active: DataFrame        # active users (user_id, n_items)
-    pairs: DataFrame         # pairs of active users
-    pop: DataFrame           # (item_id, popularity) over active pairs
+
+    @cached_property
+    def active(self) -> DataFrame:  # active users (user_id, n_items), capped
+        return P.active_users(self.inter, MIN_ITEMS, MAX_USERS)
+
+    @cached_property
+    def pairs(self) -> DataFrame:  # pairs of active users
+        return P.filter_active(self.inter, self.active)
+
+    @cached_property
+    def pop(self) -> DataFrame:  # (item_id, popularity) over active pairs
+        return P.item_popularity(self.pairs)
 
     @cached_property
     def split(self) -> DataFrame:
@@ -55,11 +64,7 @@ def prepared(spark: SparkSession, sf_dir: str, table: str = "E") -> Prepared:
         ev = P.weigh(TT.events_e(spark, sf_dir), TT.E_WEIGHTS, 1.0)
     else:
         ev = P.weigh(TT.events_l(spark, sf_dir), TT.L_WEIGHTS, 1.0)
-    inter = P.interactions(ev)
-    active = P.active_users(inter, MIN_ITEMS, MAX_USERS)
-    pairs = P.filter_active(inter, active)
-    pop = P.item_popularity(pairs)
-    return Prepared(ev, inter, active, pairs, pop)
+    return Prepared(ev, P.interactions(ev))
 
 
 def test_users(p: Prepared) -> DataFrame:
