@@ -129,3 +129,22 @@ def test_popularity_bias_flag(spark, fx2):
     b = FA.popularity_bias(cand, pop).first()
     assert b.popular_items_fraction == pytest.approx(0.2)  # only i1 >= p80 = 8.4
     assert not b.popularity_bias_detected
+
+
+def test_popular_with_seen_mask_matches_brute_force(spark):
+    import random
+    rnd = random.Random(5)
+    pop_rows = [(f"i{k:03d}", rnd.randint(1, 40)) for k in range(120)]
+    pop = spark.createDataFrame(pop_rows, "item_id string, popularity long")
+    order = [i for i, _ in sorted(pop_rows, key=lambda r: (-r[1], r[0]))]
+    seen_rows = [("heavy", i) for i in order[:90]]  # has seen most of the head of the list
+    seen_rows += [(f"u{u}", i) for u in range(20) for i in rnd.sample(order, rnd.randint(0, 15))]
+    seen = spark.createDataFrame(seen_rows, "user_id string, item_id string")
+    users = spark.createDataFrame([("heavy",), ("cold",)] + [(f"u{u}",) for u in range(20)], "user_id string")
+    got = {}
+    for r in R.recommend_popular(users, pop, 7, seen=seen).collect():
+        got.setdefault(r.user_id, {})[r.rank] = r.item_id
+    for u in ["heavy", "cold"] + [f"u{u}" for u in range(20)]:
+        s = {i for uu, i in seen_rows if uu == u}
+        expect = [i for i in order if i not in s][:7]
+        assert [got[u][k] for k in range(1, 8)] == expect
