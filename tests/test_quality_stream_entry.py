@@ -130,3 +130,12 @@ def test_run_rows_rename_at(spark):
     m = spark.createDataFrame([(0.5, 3)], "`precision@10` double, n long")
     rows = {r.key: r.value for r in IO.run_rows(spark, m, "hybrid", {"k": 10}, run_id="r1").collect()}
     assert rows["precision_at_10"] == "0.5" and rows["k"] == "10" and rows["n"] == "3.0"
+
+
+def test_histogram_quantile_edges(spark):
+    from rankfold.operators import telemetry as T
+    df = spark.createDataFrame([([0.5, 1.0, float("inf")], [0, 0, 0]), ([0.5, 1.0, float("inf")], [4, 4, 4])],
+                               "le array<double>, cum array<long>")
+    got = [r.q for r in df.select(T.histogram_quantile(0.5, F.col("le"), F.col("cum")).alias("q")).collect()]
+    assert got[0] is None                    # empty histogram
+    assert got[1] == pytest.approx(0.25)     # first bucket interpolates from 0
