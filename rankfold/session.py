@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -54,6 +55,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         # unset: only in local tests/benches; register it so later calls agree
         d = tempfile.mkdtemp(prefix="rankfold-ckpt-")
     if not sc.getCheckpointDir():
@@ -67,6 +70,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context: their working
+    directory and import path need not hold the repository."""
+    sc = spark.sparkContext
+    if getattr(sc, "_rankfold_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    at = os.path.join(tempfile.mkdtemp(prefix="rankfold-zip-"), "rankfold.zip")  # served by the driver from here
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(at)
+    sc._rankfold_shipped = True
+
+
 def materialize(df):
     """Write a model / intermediate table once to the shared folder (reliable
     checkpoint): later plans read it instead of re-deriving its lineage, and it
