@@ -9,11 +9,11 @@ follows from the threshold and the wanted miss probability of a single link.
    so thousands of copies cost one row per task).
 2. In each bucket every node is compared with the bucket's smallest node only;
    confirmed links give components.
-3. Buckets that still hold several components compare members with the other
-   components' smallest nodes, then what is left member by member, as far as
-   sizes and the triangle inequality of the Jaccard distance leave a link
-   possible. So no pair of different sets that shares a bucket loses its link,
-   and a group of near copies does not become all its pairs.
+3. Buckets that still hold several components are compared in blocks of at most
+   BLOCK nodes: a task counts the common shingles of two blocks as a matrix
+   product and gives back only the links that join components. So no pair of
+   different sets that shares a bucket loses its link, and no group becomes
+   rows of pairs.
 
 Defined cases: rows without an id are left out; null, empty and blank texts
 have no shingles, link with nothing and are kept; a text with fewer words than
@@ -37,6 +37,8 @@ from rankfold.llm.components import components
 from rankfold.llm.text import SPACED, buffers, materialize, mix, prepare, rows_of, slices, window_hashes, word_hashes, word_spans
 
 MISS = 1e-6
+#: Nodes of a block, and shingles that one task step compares, about.
+BLOCK, GROUP_SHINGLES = 256, 1 << 20
 
 
 def band_count(threshold: float, rows: int, miss: float = MISS) -> int:
@@ -133,11 +135,84 @@ def _tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(both.select("a", "b", inter.alias("inter"), (F.size("x") + F.size("y") - inter).alias("total")))
 
 
+def common_counts(items: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of left sets with right sets: a product of
+    incidence matrices, some columns at a time. Shingles of one set only have no column."""
+    owner = np.repeat(np.arange(len(items)), [len(x) for x in items])
+    distinct, column, uses = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    shared = uses > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width, out = 4096, np.zeros((len(left), len(right)))
+    for lo in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, (lo, lo + width))
+        m = np.zeros((len(items), width), np.float32)
+        m[owner[a:b], column[a:b] - lo] = 1
+        out += m[left] @ m[right].T
+    return out
+
+
+def _compare(percent: int):
+    """Links across components within each pair of blocks; of several links
+    between the same components, one."""
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("id", "ascending")])
+        key, i, j, block, ids, comp = (rows.column(c).to_numpy() for c in ("key", "i", "j", "block", "id", "comp"))
+        items = rows.column("items").combine_chunks()
+        offsets, values = items.offsets.to_numpy(), items.values.to_numpy()
+        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if len(key) else []
+        found = []
+        for lo, hi in zip(new, [*new[1:], len(key)], strict=True):
+            left, right = np.flatnonzero(block[lo:hi] == i[lo]), np.flatnonzero(block[lo:hi] == j[lo])
+            if not len(left) or not len(right):
+                continue
+            size = (offsets[lo + 1 : hi + 1] - offsets[lo:hi]).astype(float)
+            both = common_counts([values[offsets[k] : offsets[k + 1]] for k in range(lo, hi)], left, right)
+            near = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
+            near &= comp[lo:hi][left][:, None] != comp[lo:hi][right][None, :]
+            above: dict = {}
+
+            def top(x, above=above):
+                while x in above:
+                    x = above[x]
+                return x
+            for x, y in zip(*np.nonzero(near), strict=True):
+                x, y = lo + left[x], lo + right[y]
+                a, b = top(comp[x]), top(comp[y])
+                if a != b:
+                    above[max(a, b)] = min(a, b)
+                    found.append((ids[x], ids[y]))
+        kind = rows.schema.field("id").type
+        return pa.table({"a": pa.array([f[0] for f in found], kind), "b": pa.array([f[1] for f in found], kind)})
+    return run
+
+
+def _block_links(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join the components that meet in a bucket."""
+    now = members.select("key", "id", "n").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn(
+        "comp", F.coalesce("comp", "id"))
+    two = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"s{k}") for k in (1, 2)]
+    several = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m"), *two).where(
+        "c0 <> c1")
+    several = several.groupBy("m", "s1", "s2").agg(F.min("key").alias("key"))  # the same members under several bands: once
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = materialize(now.join(several.select("key", "m"), "key").select(
+        "key", "id", "n", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")))
+    groups = max(1, (rows.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) // GROUP_SHINGLES)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", "id", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)))
+    kind = members.schema["id"].dataType.simpleString()
+    return rows.join(sets, "id").groupBy("grp").applyInArrow(_compare(percent), f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, rows: int = 6, id_col: str = "doc_id",
                     text: str = "text", miss: float = MISS) -> DataFrame:
-    """(id, n_shingles, component_id, n_links) for each row: the smallest id
-    reachable over links with 100 * intersection >= percent * union. n_links
-    counts a set's confirmed links, not those that a shorter way made needless."""
+    """(id, n_shingles, component_id) for each row: the smallest id reachable
+    over links with 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     prepare(spark)
     bands = band_count(percent / 100, rows, miss)
@@ -162,49 +237,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, rows: int
     tested = _tested(first.select(F.col("lead").alias("a"), F.col("id").alias("b")), sets)
     comps = components(tested.where(linked))
 
-    def mixed():
-        """Members of the buckets in which several components meet."""
-        now = members.select("key", "id", "n").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn(
-            "comp", F.coalesce("comp", "id"))
-        several = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-        return materialize(now.join(several, "key"))
-
-    for last in (False, True):
-        now = mixed()
-        if now.isEmpty():
-            break
-        if last:
-            other = now
-        else:
-            other = now.groupBy("key", "comp").agg(F.min(F.struct("id", "n")).alias("o")).select(
-                "key", "comp", F.col("o.id").alias("id"), F.col("o.n").alias("n"))
-        other = other.select("key", F.col("comp").alias("other_comp"), F.col("id").alias("other"), F.col("n").alias("other_n"))
-        pairs = now.join(other, "key").where((F.col("comp") != F.col("other_comp")) & size_ok)
-        if last:
-            pairs = pairs.where("id < other")
-        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        if last:  # |d(a, c) - d(c, b)| > 1 - threshold for a node c compared with both leaves no link
-            known = tested.select("a", "b", (F.lit(1.0) - F.col("inter") / F.col("total")).alias("d"))
-            known = known.union(known.select("b", "a", "d"))
-            far = pairs.join(known.select("a", F.col("b").alias("c"), F.col("d").alias("da")), "a").join(
-                known.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("d").alias("db")), ["b", "c"]).where(
-                F.abs(F.col("da") - F.col("db")) > 1 - percent / 100 + 1e-9).select("a", "b").distinct()
-            pairs = pairs.join(far, ["a", "b"], "left_anti")
-        more = _tested(pairs, sets)
-        if more.isEmpty():
-            continue
-        found = not more.where(linked).isEmpty()
-        tested = materialize(tested.union(more))
-        if found:
-            comps = components(tested.where(linked))
-
-    links = tested.where(linked)
-    links = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").count()
-    per_set = nodes.select("digest", F.col("id").alias("node")).join(comps, "node", "left").join(links, "node", "left").select(
-        "digest", F.coalesce("comp", "node").alias("comp"), F.coalesce("count", F.lit(0)).alias("links"))
+    links = tested.where(linked).select("a", "b")
+    more = materialize(_block_links(members, comps, sets, percent))
+    if not more.isEmpty():
+        comps = components(links.union(more))
+    per_set = nodes.select("digest", F.col("id").alias("node")).join(comps, "node", "left").select(
+        "digest", F.coalesce("comp", "node").alias("comp"))
     out = features.select("id", "n", "digest").join(per_set, "digest", "left")
     lone = F.col("n") == 0
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                      F.when(lone, F.col("id")).otherwise(F.col("comp")).alias("component_id"),
-                      F.when(lone, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"))
+                      F.when(lone, F.col("id")).otherwise(F.col("comp")).alias("component_id"))

@@ -163,7 +163,7 @@ def op8_url_filter(spark, sf_dir):
 @query("op9_minhash_dedup")
 def op9_minhash_dedup(spark, sf_dir):
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, size=5)
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "n_links")
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 @query("op10_quality_rules")

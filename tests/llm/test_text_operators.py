@@ -279,3 +279,21 @@ def test_crc_of_ids_marks_the_fold(spark):
     from rankfold.llm.queries import held_out
     rows = spark.range(200).withColumnRenamed("id", "doc_id").select("doc_id", held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_dense_group_of_near_copies(spark, plain_words, monkeypatch, block):
+    """Variants of one text on both sides of the threshold: every link counts, whatever the blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in range(150)]
+    docs = []
+    for i in range(120):
+        w = [*base]
+        for at in rng.integers(0, 150, rng.integers(1, 5)):
+            w[at] = f"e{i}x{at}"
+        docs.append((i, " ".join(w)))
+    rows = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=85).collect()
+    want = plain_near(docs, plain_words, 85, 5)
+    assert len({c for _, _, c in want}) > 3
+    assert sorted(tuple(r) for r in rows) == want
