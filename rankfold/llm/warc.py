@@ -36,6 +36,8 @@ from rankfold.session import scratch_path
 
 #: Payload bytes in an archive file, about.
 FILE_BYTES = 16 << 20
+#: Files at least over which the copies of one payload are spread.
+SALTS = 32
 
 _CRLF = "\r\n"
 
@@ -64,12 +66,17 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url",
     files = max(1, -(-total_bytes(pages, html) // FILE_BYTES))
     p = rows_of(pages, id_col, url, html).toDF("id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
     p = p.select("id", "url", "html", base32_sha1(F.col("html")).alias("digest"), F.octet_length("html").alias("bytes"))
-    largest = materialize(p.groupBy("digest").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    p = p.join(largest.select("digest", "top"), "digest", "left")
+    # payloads move once: dealt by digest and salt, so that a payload that very many rows share fills many files
+    files = max(int(files), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salts = min(files, SALTS)
+    largest = p.groupBy("digest").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    largest = materialize(largest.select("digest", "top", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")))
+    p = p.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int")).repartition(files, "digest", "salt")
+    p = p.join(largest, ["digest", "salt"], "left")
     revisit = (F.col("bytes") >= least) & F.col("top").isNotNull() & ~F.col("id").eqNullSafe(F.col("top"))
     page = F.coalesce(F.col("id").cast("string"), F.lit("null"))
     unique = F.concat(F.lit("urn:capture:"), page, F.lit(":"), F.monotonically_increasing_id().cast("string"), F.lit(":"))
-    p = p.repartition(int(files)).select("*", unique.alias("rid"), revisit.alias("revisit"))
+    p = p.select("*", unique.alias("rid"), revisit.alias("revisit"))
     target = ("WARC-Target-URI", F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")))
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
     status = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "),
