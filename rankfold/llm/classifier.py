@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankfold.llm.text import add_column, buffers, mix, prepare, rows_of, slices, word_hashes
+from rankfold.llm.text import add_column, buffers, first_by_hash, mix, prepare, rows_of, slices, word_hashes
 
 BITS = 18
 #: Labelled rows that the fit reads at most.
@@ -165,9 +165,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     """Fits on at most ``most`` labelled rows. Texts become sparse features in
     the tasks; the driver gets those of the bounded sample only."""
     prepare(docs.sparkSession)
-    order = F.xxhash64(F.col("id"), F.lit(11))
     sample = rows_of(labels, id_col, label).toDF("id", "y").where("id is not null and y is not null").withColumn(
-        "y", F.col("y").cast("int")).orderBy(order, "y").limit(most)
+        "y", F.col("y").cast("int")).withColumn("turn", F.xxhash64(F.col("id"), F.lit(11)))
+    sample = first_by_hash(sample, "turn", most).drop("turn")
     # the sample is bounded by ``most`` rows of two numbers
     joined = rows_of(docs, id_col, text).toDF("id", "text").join(F.broadcast(sample), "id")
     rows = joined.select("id", "y", "text").mapInArrow(_with_id(_examples), "id string, y int, index binary, value binary").collect()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankfold.llm.text import add_column, prepare, rows_of, slices
+from rankfold.llm.text import add_column, first_by_hash, materialize, prepare, rows_of, slices
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, HOP, MARGIN = 96, 48, 6
@@ -339,8 +339,8 @@ def _training_rows(batches):
                 if text and _SIGNAL.search(text):
                     for codes, tags in labelled_windows(text):
                         blob = codes.astype(np.uint8).tobytes() + tags.astype(np.uint8).tobytes()
-                        out.append((hashlib.blake2b(blob, digest_size=8).digest(), blob))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())],
+                        out.append((int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "big", signed=True), blob))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())],
                                              names=["turn", "blob"])
 
 
@@ -348,8 +348,9 @@ def fit(docs: DataFrame, text: str = "text", most: int = MAX_WINDOWS) -> Tagger:
     """Trains on at most ``most`` windows, the first by a hash of the window.
     Spans are labelled by the patterns; a sum or a part out of range is labelled as no span."""
     prepare(docs.sparkSession)
-    rows = rows_of(docs, text).toDF("text").where(F.col("text").rlike("[0-9@]")).mapInArrow(_training_rows, "turn binary, blob binary")
-    sample = rows.orderBy("turn", "blob").limit(most).collect()
+    rows = rows_of(docs, text).toDF("text").where(F.col("text").rlike("[0-9@]")).mapInArrow(_training_rows, "turn long, blob binary")
+    rows = materialize(rows.distinct())  # a window that very many texts share counts once
+    sample = first_by_hash(rows, "turn", most).collect()
     both = [np.frombuffer(r["blob"], np.uint8).astype(np.int64) for r in sample]
     return train([(b[:WINDOW], b[WINDOW:]) for b in both])
 

@@ -186,5 +186,20 @@ def total_bytes(docs: DataFrame, text: str) -> int:
     return int(docs.select(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0)
 
 
-__all__ = ["SPACED", "add_column", "buffers", "materialize", "mix", "prepare", "rows_of", "slices", "table",
+def first_by_hash(df: DataFrame, turn: str, most: int) -> DataFrame:
+    """The ``most`` rows with the smallest values of the 64-bit hash column
+    ``turn`` (ties by the other columns): a sample of bounded size. Rows beyond
+    three times their expected share are put aside before the merge, so tasks
+    send a few rows each however many tasks there are; if hashes are so uneven
+    that too few stay, all rows are merged."""
+    rest = [turn, *[c for c in df.columns if c != turn]]
+    n = df.count()
+    if n > 3 * most:
+        part = df.where(F.col(turn) < int(-(1 << 63) + (1 << 64) * (3 * most / n)))
+        if part.count() >= most:
+            df = part
+    return df.orderBy(*rest).limit(most)
+
+
+__all__ = ["SPACED", "add_column", "buffers", "first_by_hash", "materialize", "mix", "prepare", "rows_of", "slices", "table",
            "total_bytes", "window_hashes", "word_hashes", "word_spans"]
