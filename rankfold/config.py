@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 class Settings:
     # fixed values: data preparation
     min_user_interactions: int = 5
-    max_training_users: int = 50_000
+    max_training_users: int | None = None  # no cap unless asked for
     test_fraction: float = 0.2
     # fixed values: implicit-feedback event weights; unknown events weigh 1
     event_weights: tuple = (("view", 1.0), ("addtocart", 3.0), ("transaction", 5.0))
@@ -20,8 +20,8 @@ class Settings:
     svd_components: int = 50
     svd_iterations: int = 10
     ease_lambda: float = 500.0
-    ease_max_items: int = 16_000
-    tfidf_max_features: int = 500
+    ease_max_items: int | None = None
+    tfidf_max_features: int | None = None
     # fixed values: popularity buckets used as item feature tokens
     bucket_high: int = 100
     bucket_medium: int = 20

@@ -41,10 +41,10 @@ def read_shared_parquet(path: str) -> pd.DataFrame:
 
 
 def active_items(train: DataFrame, max_items: int | None = None) -> DataFrame:
-    """C-5: items with sum(weight) > 0, the ``max_items`` heaviest (ties item_id)."""
+    """C-5: items with sum(weight) > 0; with ``max_items``, the heaviest ones (ties item_id)."""
     max_items = DEFAULTS.ease_max_items if max_items is None else max_items
     s = train.groupBy(I).agg(F.sum("weight").alias("total")).where(F.col("total") > 0)
-    if max_items:
+    if max_items is not None:
         from rankfold.operators.ranking import top_n
         s = top_n(s, max_items, [F.desc("total"), F.asc(I)])
     return s
@@ -124,6 +124,8 @@ def _cg_solve_block(matvec, diag, n, targets, tol=1e-10, max_iter=None):
         beta = np.where(rz != 0, rz_new / np.where(rz == 0, 1, rz), 0.0)
         Pd = Z + beta * Pd
         rz = rz_new
+    else:
+        raise RuntimeError(f"CG did not reach a residual of {tol} in {max_iter} steps (worst {float(np.max(rn / bnorm)):.3g})")
     return X
 
 
@@ -143,9 +145,9 @@ def ease_fit(train: DataFrame, l2: float | None = None, max_items: int | None =
     if n == 0:
         return spark.createDataFrame([], "src string, dst string, weight double")
     g = gram(train, act, l2=l2)
-    # the index has at most max_items rows: a bounded broadcast (never the Gram / B side)
-    gi = (g.join(F.broadcast(idx.withColumnRenamed(I, "i").withColumnRenamed("idx", "r")), "i")
-           .join(F.broadcast(idx.withColumnRenamed(I, "j").withColumnRenamed("idx", "c")), "j")
+    # the index grows with the catalog: the planner broadcasts it only while it is small
+    gi = (g.join(idx.withColumnRenamed(I, "i").withColumnRenamed("idx", "r"), "i")
+           .join(idx.withColumnRenamed(I, "j").withColumnRenamed("idx", "c"), "j")
            .select("r", "c", "g"))
     g_path = scratch_path(spark, "ease-gram")
     gi.write.parquet(g_path)
@@ -179,8 +181,8 @@ def ease_fit(train: DataFrame, l2: float | None = None, max_items: int | None =
 
     blocks = spark.range(n_blocks).repartition(n_blocks)
     bw = blocks.mapInPandas(solve, schema)
-    out = (bw.join(F.broadcast(idx.withColumnRenamed(I, "src").withColumnRenamed("idx", "r")), "r")
-             .join(F.broadcast(idx.withColumnRenamed(I, "dst").withColumnRenamed("idx", "c")), "c")
+    out = (bw.join(idx.withColumnRenamed(I, "src").withColumnRenamed("idx", "r"), "r")
+             .join(idx.withColumnRenamed(I, "dst").withColumnRenamed("idx", "c"), "c")
              .select("src", "dst", "weight"))
     if top_m:
         w = Window.partitionBy("dst").orderBy(F.desc(F.abs("weight")), "src")
@@ -217,12 +219,11 @@ def score_ease_topk(hist: DataFrame, B: DataFrame, k: int, block: int = 512,
         return spark.createDataFrame([], f"{U} string, {I} string, raw double")
     nb = max(1, math.ceil(n / block))
     bpath = scratch_path(spark, "ease-blocks")
-    # index: at most the active-item cap rows -> bounded broadcast; B is never broadcast
-    (B.join(F.broadcast(idx.select(F.col(I).alias("src"), F.col("idx").alias("r"))), "src")
-      .join(F.broadcast(idx.select(F.col(I).alias("dst"), F.col("idx").alias("c"))), "dst")
+    (B.join(idx.select(F.col(I).alias("src"), F.col("idx").alias("r")), "src")
+      .join(idx.select(F.col(I).alias("dst"), F.col("idx").alias("c")), "dst")
       .select("r", "c", "weight", (F.col("c") / F.lit(block)).cast("int").alias("blk"))
       .write.partitionBy("blk").parquet(bpath))
-    hv = (hist.select(U, I, F.col("weight").cast("double").alias("w")).join(F.broadcast(idx), I)
+    hv = (hist.select(U, I, F.col("weight").cast("double").alias("w")).join(idx, I)
               .groupBy(U).agg(F.collect_list("idx").alias("_r"), F.collect_list("w").alias("_w")))
     # one row per (user, block); the user's history row holds at most the
     # active-item cap entries (it is restricted to the active items above)
@@ -270,6 +271,6 @@ def score_ease_topk(hist: DataFrame, B: DataFrame, k: int, block: int = 512,
                     yield pd.DataFrame({U: uu[ui], "c": (part[ok] + lo).astype(np.int64), "raw": sc[ok]})
 
     cand = x.mapInPandas(run, schema)
-    named = cand.join(F.broadcast(idx.select(F.col("idx").alias("c"), I)), "c")
+    named = cand.join(idx.select(F.col("idx").alias("c"), I), "c")
     w = Window.partitionBy(U).orderBy(F.desc("raw"), F.asc(I))
     return named.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k).select(U, I, "raw")

@@ -108,7 +108,7 @@ def content_evidence(pairs: DataFrame, train: DataFrame, item_class: DataFrame,
     j = (_pairs(pairs).join(h, U)
          .join(ic.withColumnRenamed(I, "seen").withColumnRenamed("cls", "cls_a"), "seen")
          .join(ic.withColumnRenamed("cls", "cls_b"), I)
-         .join(F.broadcast(class_sim), ["cls_a", "cls_b"], "left")  # class table: bounded
+         .join(class_sim, ["cls_a", "cls_b"], "left")
          .withColumn("sim", F.coalesce("sim", F.lit(0.0))))
     w = Window.partitionBy(U, I).orderBy(F.desc(F.round("sim", 9)), F.asc("seen"))
     return j.withColumn("pos", F.row_number().over(w))

@@ -47,10 +47,10 @@ def term_stats(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFram
 
 
 def vocabulary(tf: DataFrame, max_features: int | None = None) -> DataFrame:
-    """C-1: the ``max_features`` tokens of highest corpus frequency (ties: token)."""
+    """C-1: all tokens; with ``max_features``, those of highest corpus frequency (ties: token)."""
     max_features = DEFAULTS.tfidf_max_features if max_features is None else max_features
     v = tf.groupBy("token").agg(F.sum("tf").alias("total_tf"), F.count(F.lit(1)).alias("df"))
-    if max_features:
+    if max_features is not None:
         v = v.orderBy(F.desc("total_tf"), F.asc("token")).limit(max_features)
     return v
 
@@ -59,44 +59,37 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str = "text",
           max_features: int | None = None) -> DataFrame:
     """C-2: smooth idf = ln((1+n)/(1+df)) + 1, tf*idf, each document L2-normalised.
 
-    Output (doc, token, value); documents without any kept token have no rows
-    (a zero vector). The vocabulary (<= max_features rows) is broadcast.
+    Output (doc, token, tf, value); documents without any kept token have no rows
+    (a zero vector). The planner broadcasts the vocabulary only while it is small.
     """
     tf = term_stats(docs, id_col, text_col)
     n_docs = docs.agg(F.count(F.lit(1)).alias("_n"))
     voc = vocabulary(tf, max_features).crossJoin(n_docs)  # one-row side
     voc = voc.select("token", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = tf.join(F.broadcast(voc), "token").withColumn("x", F.col("tf") * F.col("idf"))
+    w = tf.join(voc, "token").withColumn("x", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc")))
-    return w.select("doc", "token", (F.col("x") / norm).alias("value"))
+    return w.select("doc", "token", "tf", (F.col("x") / norm).alias("value"))
 
 
 def item_classes(tfidf_long: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Collapse items with identical TF-IDF vectors into classes.
 
     Returns (item_class: item_id, cls) and (class_vec: cls, token, value). A
-    class key is the item's sorted token list, so the class table has at most
-    (#vocabulary tokens + 1) x 3 rows however large the catalog is.
+    class key is the item's sorted tokens, each as often as the text has it:
+    equal keys are equal vectors.
     """
-    vec = tfidf_long.groupBy(F.col("doc").alias(I)).agg(
-        F.array_join(F.array_sort(F.collect_list("token")), " ").alias("cls"))
-    # items (<= 2 tokens each) -> arrays of <= 2 entries: bounded
+    words = F.transform(F.array_sort(F.collect_list(F.struct("token", F.col("tf").cast("int").alias("tf")))),
+                        lambda t: F.array_repeat(t["token"], t["tf"]))
+    vec = tfidf_long.groupBy(F.col("doc").alias(I)).agg(F.array_join(F.flatten(words), " ").alias("cls"))
     item_class = items.select(I).distinct().join(vec, I, "left").fillna({"cls": ""})
     class_vec = (tfidf_long.join(vec, tfidf_long.doc == vec[I]).select("cls", "token", "value")
                  .dropDuplicates(["cls", "token"]))
     return item_class, class_vec
 
 
-def class_similarity(class_vec: DataFrame, classes: DataFrame) -> DataFrame:
-    """C-4: cosine between every pair of classes (zeros included).
-
-    Both inputs are bounded by the vocabulary cap, so the pair table is too.
-    """
+def class_similarity(class_vec: DataFrame) -> DataFrame:
+    """C-4: cosine between classes that share a token, by a join on tokens; a
+    pair that is not there has cosine 0. No class x class grid is made."""
     a = class_vec.select(F.col("cls").alias("cls_a"), "token", F.col("value").alias("va"))
     b = class_vec.select(F.col("cls").alias("cls_b"), "token", F.col("value").alias("vb"))
-    dots = a.join(b, "token").groupBy("cls_a", "cls_b").agg(F.sum(F.col("va") * F.col("vb")).alias("sim"))
-    ca = classes.select(F.col("cls").alias("cls_a")).distinct()
-    cb = classes.select(F.col("cls").alias("cls_b")).distinct()
-    # class x class grid: both sides are bounded by the vocabulary cap (<= 1503 classes)
-    grid = ca.crossJoin(cb)
-    return grid.join(dots, ["cls_a", "cls_b"], "left").fillna({"sim": 0.0})
+    return a.join(b, "token").groupBy("cls_a", "cls_b").agg(F.sum(F.col("va") * F.col("vb")).alias("sim"))

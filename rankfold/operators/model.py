@@ -18,7 +18,7 @@ class Bundle:
     categories: DataFrame | None = None   # (item_id, category)
     tfidf: DataFrame | None = None        # (doc=item_id, token, value)
     item_class: DataFrame | None = None   # (item_id, cls)
-    class_sim: DataFrame | None = None    # (cls_a, cls_b, sim)
+    class_sim: DataFrame | None = None    # (cls_a, cls_b, sim), none where sim is 0
     B: DataFrame | None = None            # EASE (src, dst, weight)
     user_factors: DataFrame | None = None  # (id, factor)
     item_factors: DataFrame | None = None  # (id, factor)
@@ -31,7 +31,7 @@ def content_model(items: DataFrame, categories: DataFrame | None, pop: DataFrame
     tf = materialize(FT.tfidf(texts, "item_id", "text", max_features))
     item_class, class_vec = FT.item_classes(tf, items)
     item_class = materialize(item_class)
-    sim = materialize(FT.class_similarity(class_vec, item_class))
+    sim = materialize(FT.class_similarity(class_vec))
     return texts, tf, item_class, sim
 
 

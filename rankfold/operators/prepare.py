@@ -50,16 +50,15 @@ def user_pair_counts(inter: DataFrame) -> DataFrame:
 
 def active_users(inter: DataFrame, min_items: int | None = None,
                  max_users: int | None = None) -> DataFrame:
-    """G-2 + G-3: users with >= min distinct items, capped to the most active.
+    """G-2 + G-3: users with >= min distinct items; with ``max_users``, the most active.
 
-    Cap ties: pair count desc, then user_id asc. The cap is large (50,000),
-    so it is applied on distributed global ranks (``ranking.top_n``), not by a
+    Cap ties: pair count desc, then user_id asc. A cap may be large, so it is applied on distributed global ranks (``ranking.top_n``), not by a
     single-task merge of per-partition top-N lists.
     """
     min_items = DEFAULTS.min_user_interactions if min_items is None else min_items
     max_users = DEFAULTS.max_training_users if max_users is None else max_users
     users = user_pair_counts(inter).where(F.col("n_items") >= min_items)
-    if max_users:
+    if max_users is not None:
         from rankfold.operators.ranking import top_n
         users = top_n(users, max_users, [F.desc("n_items"), F.asc(U)])
     return users

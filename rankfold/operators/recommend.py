@@ -13,6 +13,7 @@ from rankfold.config import DEFAULTS
 from rankfold.functions.exprs import clip01
 from rankfold.operators.ranking import global_rank
 from rankfold.operators.split import top_k
+from rankfold.session import materialize
 
 U, I = "user_id", "item_id"
 
@@ -159,11 +160,25 @@ def recommend_collaborative(users: DataFrame, train: DataFrame, pop: DataFrame,
         uf = user_factors.join(warm.withColumnRenamed(U, "id"), "id", "left_semi")
         top = FX.top_k_dot(uf, items, n, seen=train.join(warm, U, "left_semi"))
         recs = normalise_scores(top).select(U, F.col("rank").cast("int").alias("rank"), I, "score")
+    if B is not None:
+        recs = recs.unionByName(_idle_lists(warm, train, B, n, categories, category))
     cold = recommend_popular(cold_users(users, train), pop, n, categories=categories, category=category)
     return recs.withColumn("source", F.lit("collaborative")).unionByName(
         cold.withColumn("source", F.lit("popular")))
 
 
+def _idle_lists(warm: DataFrame, train: DataFrame, B: DataFrame, n: int, categories, category) -> DataFrame:
+    """R-3 for known users without any active item: every active item scores 0,
+    so the list is the first n by item_id, each with the B-13 value 0.5."""
+    act = B.select(F.col("src").alias(I)).union(B.select(F.col("dst").alias(I))).distinct()
+    idle = warm.join(train.select(U, I).join(act, I, "left_semi"), U, "left_anti")
+    if category is not None:
+        act = act.join(categories.where(F.col("category") == F.lit(str(category))).select(I), I, "left_semi")
+    top = top_k(act.withColumn("_g", F.lit(1)), n, F.asc(I), partition="_g")  # n rows: a bounded broadcast
+    return idle.crossJoin(F.broadcast(top.select(F.col("rank").cast("int").alias("rank"), I))).select(
+        U, "rank", I, F.lit(0.5).alias("score"))
+
+
 # ---------------------------------------------------------------- R-4
 
 def recommend_content(users: DataFrame, train: DataFrame, pop: DataFrame, item_class: DataFrame,
@@ -176,6 +191,9 @@ def recommend_content(users: DataFrame, train: DataFrame, pop: DataFrame, item_c
     all items tie, so the list takes each class's first unseen items by
     item_id (``first_unseen``) — only classes that can still reach the top-n
     (fewer than n available items in strictly better classes) are expanded.
+    Classes that share no token with the user's history score 0 and tie: users
+    with fewer than n items above 0 get the first others by item_id. A user
+    for whom nothing is left gets the popularity list.
     Scores are ranked on 9 decimals so float noise cannot split exact ties.
     """
     users = users.select(U).distinct()
@@ -187,7 +205,7 @@ def recommend_content(users: DataFrame, train: DataFrame, pop: DataFrame, item_c
     n_hist = h.groupBy(U).agg(F.count(F.lit(1)).alias("_nh"))
     uc = h.groupBy(U, "cls").agg(F.count(F.lit(1)).alias("_cnt"))
     sim = class_sim.select(F.col("cls_a").alias("cls"), "cls_b", "sim")
-    cs = (uc.join(F.broadcast(sim), "cls")   # class table bounded by the vocabulary cap
+    cs = (uc.join(sim, "cls")
             .groupBy(U, F.col("cls_b").alias("cls")).agg(F.sum(F.col("_cnt") * F.col("sim")).alias("_s"))
             .join(n_hist, U).withColumn("raw", F.col("_s") / F.col("_nh"))
             .withColumn("_s9", F.round("raw", 9)))
@@ -208,9 +226,20 @@ def recommend_content(users: DataFrame, train: DataFrame, pop: DataFrame, item_c
     slots = first_unseen(want.select(U, "cls", "_want"), seen_r, [U, "cls"], n)
     items = (slots.join(ranked.select("cls", F.col("rank").alias("_pos"), I), ["cls", "_pos"])
                   .join(want.select(U, "cls", "raw", "_s9"), [U, "cls"]))
-    top = top_k(items, n, F.desc("_s9"))
-    recs = top.select(U, F.col("rank").cast("int").alias("rank"), I, clip01("raw").alias("score"))
-    cold = recommend_popular(cold_users(users, train), pop, n, categories=categories, category=category)
+    top = materialize(top_k(items, n, F.desc("_s9")).select(U, F.col("rank").cast("int").alias("rank"), I, clip01("raw").alias("score")))
+    # score 0: the first items by item_id that are neither seen nor in the list; a
+    # short user's list and history are all that is excluded
+    count = top.groupBy(U).agg(F.count(F.lit(1)).alias("_have"))
+    short = warm.join(count, U, "left").fillna({"_have": 0}).where(F.col("_have") < n)
+    short = short.join(h.select(U).distinct(), U, "left_semi")  # a history without any catalog item scores nothing
+    order = global_rank(ic.select(I).distinct(), [F.asc(I)], "rank")
+    taken = h.select(U, I).union(top.select(U, I)).join(short.select(U), U, "left_semi").distinct()
+    fill = first_unseen(short.select(U, F.lit(n).alias("_want")), taken.join(order, I).select(U, "rank"), [U], n)
+    fill = fill.join(order.select(F.col("rank").alias("_pos"), I), "_pos").join(short, U)
+    fill = fill.select(U, (F.col("slot") + F.col("_have")).cast("int").alias("rank"), I, F.lit(0.0).alias("score")).where(F.col("rank") <= n)
+    recs = materialize(top.unionByName(fill))
+    rest = users.join(recs.select(U), U, "left_anti")  # cold users, and those whose candidates are exhausted
+    cold = recommend_popular(rest, pop, n, categories=categories, category=category)
     return recs.withColumn("source", F.lit("content")).unionByName(cold.withColumn("source", F.lit("popular")))
 
 
@@ -237,8 +266,8 @@ def blend(collab: DataFrame, content: DataFrame, n: int, wa: float | None = None
 
 
 def recommend_hybrid(users: DataFrame, bundle, n: int, category=None) -> DataFrame:
-    """R-6 over-fetching min(3n, 50) from each side."""
-    k = min(3 * n, 50)
+    """R-6 over-fetching 3n from each side."""
+    k = 3 * n
     a = recommend_collaborative(users, bundle.train, bundle.pop, k, bundle.B, bundle.user_factors,
                                 bundle.item_factors, bundle.categories, category)
     b = recommend_content(users, bundle.train, bundle.pop, bundle.item_class, bundle.class_sim, k,

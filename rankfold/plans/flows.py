@@ -19,7 +19,7 @@ from rankfold.sources import testtables as TT
 
 K = 10
 MIN_ITEMS = 5
-MAX_USERS = 50_000
+MAX_USERS = None  # every active user
 TEST_FRACTION = 0.2
 MATERIALIZE_SPLIT = True  # measured: re-deriving the split per use is slower
 

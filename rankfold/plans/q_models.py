@@ -72,8 +72,8 @@ def c4_item_similarity_e(spark, sf_dir):
     _, _, ic, sim = content_model(p.pairs, TT.categories(spark, sf_dir), p.pop)
     a = ic.select(F.col("item_id").alias("item_a"), F.col("cls").alias("cls_a"))
     b = ic.select(F.col("item_id").alias("item_b"), F.col("cls").alias("cls_b"))
-    return (a.join(sim, "cls_a").join(b, "cls_b")
-             .select("item_a", "item_b", F.round("sim", 6).alias("sim")))
+    return (a.crossJoin(b).join(sim, ["cls_a", "cls_b"], "left")
+             .select("item_a", "item_b", F.round(F.coalesce("sim", F.lit(0.0)), 6).alias("sim")))
 
 
 @query("c4_class_similarity_l_30_25", Q.with_prep(L, Q.CATS, Q.content(30, 25), """cls AS (

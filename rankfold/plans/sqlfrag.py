@@ -29,7 +29,7 @@ PREP = """inter AS (
   FROM ev GROUP BY user_id, item_id),
 act AS (
   SELECT user_id, COUNT(*) AS n_items FROM inter GROUP BY user_id
-  HAVING COUNT(*) >= 5 ORDER BY n_items DESC, user_id LIMIT 50000),
+  HAVING COUNT(*) >= 5),
 pairs AS (SELECT * FROM inter WHERE user_id IN (SELECT user_id FROM act)),
 pop AS (SELECT item_id, COUNT(*) AS popularity FROM pairs GROUP BY item_id),
 sp AS (
@@ -110,8 +110,7 @@ itxt AS (
   FROM items i LEFT JOIN pop p ON i.item_id = p.item_id LEFT JOIN cat c ON i.item_id = c.item_id),
 tok AS (SELECT item_id AS doc, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS token FROM itxt),
 tf AS (SELECT doc, token, COUNT(*) AS tf FROM tok GROUP BY doc, token),
-voc AS (SELECT token, SUM(tf) AS total_tf, COUNT(*) AS df FROM tf GROUP BY token
-        ORDER BY total_tf DESC, token LIMIT 500),
+voc AS (SELECT token, SUM(tf) AS total_tf, COUNT(*) AS df FROM tf GROUP BY token),
 idf AS (SELECT token, ln((1 + (SELECT COUNT(*) FROM itxt)) / (1.0 + df)) + 1 AS idf FROM voc),
 tx AS (SELECT doc, token, tf * idf AS x FROM tf JOIN idf USING (token)),
 tfidf AS (SELECT doc, token, x / sqrt(SUM(x * x) OVER (PARTITION BY doc)) AS value FROM tx),
@@ -141,9 +140,9 @@ ccand AS (
 
 
 # EASE: active items, Gram, in-place Gauss-Jordan inverse (SPD, no pivoting), B
-def ease(l2: float = 500.0, cap: int = 16000) -> str:
-    return f"""ai AS (SELECT item_id, SUM(weight) AS total FROM train GROUP BY item_id HAVING SUM(weight) > 0
-       ORDER BY total DESC, item_id LIMIT {cap}),
+def ease(l2: float = 500.0, cap: int | None = None) -> str:
+    limit = "" if cap is None else f"ORDER BY total DESC, item_id LIMIT {cap}"
+    return f"""ai AS (SELECT item_id, SUM(weight) AS total FROM train GROUP BY item_id HAVING SUM(weight) > 0 {limit}),
 ix AS (SELECT item_id, CAST(row_number() OVER (ORDER BY item_id) AS INTEGER) AS idx FROM ai),
 th AS (SELECT t.user_id, x.idx, t.weight FROM train t JOIN ix x ON t.item_id = x.item_id),
 g AS (SELECT a.idx AS r, b.idx AS c, SUM(a.weight * b.weight) AS v FROM th a JOIN th b ON a.user_id = b.user_id
@@ -173,7 +172,10 @@ def ease_recs(users_cte: str, k: int, name: str = "erecs") -> str:
   SELECT t.user_id, b.dst AS item_id, SUM(t.weight * b.weight) AS raw
   FROM train t JOIN bw b ON t.item_id = b.src
   WHERE t.user_id IN (SELECT user_id FROM {users_cte})
-  GROUP BY t.user_id, b.dst),
+  GROUP BY t.user_id, b.dst
+  UNION ALL
+  SELECT u.user_id, x.item_id, 0.0 FROM {users_cte} u CROSS JOIN ix x
+  WHERE u.user_id IN (SELECT user_id FROM train) AND u.user_id NOT IN (SELECT user_id FROM th)),
 etop AS (
   SELECT * FROM (
     SELECT e.*, row_number() OVER (PARTITION BY e.user_id ORDER BY e.raw DESC, e.item_id) AS rk FROM eraw e

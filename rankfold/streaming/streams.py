@@ -7,7 +7,8 @@
 * ``quality_batch_writer``: Q-10 on a stream via ``foreachBatch``.
 * ``upsert_batch_writer``: per-epoch partial aggregates written idempotently
   (overwrite of ``epoch=<id>``), so a retried micro-batch never double counts.
-* ``error_hold``: T-11 ``for:`` hold as ``applyInPandasWithState`` per series.
+* ``error_counts`` / ``error_hold``: T-11 as a native windowed count with a
+  watermark, and the ``for:`` hold over its few rows.
 
 All writers target the shared folder; the checkpoint location makes restarts
 exactly-once for the file sinks.
@@ -15,11 +16,9 @@ exactly-once for the file sinks.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from rankfold.functions.exprs import event_weight
 
@@ -57,27 +56,17 @@ def windowed_counts(stream: DataFrame, key: str, window: str = "1 day", watermar
 
 
 def run_to_completion(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
-                      fmt: str = "parquet", timeout_s: int = 600) -> None:
+                      fmt: str = "parquet") -> None:
     """Process everything available now into a file sink, then stop."""
     q = (df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint)
            .trigger(availableNow=True).start(path))
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("stream did not finish")
-    if q.exception():
-        raise q.exception()
+    q.awaitTermination()  # raises what the stream raised; however long it takes, the sink is whole
 
 
-def run_foreach_batch(df: DataFrame, fn, checkpoint: str, mode: str = "append", timeout_s: int = 600) -> None:
+def run_foreach_batch(df: DataFrame, fn, checkpoint: str, mode: str = "append") -> None:
     q = (df.writeStream.foreachBatch(fn).outputMode(mode).option("checkpointLocation", checkpoint)
            .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("stream did not finish")
-    if q.exception():
-        raise q.exception()
+    q.awaitTermination()  # raises what the stream raised; however long it takes, the sink is whole
 
 
 def quality_batch_writer(rules, path: str):
@@ -107,53 +96,39 @@ def read_upserted(spark: SparkSession, path: str, keys=("user_id", "item_id")) -
                                 F.max("last_ts").alias("last_ts"))
 
 
-HOLD_OUT = T.StructType([T.StructField("series", T.StringType()), T.StructField("window_start_us", T.LongType()),
-                         T.StructField("total", T.LongType()), T.StructField("bad", T.LongType()),
-                         T.StructField("cond", T.BooleanType()), T.StructField("held_windows", T.LongType()),
-                         T.StructField("firing", T.BooleanType())])
-HOLD_STATE = T.StructType([T.StructField("cur", T.LongType()), T.StructField("total", T.LongType()),
-                           T.StructField("bad", T.LongType()), T.StructField("run", T.LongType())])
+def error_counts(stream: DataFrame, series: str = "endpoint", window_s: int = 3600, watermark: str = "1 day",
+                 ts: str = "ts", bad: str = "is_error") -> DataFrame:
+    """T-11 on a stream, first half: total and bad events per series and window.
+
+    A native windowed aggregate (partial counts before the shuffle, so a hot
+    series is not one task); state is bounded by the watermark, which alone
+    decides which rows are late.
+    """
+    s = with_event_time(stream, ts, watermark)
+    return (s.groupBy(F.window(ts, f"{window_s} seconds").alias("w"), F.col(series).cast("string").alias("series"))
+             .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(bad)).alias("bad"))
+             .select("series", F.unix_micros(F.col("w.start")).alias("window_start_us"), "total", "bad"))
 
 
-def error_hold(stream: DataFrame, series: str = "endpoint", window_s: int = 3600, threshold: float = 0.25,
-               hold_windows: int = 2, ts: str = "ts", bad: str = "is_error") -> DataFrame:
-    """T-11 on a stream: per series, a window closes when a later event arrives;
-    cond = bad/total > threshold; firing once cond held ``hold_windows`` windows.
-    Empty windows between events close as cond = false (dense grid). Rows for
-    already-closed windows are late and ignored. State per series is 4 numbers.
+def error_hold(counts: DataFrame, window_s: int = 3600, threshold: float = 0.25, hold_windows: int = 2,
+               now_us: int | None = None) -> DataFrame:
+    """T-11, second half, over the counts the stream keeps (one row per series
+    and window): cond = bad / total > threshold; firing once cond held
+    ``hold_windows`` windows; windows without events are cond = false.
+
+    A window is closed once the clock ``now_us`` is past its end, whether or
+    not later events came; without a clock, a series' own last window is open.
     """
+    from rankfold.operators.telemetry import hold
     w_us = window_s * 1_000_000
-
-    def proc(key, pdfs, state):
-        if state.exists:
-            cur, total, nbad, run = state.get
-        else:
-            cur, total, nbad, run = None, 0, 0, 0
-        out = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values("_t")
-            for t, b in zip(pdf["_t"].to_numpy(), pdf["_b"].to_numpy()):
-                w = (int(t) // w_us) * w_us
-                if cur is None:
-                    cur = w
-                if w < cur:
-                    continue  # late row for a closed window
-                while w > cur:  # close the current window (and any empty ones)
-                    cond = total > 0 and nbad / total > threshold
-                    run = run + 1 if cond else 0
-                    out.append((key[0], cur, total, nbad, cond, run, cond and run >= hold_windows))
-                    cur += w_us
-                    total, nbad = 0, 0
-                total += 1
-                nbad += int(bool(b))
-        state.update((cur, total, nbad, run))
-        if out:
-            yield pd.DataFrame(out, columns=[f.name for f in HOLD_OUT.fields])
-
-    s = stream.select(F.col(series).cast("string").alias(series),
-                      F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(bad).alias("_b"))
-    return s.groupBy(series).applyInPandasWithState(proc, HOLD_OUT, HOLD_STATE, "append",
-                                                    GroupStateTimeout.NoTimeout)
+    span = counts.groupBy("series").agg(F.min("window_start_us").alias("lo"), F.max("window_start_us").alias("hi"))
+    top = F.col("hi") - w_us if now_us is None else F.lit((now_us // w_us - 1) * w_us)
+    grid = span.where(top >= F.col("lo")).select(
+        "series", F.explode(F.sequence("lo", top.cast("long"), F.lit(w_us))).alias("window_start_us"))
+    c = grid.join(counts, ["series", "window_start_us"], "left").fillna({"total": 0, "bad": 0})
+    c = c.withColumn("cond", (F.col("total") > 0) & (F.col("bad") > F.lit(threshold) * F.col("total")))
+    return hold(c, hold_windows, order="window_start_us").select(
+        "series", "window_start_us", "total", "bad", "cond", F.col("held_windows").cast("long").alias("held_windows"), "firing")
 
 
 def latest_batch_writer(path: str):

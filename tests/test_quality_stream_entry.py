@@ -57,11 +57,12 @@ def test_stream_hold_equals_batch_hold(spark, tmp_path):
     lg = TT.request_log(spark, "/root/testdata/sf0.001").select("ts", "status")
     src = str(tmp_path / "log")
     lg.write.parquet(src)
-    s = ST.event_stream(spark, src, lg.schema).select(F.lit("all").alias("series"), "ts",
+    s = ST.event_stream(spark, src, lg.schema, max_files_per_trigger=1).select(F.lit("all").alias("series"), "ts",
                                                       (F.col("status") >= 500).alias("is_error"))
     out, ck = str(tmp_path / "hold"), str(tmp_path / "hold-ck")
-    ST.run_to_completion(ST.error_hold(s, "series", 3600, 0.25, 2), out, ck)
-    got = {r.window_start_us: (r.cond, r.held_windows, r.firing) for r in spark.read.parquet(out).collect()}
+    ST.run_foreach_batch(ST.error_counts(s, "series", 3600, "31 days"), ST.latest_batch_writer(out), ck, mode="update")
+    counts = ST.read_latest(spark, out, ["series", "window_start_us"])
+    got = {r.window_start_us: (r.cond, r.held_windows, r.firing) for r in ST.error_hold(counts, 3600, 0.25, 2).collect()}
     r = T.ratio(lg, F.col("status") >= 500)
     grid = T.window_grid(lg, "1 hour")
     c = grid.join(r, "window_start", "left").select(
@@ -139,3 +140,35 @@ def test_histogram_quantile_edges(spark):
     got = [r.q for r in df.select(T.histogram_quantile(0.5, F.col("le"), F.col("cum")).alias("q")).collect()]
     assert got[0] is None                    # empty histogram
     assert got[1] == pytest.approx(0.25)     # first bucket interpolates from 0
+
+
+def test_stream_hold_counts_every_shuffled_row(spark, tmp_path):
+    """More rows per series than an Arrow chunk or a micro-batch holds, in no order."""
+    from rankfold.streaming import streams as ST
+    src = str(tmp_path / "src")
+    ev = spark.range(60_000).select(
+        F.concat(F.lit("s"), F.col("id") % 2).alias("series"), F.timestamp_seconds(F.col("id") * 7).alias("ts"), (F.col("id") % 3 == 0).alias("is_error"))
+    ev.orderBy(F.xxhash64("ts")).repartition(6).write.parquet(src)
+    s = ST.event_stream(spark, src, ev.schema, max_files_per_trigger=1)
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    ST.run_foreach_batch(ST.error_counts(s, "series", 3600, "31 days"), ST.latest_batch_writer(out), ck, mode="update")
+    counts = ST.read_latest(spark, out, ["series", "window_start_us"])
+    held = ST.error_hold(counts, 3600, 0.25, 2, now_us=60_000 * 7 * 1_000_000 + 3_600_000_000).collect()
+    assert sum(r.total for r in held) == 60_000 and sum(r.bad for r in held) == 20_000  # the clock closes the last window too
+    still_open = ST.error_hold(counts, 3600, 0.25, 2).collect()
+    assert len(still_open) == len(held) - 2
+
+
+def test_stream_hold_drops_late_rows_only(spark, tmp_path):
+    from rankfold.streaming import streams as ST
+    src = str(tmp_path / "src")
+    hour = 3600
+    for times in ([0, 10, 2 * hour], [30 * hour], [5, 29 * hour + 1], [31 * hour]):  # 5 s is 30 hours late; 29 h is within the watermark
+        spark.createDataFrame([("a", t, True) for t in times], "series string, t long, is_error boolean").select(
+            "series", F.timestamp_seconds("t").alias("ts"), "is_error").coalesce(1).write.mode("append").parquet(src)
+    schema = spark.read.parquet(src).schema
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    c = ST.error_counts(ST.event_stream(spark, src, schema, max_files_per_trigger=1), "series", hour, "2 hours")
+    ST.run_foreach_batch(c, ST.latest_batch_writer(out), ck, mode="update")
+    got = {r.window_start_us // (hour * 1_000_000): r.total for r in ST.read_latest(spark, out, ["series", "window_start_us"]).collect()}
+    assert got == {0: 2, 2: 1, 30: 1, 29: 1, 31: 1}
