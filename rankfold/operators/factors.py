@@ -1,20 +1,25 @@
 """Latent factors: normalisation, blocked dot-product scoring, SVD (C-8..C-10, R-2).
 
 Dot-product scoring is users x items by nature. It never emits that full
-product: items are cut into blocks of at most ``block`` rows, each
-(user partition, item block) task does one GEMM in NumPy (Arrow batches) and
-keeps only each user's best ``k + |seen|`` per block; a final W-4 top-k merges
-the blocks. Memory per task is bounded by block x dim.
+product: users and items are cut into slices, a task multiplies one slice of
+each, masks what is seen and keeps a user's best k; a final W-4 top-k merges
+the blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankfold.session import materialize, ship_package
+
 U, I = "user_id", "item_id"
 
 
@@ -28,119 +33,163 @@ def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def item_blocks(item_factors: DataFrame, block: int = 2048) -> DataFrame:
-    """(block_id, ids array, vecs array<array<double>>) with <= ``block`` items each."""
-    w = item_factors.select(F.col("id").alias(I), "factor")
-    n = w.count()
-    n_blocks = max(1, -(-n // block))
-    b = w.withColumn("_b", F.pmod(F.xxhash64(I), F.lit(n_blocks)).cast("long"))
-    # hash blocks hold ~n/n_blocks items; bounded by the block size on average
-    return b.groupBy("_b").agg(F.collect_list(I).alias("_ids"), F.collect_list("factor").alias("_vecs"))
+def _slices(df: DataFrame, size: int) -> int:
+    """Number of hash slices of about ``size`` rows each."""
+    return max(1, -(-df.count() // size))
+
+
+def _score_slice(k: int):
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {U: [], I: [], "raw": []}
+        if left.num_rows and right.num_rows:
+            right = right.sort_by(I)  # so that equal scores go by item_id
+            items = right.column(I).to_pandas()
+            v = np.vstack(right.column("factor").to_numpy()).astype(np.float64)
+            known = left.filter(pc.is_valid(left.column("factor")))
+            if known.num_rows:
+                users, vectors = known.column(U).to_pandas(), known.column("factor").to_numpy()
+                seen = left.filter(pc.is_null(left.column("factor")))
+                row = pd.Index(users).get_indexer(seen.column(U).to_pandas())
+                col = pd.Index(items).get_indexer(seen.column(I).to_pandas())
+                row, col = row[(row >= 0) & (col >= 0)], col[(row >= 0) & (col >= 0)]
+                kk = min(k, len(items))
+                for lo in range(0, len(users), 512):
+                    s = np.vstack(vectors[lo:lo + 512]).astype(np.float64) @ v.T
+                    here = (row >= lo) & (row < lo + 512)
+                    s[row[here] - lo, col[here]] = -np.inf
+                    best = np.argsort(-s, axis=1, kind="stable")[:, :kk]
+                    raw = np.take_along_axis(s, best, axis=1)
+                    ok = np.isfinite(raw)
+                    out[U].append(np.repeat(users.to_numpy()[lo:lo + 512], kk).reshape(raw.shape)[ok])
+                    out[I].append(items.to_numpy()[best[ok]])
+                    out["raw"].append(raw[ok])
+        return pa.table({U: pa.array(np.concatenate(out[U]) if out[U] else [], pa.string()),
+                         I: pa.array(np.concatenate(out[I]) if out[I] else [], pa.string()),
+                         "raw": pa.array(np.concatenate(out["raw"]) if out["raw"] else [], pa.float64())})
+    return score
 
 
 def top_k_dot(user_factors: DataFrame, item_factors: DataFrame, k: int,
-              seen: DataFrame | None = None, block: int = 2048) -> DataFrame:
+              seen: DataFrame | None = None, block: int = 2048, users: int = 4096) -> DataFrame:
     """R-2: per user the k best items by u.v (ties item_id), seen items masked.
 
+    Users and items are cut into hash slices; a task is one (item block, user
+    slice) pair and gets each of its vectors once. Seen pairs go to the one
+    task that holds both their user and item, so masking is done there and
+    only k candidates per user and block leave it.
+
     Output (user_id, rank, item_id, raw).
     """
-    uf = user_factors.select(F.col("id").alias(U), "factor")
+    ship_package(user_factors.sparkSession)
+    nb, ns = _slices(item_factors, block), _slices(user_factors, users)
+    b_of = lambda c: F.pmod(F.xxhash64(c), F.lit(nb)).cast("int")
+    s_of = lambda c: F.pmod(F.xxhash64(c), F.lit(ns)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    uf = user_factors.select(F.col("id").cast("string").alias(U), F.col("factor").cast("array<double>").alias("factor"))
+    left = uf.select(every(nb).alias("_b"), s_of(U).alias("_s"), U, F.lit(None).cast("string").alias(I), "factor")
     if seen is not None:
-        # only the number of seen items is needed here (masking is the anti join below)
-        s = seen.groupBy(U).agg(F.count(F.lit(1)).alias("_nseen"))
-        uf = uf.join(s, U, "left").fillna({"_nseen": 0})
-    else:
-        uf = uf.withColumn("_nseen", F.lit(0).cast("long"))
-    blocks = item_blocks(item_factors, block)
-    n_blocks = blocks.count()  # bounded: items / block
-    # block GEMM: each user row is replicated once per item block and meets it
-    # by an equi-join on the block id, so tasks are (user slice, item block)
-    ux = uf.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    pairs = ux.join(blocks, "_b")
+        pairs = seen.select(F.col(U).cast("string").alias(U), F.col(I).cast("string").alias(I)).distinct()
+        left = left.unionByName(pairs.select(b_of(I).alias("_b"), s_of(U).alias("_s"), U, I,
+                                             F.lit(None).cast("array<double>").alias("factor")))
+    vf = item_factors.select(F.col("id").cast("string").alias(I), F.col("factor").cast("array<double>").alias("factor"))
+    right = vf.select(b_of(I).alias("_b"), every(ns).alias("_s"), I, "factor")
     schema = T.StructType([T.StructField(U, T.StringType()), T.StructField(I, T.StringType()),
                            T.StructField("raw", T.DoubleType())])
-
-    def score(it):
-        for pdf in it:
-            out = []
-            for _, g in pdf.groupby("_b", sort=False):
-                ids = np.asarray(g["_ids"].iloc[0], dtype=object)
-                V = np.vstack(g["_vecs"].iloc[0]).astype(np.float64)
-                Um = np.vstack(g["factor"].to_numpy()).astype(np.float64)
-                S = Um @ V.T
-                for row, uid, ns in zip(S, g[U].to_numpy(), g["_nseen"].to_numpy()):
-                    m = k + int(ns)
-                    if m < len(row):
-                        idx = np.argpartition(-row, m - 1)[:m]
-                    else:
-                        idx = np.arange(len(row))
-                    out.append(pd.DataFrame({U: uid, I: ids[idx], "raw": row[idx]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    cand = pairs.mapInPandas(score, schema)
-    if seen is not None:
-        cand = cand.join(seen.select(U, I), [U, I], "left_anti")
+    cand = left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInArrow(_score_slice(k), schema)
     w = Window.partitionBy(U).orderBy(F.desc("raw"), F.asc(I))
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 # ---------------------------------------------------------------- C-8 / C-10
 
-def svd_fit(inter: DataFrame, k: int = 50, user: str = U, item: str = I):
-    """C-8: truncated SVD of the user x item weight matrix.
-
-    Uses MLlib's distributed ``RowMatrix.computeSVD`` on sparse rows (the
-    Gramian is item x item, so ``k`` and the item count bound the driver-side
-    eigen step — the same bound as the reference's dense model). Returns
-    (user_factors, item_factors, evr) with user = U*S and item = V, both
-    L2-normalised, sign fixed so each component's largest |user loading| is
-    positive (deterministic, quirk 18).
+def _times(vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """Every row vector times a small (at most a few dozen squared) matrix."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                m = np.vstack(batch.column("vec").to_numpy(zero_copy_only=False)) @ matrix
+                rows = pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(m.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), rows], names=["id", "vec"])
+    return vectors.select("id", "vec").mapInArrow(run, "id string, vec array<double>")
+
+
+def _product(cells: DataFrame, vectors: DataFrame, by: str, to: str) -> DataFrame:
+    """Rows of the matrix product: sum over ``by`` of weight x vector, per ``to``; partial sums before the shuffle."""
+    j = cells.join(vectors.withColumnRenamed("id", by), by)
+    scaled = array_to_vector(F.transform("vec", lambda x: x * F.col("w")))
+    return j.groupBy(F.col(to).alias("id")).agg(vector_to_array(Summarizer.sum(scaled)).alias("vec"))
+
+
+def _gram(vectors: DataFrame, p: int) -> np.ndarray:
+    """V^T V: p x p numbers, summed in the tasks."""
+    def run(batches):
+        total = np.zeros((p, p))
+        for batch in batches:
+            if batch.num_rows:
+                m = np.vstack(batch.column("vec").to_numpy(zero_copy_only=False))
+                total += m.T @ m
+        yield pa.RecordBatch.from_arrays([pa.array([i for i in range(p)], pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))],
+                                         names=["i", "row"])
+    parts = vectors.select("vec").mapInArrow(run, "i int, row array<double>")
+    rows = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()  # p x p
+    g = np.zeros((p, p))
+    for r in rows:
+        g[r["i"], r["j"]] = r["x"]
+    return g
+
+
+def _whiten(g: np.ndarray) -> np.ndarray:
+    """M with M^T G M = 1 on the directions that are there (others become 0)."""
+    values, w = np.linalg.eigh((g + g.T) / 2)
+    scale = np.where(values > 1e-12 * max(values.max(), 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+    return w * scale
+
+
+def svd_fit(inter: DataFrame, k: int = 50, user: str = U, item: str = I, iterations: int = 10, oversample: int = 10):
+    """C-8: truncated SVD of the user x item weight matrix by randomised subspace iteration.
+
+    The item vectors (k + ``oversample`` numbers each) and the user vectors are
+    DataFrames; a product with the matrix is a join and a grouped vector sum.
+    Only the vectors' small Gram matrix comes to the driver. Start vectors are
+    hashes of the ids, so a run is repeatable. Returns (user_factors,
+    item_factors, evr) with user = U*S and item = V, both L2-normalised, sign
+    fixed so each component's largest |user loading| is positive
+    (deterministic, quirk 18).
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
     spark = inter.sparkSession
-    from rankfold.operators.ranking import global_rank
-    uidx = global_rank(inter.select(user).distinct(), [F.asc(user)], "uix").select(user, (F.col("uix") - 1).alias("uix"))
-    iidx = global_rank(inter.select(item).distinct(), [F.asc(item)], "iix").select(item, (F.col("iix") - 1).alias("iix"))
-    n_items = iidx.count()
-    n_users = uidx.count()
+    ship_package(spark)
+    cells = materialize(inter.select(F.col(user).cast("string").alias("u"), F.col(item).cast("string").alias("i"),
+                                     F.col("weight").cast("double").alias("w")))
+    n_users, n_items = cells.select("u").distinct().count(), cells.select("i").distinct().count()
     k = max(1, min(k, min(n_users, n_items) - 1))
-    j = inter.join(uidx, user).join(iidx, item).select("uix", "iix", F.col("weight").cast("double"))
-    rows = (j.rdd.map(lambda r: (r[0], (r[1], r[2]))).groupByKey()
-             .map(lambda kv: IndexedRow(kv[0], Vectors.sparse(n_items, sorted(kv[1])))))
-    mat = IndexedRowMatrix(rows)
-    svd = mat.computeSVD(k, computeU=True)
-    s = np.asarray(svd.s.toArray())
-    V = np.asarray(svd.V.toArray())  # n_items x k: bounded by the item count x k
-    urows = svd.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray()]))
-    U_df = spark.createDataFrame(urows, "uix long, u array<double>")
-    # sign: make the largest-|.| user loading of every component positive
-    s_list = [float(x) for x in s]
-    us = U_df.select("uix", F.transform("u", lambda x, i: x * F.element_at(F.array(*[F.lit(v) for v in s_list]), i + 1)).alias("f"))
-    mx = us.select(F.posexplode("f").alias("c", "x")).groupBy("c").agg(
-        F.max_by("x", F.abs("x")).alias("xm")).orderBy("c").collect()  # k rows
-    signs = np.ones(len(s_list))
+    p = min(k + oversample, n_users, n_items)
+    uniform = lambda j, s: (F.pmod(F.xxhash64("id", j, F.lit(s)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    normal = F.transform(F.sequence(F.lit(1), F.lit(p)), lambda j: F.sqrt(-2 * F.log(uniform(j, 1))) * F.cos(2 * np.pi * uniform(j, 2)))
+    q = cells.select(F.col("i").alias("id")).distinct().select("id", normal.alias("vec"))
+    for _ in range(iterations):
+        z = materialize(_product(cells, _product(cells, q, "i", "u"), "u", "i"))
+        q = _times(z, _whiten(_gram(z, p)))
+    q = materialize(q)
+    q = materialize(_times(q, _whiten(_gram(q, p))))  # once more: exactly orthonormal
+    y = materialize(_product(cells, q, "i", "u"))
+    values, w = np.linalg.eigh(_gram(y, p))
+    w = w[:, np.argsort(-values)[:k]]
+    us = materialize(_times(y, w))  # U * S
+    mx = us.select(F.posexplode("vec").alias("c", "x")).groupBy("c").agg(F.max_by("x", F.abs("x")).alias("xm")).collect()  # k rows
+    signs = np.ones(k)
     for r in mx:
         signs[r["c"]] = -1.0 if r["xm"] < 0 else 1.0
-    sg = F.array(*[F.lit(float(v)) for v in signs])
-    user_f = us.select("uix", F.transform("f", lambda x, i: x * F.element_at(sg, i + 1)).alias("factor"))
-    user_f = l2_normalize(user_f.join(uidx, "uix").select(F.col(user).alias("id"), "factor"))
-    Vs = V * signs[None, :]
-    item_pdf = pd.DataFrame({"iix": np.arange(V.shape[0]), "factor": [list(map(float, r)) for r in Vs]})
-    item_f = spark.createDataFrame(item_pdf, "iix long, factor array<double>")
-    item_f = l2_normalize(item_f.join(iidx, "iix").select(F.col(item).alias("id"), "factor"))
-    evr = explained_variance_ratio(j, us, n_users, n_items)
-    return user_f, item_f, evr
-
-
-def explained_variance_ratio(cells: DataFrame, us: DataFrame, n_users: int, n_items: int) -> float:
+    user_f = l2_normalize(_times(us, np.diag(signs)).select("id", F.col("vec").alias("factor")))
+    item_f = l2_normalize(_times(q, w * signs).select("id", F.col("vec").alias("factor")))
+    return user_f, item_f, explained_variance_ratio(cells, us, n_users)
+
+
+def explained_variance_ratio(cells: DataFrame, us: DataFrame, n_users: int) -> float:
     """C-10: sum of var(U*S columns) / sum of var(X columns), by aggregates."""
     m = float(n_users)
-    col = cells.groupBy("iix").agg(F.sum("weight").alias("s1"), F.sum(F.col("weight") ** 2).alias("s2"))
+    col = cells.groupBy("i").agg(F.sum("w").alias("s1"), F.sum(F.col("w") ** 2).alias("s2"))
     tot = col.agg(F.sum(F.col("s2") / m - (F.col("s1") / m) ** 2).alias("v")).collect()[0]["v"] or 0.0
-    comp = us.select(F.posexplode("f").alias("c", "x")).groupBy("c").agg(
+    comp = us.select(F.posexplode("vec").alias("c", "x")).groupBy("c").agg(
         (F.sum(F.col("x") ** 2) / m - (F.sum("x") / m) ** 2).alias("v"))
     exp = comp.agg(F.sum("v").alias("v")).collect()[0]["v"] or 0.0
     return float(exp / tot) if tot > 0 else 0.0

@@ -80,7 +80,7 @@ def sample_users(users: DataFrame, n: int | None, seed: int | None = None, key:
     u = users.select(key).distinct()
     if seed is None:
         return top_n(u, n, [F.asc(key)])
-    return top_n(u, n, [F.xxhash64(F.col(key), F.lit(seed)).asc(), F.asc(key)])
+    return top_n(u, n, [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))).asc(), F.asc(key)])
 
 
 def union_parts(*dfs: DataFrame) -> DataFrame:

@@ -280,15 +280,24 @@ def g9_ground_truth_lists_l(spark, sf_dir):
                     F.col("n_truth").cast("bigint").alias("n_truth"))
 
 
-@query("c12_train_flow_e")
+@query("c12_train_flow_e", Q.with_prep(
+    "E", Q.CATS, Q.ease(), "tu AS (SELECT DISTINCT user_id FROM test)", Q.ease_recs("tu", K),
+    Q.ranking_report("erecs", "test", K, empty="zero"), "rep AS (" + Q.RANKING_SELECT + ")", body=f"""
+SELECT rep.*, {Q.r4("(SELECT COUNT(DISTINCT item_id) FROM erecs) / (SELECT COUNT(DISTINCT item_id) FROM pairs)")} AS catalog_coverage
+FROM rep""", recursive=True))
 def c12_train_flow_e(spark, sf_dir):
-    """C-12 (rows check): split -> content -> EASE -> SVD -> evaluate -> bundle + run log."""
+    """C-12: split -> content -> EASE -> SVD -> evaluate -> bundle + run log
+    (the run's SVD figure is c10_explained_variance_e's)."""
+    from rankfold.functions.exprs import round4
     from rankfold.plans.training import train
-    return train(spark, sf_dir, "E")
+    m = train(spark, sf_dir, "E").drop("explained_variance_ratio")
+    return m.select(*[round4(c).alias(c) if c == "catalog_coverage" else F.round(c, 6).alias(c) if t == "double" else F.col(c)
+                      for c, t in m.dtypes])
 
 
-@query("w10_random_user_sample_l")
+@query("w10_random_user_sample_l", Q.with_prep("L", body="""
+SELECT user_id FROM (SELECT DISTINCT user_id FROM pairs) ORDER BY md5('42:' || user_id), user_id LIMIT 100"""))
 def w10_random_user_sample_l(spark, sf_dir):
-    """W-10 (rows check): 100 users in seeded-hash order (repeatable sample)."""
+    """W-10: 100 users in seeded-hash order (repeatable sample)."""
     from rankfold.operators.split import sample_users
     return sample_users(flows.prepared(spark, sf_dir, "L").pairs, 100, seed=42)

@@ -7,6 +7,8 @@ returns a result the SQL oracle computes from the tables directly.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from rankfold.operators import prepare as P
@@ -61,18 +63,29 @@ def a2_property_source_multi(spark, sf_dir):
     return P.latest_property(p, "categoryid", ts="timestamp")
 
 
-@query("a5_a6_bundle_roundtrip")
+@query("a5_a6_bundle_roundtrip", Q.with_prep(
+    "E", Q.CATS, Q.content(), Q.ease(), "cls AS (SELECT doc, string_agg(token, ' ' ORDER BY token) AS cls FROM tfidf GROUP BY doc)", body="""
+SELECT "table", CAST(n AS BIGINT) AS n_rows, 'ease+tfidf' AS algorithm, '500.0' AS ease_lambda FROM (
+  SELECT 'train' AS "table", COUNT(*) AS n FROM train
+  UNION ALL SELECT 'pop', COUNT(*) FROM pop
+  UNION ALL SELECT 'items', COUNT(*) FROM items
+  UNION ALL SELECT 'categories', COUNT(*) FROM cat
+  UNION ALL SELECT 'tfidf', COUNT(*) FROM tfidf
+  UNION ALL SELECT 'item_class', COUNT(*) FROM items
+  UNION ALL SELECT 'class_sim', COUNT(*) FROM (SELECT DISTINCT ca.cls AS a, cb.cls AS b FROM isim s JOIN cls ca ON s.item_a = ca.doc JOIN cls cb ON s.item_b = cb.doc)
+  UNION ALL SELECT 'B', (SELECT n * (n - 1) FROM nn))""", recursive=True))
 def a5_a6_bundle_roundtrip(spark, sf_dir):
-    """A-5 / A-6 (rows check): save a trained bundle to the shared folder, load it
+    """A-5 / A-6: save a trained bundle to the shared folder, load it
     back, report each table's row count and the metadata."""
     p, b = flows.bundle(spark, sf_dir, "E")
     path = scratch_path(spark, "bundle")
     IO.save_bundle(b, path, {"model_type": "hybrid", "algorithm": "ease+tfidf", "ease_lambda": 500.0,
                              "hybrid_collab_weight": 0.6, "hybrid_content_weight": 0.4})
     lb, meta = IO.load_bundle(spark, path)
-    rows = [(n, getattr(lb, n).count()) for n in IO.BUNDLE_TABLES if getattr(lb, n) is not None]
-    counts = spark.createDataFrame(rows, "table string, n_rows long")
-    return counts.crossJoin(IO.model_info(meta))  # one-row side
+    counts = [getattr(lb, n).agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("n_rows"))
+              for n in IO.BUNDLE_TABLES if getattr(lb, n) is not None]
+    info = IO.model_info(meta).select(F.col("info.algorithm").alias("algorithm"), F.col("info.ease_lambda").alias("ease_lambda"))
+    return functools.reduce(lambda a, b: a.unionByName(b), counts).crossJoin(info)  # one-row side
 
 
 @query("a7_report_json_sink", Q.with_prep("E", "tu AS (SELECT DISTINCT user_id FROM test)", Q.popular_masked("tu", 10),

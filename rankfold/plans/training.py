@@ -31,7 +31,7 @@ def train(spark: SparkSession, sf_dir: str, table: str = "E", cfg: Settings = DE
     uf = vf = None
     evr = None
     if svd:
-        uf, vf, evr = FX.svd_fit(p.train, k=cfg.svd_components)
+        uf, vf, evr = FX.svd_fit(p.train, k=cfg.svd_components, iterations=cfg.svd_iterations)
     b = build_bundle(p.train, p.pairs, p.pop, TT.categories(spark, sf_dir), B, uf, vf)
     users = p.test.select("user_id").distinct()
     recs = R.recommend_scored(users, EA.score_ease_topk(p.train.join(users, "user_id", "left_semi"), B, cfg.eval_k),
