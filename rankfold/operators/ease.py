@@ -6,11 +6,9 @@
   item cap; heavy users are salted — a user's rows on the left are spread over
   ``ceil(n_u / chunk)`` salts and the right side is replicated only for that
   user, so no single task multiplies one hot user's whole history.
-* ``ease_fit``: P = (G + lambda I)^-1 column block by column block with a
-  Jacobi-preconditioned conjugate gradient (G + lambda I is SPD). Blocks are
-  Spark tasks (``mapInPandas``); G reaches the tasks as a Parquet table in the
-  cluster's shared folder (its size is bounded by cap^2 entries and checked).
-  B_ij = -P_ij / P_jj, B_jj = 0.
+* ``ease_fit``: P = (G + lambda I)^-1 by blocked Gauss-Jordan elimination on
+  dense tiles; a task holds three tiles, so neither G nor P is ever whole in
+  one place. B_ij = -P_ij / P_jj, B_jj = 0.
 * ``score_ease``: score(u, j) = sum_i w(u, i) B(i, j) as join + aggregate.
 """
 
@@ -20,12 +18,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankfold.config import DEFAULTS
-from rankfold.session import scratch_path
+from rankfold.session import materialize, scratch_path, ship_package
 
 U, I = "user_id", "item_id"
 
@@ -74,73 +73,88 @@ def gram(hist: DataFrame, active: DataFrame | None = None, l2: float | None = No
     return g
 
 
-def _matvec_factory(rows, cols, vals, n, dense_limit: int = 8192, temp_budget: int = 32_000_000):
-    """A @ X for the (symmetric) Gram: dense BLAS when n <= dense_limit
-    (n^2 doubles), else a sparse COO product chunked over X's columns so the
-    nnz x chunk temporary stays under ``temp_budget`` doubles."""
-    if n <= dense_limit:
-        A = np.zeros((n, n))
-        A[rows, cols] = vals
-        return lambda X: A @ X
-    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.array([], dtype=int)
-    row_ids = rows[starts] if len(rows) else np.array([], dtype=int)
-    chunk = max(1, temp_budget // max(1, len(vals)))
-
-    def mv(X):
-        out = np.zeros((n, X.shape[1]))
-        for c0 in range(0, X.shape[1], chunk):
-            Xc = X[:, c0:c0 + chunk]
-            if len(rows):
-                out[row_ids, c0:c0 + chunk] = np.add.reduceat(vals[:, None] * Xc[cols], starts, axis=0)
-        return out
-    return mv
-
-
-def _cg_solve_block(matvec, diag, n, targets, tol=1e-10, max_iter=None):
-    """Solve A X = E[:, targets] for a block of unit vectors (A SPD), Jacobi
-    preconditioned, vectorised over the block's columns."""
-    b = len(targets)
-    max_iter = max_iter or max(10 * n, 50)
-    Bm = np.zeros((n, b))
-    Bm[targets, np.arange(b)] = 1.0
-    X = np.zeros((n, b))
-    R = Bm.copy()
-    Minv = 1.0 / diag
-    Z = Minv[:, None] * R
-    Pd = Z.copy()
-    rz = np.einsum("ij,ij->j", R, Z)
-    bnorm = np.sqrt(np.einsum("ij,ij->j", Bm, Bm))
-    for _ in range(max_iter):
-        AP = matvec(Pd)
-        denom = np.einsum("ij,ij->j", Pd, AP)
-        alpha = np.where(denom != 0, rz / np.where(denom == 0, 1, denom), 0.0)
-        X += alpha * Pd
-        R -= alpha * AP
-        rn = np.sqrt(np.einsum("ij,ij->j", R, R))
-        if np.all(rn <= tol * bnorm):
-            break
-        Z = Minv[:, None] * R
-        rz_new = np.einsum("ij,ij->j", R, Z)
-        beta = np.where(rz != 0, rz_new / np.where(rz == 0, 1, rz), 0.0)
-        Pd = Z + beta * Pd
-        rz = rz_new
-    else:
-        raise RuntimeError(f"CG did not reach a residual of {tol} in {max_iter} steps (worst {float(np.max(rn / bnorm)):.3g})")
-    return X
+_TILE = "i int, j int, a binary"
+
+
+def _side(k: int, n: int, tile: int) -> int:
+    return min(tile, n - k * tile)
+
+
+def _dense(blob, rows: int, cols: int) -> np.ndarray:
+    return np.frombuffer(blob, np.float64).reshape(rows, cols)
+
+
+def gram_tiles(entries: DataFrame, n: int, tile: int) -> DataFrame:
+    """(i, j, a): the matrix (r, c, g) as dense tiles, also those without entries."""
+    def build(cells: pa.Table, place: pa.Table) -> pa.Table:
+        out = {"i": [], "j": [], "a": []}
+        if place.num_rows:
+            i, j = place.column("i")[0].as_py(), place.column("j")[0].as_py()
+            m = np.zeros((_side(i, n, tile), _side(j, n, tile)))
+            m[cells.column("r").to_numpy() - i * tile, cells.column("c").to_numpy() - j * tile] = cells.column("g").to_numpy()
+            out = {"i": [i], "j": [j], "a": [m.tobytes()]}
+        return pa.table(out, schema=pa.schema([("i", pa.int32()), ("j", pa.int32()), ("a", pa.binary())]))
+
+    nb = math.ceil(n / tile)
+    of = lambda c: F.floor(F.col(c) / F.lit(tile)).cast("int")
+    places = entries.sparkSession.range(nb * nb).select(F.floor(F.col("id") / nb).cast("int").alias("i"), (F.col("id") % nb).cast("int").alias("j"))
+    cells = entries.select(of("r").alias("i"), of("c").alias("j"), "r", "c", "g")
+    return cells.groupBy("i", "j").cogroup(places.groupBy("i", "j")).applyInArrow(build, _TILE)
+
+
+def inverse_tiles(tiles: DataFrame, n: int, tile: int) -> DataFrame:
+    """Inverse of a symmetric positive definite matrix of tiles by blocked
+    Gauss-Jordan elimination.
+
+    One step for each diagonal tile: its row is multiplied by the inverse of
+    the pivot tile, then every tile takes off (its column tile) x (its row
+    tile). A task holds three tiles at a time, whatever n is; the matrix is
+    never in one place. Each step is written to the shared folder, so a lost
+    executor costs tasks of one step.
+    """
+    def scaled(k: int):
+        def run(batches):
+            for batch in batches:
+                for j, a, p in zip(*(batch.column(c).to_pylist() for c in ("j", "a", "p")), strict=True):
+                    w = _side(k, n, tile)
+                    inv = np.linalg.inv(_dense(p, w, w))
+                    r = inv if j == k else inv @ _dense(a, w, _side(j, n, tile))
+                    yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([r.tobytes()], pa.binary())], names=["j", "row"])
+        return run
+
+    def updated(k: int):
+        def run(batches):
+            for batch in batches:
+                for t in range(batch.num_rows):
+                    i, j, a, row, col = (batch.column(c)[t].as_py() for c in ("i", "j", "a", "row", "col"))
+                    if i != k:
+                        h, w = _side(i, n, tile), _side(j, n, tile)
+                        cut = _dense(col, h, _side(k, n, tile)) @ _dense(row, _side(k, n, tile), w)
+                        row = (-cut if j == k else _dense(a, h, w) - cut).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([row], pa.binary())],
+                                                     names=["i", "j", "a"])
+        return run
+
+    tiles = materialize(tiles)
+    for k in range(math.ceil(n / tile)):
+        pivot = tiles.where((F.col("i") == k) & (F.col("j") == k)).select(F.col("a").alias("p"))
+        rows = tiles.where(F.col("i") == k).select("j", "a").crossJoin(pivot).mapInArrow(scaled(k), "j int, row binary")  # one-row side
+        cols = tiles.where(F.col("j") == k).select("i", F.col("a").alias("col"))
+        tiles = materialize(tiles.join(rows, "j").join(cols, "i").select("i", "j", "a", "row", "col").mapInArrow(updated(k), _TILE))
+    return tiles
 
 
 def ease_fit(train: DataFrame, l2: float | None = None, max_items: int | None = None,
-             block: int = 256, tol: float = 1e-10, max_gram_entries: int = 400_000_000,
-             top_m: int | None = None) -> DataFrame:
+             block: int = 512, top_m: int | None = None) -> DataFrame:
     """C-7: EASE weights as a long table (src, dst, weight), diagonal excluded."""
     spark = train.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))  # a few tiles
     l2 = DEFAULTS.ease_lambda if l2 is None else l2
     act = active_items(train, max_items)
     from rankfold.operators.ranking import global_rank
     idx = global_rank(act.select(I), [F.asc(I)], "idx").select(I, (F.col("idx") - 1).alias("idx"))
-    idx_path = scratch_path(spark, "ease-index")
-    idx.write.parquet(idx_path)
-    idx = spark.read.parquet(idx_path)
+    idx = materialize(idx)
     n = idx.count()
     if n == 0:
         return spark.createDataFrame([], "src string, dst string, weight double")
@@ -149,38 +163,25 @@ def ease_fit(train: DataFrame, l2: float | None = None, max_items: int | None =
     gi = (g.join(idx.withColumnRenamed(I, "i").withColumnRenamed("idx", "r"), "i")
            .join(idx.withColumnRenamed(I, "j").withColumnRenamed("idx", "c"), "j")
            .select("r", "c", "g"))
-    g_path = scratch_path(spark, "ease-gram")
-    gi.write.parquet(g_path)
-    nnz = spark.read.parquet(g_path).count()
-    if nnz > max_gram_entries:
-        raise ValueError(f"Gram has {nnz} entries (> {max_gram_entries}); lower max_items")
-    n_blocks = max(1, math.ceil(n / block))
-    schema = T.StructType([T.StructField("r", T.LongType()), T.StructField("c", T.LongType()),
-                           T.StructField("weight", T.DoubleType())])
-
-    def solve(it):
-        tab = read_shared_parquet(g_path)
-        tab = tab.sort_values(["r", "c"], kind="stable")
-        rows = tab["r"].to_numpy(np.int64)
-        cols = tab["c"].to_numpy(np.int64)
-        vals = tab["g"].to_numpy(np.float64)
-        diag = np.zeros(n)
-        dm = rows == cols
-        diag[rows[dm]] = vals[dm]
-        matvec = _matvec_factory(rows, cols, vals, n)
-        for pdf in it:
-            for blk in pdf["id"].tolist():
-                targets = np.arange(blk * block, min(n, (blk + 1) * block))
-                Pm = _cg_solve_block(matvec, diag, n, targets, tol)
-                pjj = Pm[targets, np.arange(len(targets))]
-                Bm = -Pm / pjj[None, :]
-                rr, cc = np.meshgrid(np.arange(n), targets, indexing="ij")
+    inverse = inverse_tiles(gram_tiles(gi, n, block), n, block)
+    diagonal = inverse.where("i = j").select("j", F.col("a").alias("d"))
+
+    def weights(batches):
+        for batch in batches:
+            for t in range(batch.num_rows):
+                i, j, a, d = (batch.column(c)[t].as_py() for c in ("i", "j", "a", "d"))
+                h, w = _side(i, n, block), _side(j, n, block)
+                pjj = np.diagonal(_dense(d, w, w))
+                if not (np.isfinite(pjj).all() and (pjj > 0).all()):
+                    raise RuntimeError(f"the inverse is not positive on the diagonal of tile {j}; raise the ridge")
+                m = -_dense(a, h, w) / pjj[None, :]
+                rr, cc = np.meshgrid(np.arange(i * block, i * block + h), np.arange(j * block, j * block + w), indexing="ij")
                 keep = rr != cc
-                yield pd.DataFrame({"r": rr[keep].astype(np.int64), "c": cc[keep].astype(np.int64),
-                                    "weight": Bm[keep]})
+                rr, cc, m = rr[keep], cc[keep], m[keep]
+                for lo in range(0, len(m), 1 << 17):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[lo:lo + (1 << 17)]) for x in (rr, cc, m)], names=["r", "c", "weight"])
 
-    blocks = spark.range(n_blocks).repartition(n_blocks)
-    bw = blocks.mapInPandas(solve, schema)
+    bw = inverse.join(diagonal, "j").select("i", "j", "a", "d").mapInArrow(weights, "r long, c long, weight double")
     out = (bw.join(idx.withColumnRenamed(I, "src").withColumnRenamed("idx", "r"), "r")
              .join(idx.withColumnRenamed(I, "dst").withColumnRenamed("idx", "c"), "c")
              .select("src", "dst", "weight"))

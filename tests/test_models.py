@@ -93,20 +93,17 @@ def test_svd_factors_unit_norm_and_evr(spark, fx1):
     assert 0.0 < evr <= 1.0 + 1e-9
 
 
-def test_sparse_and_dense_matvec_agree():
+def test_tiles_invert_the_matrix(spark):
     rng = np.random.default_rng(2)
-    n = 30
+    n, tile = 30, 7
     A = rng.random((n, n)) * (rng.random((n, n)) < 0.2)
-    A = A + A.T + n * np.eye(n)
-    r, c = np.nonzero(A)
-    order = np.lexsort((c, r))
-    r, c, v = r[order], c[order], A[r[order], c[order]]
-    X = rng.random((n, 7))
-    dense = EA._matvec_factory(r, c, v, n)(X)
-    sparse = EA._matvec_factory(r, c, v, n, dense_limit=0, temp_budget=50)(X)
-    assert np.allclose(dense, A @ X) and np.allclose(sparse, A @ X)
-    P = EA._cg_solve_block(EA._matvec_factory(r, c, v, n, dense_limit=0), np.diag(A).copy(), n, np.arange(n))
-    assert np.abs(A @ P - np.eye(n)).max() < 1e-6
+    A = A @ A.T + np.eye(n)
+    cells = spark.createDataFrame([(int(r), int(c), float(A[r, c])) for r, c in zip(*np.nonzero(A))], "r long, c long, g double")
+    P = np.zeros((n, n))
+    for t in EA.inverse_tiles(EA.gram_tiles(cells, n, tile), n, tile).collect():
+        h, w = min(tile, n - t.i * tile), min(tile, n - t.j * tile)
+        P[t.i * tile:t.i * tile + h, t.j * tile:t.j * tile + w] = np.frombuffer(t.a).reshape(h, w)
+    assert np.abs(A @ P - np.eye(n)).max() < 1e-8
 
 
 def test_ease_block_topk_equals_join_form(spark):
