@@ -89,7 +89,13 @@ def op4_pack(spark, sf_dir):
         F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-@query("op5_warc")
+@query("op5_warc", r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+ d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(h, CAST(1 + 10 * (i // 8) AS INTEGER), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31) AS INTEGER) + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to
+FROM d""")
 def op5_warc(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     read = warc.read_transactions(spark, warc.write_archives(pages))
@@ -160,7 +166,18 @@ def op8_url_filter(spark, sf_dir):
                          v["verdict"].alias("verdict"))
 
 
-@query("op9_minhash_dedup")
+@query("op9_minhash_dedup", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS k
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ link AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON e.a = r.other)
+SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id, min(other) = w.doc_id AS kept
+FROM w JOIN reach ON reach.doc_id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id""")
 def op9_minhash_dedup(spark, sf_dir):
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, size=5)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
