@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from rankfold.llm import chat, classifier, pack, urls, warc
@@ -201,7 +202,8 @@ def test_sql_and_queries_agree(spark):
         cols = sorted(want.columns)
         got = QUERIES[name](spark, SF).toPandas()
         assert sorted(got.columns) == cols, name
-        key = lambda d: sorted(map(str, d[cols].itertuples(index=False, name=None)))
+        key = lambda d: sorted(str([None if v != v or v is pd.NA else v for v in row]) for row in
+                               d[cols].astype(object).where(d[cols].notna(), None).itertuples(index=False, name=None))
         assert key(got) == key(want), name
 
 
