@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rankfold.operators import prepare as P
 from rankfold.operators import split as S
-from rankfold.session import shared_dir
+from rankfold.session import materialize, shared_dir
 from rankfold.sources import testtables as TT
 
 K = 10
@@ -34,8 +34,11 @@ class Prepared:
         return P.active_users(self.inter, MIN_ITEMS, MAX_USERS)
 
     @cached_property
-    def pairs(self) -> DataFrame:  # pairs of active users
-        return P.filter_active(self.inter, self.active)
+    def pairs(self) -> DataFrame:
+        """Pairs of active users: written once to the shared folder, since the
+        popularity, the split, the catalog and the models all read them (the
+        event scan, G-1 and the semi join run once)."""
+        return materialize(P.filter_active(self.inter, self.active))
 
     @cached_property
     def pop(self) -> DataFrame:  # (item_id, popularity) over active pairs
