@@ -7,7 +7,7 @@ aggregate; unknown users / items become error rows (X-7), never exceptions.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfold.functions.exprs import clip01, round4
@@ -22,6 +22,11 @@ ERR_ACTIVE = "Product is outside the EASE active item set"
 ERR_NO_OVERLAP = ("None of the user's history items overlap with the EASE active item set. "
                   "Recommendation may use popularity fallback.")
 
+# fixed values: explanation texts of the content explainer
+TXT_CONTENT = "This item is similar to {} product(s) you've previously viewed"
+TXT_SAME_CATEGORY = ", and shares the same product category."
+TXT_PROPERTIES = " based on shared properties."
+
 
 def _pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(U, I).distinct()
@@ -35,6 +40,12 @@ def _error(pairs, known_users, known_items, user_msg=ERR_COLD):
                         .when(F.col("_ki").isNull(), F.lit(ERR_ITEM))).drop("_ku", "_ki")
 
 
+def _ordered(*cols) -> Column:
+    """The evidence rows of a pair (at most top_k) as structs, in the order of ``pos``."""
+    rows = F.sort_array(F.collect_list(F.struct("pos", F.struct(*cols).alias("e"))))
+    return F.transform(rows, lambda x: x["e"])
+
+
 def ease_contributions(pairs: DataFrame, train: DataFrame, B: DataFrame, top_k: int = 5) -> DataFrame:
     """X-1 evidence: the user's history items ranked by |B(h, target)| (top_k)."""
     h = train.select(U, F.col(I).alias("src"))
@@ -45,16 +56,22 @@ def ease_contributions(pairs: DataFrame, train: DataFrame, B: DataFrame, top_k:
 
 
 def explain_ease(pairs: DataFrame, train: DataFrame, B: DataFrame, catalog: DataFrame,
-                 top_k: int = 5) -> DataFrame:
-    """X-1 summary: history items checked, contribution = sum of the top_k raw B
-    (user weights not applied), confidence = clip(total, 0, 1)."""
+                 top_k: int = 5, categories: DataFrame | None = None) -> DataFrame:
+    """X-1: history items checked, contribution = sum of the top_k raw B
+    (user weights not applied), confidence = clip(total, 0, 1), and the top_k
+    contributing history items themselves."""
     base = _error(pairs, train, catalog)
     active = B.select(F.col("dst").alias(I)).distinct().withColumn("_act", F.lit(True))
     act_src = B.select("src").distinct()
     checked = (train.select(U, F.col(I).alias("src")).join(act_src, "src", "left_semi")
                     .groupBy(U).agg(F.count(F.lit(1)).alias("history_items_checked")))
-    ev = ease_contributions(pairs, train, B, top_k).groupBy(U, I).agg(
-        F.sum("weight").alias("_tot"), F.count(F.lit(1)).alias("n_supporting"))
+    ev = ease_contributions(pairs, train, B, top_k)
+    cats = F.lit(None).cast("string")
+    if categories is not None:
+        ev, cats = ev.join(categories.select(F.col(I).alias("src"), "category"), "src", "left"), F.col("category")
+    ev = ev.groupBy(U, I).agg(
+        F.sum("weight").alias("_tot"), F.count(F.lit(1)).alias("n_supporting"),
+        _ordered(F.col("src").alias("item_id"), F.round("weight", 6).alias("ease_weight"), cats.alias("category")).alias("_items"))
     r = base.join(active, I, "left").join(checked, U, "left").join(ev, [U, I], "left")
     err = (F.when(F.col("error").isNotNull(), F.col("error"))
             .when(F.col("_act").isNull(), F.lit(ERR_ACTIVE))
@@ -65,7 +82,8 @@ def explain_ease(pairs: DataFrame, train: DataFrame, B: DataFrame, catalog: Data
                     F.when(ok, F.col("history_items_checked")).cast("bigint").alias("history_items_checked"),
                     F.when(ok, F.round(tot, 6)).alias("ease_score_contribution"),
                     F.when(ok, round4(F.when(tot > 0, clip01(tot)).otherwise(F.lit(0.0)))).alias("confidence"),
-                    F.when(ok, F.col("n_supporting")).cast("bigint").alias("n_supporting"))
+                    F.when(ok, F.col("n_supporting")).cast("bigint").alias("n_supporting"),
+                    F.when(ok, F.col("_items")).alias("top_contributing_history_items"))
 
 
 def explain_neighbors(pairs: DataFrame, user_factors: DataFrame, train: DataFrame,
@@ -100,9 +118,8 @@ def explain_neighbors(pairs: DataFrame, user_factors: DataFrame, train: DataFram
                     F.when(ok, F.coalesce("supporting_items", F.lit(""))).alias("supporting_items"))
 
 
-def content_evidence(pairs: DataFrame, train: DataFrame, item_class: DataFrame, class_sim: DataFrame,
-                     top: int = 3) -> DataFrame:
-    """X-3 evidence rows: the ``top`` history items most similar to the target."""
+def content_evidence(pairs: DataFrame, train: DataFrame, item_class: DataFrame, class_sim: DataFrame) -> DataFrame:
+    """X-3 evidence rows: the history items by similarity to the target (``pos``)."""
     h = train.select(U, F.col(I).alias("seen"))
     ic = item_class.select(I, "cls")
     j = (_pairs(pairs).join(h, U)
@@ -115,11 +132,15 @@ def content_evidence(pairs: DataFrame, train: DataFrame, item_class: DataFrame,
 
 
 def explain_content(pairs: DataFrame, train: DataFrame, item_class: DataFrame, class_sim: DataFrame,
-                    categories: DataFrame) -> DataFrame:
-    """X-3 summary: category match, mean similarity to the whole history."""
+                    categories: DataFrame, top_k: int = 3) -> DataFrame:
+    """X-3: category match, mean similarity to the whole history, and the top_k
+    most similar history items."""
     ev = content_evidence(pairs, train, item_class, class_sim)
-    agg = ev.groupBy(U, I).agg(F.avg("sim").alias("_avg"), F.count_if(F.col("pos") <= 3).alias("n_similar"))
+    agg = ev.groupBy(U, I).agg(F.avg("sim").alias("_avg"), F.count_if(F.col("pos") <= top_k).alias("n_similar"))
     cats = categories.select(I, "category")
+    items = (ev.where(F.col("pos") <= top_k).join(cats.withColumnRenamed(I, "seen"), "seen", "left").groupBy(U, I).agg(
+        _ordered(F.col("seen").alias("item_id"), round4("sim").alias("similarity"), "category").alias("_items")))
+    agg = agg.join(items, [U, I], "left")
     ucats = (train.select(U, I).join(cats, I).select(U, "category").distinct()
                   .withColumn("_m", F.lit(True)))
     base = _error(pairs, train, item_class, ERR_USER)
@@ -131,7 +152,10 @@ def explain_content(pairs: DataFrame, train: DataFrame, item_class: DataFrame, c
                     F.when(ok, F.col("product_category")).alias("product_category"),
                     F.when(ok, match).alias("category_match"),
                     F.when(ok, round4(F.coalesce("_avg", F.lit(0.0)))).alias("average_similarity_to_history"),
-                    F.when(ok, F.col("n_similar")).cast("bigint").alias("n_similar"))
+                    F.when(ok, F.col("n_similar")).cast("bigint").alias("n_similar"),
+                    F.when(ok, F.col("_items")).alias("most_similar_seen_items"),
+                    F.when(ok, F.concat(F.lit(TXT_CONTENT.format(top_k)), F.when(match, F.lit(TXT_SAME_CATEGORY)).otherwise(
+                        F.lit(TXT_PROPERTIES)))).alias("explanation_text"))
 
 
 def dimension_items(item_factors: DataFrame, n: int = 3) -> DataFrame:
@@ -143,8 +167,8 @@ def dimension_items(item_factors: DataFrame, n: int = 3) -> DataFrame:
                                                            lambda s: s[I]), ",").alias("representative_items"))
 
 
-def shap_values(pairs: DataFrame, user_factors: DataFrame, item_factors: DataFrame, top_k: int = 5) -> DataFrame:
-    """X-4 evidence: shap_j = u_j * i_j; top_k dimensions by |shap| (ties: dim)."""
+def shap_values(pairs: DataFrame, user_factors: DataFrame, item_factors: DataFrame) -> DataFrame:
+    """X-4 evidence: shap_j = u_j * i_j; dimensions by |shap| (``pos``; ties: dim)."""
     uf = user_factors.select(F.col("id").alias(U), F.col("factor").alias("_u"))
     vf = item_factors.select(F.col("id").alias(I), F.col("factor").alias("_v"))
     j = _pairs(pairs).join(uf, U).join(vf, I)
@@ -154,17 +178,23 @@ def shap_values(pairs: DataFrame, user_factors: DataFrame, item_factors: DataFra
 
 
 def explain_shap(pairs: DataFrame, user_factors: DataFrame, item_factors: DataFrame, top_k: int = 5) -> DataFrame:
-    """X-4 summary: total score (= sum of shap), top dimension and its value."""
-    s = shap_values(pairs, user_factors, item_factors, top_k)
+    """X-4: total score (= sum of shap), top dimension, and the top_k dimensions
+    with their direction and representative items."""
+    s = shap_values(pairs, user_factors, item_factors)
+    way = F.when(F.col("shap") >= 0, F.lit("positive")).otherwise(F.lit("negative"))
+    dims = s.where(F.col("pos") <= top_k).join(dimension_items(item_factors), "dim", "left").groupBy(U, I).agg(
+        _ordered(F.col("dim").alias("dimension"), F.round("shap", 6).alias("shap_value"), way.alias("direction"),
+                 "representative_items").alias("_dims"))
     agg = s.groupBy(U, I).agg(F.sum("shap").alias("_tot"), F.count(F.lit(1)).alias("n_components"),
                               F.max_by("dim", F.when(F.col("pos") == 1, F.lit(1)).otherwise(F.lit(0))).alias("top_dimension"))
     base = _error(pairs, user_factors.withColumnRenamed("id", U), item_factors.withColumnRenamed("id", I))
-    r = base.join(agg, [U, I], "left")
+    r = base.join(agg, [U, I], "left").join(dims, [U, I], "left")
     ok = F.col("error").isNull()
     return r.select(U, I, F.lit("shap_latent").alias("method"), "error",
                     F.when(ok, F.round("_tot", 6)).alias("total_score"),
                     F.when(ok, F.col("n_components")).cast("bigint").alias("n_components"),
-                    F.when(ok, F.col("top_dimension")).cast("int").alias("top_dimension"))
+                    F.when(ok, F.col("top_dimension")).cast("int").alias("top_dimension"),
+                    F.when(ok, F.col("_dims")).alias("top_dimensions"))
 
 
 def lime_matrices(dim: int, n_samples: int = 50, sigma: float = 0.1, bandwidth: float = 0.5,
@@ -221,7 +251,7 @@ def explain_all(pairs: DataFrame, bundle, top_k: int = 5) -> DataFrame:
     cols = [U, I]
     out = _pairs(pairs)
     if bundle.B is not None:
-        e = explain_ease(pairs, bundle.train, bundle.B, bundle.items, top_k)
+        e = explain_ease(pairs, bundle.train, bundle.B, bundle.items, top_k, bundle.categories)
         out = out.join(e.select(*cols, F.struct(*[c for c in e.columns if c not in cols]).alias("ease")), cols, "left")
     if bundle.class_sim is not None:
         c = explain_content(pairs, bundle.train, bundle.item_class, bundle.class_sim, bundle.categories)
@@ -241,7 +271,7 @@ def explain(pairs: DataFrame, bundle, method: str = "auto", top_k: int = 5) -> D
         method = "shap" if bundle.user_factors is not None else "collaborative"
     if method == "collaborative":
         if bundle.B is not None:
-            return explain_ease(pairs, bundle.train, bundle.B, bundle.items, top_k)
+            return explain_ease(pairs, bundle.train, bundle.B, bundle.items, top_k, bundle.categories)
         return explain_neighbors(pairs, bundle.user_factors, bundle.train)
     if method == "content_based":
         return explain_content(pairs, bundle.train, bundle.item_class, bundle.class_sim, bundle.categories)

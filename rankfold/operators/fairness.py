@@ -8,6 +8,8 @@ percentiles (``percentile``), computed once as a one-row table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ TXT_FAIR = "Good overall fairness."
 TXT_UNFAIR = "Fairness concerns detected — consider diversification."
 TXT_SEG_UNFAIR = "Significant disparity between power and casual users detected."
 TXT_SEG_FAIR = "Recommendation quality is relatively equitable across user segments."
+TXT_TAIL_LOW = ("Long-tail items are underexposed (", " coverage). Consider diversity re-ranking or popularity penalty.")
+TXT_TAIL_OK = ("Acceptable long-tail exposure (", ").")
 
 
 def thresholds(pop: DataFrame, pcts=(20, 50, 80, 95)) -> DataFrame:
@@ -78,20 +82,24 @@ def popularity_bias(recs: DataFrame, pop: DataFrame, threshold: float | None = N
 
 
 def category_diversity(recs: DataFrame, categories: DataFrame, threshold: float | None = None) -> DataFrame:
-    """F-4: normalised Shannon entropy of the list's categories (missing = 'unknown')."""
+    """F-4: normalised Shannon entropy of the list's categories (missing =
+    'unknown'), with the ten most frequent categories (ties: by name)."""
     threshold = DEFAULTS.min_category_diversity if threshold is None else threshold
     c = (recs.select(U, I).join(categories.select(I, "category"), I, "left")
              .withColumn("category", F.coalesce("category", F.lit("unknown"))))
     cnt = c.groupBy(U, "category").agg(F.count(F.lit(1)).alias("_c"))
     p = cnt.withColumn("_p", F.col("_c") / F.sum("_c").over(Window.partitionBy(U)))
     per = p.groupBy(U).agg(F.count(F.lit(1)).alias("n_unique_categories"),
-                           (-F.sum(F.col("_p") * F.log(F.col("_p") + F.lit(1e-12)))).alias("_h"))
+                           (-F.sum(F.col("_p") * F.log(F.col("_p") + F.lit(1e-12)))).alias("_h"),
+                           # a list's categories, so at most as many as the list has items
+                           F.slice(F.sort_array(F.collect_list(F.struct((-F.col("_c")).alias("_k"), "category"))), 1, 10).alias("_top"))
     score = F.when(F.col("n_unique_categories") <= 1, F.lit(0.0)).otherwise(
         F.col("_h") / F.log(F.col("n_unique_categories")))
     # round on 9 dp first so float noise cannot flip a 4-dp half step
     s4 = round4(score)
     return per.select(U, s4.alias("category_diversity_score"),
                       F.col("n_unique_categories").cast("bigint").alias("n_unique_categories"),
+                      F.transform("_top", lambda t: F.struct(t["category"].alias("category"), (-t["_k"]).alias("n"))).alias("category_distribution"),
                       (s4 >= threshold).alias("meets_diversity_threshold"),
                       F.when(score >= threshold, F.lit(TXT_DIVERSE)).otherwise(F.lit(TXT_NOT_DIVERSE))
                       .alias("interpretation"))
@@ -202,26 +210,29 @@ def long_tail_exposure(recs: DataFrame, pop: DataFrame, catalog: DataFrame,
 
 def system_report(recs: DataFrame, pop: DataFrame, catalog: DataFrame, train: DataFrame,
                   categories: DataFrame) -> DataFrame:
-    """F-10: catalog concentration + long-tail exposure + segment parity as (metric, value)."""
+    """F-10: catalog concentration + long-tail exposure + segment parity as
+    (metric, value, text). Flags have the value 0 or 1; those with an
+    interpretation carry it as text."""
     users = recs.select(U).distinct()
     cc = catalog_concentration(recs, catalog)
     lt = long_tail_exposure(recs, pop, catalog)
     sp = segment_parity(recs, user_segments(train, users), pop, categories)
     gaps = segment_gaps(sp)
-    m1 = cc.select(F.inline(F.array(
-        F.struct(F.lit("catalog_coverage").alias("metric"), F.col("catalog_coverage").cast("double").alias("value")),
-        F.struct(F.lit("top_10pct_items_concentration").alias("metric"),
-                 F.col("top_10pct_items_concentration").cast("double").alias("value")))))
-    m2 = lt.select(F.concat(F.col("tier"), F.lit("_exposure")).alias("metric"), F.col("exposure").cast("double").alias("value"))
-    m3 = sp.select(F.concat(F.col("segment"), F.lit("_avg_diversity_score")).alias("metric"),
-                   F.col("avg_diversity_score").cast("double").alias("value")).unionByName(
-         sp.select(F.concat(F.col("segment"), F.lit("_avg_popular_fraction")).alias("metric"),
-                   F.col("avg_popular_fraction").cast("double").alias("value"))).unionByName(
-         sp.select(F.concat(F.col("segment"), F.lit("_n_users")).alias("metric"),
-                   F.col("n_users").cast("double").alias("value")))
-    m4 = gaps.select(F.inline(F.array(
-        F.struct(F.lit("diversity_gap_power_vs_casual").alias("metric"),
-                 F.col("diversity_gap_power_vs_casual").cast("double").alias("value")),
-        F.struct(F.lit("popularity_gap_power_vs_casual").alias("metric"),
-                 F.col("popularity_gap_power_vs_casual").cast("double").alias("value")))))
-    return m1.unionByName(m2).unionByName(m3).unionByName(m4)
+
+    def rows(df: DataFrame, *metrics: tuple) -> DataFrame:
+        return df.select(F.inline(F.array(*[F.struct(
+            (F.lit(name) if isinstance(name, str) else name).alias("metric"), value.cast("double").alias("value"),
+            (F.lit(None).cast("string") if not text else text[0]).alias("text")) for name, value, *text in metrics])))
+
+    shown = F.concat(F.format_number(F.round(F.col("exposure") * 100, 1), 1), F.lit("%"))
+    tail = F.when(F.col("tail_suppression_detected"), F.concat(F.lit(TXT_TAIL_LOW[0]), shown, F.lit(TXT_TAIL_LOW[1]))).otherwise(
+        F.concat(F.lit(TXT_TAIL_OK[0]), shown, F.lit(TXT_TAIL_OK[1])))
+    parts = [
+        rows(cc, *[(c, F.col(c)) for c in ("catalog_coverage", "top_10pct_items_concentration", "high_concentration")]),
+        rows(lt, (F.concat(F.col("tier"), F.lit("_exposure")), F.col("exposure"))),
+        rows(lt.where(F.col("tier") == "tail"), ("tail_suppression_detected", F.col("tail_suppression_detected"), tail)),
+        rows(sp, *[(F.concat(F.col("segment"), F.lit(f"_{c}")), F.col(c)) for c in ("avg_diversity_score", "avg_popular_fraction", "n_users")]),
+        rows(gaps, *[(c, F.col(c)) for c in ("diversity_gap_power_vs_casual", "popularity_gap_power_vs_casual")],
+             ("unfairness_detected", F.col("unfairness_detected"), F.col("interpretation"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -26,11 +26,16 @@ def _pairs_and_bundle(spark, sf_dir, ease=True, factors=False):
     return p, b, pairs
 
 
+def _ids(df, evidence: str, field: str):
+    """The evidence structs' ids in order, comma-joined."""
+    return F.array_join(F.transform(F.col(evidence), lambda e: e[field].cast("string")), ",")
+
+
 _X1 = """xev AS (
   SELECT x.user_id, x.item_id, b.src, b.weight,
          row_number() OVER (PARTITION BY x.user_id, x.item_id ORDER BY ABS(b.weight) DESC, b.src) AS pos
   FROM xp x JOIN train t ON t.user_id = x.user_id JOIN bw b ON b.src = t.item_id AND b.dst = x.item_id),
-xsum AS (SELECT user_id, item_id, SUM(weight) AS tot, COUNT(*) AS n FROM xev WHERE pos <= 5 GROUP BY user_id, item_id),
+xsum AS (SELECT user_id, item_id, SUM(weight) AS tot, COUNT(*) AS n, string_agg(src, ',' ORDER BY pos) AS items FROM xev WHERE pos <= 5 GROUP BY user_id, item_id),
 chk AS (SELECT user_id, COUNT(*) AS c FROM train WHERE item_id IN (SELECT src FROM bw) GROUP BY user_id),
 x1 AS (
   SELECT x.user_id, x.item_id,
@@ -38,7 +43,7 @@ x1 AS (
               WHEN x.item_id NOT IN (SELECT item_id FROM pairs) THEN 'Product not found in training data'
               WHEN x.item_id NOT IN (SELECT dst FROM bw) THEN 'Product is outside the EASE active item set'
               WHEN COALESCE(chk.c, 0) = 0 THEN 'None of the user''s history items overlap with the EASE active item set. Recommendation may use popularity fallback.'
-         END AS error, chk.c, xsum.tot, xsum.n
+         END AS error, chk.c, xsum.tot, xsum.n, xsum.items
   FROM xp x LEFT JOIN chk ON chk.user_id = x.user_id
   LEFT JOIN xsum ON xsum.user_id = x.user_id AND xsum.item_id = x.item_id)"""
 
@@ -48,12 +53,13 @@ SELECT user_id, item_id, 'ease_cooccurrence' AS method, error,
        CASE WHEN error IS NULL THEN CAST(c AS BIGINT) END AS history_items_checked,
        CASE WHEN error IS NULL THEN ROUND(COALESCE(tot, 0.0), 6) END AS ease_score_contribution,
        CASE WHEN error IS NULL THEN {Q.r4("CASE WHEN COALESCE(tot, 0.0) > 0 THEN LEAST(1.0, GREATEST(0.0, tot)) ELSE 0.0 END")} END AS confidence,
-       CASE WHEN error IS NULL THEN CAST(n AS BIGINT) END AS n_supporting
+       CASE WHEN error IS NULL THEN CAST(n AS BIGINT) END AS n_supporting, CASE WHEN error IS NULL THEN items END AS history_items
 FROM x1""", recursive=True))
 def x1_ease_explanation_e(spark, sf_dir):
     """X-1 + X-7: EASE contribution of the history to each recommended item."""
     p, b, pairs = _pairs_and_bundle(spark, sf_dir)
-    return X.explain_ease(pairs, p.train, b.B, b.items)
+    x = X.explain_ease(pairs, p.train, b.B, b.items, categories=b.categories)
+    return x.withColumn("history_items", _ids(x, "top_contributing_history_items", "item_id")).drop("top_contributing_history_items")
 
 
 @query("x1_ease_contributions_e", Q.with_prep(E, *_XP, _X1, body="""
@@ -108,14 +114,15 @@ _X3 = """xcev AS (
          row_number() OVER (PARTITION BY x.user_id, x.item_id ORDER BY ROUND(COALESCE(s.sim, 0.0), 9) DESC, t.item_id) AS pos
   FROM xp x JOIN train t ON t.user_id = x.user_id
   LEFT JOIN isim s ON s.item_a = t.item_id AND s.item_b = x.item_id),
-xcagg AS (SELECT user_id, item_id, AVG(sim) AS av, COUNT(*) FILTER (WHERE pos <= 3) AS ns FROM xcev GROUP BY user_id, item_id),
+xcagg AS (SELECT user_id, item_id, AVG(sim) AS av, COUNT(*) FILTER (WHERE pos <= 3) AS ns,
+       string_agg(seen, ',' ORDER BY pos) FILTER (WHERE pos <= 3) AS seen FROM xcev GROUP BY user_id, item_id),
 ucat AS (SELECT DISTINCT t.user_id, c.category FROM train t JOIN cat c ON c.item_id = t.item_id),
 x3 AS (SELECT x.user_id, x.item_id,
               CASE WHEN x.user_id NOT IN (SELECT user_id FROM train) THEN 'User not found in training data'
                    WHEN x.item_id NOT IN (SELECT item_id FROM items) THEN 'Product not found in training data' END AS error,
               pc.category AS product_category,
               pc.category IS NOT NULL AND EXISTS (SELECT 1 FROM ucat u WHERE u.user_id = x.user_id AND u.category = pc.category) AS m,
-              xcagg.av, xcagg.ns
+              xcagg.av, xcagg.ns, xcagg.seen
        FROM xp x LEFT JOIN cat pc ON pc.item_id = x.item_id
        LEFT JOIN xcagg ON xcagg.user_id = x.user_id AND xcagg.item_id = x.item_id)"""
 
@@ -125,11 +132,14 @@ SELECT user_id, item_id, 'content_similarity' AS method, error,
        CASE WHEN error IS NULL THEN product_category END AS product_category,
        CASE WHEN error IS NULL THEN m END AS category_match,
        CASE WHEN error IS NULL THEN {Q.r4("COALESCE(av, 0.0)")} END AS average_similarity_to_history,
-       CASE WHEN error IS NULL THEN CAST(ns AS BIGINT) END AS n_similar
+       CASE WHEN error IS NULL THEN CAST(ns AS BIGINT) END AS n_similar, CASE WHEN error IS NULL THEN seen END AS similar_items,
+       CASE WHEN error IS NULL THEN '""" + X.TXT_CONTENT.format(3).replace("'", "''") + f"""' || CASE WHEN m THEN '{X.TXT_SAME_CATEGORY}'
+            ELSE '{X.TXT_PROPERTIES}' END END AS explanation_text
 FROM x3""", recursive=True))
 def x3_content_explanation_e(spark, sf_dir):
     p, b, pairs = _pairs_and_bundle(spark, sf_dir)
-    return X.explain_content(pairs, p.train, b.item_class, b.class_sim, b.categories)
+    x = X.explain_content(pairs, p.train, b.item_class, b.class_sim, b.categories)
+    return x.withColumn("similar_items", _ids(x, "most_similar_seen_items", "item_id")).drop("most_similar_seen_items")
 
 
 @query("x3_content_evidence_e", Q.with_prep(E, *_XP, Q.content(), _X3, body=f"""
@@ -156,14 +166,16 @@ xsr AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY ABS(
 SELECT x.user_id, x.item_id, 'shap_latent' AS method,
        CASE WHEN x.user_id NOT IN (SELECT id FROM vv) THEN 'User not found in training data (cold-start user)'
             WHEN x.item_id NOT IN (SELECT id FROM vv) THEN 'Product not found in training data' END AS error,
-       ROUND(a.tot, 6) AS total_score, CAST(a.n AS BIGINT) AS n_components, CAST(a.td AS INTEGER) AS top_dimension
+       ROUND(a.tot, 6) AS total_score, CAST(a.n AS BIGINT) AS n_components, CAST(a.td AS INTEGER) AS top_dimension, a.tds AS top_dimensions
 FROM xp x LEFT JOIN (SELECT user_id, item_id, SUM(shap) AS tot, COUNT(*) AS n,
-                            MAX(CASE WHEN pos = 1 THEN dim END) AS td FROM xsr GROUP BY user_id, item_id) a
+                            MAX(CASE WHEN pos = 1 THEN dim END) AS td,
+                            string_agg(CAST(dim AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE pos <= 5) AS tds FROM xsr GROUP BY user_id, item_id) a
   ON a.user_id = x.user_id AND a.item_id = x.item_id""", recursive=True))
 def x4_shap_explanation_e(spark, sf_dir):
     """X-4: exact SHAP of the dot-product score (embeddings as user and item factors)."""
     p, b, pairs = _pairs_and_bundle(spark, sf_dir, factors=True)
-    return X.explain_shap(pairs, b.user_factors, b.item_factors)
+    x = X.explain_shap(pairs, b.user_factors, b.item_factors)
+    return x.withColumn("top_dimensions", _ids(x, "top_dimensions", "dimension"))
 
 
 @query("x4_shap_top_dimensions_e", Q.with_prep(E, *_XP, _X4, """dimi AS (

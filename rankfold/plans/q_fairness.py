@@ -113,11 +113,16 @@ def f3_gini_item_popularity_l(spark, sf_dir):
 SELECT user_id, category_diversity_score, n_unique_categories,
        category_diversity_score >= 0.3 AS meets_diversity_threshold,
        CASE WHEN raw_score >= 0.3 THEN 'Good category diversity.'
-            ELSE 'Low category diversity: recommendations concentrated in few categories.' END AS interpretation
+            ELSE 'Low category diversity: recommendations concentrated in few categories.' END AS interpretation,
+       (SELECT string_agg(category || ':' || c, ',' ORDER BY c DESC, category) FROM (
+          SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY c DESC, category) AS r FROM fcc) t
+        WHERE r <= 10 AND t.user_id = cdf.user_id) AS category_distribution
 FROM cdf""", recursive=True))
 def f4_category_diversity_e(spark, sf_dir):
     _, recs, cats = _ease(spark, sf_dir)
-    return FA.category_diversity(recs, cats)
+    d = FA.category_diversity(recs, cats)
+    said = F.transform("category_distribution", lambda x: F.concat(x["category"], F.lit(":"), x["n"].cast("string")))
+    return d.withColumn("category_distribution", F.array_join(said, ","))
 
 
 @query("f5_catalog_concentration_e", Q.with_prep(E, *_EASE_ALL, _f(_CC), body="SELECT * FROM ccf", recursive=True))
@@ -187,14 +192,21 @@ def f9_long_tail_exposure_popular_l(spark, sf_dir):
 
 @query("f10_system_fairness_report_e", Q.with_prep(
     E, Q.CATS, *_EASE_ALL, _f(_PB), _f(_CD), _f(_SEG), _f(_CC), _f(_LT), body="""
-SELECT 'catalog_coverage' AS metric, CAST(catalog_coverage AS DOUBLE) AS value FROM ccf
-UNION ALL SELECT 'top_10pct_items_concentration', top_10pct_items_concentration FROM ccf
-UNION ALL SELECT tier || '_exposure', exposure FROM ltx
-UNION ALL SELECT segment || '_avg_diversity_score', avg_diversity_score FROM par
-UNION ALL SELECT segment || '_avg_popular_fraction', avg_popular_fraction FROM par
-UNION ALL SELECT segment || '_n_users', CAST(n_users AS DOUBLE) FROM par
-UNION ALL SELECT 'diversity_gap_power_vs_casual', dg FROM gaps
-UNION ALL SELECT 'popularity_gap_power_vs_casual', pg FROM gaps""", recursive=True))
+SELECT 'catalog_coverage' AS metric, CAST(catalog_coverage AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS text FROM ccf
+UNION ALL SELECT 'top_10pct_items_concentration', top_10pct_items_concentration, NULL FROM ccf
+UNION ALL SELECT 'high_concentration', CAST(high_concentration AS DOUBLE), NULL FROM ccf
+UNION ALL SELECT tier || '_exposure', exposure, NULL FROM ltx
+UNION ALL SELECT 'tail_suppression_detected', CAST(tail_suppression_detected AS DOUBLE),
+  CASE WHEN tail_suppression_detected THEN '""" + FA.TXT_TAIL_LOW[0] + """' || printf('%.1f%%', exposure * 100) || '""" + FA.TXT_TAIL_LOW[1] + """'
+       ELSE '""" + FA.TXT_TAIL_OK[0] + """' || printf('%.1f%%', exposure * 100) || '""" + FA.TXT_TAIL_OK[1] + """' END
+  FROM ltx WHERE tier = 'tail'
+UNION ALL SELECT segment || '_avg_diversity_score', avg_diversity_score, NULL FROM par
+UNION ALL SELECT segment || '_avg_popular_fraction', avg_popular_fraction, NULL FROM par
+UNION ALL SELECT segment || '_n_users', CAST(n_users AS DOUBLE), NULL FROM par
+UNION ALL SELECT 'diversity_gap_power_vs_casual', dg, NULL FROM gaps
+UNION ALL SELECT 'popularity_gap_power_vs_casual', pg, NULL FROM gaps
+UNION ALL SELECT 'unfairness_detected', CAST(dg > 0.2 OR pg > 0.2 AS DOUBLE),
+  CASE WHEN dg > 0.2 OR pg > 0.2 THEN '""" + FA.TXT_SEG_UNFAIR + """' ELSE '""" + FA.TXT_SEG_FAIR + """' END FROM gaps""", recursive=True))
 def f10_system_fairness_report_e(spark, sf_dir):
     """F-10: one recs table (10 collaborative items per user) feeding three aggregates."""
     p, recs, cats = _ease(spark, sf_dir)
