@@ -11,6 +11,7 @@ class Settings:
     min_user_interactions: int = 5
     max_training_users: int | None = None  # no cap unless asked for
     test_fraction: float = 0.2
+    popularity_from: str = "all"  # or "train": item popularity without the held-out pairs
     # fixed values: implicit-feedback event weights; unknown events weigh 1
     event_weights: tuple = (("view", 1.0), ("addtocart", 3.0), ("transaction", 5.0))
     default_weight: float = 1.0

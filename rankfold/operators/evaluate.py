@@ -134,8 +134,9 @@ def coverage_metrics(recs: DataFrame, users: DataFrame, items: DataFrame, pop: D
 
 
 def evaluation_report(recs: DataFrame, truth: DataFrame, pairs: DataFrame, pop: DataFrame,
-                      factors: DataFrame, categories: DataFrame, k: int = 10) -> DataFrame:
-    """V-14: ranking + diversity/novelty + coverage as one long (metric, value) table.
+                      factors: DataFrame, categories: DataFrame, k: int = 10, metadata: dict | None = None) -> DataFrame:
+    """V-14: ranking, diversity/novelty, coverage and metadata as one long
+    (section, metric, value, text) table. ``metadata`` (a bundle's) comes as text.
 
     Diversity, entropy and novelty are averaged over lists with >= 2 factor
     items, as the reference does; every part is an aggregate of one recs table.
@@ -150,19 +151,26 @@ def evaluation_report(recs: DataFrame, truth: DataFrame, pairs: DataFrame, pop:
               .crossJoin(nov.agg(F.avg("novelty").alias("c"))))  # one-row sides
     cov = coverage_metrics(recs, pairs, pairs, pop)
     row = rk.crossJoin(div).crossJoin(cov)  # one-row sides
-    metrics = [
-        ("precision_at_10", F.col("precision_at_k")), ("recall_at_10", F.col("recall_at_k")),
-        ("ndcg_at_10", F.col("ndcg_at_k")), ("mrr_at_10", F.col("mrr_at_k")),
-        ("hit_rate_at_10", F.col("hit_rate_at_k")), ("f1_at_10", F.col("f1_at_k")),
-        ("n_eval_users", F.col("n_eval_users").cast("double")),
-        ("intra_list_diversity", round4(F.coalesce("a", F.lit(0.0)))),
-        ("category_entropy_at_10", round4(F.coalesce("b", F.lit(0.0)))),
-        ("novelty_at_10", round4(F.coalesce("c", F.lit(0.0)))),
-        ("catalog_coverage", F.col("catalog_coverage")), ("user_coverage", F.col("user_coverage")),
-        ("long_tail_coverage", F.col("long_tail_coverage")),
-    ]
-    arr = F.array(*[F.struct(F.lit(n).alias("metric"), v.cast("double").alias("value")) for n, v in metrics])
-    return row.select(F.inline(arr))
+    size = pairs.agg(F.countDistinct(U).alias("_users"), F.countDistinct(I).alias("_items"))  # one row
+    sections = {
+        "ranking_metrics": [
+            *[(f"{m}_at_{k}", F.col(f"{m}_at_k")) for m in ("precision", "recall", "ndcg", "mrr", "hit_rate", "f1")],
+            ("n_eval_users", F.col("n_eval_users"))],
+        "diversity_metrics": [
+            ("intra_list_diversity", round4(F.coalesce("a", F.lit(0.0)))),
+            (f"category_entropy_at_{k}", round4(F.coalesce("b", F.lit(0.0)))), (f"novelty_at_{k}", round4(F.coalesce("c", F.lit(0.0))))],
+        "coverage_metrics": [(m, F.col(m)) for m in ("catalog_coverage", "user_coverage", "long_tail_coverage")],
+        "metadata": [("training_users", F.col("_users")), ("training_items", F.col("_items")),
+                     *[(m, F.lit(str(t))) for m, t in {"k": k, **(metadata or {})}.items()]],
+    }
+    texts = {"k", *(metadata or {})}
+    none = F.lit(None)
+    arr = F.array(*[F.struct(
+        F.lit(section).alias("section"), F.lit(m).alias("metric"),
+        (none if section == "metadata" and m in texts else v).cast("double").alias("value"),
+        (v if section == "metadata" and m in texts else none).cast("string").alias("text"))
+        for section, metrics in sections.items() for m, v in metrics])
+    return row.crossJoin(size).select(F.inline(arr))
 
 
 def popularity_baseline(ev: DataFrame, k: int = 10, ts: str = "ts", tiebreak: str = "event_id") -> DataFrame:

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from rankfold.config import DEFAULTS, Settings
 from rankfold.operators import features as FT
 from rankfold.session import materialize
 
@@ -22,6 +23,8 @@ class Bundle:
     B: DataFrame | None = None            # EASE (src, dst, weight)
     user_factors: DataFrame | None = None  # (id, factor)
     item_factors: DataFrame | None = None  # (id, factor)
+    collab_weight: float | None = None    # weights of the hybrid blend; None: the defaults
+    content_weight: float | None = None
 
 
 def content_model(items: DataFrame, categories: DataFrame | None, pop: DataFrame,
@@ -37,10 +40,12 @@ def content_model(items: DataFrame, categories: DataFrame | None, pop: DataFrame
 
 def build_bundle(train: DataFrame, pairs: DataFrame, pop: DataFrame, categories: DataFrame | None,
                  ease_B: DataFrame | None = None, user_factors: DataFrame | None = None,
-                 item_factors: DataFrame | None = None, content: bool = True) -> Bundle:
+                 item_factors: DataFrame | None = None, content: bool = True, cfg: Settings = DEFAULTS) -> Bundle:
     items = pairs.select("item_id").distinct()
     b = Bundle(train=train, pop=pop, items=items, categories=categories, B=ease_B,
-               user_factors=user_factors, item_factors=item_factors)
+               user_factors=user_factors, item_factors=item_factors,
+               collab_weight=cfg.hybrid_collab_weight, content_weight=cfg.hybrid_content_weight)
     if content:
-        _, b.tfidf, b.item_class, b.class_sim = content_model(items, categories, pop)
+        _, b.tfidf, b.item_class, b.class_sim = content_model(
+            items, categories, pop, cfg.bucket_high, cfg.bucket_medium, cfg.tfidf_max_features)
     return b

@@ -272,7 +272,7 @@ def recommend_hybrid(users: DataFrame, bundle, n: int, category=None) -> DataFra
                                 bundle.item_factors, bundle.categories, category)
     b = recommend_content(users, bundle.train, bundle.pop, bundle.item_class, bundle.class_sim, k,
                           bundle.categories, category)
-    return blend(a, b, n)
+    return blend(a, b, n, bundle.collab_weight, bundle.content_weight)
 
 
 def recommend(users: DataFrame, bundle, n: int | None = None, kind: str = "collaborative",

@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankfold.config import DEFAULTS, Settings
 from rankfold.operators import prepare as P
 from rankfold.operators import split as S
 from rankfold.session import materialize, shared_dir
@@ -28,10 +29,14 @@ MATERIALIZE_SPLIT = True  # measured: re-deriving the split per use is slower
 class Prepared:
     events: DataFrame        # (user_id, item_id, event, ts, event_id, weight)
     inter: DataFrame         # all pairs (user_id, item_id, weight, last_ts, n_events)
+    min_items: int = MIN_ITEMS
+    max_users: int | None = MAX_USERS
+    test_fraction: float = TEST_FRACTION
+    popularity_from: str = "all"
 
     @cached_property
     def active(self) -> DataFrame:  # active users (user_id, n_items), capped
-        return P.active_users(self.inter, MIN_ITEMS, MAX_USERS)
+        return P.active_users(self.inter, self.min_items, self.max_users)
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -41,15 +46,17 @@ class Prepared:
         return materialize(P.filter_active(self.inter, self.active))
 
     @cached_property
-    def pop(self) -> DataFrame:  # (item_id, popularity) over active pairs
-        return P.item_popularity(self.pairs)
+    def pop(self) -> DataFrame:  # (item_id, popularity) over active pairs, or over the train part
+        if self.popularity_from not in ("all", "train"):
+            raise ValueError(f"popularity_from must be 'all' or 'train', not {self.popularity_from!r}")
+        return P.item_popularity(self.pairs if self.popularity_from == "all" else self.train)
 
     @cached_property
     def split(self) -> DataFrame:
         """pairs + is_train, built on first use and written once as a reliable
         checkpoint in the shared folder: every model / evaluation step reads
         it, so its lineage is cut here instead of being re-planned per use."""
-        sp = S.temporal_holdout(self.pairs, order=("last_ts", "item_id"), test_fraction=TEST_FRACTION)
+        sp = S.temporal_holdout(self.pairs, order=("last_ts", "item_id"), test_fraction=self.test_fraction)
         shared_dir(sp.sparkSession)
         return sp.checkpoint(eager=True) if MATERIALIZE_SPLIT else sp
 
@@ -62,6 +69,13 @@ class Prepared:
         return self.split.where(~F.col("is_train")).drop("is_train")
 
 
+def prepare(events: DataFrame, cfg: Settings = DEFAULTS) -> Prepared:
+    """Plans over any event table (user_id, item_id, event, ts): weights, activity
+    threshold, cap, hold-out and popularity as ``cfg`` says."""
+    ev = P.weigh(events, cfg.weights(), cfg.default_weight)
+    return Prepared(ev, P.interactions(ev), cfg.min_user_interactions, cfg.max_training_users, cfg.test_fraction, cfg.popularity_from)
+
+
 def prepared(spark: SparkSession, sf_dir: str, table: str = "E") -> Prepared:
     if table == "E":
         ev = P.weigh(TT.events_e(spark, sf_dir), TT.E_WEIGHTS, 1.0)

@@ -219,7 +219,9 @@ def v13_long_tail_coverage_e(spark, sf_dir):
 
 @query("v14_evaluation_report_e", Q.with_prep(
     "E", Q.CATS, *_EASE_ALL, _EV_TRUTH, Q.ranking_report("erecs", "evtruth", K), _ILD, _ENT, _NOV, _COV, body="""
-SELECT metric, value FROM (
+SELECT CASE WHEN metric IN ('intra_list_diversity', 'category_entropy_at_10', 'novelty_at_10') THEN 'diversity_metrics'
+            WHEN metric IN ('catalog_coverage', 'user_coverage', 'long_tail_coverage') THEN 'coverage_metrics' ELSE 'ranking_metrics' END AS section,
+       metric, value, CAST(NULL AS VARCHAR) AS text FROM (
   SELECT 'precision_at_10' AS metric, ROUND(COALESCE(p, 0.0), 6) AS value FROM agg
   UNION ALL SELECT 'recall_at_10', ROUND(COALESCE(r, 0.0), 6) FROM agg
   UNION ALL SELECT 'ndcg_at_10', ROUND(COALESCE(nd, 0.0), 6) FROM agg
@@ -233,14 +235,17 @@ SELECT metric, value FROM (
   UNION ALL SELECT 'novelty_at_10', CAST(ROUND(CAST(CAST(ROUND(COALESCE((SELECT AVG(novelty) FROM nov WHERE user_id IN (SELECT user_id FROM ild)), 0.0), 9) AS VARCHAR) AS DECIMAL(38, 12)), 4) AS DOUBLE)
   UNION ALL SELECT 'catalog_coverage', CAST(ROUND(CAST(CAST(ROUND(unique_items_recommended / total_catalog_items, 9) AS VARCHAR) AS DECIMAL(38, 12)), 4) AS DOUBLE) FROM cov
   UNION ALL SELECT 'user_coverage', CAST(ROUND(CAST(CAST(ROUND(users_with_recs / n_users, 9) AS VARCHAR) AS DECIMAL(38, 12)), 4) AS DOUBLE) FROM cov
-  UNION ALL SELECT 'long_tail_coverage', CAST(ROUND(CAST(CAST(ROUND(COALESCE(tail_rec / NULLIF(tail_items_in_catalog, 0), 0.0), 9) AS VARCHAR) AS DECIMAL(38, 12)), 4) AS DOUBLE) FROM cov)""",
+  UNION ALL SELECT 'long_tail_coverage', CAST(ROUND(CAST(CAST(ROUND(COALESCE(tail_rec / NULLIF(tail_items_in_catalog, 0), 0.0), 9) AS VARCHAR) AS DECIMAL(38, 12)), 4) AS DOUBLE) FROM cov)
+UNION ALL SELECT 'metadata', m, NULL, t FROM (VALUES ('algorithm', 'ease'), ('k', '10'), ('model_type', 'hybrid')) v(m, t)
+UNION ALL SELECT 'metadata', 'training_users', n_users, NULL FROM cov
+UNION ALL SELECT 'metadata', 'training_items', total_catalog_items, NULL FROM cov""",
     recursive=True))
 def v14_evaluation_report_e(spark, sf_dir):
-    """V-14: unified report as a long (metric, value) table; diversity means over
+    """V-14: unified report as a long (section, metric, value, text) table; diversity means over
     lists of >= 2 items with factors (as the reference)."""
     p, recs = ease_recs_all(spark, sf_dir)
     rep = V.evaluation_report(recs, events_truth(p), p.pairs, p.pop, TT.factors(spark, sf_dir),
-                              TT.categories(spark, sf_dir), K)
+                              TT.categories(spark, sf_dir), K, {"algorithm": "ease", "model_type": "hybrid"})
     return rep
 
 
@@ -289,8 +294,8 @@ def c12_train_flow_e(spark, sf_dir):
     """C-12: split -> content -> EASE -> SVD -> evaluate -> bundle + run log
     (the run's SVD figure is c10_explained_variance_e's)."""
     from rankfold.functions.exprs import round4
-    from rankfold.plans.training import train
-    m = train(spark, sf_dir, "E").drop("explained_variance_ratio")
+    from rankfold.plans.training import train_table
+    m = train_table(spark, sf_dir, "E").drop("explained_variance_ratio")
     return m.select(*[round4(c).alias(c) if c == "catalog_coverage" else F.round(c, 6).alias(c) if t == "double" else F.col(c)
                       for c, t in m.dtypes])
 

@@ -87,7 +87,9 @@ def load_bundle(spark: SparkSession, path: str):
         meta = spark.read.parquet(f"{path}/_metadata")
     except Exception as e:  # noqa: BLE001 - broken files mean "not initialised"
         raise RuntimeError("model not initialised") from e
-    return Bundle(**kw), meta
+    # a handful of rows; the hybrid weights are part of the model
+    weights = {r["key"]: float(r["value"]) for r in meta.where(F.col("key").isin("hybrid_collab_weight", "hybrid_content_weight")).collect()}
+    return Bundle(**kw, collab_weight=weights.get("hybrid_collab_weight"), content_weight=weights.get("hybrid_content_weight")), meta
 
 
 def model_info(meta: DataFrame) -> DataFrame:

@@ -135,3 +135,32 @@ def test_factor_block_topk_equals_brute_force(spark):
         s[(i * 7) % 40] = -np.inf
         best = np.argsort(-s, kind="stable")[:4]
         assert [got[(f"u{i}", k + 1)] for k in range(4)] == [f"v{j}" for j in best]
+
+
+def test_training_from_files_uses_every_setting(spark, tmp_path):
+    """From event and property CSVs to a bundle: weights, threshold, hold-out and blend weights come from the settings."""
+    import dataclasses
+    from rankfold.config import DEFAULTS
+    from rankfold.plans.training import train_files
+    from rankfold.sources import io as IO
+    lines = ["timestamp,visitorid,event,itemid,transactionid"]
+    for u in range(12):
+        for k in range(3 + u % 4):
+            lines.append(f"{1_600_000_000_000 + 1000 * (u * 50 + k)},{u},{'addtocart' if k == 0 else 'view'},{(u + k) % 7},")
+    (tmp_path / "events.csv").write_text("\n".join(lines))
+    (tmp_path / "props.csv").write_text("timestamp,itemid,property,value\n" + "\n".join(f"{k},{i},categoryid,c{(i + k) % 3}" for i in range(7) for k in (1, 2)))
+    cfg = dataclasses.replace(DEFAULTS, min_user_interactions=4, event_weights=(("view", 2.0), ("addtocart", 7.0)), test_fraction=0.25,
+                              hybrid_collab_weight=0.9, hybrid_content_weight=0.1, popularity_from="train", ease_lambda=1.0, eval_k=3)
+    out = str(tmp_path / "model")
+    m = train_files(spark, str(tmp_path / "events.csv"), [str(tmp_path / "props.csv"), str(tmp_path / "missing.csv")], cfg, svd=False, out_dir=out).first()
+    assert m["n_eval_users"] > 0
+    b, meta = IO.load_bundle(spark, f"{out}/bundle")
+    assert (b.collab_weight, b.content_weight) == (0.9, 0.1)
+    users = {r.user_id for r in b.train.select("user_id").distinct().collect()}
+    assert users == {str(u) for u in range(12) if 3 + u % 4 >= 4}
+    assert {r.weight for r in b.train.collect()} <= {2.0, 7.0}
+    pop = {r.item_id: r.popularity for r in b.pop.collect()}
+    counts = {r.item_id: r["count"] for r in b.train.groupBy("item_id").count().collect()}
+    assert pop == counts
+    assert {r.item_id: r.category for r in b.categories.collect()} == {str(i): f"c{(i + 2) % 3}" for i in range(7)}
+    assert {r.key: r.value for r in meta.collect()}["popularity_from"] == "train"
