@@ -17,6 +17,7 @@ whole; repeated rows are read each; other columns play no part.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from dataclasses import dataclass
 
@@ -331,24 +332,34 @@ def find(m: Tagger, text: str | None) -> tuple[list, list]:
     return base, reconcile([*tagged(m, text, starts)], len(text), starts, [s[:2] for s in base] + failed)
 
 
-def _training_rows(batches):
-    for batch in batches:
-        for part in slices(batch, "text"):
-            out = []
-            for text in part.column("text").to_pylist():
-                if text and _SIGNAL.search(text):
-                    for codes, tags in labelled_windows(text):
-                        blob = codes.astype(np.uint8).tobytes() + tags.astype(np.uint8).tobytes()
-                        out.append((int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "big", signed=True), blob))
+def _training_rows(most: int):
+    """Labelled windows of a task: of the distinct ones the ``most`` with the
+    smallest hashes, which hold all that the sample can take from this task."""
+    def run(batches):
+        found: set[tuple[int, bytes]] = set()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for text in part.column("text").to_pylist():
+                    if text and _SIGNAL.search(text):
+                        for codes, tags in labelled_windows(text):
+                            blob = codes.astype(np.uint8).tobytes() + tags.astype(np.uint8).tobytes()
+                            found.add((int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "big", signed=True), blob))
+                        if len(found) > 8 * most:
+                            found = set(heapq.nsmallest(most, found))
+        least = heapq.nsmallest(most, found)
+        for lo in range(0, len(least), 1000):
+            out = least[lo : lo + 1000]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())],
                                              names=["turn", "blob"])
+    return run
 
 
 def fit(docs: DataFrame, text: str = "text", most: int = MAX_WINDOWS) -> Tagger:
-    """Trains on at most ``most`` windows, the first by a hash of the window.
+    """Trains on at most ``most`` windows, the first by a hash of the window; a
+    task sends at most that many.
     Spans are labelled by the patterns; a sum or a part out of range is labelled as no span."""
     prepare(docs.sparkSession)
-    rows = rows_of(docs, text).toDF("text").where(F.col("text").rlike("[0-9@]")).mapInArrow(_training_rows, "turn long, blob binary")
+    rows = rows_of(docs, text).toDF("text").where(F.col("text").rlike("[0-9@]")).mapInArrow(_training_rows(most), "turn long, blob binary")
     rows = materialize(rows.distinct())  # a window that very many texts share counts once
     sample = first_by_hash(rows, "turn", most).collect()
     both = [np.frombuffer(r["blob"], np.uint8).astype(np.int64) for r in sample]
