@@ -36,6 +36,8 @@ from rankfold.session import scratch_path
 
 #: Text bytes in a block, about; a block's ids are in one task's memory.
 BLOCK_BYTES = 8 << 20
+#: Blocks whose totals one window sums.
+SPAN = 4096
 END = 0
 
 _LOADED: dict = {}
@@ -172,6 +174,20 @@ def _pack(length: int):
     return run
 
 
+def _before(totals: DataFrame, out: str, *keys: str) -> DataFrame:
+    """``totals`` (block, n, keys) with the sum of n over all smaller blocks of
+    the same keys, in two levels: no window holds more than a run of SPAN
+    blocks, or the runs' sums."""
+    rows = totals.withColumn("run", F.floor(F.col("block") / SPAN))
+    below = lambda w: F.coalesce(w, F.lit(0))
+    runs = rows.groupBy(*keys, "run").agg(F.sum("n").alias("n"))
+    over_runs = Window.partitionBy(*keys).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*keys, "run", below(F.sum("n").over(over_runs)).alias("head"))
+    inside = Window.partitionBy(*keys, "run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("part", below(F.sum("n").over(inside))).join(runs, [*keys, "run"])
+    return rows.select(*totals.columns, (F.col("head") + F.col("part")).alias(out))
+
+
 def pack(docs: DataFrame, path: str, ranks: str | None = None, length: int = 1024, weights: dict[str, float] | None = None,
          id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per piece. ``weights``: target proportions of the sources, by
@@ -190,11 +206,9 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, length: int = 102
         whole = sum(weights.values())
         share = F.coalesce(*[F.when(F.col("source") == s, F.lit(w / whole)) for s, w in weights.items()], F.lit(0.0))
     shares = by_source.select("source", share.alias("share"))
-    per_block = totals.groupBy("block").agg(F.sum("n").alias("all")).select("block", F.coalesce(
-        F.sum("all").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("all_before"))
-    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    credits = totals.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(per_block, "block").join(
-        shares, "source").select("block", "source", "share", (F.col("share") * F.col("all_before") - F.col("before")).alias("deficit"))
+    per_block = _before(totals.groupBy("block").agg(F.sum("n").alias("n")), "all_before").drop("n")
+    credits = _before(totals, "before", "source").join(per_block, "block").join(shares, "source").select(
+        "block", "source", "share", (F.col("share") * F.col("all_before") - F.col("before")).alias("deficit"))
     kind = tokens.schema["id"].dataType.simpleString()
     return tokens.groupBy("block").cogroup(credits.groupBy("block")).applyInArrow(
         _pack(length), f"id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
