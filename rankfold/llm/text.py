@@ -49,6 +49,14 @@ def rows_of(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES):
     """Parts of a batch with at most ``most`` bytes of text, or one row."""
     if batch.num_rows == 0:
@@ -64,17 +72,19 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES):
 def add_column(df: DataFrame, name: str, kind: T.DataType, text: str, make) -> DataFrame:
     """``df`` with column ``name`` made by ``make(batch) -> pa.Array`` from
     slices of Arrow batches. Rows and the other columns pass through; a column
-    that already has this name is replaced."""
+    that already has this name is replaced. Columns go in under plain names, so
+    theirs may hold dots."""
     fields = [f for f in df.schema.fields if f.name != name]
-    keep = [f.name for f in fields]
+    keep, names = [f.name for f in fields], df.columns
 
     def run(batches):
         for b in batches:
-            for part in slices(b, text):
+            for part in slices(b.rename_columns(names), text):
                 made = make(part)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [made], names=[*keep, name])
 
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(name, kind)]))
+    plain = df.toDF(*[f"c{k}" for k in range(len(names))])
+    return plain.mapInArrow(run, T.StructType([*fields, T.StructField(name, kind)]))
 
 
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -201,5 +211,5 @@ def first_by_hash(df: DataFrame, turn: str, most: int) -> DataFrame:
     return df.orderBy(*rest).limit(most)
 
 
-__all__ = ["SPACED", "add_column", "buffers", "first_by_hash", "materialize", "mix", "prepare", "rows_of", "slices", "table",
+__all__ = ["SPACED", "add_column", "buffers", "first_by_hash", "free_name", "materialize", "mix", "prepare", "rows_of", "slices", "table",
            "total_bytes", "window_hashes", "word_hashes", "word_spans"]

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from rankfold.llm import chat, classifier, pack, urls, warc
 from tests.llm.conftest import HARD
@@ -237,6 +238,36 @@ def test_pipeline(spark, paths):
     check_pieces(rows, [(i, r.text) for i, r in tables[4].items()], paths)
 
 
+def test_pipeline_stages_on_hard_texts(spark, hard, nothing):
+    """Null, empty, long and repeated texts, null ids, sources and lengths; columns named like the stages' own."""
+    import corpus_pipeline as p
+    docs = hard.select(
+        "doc_id", "text", "source", F.lit("en").alias("lang"), F.length("text").alias("n_chars"), F.lit("keep").alias("_score"),
+        F.col("doc_id").alias("_hits"), F.col("text").alias("_pii"), F.lit(1).alias("component_id"), F.lit(2).alias("a.b"))
+    docs = docs.union(docs.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        assert rows, name
+        if name != "packing":
+            assert out.columns == docs.columns, name
+            assert all(r["_score"] == "keep" and r["_hits"] == (r.doc_id or 1) and r["a.b"] == 2 and r["component_id"] == 1 for r in rows), name
+        assert stage(spark, docs.where("false"), SF).count() == 0, name
+    kept = {r.doc_id for r in p.near_dedup(spark, docs, SF).collect()}
+    assert {3, 4, 5, None, 1} <= kept and not {2, 16} & kept
+    found = {r.doc_id: r for r in p.personal_data(spark, docs, SF).collect()}
+    assert found[3].text is None and found[3].n_chars is None and "<EMAIL>" in found[12].text and found[12].n_chars == len(found[12].text)
+
+
+def test_prefix_sums_in_two_levels(spark, monkeypatch):
+    rows = [(b, s, b * 7 % 5 + len(s)) for b in range(0, 40, 3) for s in ("x", "yy") if (b + len(s)) % 4]
+    want = {(b, s): sum(n for b2, s2, n in rows if s2 == s and b2 < b) for b, s, _ in rows}
+    df = spark.createDataFrame(rows, "block long, source string, n long")
+    for span in (1, 5, 4096):
+        monkeypatch.setattr(pack, "SPAN", span)
+        assert {(r.block, r.source): r.before for r in pack._before(df, "before", "source").collect()} == want
+
+
 def test_entry_has_every_operator():
     import __spark_entry__ as e
     names = set(e.queries())
