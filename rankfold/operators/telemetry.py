@@ -40,17 +40,24 @@ def counter(log: DataFrame, labels=(), window: str = "1 hour", ts: str = "ts") -
                .agg(F.count(F.lit(1)).alias("n")))
 
 
+def _bucket_counts(value: str, buckets, prefix: str = "_b") -> list[Column]:
+    """One aggregate per bucket bound, cumulative, and one of all values."""
+    v = F.col(value)
+    return [*(F.count_if(v <= F.lit(float(b))).alias(f"{prefix}{i}") for i, b in enumerate(buckets)),
+            F.count(v).alias(f"{prefix}{len(buckets)}")]
+
+
 def histogram(log: DataFrame, value: str, buckets=LATENCY_BUCKETS, labels=(), window: str = "1 hour",
               ts: str = "ts") -> DataFrame:
     """T-2: cumulative histogram per window: arrays ``le`` (with +Inf), ``cum``,
     plus ``sum`` and ``count`` — one aggregate, one count_if per bucket."""
-    v = F.col(value)
-    aggs = [F.count_if(v <= F.lit(float(b))).alias(f"_b{i}") for i, b in enumerate(buckets)]
-    aggs += [F.count(v).alias("count"), F.sum(v).alias("sum")]
-    h = log.groupBy(_win(ts, window).start.alias("window_start"), *labels).agg(*aggs)
-    les = F.array(*[F.lit(float(b)) for b in buckets], F.lit(INF))
-    cum = F.array(*[F.col(f"_b{i}") for i in range(len(buckets))], F.col("count"))
-    return h.select("window_start", *labels, les.alias("le"), cum.alias("cum"), "sum", "count")
+    h = log.groupBy(_win(ts, window).start.alias("window_start"), *labels).agg(*_bucket_counts(value, buckets), F.sum(value).alias("sum"))
+    cum = F.array(*[F.col(f"_b{i}") for i in range(len(buckets) + 1)])
+    return h.select("window_start", *labels, _bounds(buckets).alias("le"), cum.alias("cum"), "sum", F.col(f"_b{len(buckets)}").alias("count"))
+
+
+def _bounds(buckets) -> Column:
+    return F.array(*[F.lit(float(b)) for b in buckets], F.lit(INF))
 
 
 def histogram_long(hist: DataFrame, labels=()) -> DataFrame:
@@ -121,13 +128,21 @@ def status_distribution(log: DataFrame, window: str = "1 hour", exclude_endpoint
 
 def window_grid(log: DataFrame, window: str = "1 hour", ts: str = "ts", series: DataFrame | None = None) -> DataFrame:
     """Dense grid of window starts from the first to the last event (one row per
-    window: bounded by the time span, not by the data), optionally x series."""
+    window: bounded by the time span, not by the data), for every row of
+    ``series`` if given.
+
+    Starts are made in two steps, blocks of 1,000 windows and then their
+    windows, so no array grows with the span; rows of ``series`` are expanded
+    where they lie.
+    """
     secs = int(seconds(window))
-    b = log.agg(F.min(_win(ts, window).start).alias("_lo"), F.max(_win(ts, window).start).alias("_hi"))
-    g = b.select(F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {secs} SECONDS"))).alias("window_start"))
-    if series is not None:
-        g = g.crossJoin(F.broadcast(series))  # series labels: a handful of rows
-    return g
+    span = log.agg(F.min(_win(ts, window).start).alias("_lo"), F.max(_win(ts, window).start).alias("_hi"))
+    labels = [] if series is None else series.columns
+    g = span if series is None else series.crossJoin(F.broadcast(span))  # one-row side
+    after = lambda c, n: F.col(c) + F.expr(f"INTERVAL {n * secs} SECONDS")
+    g = g.withColumn("_block", F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {1000 * secs} SECONDS"))))
+    starts = F.sequence(F.col("_block"), F.least(F.col("_hi"), after("_block", 999)), F.expr(f"INTERVAL {secs} SECONDS"))
+    return g.select(F.explode(starts).alias("window_start"), *labels)
 
 
 def volume(log: DataFrame, window: str = "1 hour", low: float = 0.1, high: float = 1000.0,
@@ -242,6 +257,66 @@ def latency_summary(log: DataFrame, groups=("endpoint",), value: str = "duration
                       F.when(span > 0, F.col("n") / (span / F.lit(1e6))).alias("throughput"))
 
 
+def rule_metrics(log: DataFrame, step: str = "5 minutes", lookback: str = "1 hour", lag: str = "24 hours",
+                 ttl_s: float = 86400.0, ts: str = "ts") -> DataFrame:
+    """T-12 input: what the alert rules look at, as (series, window_start, metric,
+    value) with one row per metric and step of a dense grid; null where there
+    was nothing to measure.
+
+    requests, request_rate, error_rate, p95_latency, p95_prediction: over the
+    step. lowest_minute_rate: the step's quietest minute (0 if one is empty), so
+    it is above a bound if and only if all of its one-minute rates are.
+    score_shift: |median score of the last ``lookback`` - the same ``lag``
+    earlier|. model_loaded: 1 if a request of the step names a model version.
+    model_age: seconds from the latest first use of a version to the step's end.
+    cache_hit_ratio: share of requests seen before within ``ttl_s`` (T-13).
+
+    The log is aggregated to minutes once, and written; all but the versions
+    and the repeats follow from its few rows.
+    """
+    from rankfold.session import materialize
+    secs = int(seconds(step))
+    plus = lambda c, s: c + F.expr(f"INTERVAL {int(s)} SECONDS")
+    minutes = materialize(log.groupBy(_win(ts, "1 minute").start.alias("minute")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") >= 500).alias("bad"), F.count("model_version").alias("named"),
+        *_bucket_counts("duration_s", LATENCY_BUCKETS, "_d"), *_bucket_counts("score", SCORE_BUCKETS, "_s")))
+
+    def quantile(q: float, buckets, counted, prefix: str) -> Column:
+        at = [counted.index(b) for b in buckets] + [len(counted)]
+        return histogram_quantile(q, _bounds(buckets), F.array(*[F.col(f"{prefix}{i}") for i in at]))
+
+    steps = minutes.groupBy(_win("minute", step).start.alias("window_start")).agg(
+        F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("named").alias("named"), F.min("n").alias("least"),
+        F.count(F.lit(1)).alias("minutes"), *[F.sum(f"_d{i}").alias(f"_d{i}") for i in range(len(LATENCY_BUCKETS) + 1)])
+    back = minutes.groupBy(_win("minute", lookback, step).end.alias("_end")).agg(
+        *[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(SCORE_BUCKETS) + 1)]).select(
+        plus(F.col("_end"), -secs).alias("window_start"), quantile(0.5, SCORE_BUCKETS, SCORE_BUCKETS, "_s").alias("median"))
+    before = back.select(plus(F.col("window_start"), seconds(lag)).alias("window_start"), F.col("median").alias("median_before"))
+    reloads = (log.where(F.col("model_version").isNotNull()).groupBy("model_version").agg(F.min(ts).alias("_first"))
+                  .groupBy(_win("_first", step).start.alias("window_start")).agg(F.max("_first").alias("_reload")))
+    repeats = repeat_ratio(log, ttl_s=ttl_s, window=step, ts=ts).select("window_start", "repeat_ratio")
+
+    g = window_grid(minutes, step, "minute")
+    for t in (steps, back, before, reloads, repeats):
+        g = g.join(t, "window_start", "left")
+    so_far = Window.partitionBy("series").orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)  # rows of the grid only
+    g = g.withColumn("series", F.lit("all")).withColumn("_reload", F.max("_reload").over(so_far))
+    n = F.coalesce("n", F.lit(0)).cast("double")
+    end, reload = (F.unix_micros(c.cast("timestamp")) for c in (plus(F.col("window_start"), secs), F.col("_reload")))
+    quiet = F.when(F.col("minutes") * 60 < secs, 0.0).otherwise(F.col("least") / 60.0)
+    metrics = {
+        "requests": n, "request_rate": n / float(secs), "lowest_minute_rate": F.coalesce(quiet, F.lit(0.0)),
+        "error_rate": F.col("bad") / F.col("n"),
+        "p95_latency": quantile(0.95, LATENCY_BUCKETS, LATENCY_BUCKETS, "_d"),
+        "p95_prediction": quantile(0.95, PREDICTION_LATENCY_BUCKETS, LATENCY_BUCKETS, "_d"),
+        "score_shift": F.abs(F.col("median") - F.col("median_before")),
+        "model_loaded": F.when(F.coalesce("named", F.lit(0)) > 0, 1.0).otherwise(0.0),
+        "model_age": (end - reload) / 1e6, "cache_hit_ratio": F.col("repeat_ratio"),
+    }
+    return g.select("series", "window_start", F.inline(F.array(
+        *[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in metrics.items()])))
+
+
 def evaluate_rules(metrics: DataFrame, rules: DataFrame, window: str = "1 hour") -> DataFrame:
     """T-12: rule table (name, metric, op, threshold, hold_s, severity) applied to a
     long metric series (series, window_start, metric, value) -> alert states.

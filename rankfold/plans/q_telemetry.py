@@ -1,6 +1,6 @@
 """Registered telemetry queries (T-1..T-15) over the request log derived from
-``events`` (hourly windows; the reference's PromQL expressions re-expressed as
-windowed aggregates)."""
+``events`` (hourly windows, five minutes for the rules; the reference's PromQL
+expressions re-expressed as windowed aggregates)."""
 
 from __future__ import annotations
 
@@ -119,7 +119,7 @@ def t4_status_distribution(spark, sf_dir):
     return d.select(_us(), "endpoint", "status_class", "n", "share")
 
 
-def _quant_sql(q, name):
+def _quant_sql(q, name, src="hall"):
     return f"""{name} AS (
   SELECT w, CASE WHEN total = 0 THEN NULL WHEN le = 'inf'::DOUBLE THEN maxfin WHEN cum - cb = 0 THEN le
                  ELSE lo + (le - lo) * (({q} * total - cb) / (cum - cb)) END AS v
@@ -127,7 +127,7 @@ def _quant_sql(q, name):
           SELECT w, le, cum, LAG(le, 1, 0.0) OVER (PARTITION BY w ORDER BY le) AS lo,
                  LAG(cum, 1, 0) OVER (PARTITION BY w ORDER BY le) AS cb,
                  MAX(cum) OVER (PARTITION BY w) AS total,
-                 MAX(CASE WHEN le <> 'inf'::DOUBLE THEN le END) OVER (PARTITION BY w) AS maxfin FROM hall)
+                 MAX(CASE WHEN le <> 'inf'::DOUBLE THEN le END) OVER (PARTITION BY w) AS maxfin FROM {src})
         WHERE cum >= {q} * total) WHERE rn = 1)"""
 
 
@@ -224,56 +224,76 @@ def t11_error_rate_hold(spark, sf_dir):
     return h.select(_us(), "cond", F.col("held_windows").cast("bigint").alias("held_windows"), "firing")
 
 
-# fixed values: the alert rules that the request log can feed (name, metric, op, threshold, hold seconds, severity)
+# fixed values: the alert rules (name, metric, op, threshold, hold seconds, severity)
 RULES = [
     ("HighErrorRate", "error_rate", ">", 0.1, 120, "critical"),
     ("HighLatency", "p95_latency", ">", 1.0, 300, "warning"),
     ("APIDown", "requests", "==", 0.0, 60, "critical"),
-    ("HighRequestRate", "request_rate", ">", 1000.0, 300, "warning"),
+    ("HighRequestRate", "lowest_minute_rate", ">", 1000.0, 300, "warning"),
     ("LowRequestRate", "request_rate", "<", 0.1, 600, "warning"),
-    ("PredictionLatencyHigh", "p95_latency", ">", 0.1, 300, "warning"),
+    ("ModelNotLoaded", "model_loaded", "==", 0.0, 60, "critical"),
+    ("PredictionLatencyHigh", "p95_prediction", ">", 0.1, 300, "warning"),
     ("LowPredictionVolume", "request_rate", "<", 0.1, 900, "warning"),
+    ("PredictionDistributionAnomaly", "score_shift", ">", 0.1, 1800, "warning"),
+    ("ModelStale", "model_age", ">", 604800.0, 3600, "info"),
     ("HighPredictionErrorRate", "error_rate", ">", 0.01, 300, "warning"),
-    ("SlowModelInference", "p95_latency", ">", 0.5, 300, "warning"),
+    ("SlowModelInference", "p95_prediction", ">", 0.5, 300, "warning"),
+    ("LowCacheHitRate", "cache_hit_ratio", "<", 0.1, 600, "info"),
 ]
 _RULES_SQL = "rules(name, metric, op, threshold, hold_s, severity) AS (VALUES " + ", ".join(
     f"('{n}', '{m}', '{o}', {float(t)}, {h}, '{s}')" for n, m, o, t, h, s in RULES) + ")"
-
-
-@query("t12_alert_rules", _with(_GRID, _HALL_LAT, _quant_sql(0.95, "q95"),
-                                """cnt AS (SELECT w, COUNT(*) AS n, COUNT(*) FILTER (WHERE status >= 500) / COUNT(*) AS er FROM lg GROUP BY w)""",
-                                """met AS (
+PRE = "[" + ", ".join(f"{b}::DOUBLE" for b in T.PREDICTION_LATENCY_BUCKETS) + ", 'inf'::DOUBLE]"
+
+
+def _cum_sql(name, src, value, les):
+    return f"""{name} AS (SELECT w, le, COUNT(*) FILTER (WHERE {value} <= le) AS cum
+       FROM {src}, (SELECT unnest({les}) AS le) GROUP BY w, le)"""
+
+
+@query("t12_alert_rules", _with(
+    """l5 AS (SELECT * EXCLUDE (w), time_bucket(INTERVAL '5 minutes', ts) AS w FROM lg)""",
+    """grid AS (SELECT unnest(generate_series((SELECT MIN(w) FROM l5), (SELECT MAX(w) FROM l5), INTERVAL '5 minutes')) AS w)""",
+    """cnt AS (SELECT w, COUNT(*) AS n, COUNT(*) FILTER (WHERE status >= 500) / COUNT(*) AS er, COUNT(model_version) AS named
+       FROM l5 GROUP BY w)""",
+    """quiet AS (SELECT w, CASE WHEN COUNT(*) < 5 THEN 0 ELSE MIN(n) END / 60.0 AS v
+       FROM (SELECT w, date_trunc('minute', ts) AS m, COUNT(*) AS n FROM l5 GROUP BY ALL) GROUP BY w)""",
+    _cum_sql("hreq", "l5", "duration_s", LAT), _quant_sql(0.95, "qreq", "hreq"),
+    _cum_sql("hpre", "l5", "duration_s", PRE), _quant_sql(0.95, "qpre", "hpre"),
+    """l60 AS (SELECT w + to_minutes(CAST(5 * k AS BIGINT)) AS w, score FROM l5, range(12) t(k))""",
+    _cum_sql("hsco", "l60", "score", SCO), _quant_sql(0.5, "med", "hsco"),
+    """shift AS (SELECT a.w, ABS(a.v - b.v) AS v FROM med a JOIN med b ON a.w = b.w + INTERVAL '24 hours')""",
+    """rl AS (SELECT MIN(ts) AS r FROM lg GROUP BY model_version)""",
+    """age AS (SELECT g.w, (epoch_us(g.w + INTERVAL '5 minutes') - epoch_us(MAX(rl.r))) / 1e6 AS v
+       FROM grid g JOIN rl ON rl.r < g.w + INTERVAL '5 minutes' GROUP BY g.w)""",
+    """rq AS (SELECT w, ts, LAG(ts) OVER (PARTITION BY user_id, recommendation_type, endpoint ORDER BY ts) AS prev FROM l5)""",
+    """hit AS (SELECT w, COUNT(*) FILTER (WHERE prev IS NOT NULL AND epoch_us(ts) - epoch_us(prev) <= 86400000000) / COUNT(*) AS v
+       FROM rq GROUP BY w)""",
+    """met AS (
   SELECT g.w, 'requests' AS metric, CAST(COALESCE(c.n, 0) AS DOUBLE) AS value FROM grid g LEFT JOIN cnt c ON c.w = g.w
-  UNION ALL SELECT g.w, 'request_rate', COALESCE(c.n, 0) / 3600.0 FROM grid g LEFT JOIN cnt c ON c.w = g.w
+  UNION ALL SELECT g.w, 'request_rate', COALESCE(c.n, 0) / 300.0 FROM grid g LEFT JOIN cnt c ON c.w = g.w
+  UNION ALL SELECT g.w, 'lowest_minute_rate', COALESCE(q.v, 0) FROM grid g LEFT JOIN quiet q ON q.w = g.w
   UNION ALL SELECT g.w, 'error_rate', c.er FROM grid g LEFT JOIN cnt c ON c.w = g.w
-  UNION ALL SELECT g.w, 'p95_latency', q.v FROM grid g LEFT JOIN q95 q ON q.w = g.w)""", _RULES_SQL,
-                                """ev2 AS (SELECT r.name, r.severity, m.w, m.metric, m.value,
+  UNION ALL SELECT g.w, 'p95_latency', q.v FROM grid g LEFT JOIN qreq q ON q.w = g.w
+  UNION ALL SELECT g.w, 'p95_prediction', q.v FROM grid g LEFT JOIN qpre q ON q.w = g.w
+  UNION ALL SELECT g.w, 'score_shift', s.v FROM grid g LEFT JOIN shift s ON s.w = g.w
+  UNION ALL SELECT g.w, 'model_loaded', CASE WHEN c.named > 0 THEN 1.0 ELSE 0.0 END FROM grid g LEFT JOIN cnt c ON c.w = g.w
+  UNION ALL SELECT g.w, 'model_age', a.v FROM grid g LEFT JOIN age a ON a.w = g.w
+  UNION ALL SELECT g.w, 'cache_hit_ratio', h.v FROM grid g LEFT JOIN hit h ON h.w = g.w)""", _RULES_SQL,
+    """ev2 AS (SELECT r.name, r.severity, m.w, m.metric, m.value,
        COALESCE(CASE r.op WHEN '>' THEN m.value > r.threshold WHEN '<' THEN m.value < r.threshold
                           WHEN '==' THEN m.value = r.threshold END, FALSE) AS cond,
-       GREATEST(1, CEIL(r.hold_s / 3600.0)) AS need
+       GREATEST(1, CEIL(r.hold_s / 300.0)) AS need
   FROM met m JOIN rules r ON r.metric = m.metric)""",
-                                """isl AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY w)
+    """isl AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY w)
                   - row_number() OVER (PARTITION BY name, cond ORDER BY w) AS island FROM ev2)""", body="""
 SELECT name, severity, epoch_us(w) AS window_start_us, metric, value, cond,
        CASE WHEN cond THEN row_number() OVER (PARTITION BY name, cond, island ORDER BY w) ELSE 0 END AS held_windows,
        cond AND CASE WHEN cond THEN row_number() OVER (PARTITION BY name, cond, island ORDER BY w) ELSE 0 END >= need AS firing
 FROM isl"""))
 def t12_alert_rules(spark, sf_dir):
-    """T-12: rule table runner over hourly metric series (dense grid), with `for:` holds."""
-    lg = _log(spark, sf_dir)
-    grid = T.window_grid(lg, "1 hour")
-    cnt = T.ratio(lg, F.col("status") >= 500).select("window_start", "total", "ratio")
-    h = T.histogram(lg, "duration_s", T.LATENCY_BUCKETS).select(
-        "window_start", T.histogram_quantile(0.95, F.col("le"), F.col("cum")).alias("p95"))
-    g = grid.join(cnt, "window_start", "left").join(h, "window_start", "left")
-    n = F.coalesce(F.col("total"), F.lit(0)).cast("double")
-    metrics = g.select("window_start", F.lit("all").alias("series"), F.inline(F.array(
-        F.struct(F.lit("requests").alias("metric"), n.alias("value")),
-        F.struct(F.lit("request_rate").alias("metric"), (n / 3600.0).alias("value")),
-        F.struct(F.lit("error_rate").alias("metric"), F.col("ratio").cast("double").alias("value")),
-        F.struct(F.lit("p95_latency").alias("metric"), F.col("p95").cast("double").alias("value")))))
+    """T-12: all thirteen rules over five-minute metric series (dense grid), with `for:` holds of 1 to 12 windows."""
     rules = spark.createDataFrame(RULES, "name string, metric string, op string, threshold double, hold_s long, severity string")
-    a = T.evaluate_rules(metrics, rules, "1 hour")
+    a = T.evaluate_rules(T.rule_metrics(_log(spark, sf_dir)), rules, "5 minutes")
     return a.select("name", "severity", _us(), "metric", "value", "cond",
                     F.col("held_windows").cast("bigint").alias("held_windows"), "firing")
 

@@ -173,3 +173,60 @@ def test_stream_hold_drops_late_rows_only(spark, tmp_path):
     ST.run_foreach_batch(c, ST.latest_batch_writer(out), ck, mode="update")
     got = {r.window_start_us // (hour * 1_000_000): r.total for r in ST.read_latest(spark, out, ["series", "window_start_us"]).collect()}
     assert got == {0: 2, 2: 1, 30: 2, 29: 1, 31: 1}
+
+
+def _requests(spark, rows):
+    """(minute, status, duration, score, version) -> request log of one user and endpoint."""
+    from datetime import datetime, timedelta
+    t0 = datetime(2024, 1, 1)
+    return spark.createDataFrame(
+        [(t0 + timedelta(minutes=m), "e", s, d, "t", x, v, f"u{k}") for k, (m, s, d, x, v) in enumerate(rows)],
+        "ts timestamp, endpoint string, status int, duration_s double, recommendation_type string, score double, "
+        "model_version string, user_id string")
+
+
+def test_alert_rules_hold_over_several_windows(spark):
+    from rankfold.operators import telemetry as T
+    from rankfold.plans.q_telemetry import RULES
+    # one request in each of the first four 5-minute windows, none in the next two, then a failing one without a model
+    lg = _requests(spark, [(0, 200, 0.2, 0.5, "v1"), (5, 200, 0.2, 0.5, "v1"), (10, 200, 0.2, 0.5, "v1"), (15, 200, 0.2, 0.5, "v1"),
+                           (30, 500, 0.2, 0.5, None)])
+    rules = spark.createDataFrame(RULES, "name string, metric string, op string, threshold double, hold_s long, severity string")
+    rows = T.evaluate_rules(T.rule_metrics(lg), rules, "5 minutes").collect()
+    firing = {}
+    for r in sorted(rows, key=lambda r: r.window_start):
+        firing.setdefault(r.name, []).append(r.firing)
+    assert set(firing) == {r[0] for r in RULES} and all(len(v) == 7 for v in firing.values())
+    assert firing["LowRequestRate"] == [False] + [True] * 6         # 1 request / 300 s, held two windows
+    assert firing["LowPredictionVolume"] == [False] * 2 + [True] * 5  # held three windows
+    assert firing["APIDown"] == [False] * 4 + [True, True, False]
+    assert firing["ModelNotLoaded"] == [False] * 4 + [True] * 3
+    assert firing["HighErrorRate"] == [False] * 6 + [True]
+    assert firing["PredictionLatencyHigh"] == [True] * 4 + [False, False, True]
+    assert firing["LowCacheHitRate"] == [False, True, True, True, False, False, False]  # a window without requests ends the hold
+    assert not any(firing["HighLatency"] + firing["HighRequestRate"] + firing["ModelStale"] + firing["PredictionDistributionAnomaly"])
+
+
+def test_model_age_and_score_shift_hold(spark):
+    from rankfold.operators import telemetry as T
+    from rankfold.plans.q_telemetry import RULES
+    week = 7 * 24 * 60
+    lg = _requests(spark, [(0, 200, 0.05, 0.15, "v1"), (24 * 60, 200, 0.05, 0.95, "v1"), (week + 90, 200, 0.05, 0.95, "v1")])
+    rules = spark.createDataFrame(RULES, "name string, metric string, op string, threshold double, hold_s long, severity string")
+    a = T.evaluate_rules(T.rule_metrics(lg), rules, "5 minutes").where("firing")
+    minute = lambda name: sorted(int(r.m) for r in a.where(F.col("name") == name).select(
+        ((F.unix_seconds("window_start") - 1704067200) / 60).alias("m")).collect())
+    # older than a week from the window ending 5 minutes past it, held twelve windows
+    assert minute("ModelStale") == list(range(week + 55, week + 91, 5))
+    # the hour's median moved from 0.15 to 0.95 within a day: twelve windows, six of them to hold
+    assert minute("PredictionDistributionAnomaly") == list(range(24 * 60 + 25, 24 * 60 + 56, 5))
+
+
+def test_window_grid_is_dense_over_many_blocks(spark):
+    from rankfold.operators import telemetry as T
+    lg = _requests(spark, [(0, 200, 0.1, 0.5, "v"), (5 * 2500 + 1, 200, 0.1, 0.5, "v")])
+    g = T.window_grid(lg, "5 minutes")
+    assert (g.count(), g.distinct().count()) == (2501, 2501)
+    s = spark.createDataFrame([("a",), ("b",)], "endpoint string")
+    assert sorted(map(tuple, T.window_grid(lg, "5 minutes", series=s).groupBy("endpoint").count().collect())) == [("a", 2501), ("b", 2501)]
+    assert T.window_grid(lg.limit(0), "5 minutes").count() == 0
