@@ -17,11 +17,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rankfold.config import DEFAULTS
 from rankfold.session import materialize, scratch_path, ship_package
@@ -29,16 +27,6 @@ from rankfold.session import materialize, scratch_path, ship_package
 U, I = "user_id", "item_id"
 
 
-def read_shared_parquet(path: str) -> pd.DataFrame:
-    """Read a (bounded) side table from the shared folder inside a task."""
-    import pyarrow.parquet as pq
-    if "://" in path and not path.startswith("file:"):
-        import pyarrow.fs as pafs
-        fs, p = pafs.FileSystem.from_uri(path)
-        return pq.read_table(p, filesystem=fs).to_pandas()
-    return pq.read_table(path.replace("file://", "").replace("file:", "")).to_pandas()
-
-
 def active_items(train: DataFrame, max_items: int | None = None) -> DataFrame:
     """C-5: items with sum(weight) > 0; with ``max_items``, the heaviest ones (ties item_id)."""
     max_items = DEFAULTS.ease_max_items if max_items is None else max_items
@@ -200,78 +188,68 @@ def score_ease(hist: DataFrame, B: DataFrame) -> DataFrame:
     return j.groupBy(U, F.col("dst").alias(I)).agg(F.sum(F.col("w") * F.col("weight")).alias("raw"))
 
 
-def score_ease_topk(hist: DataFrame, B: DataFrame, k: int, block: int = 512,
-                    user_batch: int = 512) -> DataFrame:
+def score_ease_topk(hist: DataFrame, B: DataFrame, k: int, block: int = 512, slice_entries: int = 1 << 20,
+                    task_bytes: int = 32 << 20) -> DataFrame:
     """R-1 + J-4 + W-4 at scale: per user the k best unseen active items by EASE score.
 
-    Block GEMM instead of ``history JOIN B`` (whose intermediate has
-    sum_u |h_u| x n_active rows): B is laid out by column block in the shared
-    folder; every user's sparse history row meets every block once; a task
-    densifies ``user_batch`` histories, multiplies by the (n_active x block)
-    slice, masks the users' own items and keeps only the top k per block. The
-    shuffle carries users x blocks x k candidates. Output (user_id, item_id, raw).
+    Block products instead of ``history JOIN B`` (whose intermediate has
+    sum_u |h_u| x n_active rows): users are cut into hash slices of about
+    ``slice_entries`` history rows, the columns of B into blocks of at most
+    ``block`` and ``task_bytes``; a group is one slice and one block, so B is
+    sent once per slice and a history once per block. Users' own items are
+    masked and only the top k per block leave a group: the shuffle carries
+    users x blocks x k candidates. Output (user_id, item_id, raw).
     """
     from rankfold.operators.ranking import global_rank
     spark = hist.sparkSession
+    ship_package(spark)
     items = B.select(F.col("src").alias(I)).union(B.select(F.col("dst").alias(I))).distinct()
     idx = global_rank(items, [F.asc(I)], "_g").select(I, (F.col("_g") - 1).alias("idx"))
     n = idx.count()
     if n == 0:
         return spark.createDataFrame([], f"{U} string, {I} string, raw double")
-    nb = max(1, math.ceil(n / block))
-    bpath = scratch_path(spark, "ease-blocks")
-    (B.join(idx.select(F.col(I).alias("src"), F.col("idx").alias("r")), "src")
-      .join(idx.select(F.col(I).alias("dst"), F.col("idx").alias("c")), "dst")
-      .select("r", "c", "weight", (F.col("c") / F.lit(block)).cast("int").alias("blk"))
-      .write.partitionBy("blk").parquet(bpath))
-    hv = (hist.select(U, I, F.col("weight").cast("double").alias("w")).join(idx, I)
-              .groupBy(U).agg(F.collect_list("idx").alias("_r"), F.collect_list("w").alias("_w")))
-    # one row per (user, block); the user's history row holds at most the
-    # active-item cap entries (it is restricted to the active items above)
-    x = (hv.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-           .repartition("blk", U).sortWithinPartitions("blk"))
-    schema = T.StructType([T.StructField(U, T.StringType()), T.StructField("c", T.LongType()),
-                           T.StructField("raw", T.DoubleType())])
-
-    def run(it):
-        cached = {}
-
-        def block_matrix(b):
-            if b not in cached:
-                cached.clear()  # one block in memory at a time (rows arrive sorted by block)
-                t = read_shared_parquet(f"{bpath}/blk={b}")
-                lo = b * block
-                width = min(block, n - lo)
-                M = np.zeros((n, width))
-                M[t["r"].to_numpy(np.int64), t["c"].to_numpy(np.int64) - lo] = t["weight"].to_numpy(np.float64)
-                cached[b] = (M, lo)
-            return cached[b]
-
-        for pdf in it:
-            for b, g in pdf.groupby("blk", sort=False):
-                M, lo = block_matrix(int(b))
-                width = M.shape[1]
-                users = g[U].to_numpy()
-                rs, ws = g["_r"].to_numpy(), g["_w"].to_numpy()
-                for s in range(0, len(g), user_batch):
-                    sl = slice(s, s + user_batch)
-                    ur, uw, uu = rs[sl], ws[sl], users[sl]
-                    rows = np.repeat(np.arange(len(ur)), [len(a) for a in ur])
-                    cols = np.concatenate(ur).astype(np.int64) if len(rows) else np.array([], dtype=np.int64)
-                    vals = np.concatenate(uw).astype(np.float64) if len(rows) else np.array([])
-                    Ub = np.zeros((len(ur), n))
-                    np.add.at(Ub, (rows, cols), vals)
-                    S = Ub @ M
-                    inb = (cols >= lo) & (cols < lo + width)  # mask the users' own items
-                    S[rows[inb], cols[inb] - lo] = -np.inf
-                    kk = min(k, width)
-                    part = np.argpartition(-S, kk - 1, axis=1)[:, :kk]
-                    sc = np.take_along_axis(S, part, axis=1)
-                    ok = np.isfinite(sc)
-                    ui = np.repeat(np.arange(len(ur)), kk).reshape(len(ur), kk)[ok]
-                    yield pd.DataFrame({U: uu[ui], "c": (part[ok] + lo).astype(np.int64), "raw": sc[ok]})
-
-    cand = x.mapInPandas(run, schema)
+    width = max(1, min(block, task_bytes // (8 * n)))
+    at_once = max(1, min(512, task_bytes // (8 * n)))  # users whose dense rows a task holds
+    nb = math.ceil(n / width)
+    h = hist.select(U, F.col("weight").cast("double").alias("w"), I).join(idx, I).select(U, F.col("idx").alias("r"), "w")
+    slices = max(1, math.ceil(h.count() / slice_entries))
+    mine = h.select(F.pmod(F.xxhash64(U), F.lit(slices)).cast("int").alias("slice"),
+                    F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("blk"), U, "r", "w")
+    cells = (B.join(idx.select(F.col(I).alias("src"), F.col("idx").alias("r")), "src")
+              .join(idx.select(F.col(I).alias("dst"), F.col("idx").alias("c")), "dst")
+              .select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
+                      F.floor(F.col("c") / F.lit(width)).cast("int").alias("blk"), "r", "c", "weight"))
+    empty = pa.schema([(U, pa.string()), ("c", pa.int64()), ("raw", pa.float64())])
+
+    def best(mine: pa.Table, cells: pa.Table) -> pa.Table:
+        if not mine.num_rows:
+            return empty.empty_table()
+        lo = mine.column("blk")[0].as_py() * width
+        m = np.zeros((n, min(width, n - lo)))
+        m[cells.column("r").to_numpy(), cells.column("c").to_numpy() - lo] = cells.column("weight").to_numpy()
+        users = mine.column(U).combine_chunks().dictionary_encode()
+        code = users.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        code, r, w = code[order], mine.column("r").to_numpy()[order], mine.column("w").to_numpy()[order]
+        kept = min(k, m.shape[1])
+        out = []
+        for first in range(0, len(users.dictionary), at_once):
+            a, z = np.searchsorted(code, [first, first + at_once])
+            some, col = np.unique(r[a:z], return_inverse=True)
+            row = code[a:z] - first
+            x = np.zeros((row[-1] + 1, len(some)))
+            np.add.at(x, (row, col), w[a:z])
+            score = x @ m[some]
+            own = (r[a:z] >= lo) & (r[a:z] < lo + m.shape[1])
+            score[row[own], r[a:z][own] - lo] = -np.inf
+            pick = np.argpartition(-score, kept - 1, axis=1)[:, :kept]
+            raw = np.take_along_axis(score, pick, axis=1)
+            ok = np.isfinite(raw)
+            who = np.broadcast_to(np.arange(len(raw))[:, None], raw.shape)[ok] + first
+            out.append(pa.table([users.dictionary.take(pa.array(who)), pa.array(pick[ok] + lo, pa.int64()), pa.array(raw[ok])], schema=empty))
+        return pa.concat_tables(out)
+
+    cand = mine.groupBy("blk", "slice").cogroup(cells.groupBy("blk", "slice")).applyInArrow(best, f"{U} string, c long, raw double")
     named = cand.join(idx.select(F.col("idx").alias("c"), I), "c")
     w = Window.partitionBy(U).orderBy(F.desc("raw"), F.asc(I))
     return named.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k).select(U, I, "raw")

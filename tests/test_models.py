@@ -113,7 +113,7 @@ def test_ease_block_topk_equals_join_form(spark):
             if rng.random() < 0.25]
     train = spark.createDataFrame(rows, "user_id string, item_id string, weight double")
     B = EA.ease_fit(train, 50.0, block=8)
-    fast = {(r.user_id, r.item_id): r.raw for r in EA.score_ease_topk(train, B, 5, block=7, user_batch=3).collect()}
+    fast = {(r.user_id, r.item_id): r.raw for r in EA.score_ease_topk(train, B, 5, block=7, slice_entries=40, task_bytes=1000).collect()}
     raw = EA.score_ease(train, B).join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     w = Window.partitionBy("user_id").orderBy(F.desc("raw"), F.asc("item_id"))
     ref = {(r.user_id, r.item_id): r.raw for r in raw.withColumn("k", F.row_number().over(w)).where("k <= 5").collect()}

@@ -76,3 +76,37 @@ def test_subspace_iteration_finds_the_singular_vectors(spark):
     sign = np.sign([us[np.argmax(np.abs(us[:, c])), c] for c in range(3)])
     assert np.abs(got - want * sign).max() < 1e-3
     assert evr == pytest.approx((us.var(axis=0).sum()) / x.var(axis=0).sum(), abs=1e-4)
+
+
+def test_whole_catalog_queries_match_a_dense_solve(spark):
+    import numpy as np
+    from rankfold.plans import flows, q_recommend as QR
+    sf = "/root/testdata/sf0.001"
+    train = flows.prepared(spark, sf, "L").train.select("user_id", "item_id", "weight").toPandas()
+    x = train.pivot_table(index="user_id", columns="item_id", values="weight", fill_value=0.0)
+    items, users = list(x.columns), list(x.index)
+    p = np.linalg.inv(x.to_numpy().T @ x.to_numpy() + 500.0 * np.eye(len(items)))
+    b = -p / np.diag(p)[None, :]
+    np.fill_diagonal(b, 0.0)
+    raw = np.where(x.to_numpy() > 0, -np.inf, x.to_numpy() @ b)
+
+    sums = {r.dst: r for r in QR.c7_ease_weights_l(spark, sf).collect()}
+    assert set(sums) == set(items)
+    for j, item in enumerate(items):
+        assert sums[item].n_src == len(items) - 1
+        assert sums[item].sum_weight == pytest.approx(b[:, j].sum(), abs=2e-6)
+        assert sums[item].max_abs_weight == pytest.approx(np.abs(b[:, j]).max(), abs=2e-6)
+
+    for query, n in ((QR.r3_collaborative_ease_l, 10), (QR.r10_batch_collaborative_l, 5)):
+        got = {}
+        for r in query(spark, sf).collect():
+            got.setdefault(r.user_id, []).append((r["rank"], r.product_id, r.score))
+        asked = {r.user_id for r in flows.customers(spark, sf).collect()}
+        assert set(got) == asked and {len(v) for v in got.values()} == {n}
+        for u, row in zip(users, raw, strict=True):
+            if u in asked:
+                best = np.sort(row[np.isfinite(row)])[::-1][:n]
+                want = np.clip(best / best[0], 0, 1) if best[0] > 0 else np.full(n, 0.5)
+                mine = sorted(got[u])
+                assert [s for _, _, s in mine] == pytest.approx(list(want), abs=2e-4)
+                assert [row[items.index(i)] for _, i, _ in mine] == pytest.approx(list(best), abs=1e-8)
