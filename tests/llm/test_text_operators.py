@@ -232,6 +232,27 @@ def test_tagger_learns_spans_it_was_not_shown(spark):
     assert right > 0.6 * (right + missed) and right > 4 * wrong, (right, wrong, missed)
 
 
+def test_failed_matches_veto_only_themselves(monkeypatch):
+    """The whole path: what the tagger decodes over digits that no base span holds is added."""
+    text = "call (132) 555-1352 or 4111111111111112 now"
+    monkeypatch.setattr(pii, "tagged", lambda m, t, starts: [(5, 19, 3, 0.99, 0), (23, 39, 2, 0.99, 0)])
+    assert pii.find(None, text) == ([], [(5, 19, 3)])
+
+
+def test_tagger_adds_forms_that_the_patterns_miss(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = pii.fit(df)
+    texts = [t for (t,) in df.select("text").collect() if t and len(t) > 200 and not pii._SIGNAL.search(t)][:40]
+    for form, kind in (("(132) 555-1352", 3), ("555-123-4567", 3), ("john99@localhost", 0)):
+        found = 0
+        for t in texts:
+            at = t.find(" ", len(t) // 2) + 1
+            base, added = pii.find(model, f"{t[:at]}{form} {t[at:]}")
+            assert not base
+            found += (at, at + len(form), kind) in added
+        assert found > 0.6 * len(texts), (form, found, len(texts))
+
+
 def test_windows_are_reconciled_over_the_text():
     found = [(50, 60, 0, 0.99, 0), (50, 60, 0, 0.99, 48), (90, 96, 1, 0.99, 0), (100, 110, 2, 0.99, 48), (100, 110, 2, 0.5, 96)]
     # (90, 96) touches its only window's edge; the others lie in a second window's margin, which has no say
