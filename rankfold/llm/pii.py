@@ -7,7 +7,10 @@ sample of text windows, of the texts as they are and with forms put in that the
 patterns miss (national phone numbers, mail at a bare host, cards and addresses
 with other separators) or that are none (dates, counts). It reads overlapping
 windows of WINDOW characters, every HOP characters, wherever a window has a digit
-or an at sign: no span of these kinds is without one. Windows are decoded by Viterbi and reconciled over the
+or an at sign; base spans have one, and an added span without one near is not
+seen. An added span of up to 37 characters lies in a window with both margins
+wherever it stands; longer ones only at some places, from 85 on at none (but at
+a text's ends). Base spans have no such limit. Windows are decoded by Viterbi and reconciled over the
 whole text: a span counts only if every window that holds it with a margin
 decodes the same span; of overlapping spans the set with the largest total
 confidence stays, base spans first. A match that fails
