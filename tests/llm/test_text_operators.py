@@ -296,6 +296,16 @@ def test_em_finds_the_accuracies():
     assert abs(share - 0.8) < 0.08 and all(t[-1][0] < 0.05 and t[-1][1] > 0.45 for t in table)
 
 
+@pytest.mark.parametrize("junk, kept", [(0.2, True), (0.05, False)])
+def test_one_noisy_rule_at_the_production_floor(junk, kept):
+    """A lone false vote is outvoted at 20% junk; at 5% it decides, as in all-must-pass (a known limit, see the README)."""
+    rng = np.random.default_rng(4)
+    votes = np.where((rng.random(20000) < junk)[:, None] & (rng.random((20000, 6)) < 0.6), -1, 1)
+    votes[rng.random(20000) < 0.1, 5] = -1
+    share, table = rules.estimate(sorted(Counter(map(tuple, votes.tolist())).items()))
+    assert (rules.log_odds((1, 1, 1, 1, 1, -1), share, table) >= 0) == kept
+
+
 def test_crc_of_ids_marks_the_fold(spark):
     from rankfold.llm.queries import held_out
     rows = spark.range(200).withColumnRenamed("id", "doc_id").select("doc_id", held_out().alias("h")).collect()
