@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from rankfold.llm import chat, classifier, decontaminate, minhash, pack, pii, rules, substrings, urls, warc
+from rankfold.llm import bestfit, chat, classifier, decontaminate, divergence, minhash, pack, pii, rules, runs, substrings, urls, warc
 
 QUERIES, ORACLE = {}, {}
 
 #: Tokenizer files, by name in the public tokenizer package; a path may be given instead.
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def query(name: str, sql: str | None = None):
@@ -189,4 +193,76 @@ def op10_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def repeated_tail(doc_id, n: int):
+    """The contract's reading order: a tenth of the documents repeat a part from word a on."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10:
+        return None
+    a = h // 10 % n
+    period = 1 + (n - a) // (3 + h // 10 % 8)
+    return np.concatenate([np.arange(a), a + np.arange(n - a) % period])
+
+
+@query("op11_periodic_runs", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, x:
+        list_reduce(range(8), lambda v, k: xor(v >> 1, (v & 1) * 3988292384), xor(c, x)), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM documents),
+ p AS (SELECT doc_id, w, len(w) AS n, h, (h // 10) % greatest(len(w), 1) AS a FROM d),
+ q AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS per FROM p),
+ t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % per END]) ELSE w END AS w FROM q),
+ win AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS k FROM (SELECT doc_id, w, unnest(range(0, n - 5)) AS i FROM t WHERE n >= 6)),
+ pair AS (SELECT x.doc_id, y.i - x.i AS lag, y.i FROM win x JOIN win y ON x.doc_id = y.doc_id AND x.k = y.k AND x.i < y.i),
+ isl AS (SELECT doc_id, lag, min(i) AS i0, max(i) + 6 AS i1 FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS g FROM pair) GROUP BY doc_id, lag, g),
+ runs AS (SELECT doc_id, i0 - lag AS s, i1 - i0 + lag AS len, min(lag) AS per FROM isl WHERE i1 - i0 >= lag AND i1 - i0 + lag >= 12 GROUP BY 1, 2, 3),
+ best AS (SELECT doc_id, count(*) AS n_runs, arg_min((s, len, per), (-len, s, per)) AS b, string_agg(s || ',' || len || ',' || per || chr(10), '' ORDER BY s, per) AS digest
+    FROM runs GROUP BY 1),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(s + per, s + len)) AS i FROM runs),
+ words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM t),
+ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY words.i) AS line FROM words LEFT JOIN gone USING (doc_id, i) WHERE gone.i IS NULL GROUP BY 1)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(b[1] AS BIGINT) AS start, CAST(b[2] AS BIGINT) AS length, CAST(b[3] AS BIGINT) AS period,
+ CAST(1000 * b[2] // b[3] AS BIGINT) AS exponent_milli, sha256(coalesce(digest, '')) AS runs_sha256, sha256(coalesce(line, '')) AS collapsed_sha256
+FROM t LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)""")
+def op11_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = runs.mark_runs(docs, least=12, order=repeated_tail)
+    of = F.col("repeats")
+    longest = F.array_min(F.transform(of["runs"], lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    lines = F.array_join(F.transform(of["runs"], lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    digest = F.when(F.size(of["runs"]) > 0, F.concat(lines, F.lit("\n")))
+    found = found.select("doc_id", F.size(of["runs"]).cast("long").alias("n_runs"), longest.alias("top"), sha256_of(digest).alias("runs_sha256"),
+                         sha256_of(of["collapsed"]).alias("collapsed_sha256"))
+    length, period = -F.col("top.l"), F.col("top.p")
+    return found.select("doc_id", "n_runs", F.col("top.s").alias("start"), length.alias("length"), period.alias("period"),
+                        F.call_function("div", 1000 * length, period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query("op12_source_divergence", r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+ t AS (SELECT lang, source, doc, unnest(w) AS term FROM d),
+ kept AS (SELECT lang, term, count(*) AS c FROM t GROUP BY 1, 2 HAVING count(DISTINCT doc) >= 3),
+ size AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY 1),
+ cnt AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+ grp AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN cnt USING (lang, source) GROUP BY 1, 2),
+ share AS (SELECT g.lang, g.source, k.term, coalesce(cnt.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(cnt.c, 0) + 1)) // (g.n + s.v) AS p,
+    1 + (1000000000::HUGEINT * (k.c + 1)) // (s.n + s.v) AS q
+    FROM grp g JOIN kept k USING (lang) JOIN size s USING (lang) LEFT JOIN cnt ON cnt.lang = g.lang AND cnt.source = g.source AND cnt.term = k.term),
+ pair AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM share a JOIN share b
+    ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+ rows AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM share WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows) WHERE part = 'pair' OR rank <= 200""")
+def op12_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=3, k=200)
+
+
+@query("op13_best_fit")
+def op13_best_fit(spark, sf_dir):
+    import public_tokenizers
+    packed = bestfit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), length=2048)
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
+
+
 __all__ = ["ORACLE", "QUERIES"]
