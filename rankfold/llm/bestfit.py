@@ -24,6 +24,7 @@ play no part.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -48,6 +49,8 @@ END = 0
 _LOADED: dict = {}
 # characters that no normalisation changes but for case; \s holds none beyond those of ASCII here
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ‐-‧‰-⁞]*+")
+# marks other than those in the pattern below
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 # fixed value: the pre-tokenizer pattern of the word vocabulary, under which words never reach over white space
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -77,25 +80,40 @@ class Encoder:
     def _code(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) > KNOWN_WORDS:
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of new words. Marks behind letters are coded apart: the tokenizer parts them too."""
+        ends = {w: len(w.rstrip(_MARKS)) for w in words}
+        ends = {w: n if 0 < n < len(w) and w[:n].isalpha() else len(w) for w, n in ends.items()}
+        units = [*{u for w, n in ends.items() for u in (w[:n], w[n:]) if u and u not in self.known}]
+        fresh = {}
+        for lo in range(0, len(units), 1 << 14):
+            some = units[lo : lo + (1 << 14)]
+            ids = [c.ids for c in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            at = [0, *itertools.accumulate(4 * len(x) for x in ids)]
+            blob = np.fromiter(itertools.chain.from_iterable(ids), "<u4", at[-1] // 4).tobytes()
+            fresh.update((w, blob[x:z]) for w, x, z in zip(some, at, at[1:], strict=False))
+        unit = lambda u: fresh[u] if u in fresh else self.known[u]
+        fresh |= {w: unit(w[:n]) + unit(w[n:]) for w, n in ends.items() if n < len(w)}
+        if len(self.known) + len(fresh) > KNOWN_WORDS:
             self.known.clear()
-        for lo in range(0, len(words), 1 << 14):
-            some = words[lo : lo + (1 << 14)]
-            for w, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(coded.ids, "<u4").tobytes()
+        self.known.update(fresh)
+        return fresh
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        plain = [self.by_word and _PLAIN.fullmatch(t) is not None and not any(b in t for b in self.barred) for t in texts]
-        words = [t.lower().split() if ok else None for t, ok in zip(texts, plain, strict=True)]
-        seen = set().union(*[w for w in words if w])
-        if new := seen.difference(self.known):
-            self._learn([*new])
-            if gone := seen.difference(self.known):  # the table was emptied before
-                self._learn([*gone])
-        known = self.known
-        return [self._code(t) if w is None else b"".join([known[x] for x in w]) for t, w in zip(texts, words, strict=True)]
+        out = []
+        for lo in range(0, len(texts), 512):
+            some = [t or "" for t in texts[lo : lo + 512]]
+            plain = [self.by_word and _PLAIN.fullmatch(t) is not None and not any(b in t for b in self.barred) for t in some]
+            words = [t.lower().split() if ok else None for t, ok in zip(some, plain, strict=True)]
+            codes = [None if w is None else [*map(self.known.get, w)] for w in words]
+            new = {x for w, c in zip(words, codes, strict=True) if c and None in c for x, y in zip(w, c, strict=True) if y is None}
+            fresh = self._learn(new) if new else {}
+            for t, w, c in zip(some, words, codes, strict=True):
+                if w is None:
+                    out.append(self._code(t))
+                else:
+                    out.append(b"".join([fresh[x] if y is None else y for x, y in zip(w, c, strict=True)] if None in c else c))
+        return out
 
 
 def encoder(path: str) -> Encoder:
