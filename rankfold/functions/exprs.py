@@ -32,12 +32,15 @@ def event_weight(event_col, weights: dict, default: float = 1.0) -> Column:
     return expr.otherwise(F.lit(float(default)))
 
 
+#: Popularity tokens; an item has one of them.
+BUCKET_TOKENS = ("popular_high", "popular_medium", "popular_low")
+
+
 def popularity_bucket(pop_col, high: int = 100, medium: int = 20) -> Column:
     """B-8: popularity bucket token (> high, > medium, else low)."""
     c = F.col(pop_col) if isinstance(pop_col, str) else pop_col
-    return (F.when(c > high, F.lit("popular_high"))
-            .when(c > medium, F.lit("popular_medium"))
-            .otherwise(F.lit("popular_low")))
+    top, middle, low = BUCKET_TOKENS
+    return F.when(c > high, F.lit(top)).when(c > medium, F.lit(middle)).otherwise(F.lit(low))
 
 
 def clip01(c) -> Column:

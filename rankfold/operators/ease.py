@@ -3,26 +3,32 @@
 * ``active_items``: items with positive total weight, capped by total weight.
 * ``gram``: G = X^T X over active items via a self join on user, i <= j only
   (mirrored afterwards). Work is sum_u |h_u|^2, bounded per user by the active
-  item cap; heavy users are salted — a user's rows on the left are spread over
+  item cap; heavy users are salted: a user's rows on the left are spread over
   ``ceil(n_u / chunk)`` salts and the right side is replicated only for that
   user, so no single task multiplies one hot user's whole history.
-* ``ease_fit``: P = (G + lambda I)^-1 by blocked Gauss-Jordan elimination on
-  dense tiles; a task holds three tiles, so neither G nor P is ever whole in
-  one place. B_ij = -P_ij / P_jj, B_jj = 0.
+* ``ease_fit``: P = (G + lambda I)^-1 on the dense tiles of the lower triangle,
+  by symmetric block elimination (``inverse_tiles``). B_ij = -P_ij / P_jj, B_jj = 0.
+* ``Weights``: the fitted B as a store of tiles. Scoring sends every column block
+  once and runs the users past it; single entries are looked up by tile. The
+  long table (src, dst, weight) is made only where someone asks for it.
 * ``score_ease``: score(u, j) = sum_i w(u, i) B(i, j) as join + aggregate.
+
+What a task holds is bounded whatever the catalog: a few tiles (``inverse_tiles``),
+or one column block and one slice of users (``score_ease_topk``).
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankfold.config import DEFAULTS
-from rankfold.session import materialize, scratch_path, ship_package
+from rankfold.session import batch_bytes, materialize, remove_path, scratch_path, ship_package
 
 U, I = "user_id", "item_id"
 
@@ -61,7 +67,15 @@ def gram(hist: DataFrame, active: DataFrame | None = None, l2: float | None = No
     return g
 
 
+
 _TILE = "i int, j int, a binary"
+#: Bytes of column tiles that one cell of the grid holds; sets the number of cells.
+CELL_BYTES = 128 << 20
+
+
+def tile_size(n: int) -> int:
+    """Side of the tiles: some ten steps for small catalogs, 32 MB tiles for large ones."""
+    return min(2048, max(256, 256 * math.ceil(n / 2560)))
 
 
 def _side(k: int, n: int, tile: int) -> int:
@@ -72,184 +86,404 @@ def _dense(blob, rows: int, cols: int) -> np.ndarray:
     return np.frombuffer(blob, np.float64).reshape(rows, cols)
 
 
+def _tile_row(i: int, j: int, a: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([a.tobytes()], pa.binary())],
+                                      names=["i", "j", "a"])
+
+
+def write_tiles(tiles: DataFrame, at: str) -> str:
+    """Tiles as Parquet, in row groups of a few tiles: a reader takes a row group at a time."""
+    (tiles.write.option("compression", "none").option("parquet.enable.dictionary", "false")
+        .option("parquet.block.size.row.check.min", "1").option("parquet.block.size.row.check.max", "1").parquet(at))
+    return at
+
+
+def _store(tiles: DataFrame, name: str) -> str:
+    return write_tiles(tiles, scratch_path(tiles.sparkSession, name))
+
+
 def gram_tiles(entries: DataFrame, n: int, tile: int) -> DataFrame:
-    """(i, j, a): the matrix (r, c, g) as dense tiles, also those without entries."""
+    """(i, j, a): the lower triangle of the symmetric matrix with entries
+    (r, c, g), r >= c, as dense tiles, also those without entries."""
     def build(cells: pa.Table, place: pa.Table) -> pa.Table:
         out = {"i": [], "j": [], "a": []}
         if place.num_rows:
             i, j = place.column("i")[0].as_py(), place.column("j")[0].as_py()
             m = np.zeros((_side(i, n, tile), _side(j, n, tile)))
-            m[cells.column("r").to_numpy() - i * tile, cells.column("c").to_numpy() - j * tile] = cells.column("g").to_numpy()
+            r, c, g = (cells.column(x).to_numpy() for x in ("r", "c", "g"))
+            m[r - i * tile, c - j * tile] = g
+            if i == j:
+                m[c - j * tile, r - i * tile] = g
             out = {"i": [i], "j": [j], "a": [m.tobytes()]}
         return pa.table(out, schema=pa.schema([("i", pa.int32()), ("j", pa.int32()), ("a", pa.binary())]))
 
     nb = math.ceil(n / tile)
     of = lambda c: F.floor(F.col(c) / F.lit(tile)).cast("int")
-    places = entries.sparkSession.range(nb * nb).select(F.floor(F.col("id") / nb).cast("int").alias("i"), (F.col("id") % nb).cast("int").alias("j"))
+    places = entries.sparkSession.range(nb).select(F.col("id").cast("int").alias("i")).select(
+        "i", F.explode(F.sequence(F.lit(0), F.col("i"))).alias("j"))
     cells = entries.select(of("r").alias("i"), of("c").alias("j"), "r", "c", "g")
     return cells.groupBy("i", "j").cogroup(places.groupBy("i", "j")).applyInArrow(build, _TILE)
 
 
-def inverse_tiles(tiles: DataFrame, n: int, tile: int) -> DataFrame:
-    """Inverse of a symmetric positive definite matrix of tiles by blocked
-    Gauss-Jordan elimination.
+def _grid(nb: int, tile: int) -> int:
+    """Groups of tile rows, so that two groups' tiles of one column fit into CELL_BYTES."""
+    return min(nb, max(1, math.ceil(2 * nb * tile * tile * 8 / CELL_BYTES)))
 
-    One step for each diagonal tile: its row is multiplied by the inverse of
-    the pivot tile, then every tile takes off (its column tile) x (its row
-    tile). A task holds three tiles at a time, whatever n is; the matrix is
-    never in one place. Each step is written to the shared folder, so a lost
-    executor costs tasks of one step.
+
+def _sweep(k: int, n: int, tile: int):
+    """Tasks of one step: a cell's column tiles come first, its tiles after them."""
+    def run(batches):
+        now, pivot, column, scaled = None, None, {}, {}
+        for batch in batches:
+            for t in range(batch.num_rows):
+                cell, kind, i, j, a = (batch.column(c)[t].as_py() for c in ("cell", "kind", "i", "j", "a"))
+                if cell != now:
+                    now, pivot, column, scaled = cell, None, {}, {}
+                h, w = _side(i, n, tile), _side(j, n, tile)
+                if kind == 0:
+                    if i == j:
+                        root = np.linalg.inv(np.linalg.cholesky(_dense(a, h, w)))
+                        pivot = root.T @ root
+                    else:  # as rows of column k
+                        column[i if j == k else j] = _dense(a, h, w) if j == k else np.ascontiguousarray(_dense(a, h, w).T)
+                    continue
+                a = _dense(a, h, w)
+                if i == k and j == k:
+                    a = -pivot
+                elif j == k:
+                    a = a @ pivot
+                elif i == k:
+                    a = pivot @ a
+                else:
+                    if j not in scaled:
+                        scaled[j] = pivot @ column[j].T
+                    a = a - column[i] @ scaled[j]
+                yield _tile_row(i, j, a)
+    return run
+
+
+def inverse_tiles(tiles: DataFrame, n: int, tile: int) -> str:
+    """Inverse of a symmetric positive definite matrix, with the sign turned,
+    from the tiles of its lower triangle; returns the path of the same tiles.
+
+    Symmetric block elimination: the step of diagonal tile k takes
+    (column tile i) (pivot)^-1 (column tile j)^T off every tile (i, j), the
+    pivot is factored by Cholesky. Only the lower triangle is kept, moved and
+    multiplied: n^3 operations in all, as for a Cholesky factor and its two
+    triangular solves, in ceil(n / tile) jobs. Tiles lie on a fixed grid of
+    cells, one partition each; a step sends a cell the column tiles of its rows
+    and columns, G + 1 copies of a column for G^2 / 2 cells. Every step is written
+    to the shared folder and the step before removed: two copies at most are there.
     """
-    def scaled(k: int):
-        def run(batches):
-            for batch in batches:
-                for j, a, p in zip(*(batch.column(c).to_pylist() for c in ("j", "a", "p")), strict=True):
-                    w = _side(k, n, tile)
-                    inv = np.linalg.inv(_dense(p, w, w))
-                    r = inv if j == k else inv @ _dense(a, w, _side(j, n, tile))
-                    yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([r.tobytes()], pa.binary())], names=["j", "row"])
-        return run
-
-    def updated(k: int):
+    spark = tiles.sparkSession
+    nb = math.ceil(n / tile)
+    groups = _grid(nb, tile)
+    group = lambda c: F.floor(F.col(c) * F.lit(groups) / F.lit(nb)).cast("int")
+    number = lambda r, c: (r * (r + 1) / 2 + c).cast("int")
+    cells = groups * (groups + 1) // 2
+    every = F.sequence(F.lit(0), F.lit(groups - 1))
+    with batch_bytes(spark, 4 * tile * tile * 8):
+        at = _store(tiles, "gram")
+        for k in range(nb):
+            now = spark.read.parquet(at)
+            own = now.select(number(group("i"), group("j")).alias("cell"), F.lit(1).alias("kind"), "i", "j", "a")
+            line = now.where(((F.col("i") == k) | (F.col("j") == k)) & (F.col("i") != F.col("j")))
+            copies = line.withColumn("g", F.when(F.col("j") == k, group("i")).otherwise(group("j"))).withColumn("o", F.explode(every)).select(
+                number(F.greatest("g", "o"), F.least("g", "o")).alias("cell"), F.lit(0).alias("kind"), "i", "j", "a")
+            pivot = now.where((F.col("i") == k) & (F.col("j") == k)).select(
+                F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(0).alias("kind"), "i", "j", "a")
+            dealt = own.unionByName(copies).unionByName(pivot).repartitionById(cells, F.col("cell"))
+            done = dealt.sortWithinPartitions("cell", "kind", F.col("i") != F.col("j"), "i", "j").mapInArrow(_sweep(k, n, tile), _TILE)
+            at, before = _store(done, "inverse"), at
+            remove_path(spark, before)
+    return at
+
+
+@dataclass
+class Weights:
+    """EASE weights: ``items`` (item_id, idx, scale) and ``tiles`` (i, j, a), the
+    dense tiles of B; ``scale`` is 1 / P_jj. Both lie in the shared folder."""
+    items: DataFrame
+    tiles: DataFrame
+    n: int
+    tile: int
+
+    def table(self) -> DataFrame:
+        """All of B as a long table (src, dst, weight) without its diagonal: n^2 rows."""
+        n, tile = self.n, self.tile
+
         def run(batches):
             for batch in batches:
                 for t in range(batch.num_rows):
-                    i, j, a, row, col = (batch.column(c)[t].as_py() for c in ("i", "j", "a", "row", "col"))
-                    if i != k:
-                        h, w = _side(i, n, tile), _side(j, n, tile)
-                        cut = _dense(col, h, _side(k, n, tile)) @ _dense(row, _side(k, n, tile), w)
-                        row = (-cut if j == k else _dense(a, h, w) - cut).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([row], pa.binary())],
-                                                     names=["i", "j", "a"])
-        return run
-
-    tiles = materialize(tiles)
-    for k in range(math.ceil(n / tile)):
-        pivot = tiles.where((F.col("i") == k) & (F.col("j") == k)).select(F.col("a").alias("p"))
-        rows = tiles.where(F.col("i") == k).select("j", "a").crossJoin(pivot).mapInArrow(scaled(k), "j int, row binary")  # one-row side
-        cols = tiles.where(F.col("j") == k).select("i", F.col("a").alias("col"))
-        tiles = materialize(tiles.join(rows, "j").join(cols, "i").select("i", "j", "a", "row", "col").mapInArrow(updated(k), _TILE))
-    return tiles
-
-
-def ease_fit(train: DataFrame, l2: float | None = None, max_items: int | None = None,
-             block: int = 512, top_m: int | None = None) -> DataFrame:
-    """C-7: EASE weights as a long table (src, dst, weight), diagonal excluded."""
+                    i, j, a = (batch.column(c)[t].as_py() for c in ("i", "j", "a"))
+                    h, w = _side(i, n, tile), _side(j, n, tile)
+                    for lo in range(0, h, step := max(1, (1 << 17) // w)):
+                        m = _dense(a, h, w)[lo : lo + step]
+                        rr, cc = np.indices(m.shape)
+                        rr, cc = rr + i * tile + lo, cc + j * tile
+                        keep = rr != cc
+                        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (rr, cc, m)], names=["r", "c", "weight"])
+
+        long = self.tiles.mapInArrow(run, "r long, c long, weight double")
+        name = lambda x, c: self.items.select(F.col(I).alias(x), F.col("idx").alias(c))
+        return long.join(name("src", "r"), "r").join(name("dst", "c"), "c").select("src", "dst", "weight")
+
+    def at(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` (src, dst and others) with their ``weight``: pairs of active,
+        different items only. Pairs go to their tiles; no other entry is unpacked."""
+        n, tile = self.n, self.tile
+        name = lambda x, c: self.items.select(F.col(I).alias(x), F.col("idx").alias(c))
+        asked = pairs.select("src", "dst").distinct().where("src <> dst").join(name("src", "r"), "src").join(name("dst", "c"), "dst")
+        of = lambda c: F.floor(F.col(c) / F.lit(tile)).cast("int")
+        asked = asked.select(of("r").alias("i"), of("c").alias("j"), "src", "dst", "r", "c")
+        out = pa.schema([("src", pa.string()), ("dst", pa.string()), ("weight", pa.float64())])
+
+        def pick(asked: pa.Table, tiles: pa.Table) -> pa.Table:
+            if not asked.num_rows or not tiles.num_rows:
+                return out.empty_table()
+            i, j, a = (tiles.column(c)[0].as_py() for c in ("i", "j", "a"))
+            m = _dense(a, _side(i, n, tile), _side(j, n, tile))
+            got = m[asked.column("r").to_numpy() - i * tile, asked.column("c").to_numpy() - j * tile]
+            return pa.table([asked.column("src"), asked.column("dst"), pa.array(got)], schema=out)
+
+        found = asked.groupBy("i", "j").cogroup(self.tiles.groupBy("i", "j")).applyInArrow(pick, "src string, dst string, weight double")
+        return pairs.join(found, ["src", "dst"])
+
+
+def ease_fit(train: DataFrame, l2: float | None = None, max_items: int | None = None, block: int | None = None) -> Weights:
+    """C-7: the EASE weights of all active items (``block``: side of a tile)."""
+    from rankfold.operators.ranking import global_rank
     spark = train.sparkSession
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))  # a few tiles
     l2 = DEFAULTS.ease_lambda if l2 is None else l2
     act = active_items(train, max_items)
-    from rankfold.operators.ranking import global_rank
-    idx = global_rank(act.select(I), [F.asc(I)], "idx").select(I, (F.col("idx") - 1).alias("idx"))
-    idx = materialize(idx)
+    idx = materialize(global_rank(act.select(I), [F.asc(I)], "idx").select(I, (F.col("idx") - 1).alias("idx")))
     n = idx.count()
+    tile = block or tile_size(n)
     if n == 0:
-        return spark.createDataFrame([], "src string, dst string, weight double")
-    g = gram(train, act, l2=l2)
+        empty = spark.createDataFrame([], _TILE)
+        return Weights(idx.withColumn("scale", F.lit(None).cast("double")), empty, 0, tile)
+    g = gram(train, act, l2=l2, mirror=False)  # item i is not after item j, so row j is not before row i
     # the index grows with the catalog: the planner broadcasts it only while it is small
-    gi = (g.join(idx.withColumnRenamed(I, "i").withColumnRenamed("idx", "r"), "i")
-           .join(idx.withColumnRenamed(I, "j").withColumnRenamed("idx", "c"), "j")
-           .select("r", "c", "g"))
-    inverse = inverse_tiles(gram_tiles(gi, n, block), n, block)
-    diagonal = inverse.where("i = j").select("j", F.col("a").alias("d"))
+    cells = (g.join(idx.withColumnRenamed(I, "i").withColumnRenamed("idx", "c"), "i")
+              .join(idx.withColumnRenamed(I, "j").withColumnRenamed("idx", "r"), "j").select("r", "c", "g"))
+    at = inverse_tiles(gram_tiles(cells, n, tile), n, tile)
+    return weights_of(spark, idx, at, n, tile)
 
-    def weights(batches):
+
+def weights_of(spark: SparkSession, idx: DataFrame, at: str, n: int, tile: int) -> Weights:
+    """B from the tiles of -P at ``at``: both triangles, columns divided by P_jj."""
+    def diagonal(batches):
         for batch in batches:
             for t in range(batch.num_rows):
-                i, j, a, d = (batch.column(c)[t].as_py() for c in ("i", "j", "a", "d"))
-                h, w = _side(i, n, block), _side(j, n, block)
-                pjj = np.diagonal(_dense(d, w, w))
+                j, a = batch.column("j")[t].as_py(), batch.column("a")[t].as_py()
+                w = _side(j, n, tile)
+                pjj = -np.diagonal(_dense(a, w, w))
                 if not (np.isfinite(pjj).all() and (pjj > 0).all()):
                     raise RuntimeError(f"the inverse is not positive on the diagonal of tile {j}; raise the ridge")
-                m = -_dense(a, h, w) / pjj[None, :]
-                rr, cc = np.meshgrid(np.arange(i * block, i * block + h), np.arange(j * block, j * block + w), indexing="ij")
-                keep = rr != cc
-                rr, cc, m = rr[keep], cc[keep], m[keep]
-                for lo in range(0, len(m), 1 << 17):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[lo:lo + (1 << 17)]) for x in (rr, cc, m)], names=["r", "c", "weight"])
-
-    bw = inverse.join(diagonal, "j").select("i", "j", "a", "d").mapInArrow(weights, "r long, c long, weight double")
-    out = (bw.join(idx.withColumnRenamed(I, "src").withColumnRenamed("idx", "r"), "r")
-             .join(idx.withColumnRenamed(I, "dst").withColumnRenamed("idx", "c"), "c")
-             .select("src", "dst", "weight"))
-    if top_m:
-        w = Window.partitionBy("dst").orderBy(F.desc(F.abs("weight")), "src")
-        out = out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_m).drop("_r")
-    b_path = scratch_path(spark, "ease-B")
-    out.write.parquet(b_path)  # the model table: written once, read by scoring / explanations
-    return spark.read.parquet(b_path)
-
-
-def score_ease(hist: DataFrame, B: DataFrame) -> DataFrame:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(w) + j * tile), pa.array(1.0 / pjj)], names=["idx", "scale"])
+
+    def divided(batches):
+        for batch in batches:
+            for t in range(batch.num_rows):
+                i, j, a, flip, scale = (batch.column(c)[t].as_py() for c in ("i", "j", "a", "flip", "scale"))
+                h, w = _side(i, n, tile), _side(j, n, tile)
+                m = (_dense(a, w, h).T if flip else _dense(a, h, w)) * np.array(scale)[None, :]
+                if i == j:
+                    np.fill_diagonal(m, 0.0)
+                yield _tile_row(i, j, np.ascontiguousarray(m))
+
+    with batch_bytes(spark, 4 * tile * tile * 8):
+        lower = spark.read.parquet(at)
+        scale = materialize(lower.where("i = j").select("j", "a").mapInArrow(diagonal, "idx long, scale double"))
+        per_tile = scale.groupBy(F.floor(F.col("idx") / tile).cast("int").alias("j")).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("idx", "scale"))), lambda x: x["scale"]).alias("scale"))  # a tile's side each
+        both = lower.select("i", "j", "a", F.lit(False).alias("flip")).unionByName(
+            lower.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "a", F.lit(True).alias("flip")))
+        # n numbers in all, in as many rows as there are tile columns: the planner may broadcast them, or deal the tiles by column
+        tiles = both.join(per_tile, "j").select("i", "j", "a", "flip", "scale").mapInArrow(divided, _TILE)
+        b_path = _store(tiles, "ease-B")
+        remove_path(spark, at)
+        items = materialize(idx.join(scale, "idx").select(I, "idx", "scale"))
+    return Weights(items, spark.read.parquet(b_path), n, tile)
+
+
+def times(B: Weights, v: DataFrame) -> DataFrame:
+    """(item_id, value) = B v for ``v`` (item_id, value): a tile meets the part of v at its columns."""
+    n, tile = B.n, B.tile
+    parts = B.items.join(v, I).groupBy(F.floor(F.col("idx") / tile).cast("int").alias("j")).agg(
+        F.collect_list(F.col("idx")).alias("at"), F.collect_list(F.col("value").cast("double")).alias("v"))  # a tile's side each
+
+    def run(batches):
+        for batch in batches:
+            for t in range(batch.num_rows):
+                i, j, a = (batch.column(c)[t].as_py() for c in ("i", "j", "a"))
+                x = np.zeros(_side(j, n, tile))
+                x[batch.column("at")[t].values.to_numpy() - j * tile] = batch.column("v")[t].values.to_numpy()
+                y = _dense(a, _side(i, n, tile), len(x)) @ x
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(y)) + i * tile), pa.array(y)], names=["idx", "part"])
+
+    with batch_bytes(v.sparkSession, 4 * tile * tile * 8):
+        parts = materialize(B.tiles.join(parts, "j").select("i", "j", "a", "at", "v").mapInArrow(run, "idx long, part double").groupBy("idx").agg(
+            F.sum("part").alias("value")))
+    return parts.join(B.items.select(I, "idx"), "idx").select(I, "value")
+
+
+def score_ease(hist: DataFrame, B: Weights) -> DataFrame:
     """R-1: raw score per (user, active item) = sum_i w(u,i) * B(i, j)."""
     h = hist.select(U, F.col(I).alias("src"), F.col("weight").cast("double").alias("w"))
-    j = h.join(B, "src")
+    j = h.join(B.table(), "src")
     return j.groupBy(U, F.col("dst").alias(I)).agg(F.sum(F.col("w") * F.col("weight")).alias("raw"))
 
 
-def score_ease_topk(hist: DataFrame, B: DataFrame, k: int, block: int = 512, slice_entries: int = 1 << 20,
-                    task_bytes: int = 32 << 20) -> DataFrame:
-    """R-1 + J-4 + W-4 at scale: per user the k best unseen active items by EASE score.
+_PACKED = "kind int, key long, users array<string>, ends array<int>, r array<int>, w array<double>"
+
+
+def user_slices(hist: DataFrame, B: Weights, entries: int = 1 << 16) -> DataFrame:
+    """Histories over active items, about ``entries`` rows packed into one row
+    each: users, ends of their entries, item numbers, weights."""
+    h = hist.select(U, F.col("weight").cast("double").alias("w"), I).join(B.items.select(I, "idx"), I).select(
+        U, F.col("idx").cast("int").alias("r"), "w")
+    h = materialize(h)
+    slices = max(1, math.ceil(h.count() / entries))
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("users", pa.list_(pa.string())), ("ends", pa.list_(pa.int32())),
+                        ("r", pa.list_(pa.int32())), ("w", pa.list_(pa.float64()))])
+
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(U, "ascending"), ("r", "ascending")])
+        users = rows.column(U).combine_chunks().dictionary_encode()
+        ends = np.flatnonzero(np.diff(users.indices.to_numpy(), append=-1)) + 1
+        return pa.table({"kind": [2], "key": [rows.column("slice")[0].as_py()], "users": [users.dictionary.to_pylist()], "ends": [ends],
+                         "r": [rows.column("r").to_numpy()], "w": [rows.column("w").to_numpy()]}, schema=schema)
 
-    Block products instead of ``history JOIN B`` (whose intermediate has
-    sum_u |h_u| x n_active rows): users are cut into hash slices of about
-    ``slice_entries`` history rows, the columns of B into blocks of at most
-    ``block`` and ``task_bytes``; a group is one slice and one block, so B is
-    sent once per slice and a history once per block. Users' own items are
-    masked and only the top k per block leave a group: the shuffle carries
-    users x blocks x k candidates. Output (user_id, item_id, raw).
+    return h.withColumn("slice", F.pmod(F.xxhash64(U), F.lit(slices))).groupBy("slice").applyInArrow(pack, _PACKED)
+
+
+def _run_past(hist: DataFrame, B: Weights, finish, schema: str, columns: DataFrame | None, block: int, slice_entries: int, task_bytes: int) -> DataFrame:
+    """What ``finish(users, ends, r, w, m, lo, given)`` yields for every slice of
+    users and every dense column block ``m`` of B, written once.
+
+    The columns of B are cut into blocks of at most ``block`` and ``task_bytes``,
+    one partition each. B's tiles are sent once, each to the blocks of its
+    columns; packed slices of users follow in the same partition and run past
+    the dense block, so a task holds one block and one slice. ``columns``
+    (item_id, value) reaches ``finish`` as the block's part, nan where it has no row.
     """
-    from rankfold.operators.ranking import global_rank
     spark = hist.sparkSession
     ship_package(spark)
-    items = B.select(F.col("src").alias(I)).union(B.select(F.col("dst").alias(I))).distinct()
-    idx = global_rank(items, [F.asc(I)], "_g").select(I, (F.col("_g") - 1).alias("idx"))
-    n = idx.count()
-    if n == 0:
-        return spark.createDataFrame([], f"{U} string, {I} string, raw double")
+    n, tile = B.n, B.tile
     width = max(1, min(block, task_bytes // (8 * n)))
-    at_once = max(1, min(512, task_bytes // (8 * n)))  # users whose dense rows a task holds
-    nb = math.ceil(n / width)
-    h = hist.select(U, F.col("weight").cast("double").alias("w"), I).join(idx, I).select(U, F.col("idx").alias("r"), "w")
-    slices = max(1, math.ceil(h.count() / slice_entries))
-    mine = h.select(F.pmod(F.xxhash64(U), F.lit(slices)).cast("int").alias("slice"),
-                    F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("blk"), U, "r", "w")
-    cells = (B.join(idx.select(F.col(I).alias("src"), F.col("idx").alias("r")), "src")
-              .join(idx.select(F.col(I).alias("dst"), F.col("idx").alias("c")), "dst")
-              .select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
-                      F.floor(F.col("c") / F.lit(width)).cast("int").alias("blk"), "r", "c", "weight"))
-    empty = pa.schema([(U, pa.string()), ("c", pa.int64()), ("raw", pa.float64())])
-
-    def best(mine: pa.Table, cells: pa.Table) -> pa.Table:
-        if not mine.num_rows:
-            return empty.empty_table()
-        lo = mine.column("blk")[0].as_py() * width
-        m = np.zeros((n, min(width, n - lo)))
-        m[cells.column("r").to_numpy(), cells.column("c").to_numpy() - lo] = cells.column("weight").to_numpy()
-        users = mine.column(U).combine_chunks().dictionary_encode()
-        code = users.indices.to_numpy()
-        order = np.argsort(code, kind="stable")
-        code, r, w = code[order], mine.column("r").to_numpy()[order], mine.column("w").to_numpy()[order]
-        kept = min(k, m.shape[1])
-        out = []
-        for first in range(0, len(users.dictionary), at_once):
-            a, z = np.searchsorted(code, [first, first + at_once])
-            some, col = np.unique(r[a:z], return_inverse=True)
-            row = code[a:z] - first
-            x = np.zeros((row[-1] + 1, len(some)))
-            np.add.at(x, (row, col), w[a:z])
-            score = x @ m[some]
-            own = (r[a:z] >= lo) & (r[a:z] < lo + m.shape[1])
-            score[row[own], r[a:z][own] - lo] = -np.inf
-            pick = np.argpartition(-score, kept - 1, axis=1)[:, :kept]
-            raw = np.take_along_axis(score, pick, axis=1)
-            ok = np.isfinite(raw)
-            who = np.broadcast_to(np.arange(len(raw))[:, None], raw.shape)[ok] + first
-            out.append(pa.table([users.dictionary.take(pa.array(who)), pa.array(pick[ok] + lo, pa.int64()), pa.array(raw[ok])], schema=empty))
-        return pa.concat_tables(out)
-
-    cand = mine.groupBy("blk", "slice").cogroup(cells.groupBy("blk", "slice")).applyInArrow(best, f"{U} string, c long, raw double")
-    named = cand.join(idx.select(F.col("idx").alias("c"), I), "c")
+    blocks = math.ceil(n / width)
+    packed = user_slices(hist, B, slice_entries)
+    cut = pa.schema([("cell", pa.int32()), ("kind", pa.int32()), ("i", pa.int32()), ("lo", pa.int32()), ("a", pa.binary())])
+
+    def cells(batches):  # the columns of a tile by block
+        for batch in batches:
+            for t in range(batch.num_rows):
+                i, j, a = (batch.column(c)[t].as_py() for c in ("i", "j", "a"))
+                w = _side(j, n, tile)
+                m = _dense(a, _side(i, n, tile), w)
+                for cell in range(j * tile // width, (j * tile + w - 1) // width + 1):
+                    x, z = max(j * tile, cell * width), min(j * tile + w, (cell + 1) * width)
+                    part = np.ascontiguousarray(m[:, x - j * tile : z - j * tile]).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((cell, 1, i, x, part), cut, strict=True)], schema=cut)
+
+    kinds = {"cell": "int", "kind": "int", "i": "int", "lo": "int", "a": "binary", "key": "long", "users": "array<string>", "ends": "array<int>",
+             "r": "array<int>", "w": "array<double>"}
+
+    def shaped(df: DataFrame) -> DataFrame:
+        return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+    rows = shaped(B.tiles.mapInArrow(cells, "cell int, kind int, i int, lo int, a binary"))
+    rows = rows.unionByName(shaped(packed.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))))
+    if columns is not None:  # comes first
+        of = B.items.join(columns, I).groupBy(F.floor(F.col("idx") / width).alias("cell")).agg(
+            F.collect_list("idx").alias("r"), F.collect_list(F.col("value").cast("double")).alias("w"))  # a block's columns each
+        rows = rows.unionByName(shaped(of.withColumn("kind", F.lit(0))))
+
+    def run(batches):
+        now, m, given = None, None, None
+        for batch in batches:
+            for t in range(batch.num_rows):
+                cell, kind = batch.column("cell")[t].as_py(), batch.column("kind")[t].as_py()
+                lo = cell * width
+                if cell != now:
+                    now, m = cell, np.zeros((n, min(width, n - lo)))
+                    given = np.full(m.shape[1], np.nan)
+                if kind == 1:
+                    i, x = batch.column("i")[t].as_py(), batch.column("lo")[t].as_py()
+                    part = _dense(batch.column("a")[t].as_py(), _side(i, n, tile), -1)
+                    m[i * tile : i * tile + len(part), x - lo : x - lo + part.shape[1]] = part
+                    continue
+                r, w = batch.column("r")[t].values.to_numpy(), batch.column("w")[t].values.to_numpy()
+                if kind == 0:
+                    given[r - lo] = w
+                else:
+                    yield from finish(batch.column("users")[t].values, batch.column("ends")[t].values.to_numpy(), r, w, m, lo, given)
+
+    with batch_bytes(spark, 4 * tile * tile * 8):
+        dealt = rows.repartitionById(blocks, F.col("cell"))
+        return materialize(dealt.sortWithinPartitions("cell", "kind", "key").mapInArrow(run, schema))
+
+
+def score_ease_topk(hist: DataFrame, B: Weights, k: int, allowed: DataFrame | None = None, block: int = 512,
+                    slice_entries: int = 1 << 16, task_bytes: int = 64 << 20) -> DataFrame:
+    """R-1 + J-4 + W-4 at scale: per user the k best unseen active items by EASE
+    score. Users' own items, and items outside ``allowed`` (item_id), are masked
+    inside the column block, and only the best k of a block leave it. Output
+    (user_id, item_id, raw)."""
+    spark = hist.sparkSession
+    if B.n == 0:
+        return spark.createDataFrame([], f"{U} string, {I} string, raw double")
+    schema, masked = pa.schema([(U, pa.string()), ("c", pa.int64()), ("raw", pa.float64())]), allowed is not None
+
+    def best(users, ends, r, w, m, lo, given):
+        shut = np.isnan(given) if masked else None
+        yield from _best_of(users, ends, r, w, m, shut, lo, k, schema)
+
+    only = None if allowed is None else allowed.select(I).distinct().withColumn("value", F.lit(1.0))
+    cand = _run_past(hist, B, best, f"{U} string, c long, raw double", only, block, slice_entries, task_bytes)
+    named = cand.join(B.items.select(F.col("idx").alias("c"), I), "c")
     w = Window.partitionBy(U).orderBy(F.desc("raw"), F.asc(I))
     return named.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k).select(U, I, "raw")
+
+
+def project_scores(hist: DataFrame, B: Weights, y: DataFrame, block: int = 512, slice_entries: int = 1 << 16, task_bytes: int = 64 << 20) -> DataFrame:
+    """(user_id, value): sum_j score(u, j) y(j) over all active items j, for
+    ``y`` (item_id, value): a linear functional of every score of a user."""
+    schema = pa.schema([(U, pa.string()), ("part", pa.float64())])
+
+    def summed(users, ends, r, w, m, lo, given):
+        along = (m @ np.nan_to_num(given))[r] * w
+        starts = np.concatenate([[0], ends[:-1]])
+        yield pa.RecordBatch.from_arrays([users, pa.array(np.add.reduceat(along, starts))], schema=schema)
+
+    parts = _run_past(hist, B, summed, f"{U} string, part double", y, block, slice_entries, task_bytes)
+    return parts.groupBy(U).agg(F.sum("part").alias("value"))
+
+
+def _blocks_of(users, ends, entries: int = 4096):
+    """Runs of users with about ``entries`` entries."""
+    starts, first = np.concatenate([[0], ends[:-1]]), 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + entries, "right")))
+        yield first, last, starts[first:last], ends[first:last]
+        first = last
+
+
+def _best_of(users, ends, r, w, m, shut, lo, k, schema):
+    """The best ``k`` columns of block ``m`` for each user of a slice."""
+    kept = min(k, m.shape[1])
+    for first, last, a, z in _blocks_of(users, ends):
+        mine, ww = r[a[0] : z[-1]], w[a[0] : z[-1]]
+        score = np.add.reduceat(m[mine] * ww[:, None], a - a[0], axis=0)
+        row = np.repeat(np.arange(last - first), z - a)
+        own = (mine >= lo) & (mine < lo + m.shape[1])
+        score[row[own], mine[own] - lo] = -np.inf
+        if shut is not None:
+            score[:, shut] = -np.inf
+        edge = np.partition(score, m.shape[1] - kept, axis=1)[:, m.shape[1] - kept, None]
+        over, tied = score > edge, score == edge  # ties at the edge go by number, as in the list
+        over |= tied & (tied.cumsum(1) <= kept - over.sum(1, keepdims=True))
+        at, col = np.nonzero(over & np.isfinite(score))
+        yield pa.RecordBatch.from_arrays([users.take(pa.array(at + first)), pa.array(col + lo, pa.int64()), pa.array(score[at, col])], schema=schema)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfold.functions.exprs import clip01, round4
+from rankfold.operators.ease import Weights
+from rankfold.operators.features import similarity_of
 
 U, I = "user_id", "item_id"
 
@@ -46,23 +48,22 @@ def _ordered(*cols) -> Column:
     return F.transform(rows, lambda x: x["e"])
 
 
-def ease_contributions(pairs: DataFrame, train: DataFrame, B: DataFrame, top_k: int = 5) -> DataFrame:
+def ease_contributions(pairs: DataFrame, train: DataFrame, B: Weights, top_k: int = 5) -> DataFrame:
     """X-1 evidence: the user's history items ranked by |B(h, target)| (top_k)."""
     h = train.select(U, F.col(I).alias("src"))
-    j = (_pairs(pairs).join(h, U)
-         .join(B.select("src", F.col("dst").alias(I), "weight"), ["src", I]))
+    j = B.at(_pairs(pairs).join(h, U).withColumnRenamed(I, "dst")).withColumnRenamed("dst", I)
     w = Window.partitionBy(U, I).orderBy(F.desc(F.abs("weight")), F.asc("src"))
     return j.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= top_k)
 
 
-def explain_ease(pairs: DataFrame, train: DataFrame, B: DataFrame, catalog: DataFrame,
+def explain_ease(pairs: DataFrame, train: DataFrame, B: Weights, catalog: DataFrame,
                  top_k: int = 5, categories: DataFrame | None = None) -> DataFrame:
     """X-1: history items checked, contribution = sum of the top_k raw B
     (user weights not applied), confidence = clip(total, 0, 1), and the top_k
     contributing history items themselves."""
     base = _error(pairs, train, catalog)
-    active = B.select(F.col("dst").alias(I)).distinct().withColumn("_act", F.lit(True))
-    act_src = B.select("src").distinct()
+    active = B.items.select(I).withColumn("_act", F.lit(True))
+    act_src = B.items.select(F.col(I).alias("src"))
     checked = (train.select(U, F.col(I).alias("src")).join(act_src, "src", "left_semi")
                     .groupBy(U).agg(F.count(F.lit(1)).alias("history_items_checked")))
     ev = ease_contributions(pairs, train, B, top_k)
@@ -118,24 +119,23 @@ def explain_neighbors(pairs: DataFrame, user_factors: DataFrame, train: DataFram
                     F.when(ok, F.coalesce("supporting_items", F.lit(""))).alias("supporting_items"))
 
 
-def content_evidence(pairs: DataFrame, train: DataFrame, item_class: DataFrame, class_sim: DataFrame) -> DataFrame:
+def content_evidence(pairs: DataFrame, train: DataFrame, item_class: DataFrame, class_vec: DataFrame) -> DataFrame:
     """X-3 evidence rows: the history items by similarity to the target (``pos``)."""
     h = train.select(U, F.col(I).alias("seen"))
     ic = item_class.select(I, "cls")
     j = (_pairs(pairs).join(h, U)
          .join(ic.withColumnRenamed(I, "seen").withColumnRenamed("cls", "cls_a"), "seen")
-         .join(ic.withColumnRenamed("cls", "cls_b"), I)
-         .join(class_sim, ["cls_a", "cls_b"], "left")
-         .withColumn("sim", F.coalesce("sim", F.lit(0.0))))
+         .join(ic.withColumnRenamed("cls", "cls_b"), I))
+    j = j.join(similarity_of(j, class_vec), ["cls_a", "cls_b"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
     w = Window.partitionBy(U, I).orderBy(F.desc(F.round("sim", 9)), F.asc("seen"))
     return j.withColumn("pos", F.row_number().over(w))
 
 
-def explain_content(pairs: DataFrame, train: DataFrame, item_class: DataFrame, class_sim: DataFrame,
+def explain_content(pairs: DataFrame, train: DataFrame, item_class: DataFrame, class_vec: DataFrame,
                     categories: DataFrame, top_k: int = 3) -> DataFrame:
     """X-3: category match, mean similarity to the whole history, and the top_k
     most similar history items."""
-    ev = content_evidence(pairs, train, item_class, class_sim)
+    ev = content_evidence(pairs, train, item_class, class_vec)
     agg = ev.groupBy(U, I).agg(F.avg("sim").alias("_avg"), F.count_if(F.col("pos") <= top_k).alias("n_similar"))
     cats = categories.select(I, "category")
     items = (ev.where(F.col("pos") <= top_k).join(cats.withColumnRenamed(I, "seen"), "seen", "left").groupBy(U, I).agg(
@@ -253,8 +253,8 @@ def explain_all(pairs: DataFrame, bundle, top_k: int = 5) -> DataFrame:
     if bundle.B is not None:
         e = explain_ease(pairs, bundle.train, bundle.B, bundle.items, top_k, bundle.categories)
         out = out.join(e.select(*cols, F.struct(*[c for c in e.columns if c not in cols]).alias("ease")), cols, "left")
-    if bundle.class_sim is not None:
-        c = explain_content(pairs, bundle.train, bundle.item_class, bundle.class_sim, bundle.categories)
+    if bundle.class_vec is not None:
+        c = explain_content(pairs, bundle.train, bundle.item_class, bundle.class_vec, bundle.categories)
         out = out.join(c.select(*cols, F.struct(*[x for x in c.columns if x not in cols]).alias("content")), cols, "left")
     if bundle.user_factors is not None and bundle.item_factors is not None:
         s = explain_shap(pairs, bundle.user_factors, bundle.item_factors, top_k)
@@ -274,7 +274,7 @@ def explain(pairs: DataFrame, bundle, method: str = "auto", top_k: int = 5) -> D
             return explain_ease(pairs, bundle.train, bundle.B, bundle.items, top_k, bundle.categories)
         return explain_neighbors(pairs, bundle.user_factors, bundle.train)
     if method == "content_based":
-        return explain_content(pairs, bundle.train, bundle.item_class, bundle.class_sim, bundle.categories)
+        return explain_content(pairs, bundle.train, bundle.item_class, bundle.class_vec, bundle.categories)
     if method == "shap":
         return explain_shap(pairs, bundle.user_factors, bundle.item_factors, top_k)
     if method == "lime":

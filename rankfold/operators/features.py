@@ -87,9 +87,18 @@ def item_classes(tfidf_long: DataFrame, items: DataFrame) -> tuple[DataFrame, Da
     return item_class, class_vec
 
 
+def similarity_of(pairs: DataFrame, class_vec: DataFrame) -> DataFrame:
+    """C-4 for the asked pairs alone: (cls_a, cls_b, sim), no row where it is 0."""
+    a = class_vec.select(F.col("cls").alias("cls_a"), "token", F.col("value").alias("va"))
+    b = class_vec.select(F.col("cls").alias("cls_b"), "token", F.col("value").alias("vb"))
+    both = pairs.select("cls_a", "cls_b").distinct().join(a, "cls_a").join(b, ["cls_b", "token"])
+    return both.groupBy("cls_a", "cls_b").agg(F.sum(F.col("va") * F.col("vb")).alias("sim"))
+
+
 def class_similarity(class_vec: DataFrame) -> DataFrame:
-    """C-4: cosine between classes that share a token, by a join on tokens; a
-    pair that is not there has cosine 0. No class x class grid is made."""
+    """C-4: cosine between all classes that share a token, by a join on tokens; a
+    pair that is not there has cosine 0. The table grows with the square of a
+    token's classes: it is the report; lists and explanations do not use it."""
     a = class_vec.select(F.col("cls").alias("cls_a"), "token", F.col("value").alias("va"))
     b = class_vec.select(F.col("cls").alias("cls_b"), "token", F.col("value").alias("vb"))
     return a.join(b, "token").groupBy("cls_a", "cls_b").agg(F.sum(F.col("va") * F.col("vb")).alias("sim"))

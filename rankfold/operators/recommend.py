@@ -6,11 +6,14 @@ Output of every recommender: (user_id, rank, item_id, score[, source]) with a
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfold.config import DEFAULTS
-from rankfold.functions.exprs import clip01
+from rankfold.functions.exprs import BUCKET_TOKENS, clip01
+from rankfold.operators.ease import Weights
 from rankfold.operators.ranking import global_rank
 from rankfold.operators.split import top_k
 from rankfold.session import materialize
@@ -135,7 +138,7 @@ def recommend_scored(users: DataFrame, scores: DataFrame, seen: DataFrame, n: in
 
 
 def recommend_collaborative(users: DataFrame, train: DataFrame, pop: DataFrame, n: int,
-                            B: DataFrame | None = None, user_factors: DataFrame | None = None,
+                            B: Weights | None = None, user_factors: DataFrame | None = None,
                             item_factors: DataFrame | None = None, categories: DataFrame | None = None,
                             category=None) -> DataFrame:
     """R-1/R-2/R-3/R-8: EASE scores when B is given, else factor dot products;
@@ -145,13 +148,11 @@ def recommend_collaborative(users: DataFrame, train: DataFrame, pop: DataFrame,
     warm = warm_users(users, train)
     if B is None and (user_factors is None or item_factors is None):
         raise ValueError("collaborative recommendations need EASE weights or latent factors")
-    if B is not None and category is None:
-        # block GEMM with the seen mask and a per-block top-n (no history x B join)
-        raw = ease.score_ease_topk(train.join(warm, U, "left_semi"), B, n)
+    if B is not None:
+        # column blocks of B with the seen and category masks inside, and a per-block top-n
+        allowed = None if category is None else categories.where(F.col("category") == F.lit(str(category)))
+        raw = ease.score_ease_topk(train.join(warm, U, "left_semi"), B, n, allowed)
         recs = recommend_scored(warm, raw, train, n)
-    elif B is not None:
-        raw = ease.score_ease(train.join(warm, U, "left_semi"), B)
-        recs = recommend_scored(warm, raw, train, n, categories, category)
     else:
         items = item_factors
         if category is not None:
@@ -167,10 +168,10 @@ def recommend_collaborative(users: DataFrame, train: DataFrame, pop: DataFrame,
         cold.withColumn("source", F.lit("popular")))
 
 
-def _idle_lists(warm: DataFrame, train: DataFrame, B: DataFrame, n: int, categories, category) -> DataFrame:
+def _idle_lists(warm: DataFrame, train: DataFrame, B: Weights, n: int, categories, category) -> DataFrame:
     """R-3 for known users without any active item: every active item scores 0,
     so the list is the first n by item_id, each with the B-13 value 0.5."""
-    act = B.select(F.col("src").alias(I)).union(B.select(F.col("dst").alias(I))).distinct()
+    act = B.items.select(I)
     idle = warm.join(train.select(U, I).join(act, I, "left_semi"), U, "left_anti")
     if category is not None:
         act = act.join(categories.where(F.col("category") == F.lit(str(category))).select(I), I, "left_semi")
@@ -181,15 +182,66 @@ def _idle_lists(warm: DataFrame, train: DataFrame, B: DataFrame, n: int, categor
 
 # ---------------------------------------------------------------- R-4
 
+def best_classes(q: DataFrame, n_hist: DataFrame, class_vec: DataFrame, sizes: DataFrame, seen: DataFrame, n: int,
+                 depth: int = 64, exclusive=BUCKET_TOKENS) -> DataFrame:
+    """(user_id, cls, raw, _s9): for each user, classes that hold the best ``n``
+    available items by q . v / |history| (score above 0), and maybe others below.
+
+    ``q`` (user_id, token, q): the sum of the vectors of a user's history; a class's
+    mean cosine is one product with it, so no table of class pairs is made.
+    Posting lists of the tokens are read in the order of their impact, the
+    first ``depth`` entries each; the classes found are scored in full. What
+    is further down any list scores at most the sum of q times the next impacts
+    (of ``exclusive`` tokens, one of which an item has, the greatest). Users with n
+    available items above that bound are done; so are, where one list alone goes on,
+    those with n items above it or tied with it and before the next entry's
+    first item, as ties go by item. The others read four times as deep.
+    """
+    q = materialize(q)
+    pending, found = q, []
+    postings = class_vec.join(sizes, "cls").select("token", "cls", "value", "_first")
+    order = Window.partitionBy("token").orderBy(F.desc(F.round("value", 9)), F.asc("_first"))
+    while True:
+        # at most depth + 1 entries a token pass the limit of each partition
+        lists = materialize(postings.withColumn("_pos", F.row_number().over(order)).where(F.col("_pos") <= depth + 1))
+        on = lists.where(F.col("_pos") == depth + 1).select("token", F.col("value").alias("_next"), F.col("_first").alias("_after"))
+        cand = pending.join(lists.where(F.col("_pos") <= depth).select("token", "cls"), "token").select(U, "cls").distinct()
+        raw = cand.join(class_vec.select("cls", "token", "value"), "cls").join(q, [U, "token"]).groupBy(U, "cls").agg(
+            F.sum(F.col("q") * F.col("value")).alias("_s"))
+        scored = raw.join(n_hist, U).select(U, "cls", (F.col("_s") / F.col("_nh")).alias("raw")).withColumn("_s9", F.round("raw", 9))
+        if on.isEmpty():  # every list was read to its end
+            found.append(scored)
+            break
+        scored = materialize(scored)
+        impact = F.col("q") * F.col("_next")
+        alone = F.col("token").isin(*exclusive)
+        bound = pending.join(on, "token").groupBy(U).agg(
+            (F.coalesce(F.sum(F.when(~alone, impact)), F.lit(0.0)) + F.coalesce(F.max(F.when(alone, impact)), F.lit(0.0))).alias("_t"),
+            F.count(F.lit(1)).alias("_open"), F.max("_after").alias("_after"))
+        bound = bound.join(n_hist, U).select(U, F.round(F.col("_t") / F.col("_nh") + 1e-12, 9).alias("_t9"), "_open", "_after")
+        left = scored.join(sizes, "cls").join(seen.groupBy(U, "cls").agg(F.count(F.lit(1)).alias("_seen"), F.min(I).alias("_least")), [U, "cls"], "left")
+        over = F.when(F.col("_s9") > F.col("_t9"), F.col("_size") - F.coalesce("_seen", F.lit(0)))
+        # of a tied class, its first item counts if it is free and before the next entry's
+        tied = F.when((F.col("_s9") == F.col("_t9")) & (F.col("_open") == 1) & (F.col("_first") < F.col("_after"))
+                      & F.coalesce(F.col("_least") > F.col("_first"), F.lit(True)), 1)
+        enough = left.join(bound, U).groupBy(U).agg(F.sum(F.coalesce(over, tied, F.lit(0))).alias("_have")).where(F.col("_have") >= n)
+        more = materialize(bound.select(U).join(enough, U, "left_anti"))
+        found.append(scored.join(more, U, "left_anti"))
+        if more.isEmpty():
+            break
+        pending, depth = pending.join(more, U, "left_semi"), 4 * depth
+    return functools.reduce(lambda a, b: a.unionByName(b), found)
+
+
 def recommend_content(users: DataFrame, train: DataFrame, pop: DataFrame, item_class: DataFrame,
-                      class_sim: DataFrame, n: int, categories: DataFrame | None = None,
-                      category=None) -> DataFrame:
+                      class_vec: DataFrame, n: int, categories: DataFrame | None = None,
+                      category=None, depth: int = 64) -> DataFrame:
     """R-4: mean cosine of each unseen item to the user's history, top-n.
 
     Items with the same TF-IDF vector share a class, so a user's score for an
-    item is a class score: sum_c' n(u,c') sim(c',c) / |h_u|. Inside a class
-    all items tie, so the list takes each class's first unseen items by
-    item_id (``first_unseen``) — only classes that can still reach the top-n
+    item is a class score (``best_classes``). Inside a class all items tie, so
+    the list takes each class's first unseen items by item_id: among the first
+    n + (the user's items in the class). Only classes that can still reach the top-n
     (fewer than n available items in strictly better classes) are expanded.
     Classes that share no token with the user's history score 0 and tie: users
     with fewer than n items above 0 get the first others by item_id. A user
@@ -201,43 +253,41 @@ def recommend_content(users: DataFrame, train: DataFrame, pop: DataFrame, item_c
     if category is not None:
         ic = ic.join(categories.where(F.col("category") == F.lit(str(category))).select(I), I, "left_semi")
     warm = warm_users(users, train)
-    h = train.select(U, I).join(warm, U, "left_semi").join(item_class, I)
+    h = materialize(train.select(U, I).join(warm, U, "left_semi").join(item_class, I))
     n_hist = h.groupBy(U).agg(F.count(F.lit(1)).alias("_nh"))
     uc = h.groupBy(U, "cls").agg(F.count(F.lit(1)).alias("_cnt"))
-    sim = class_sim.select(F.col("cls_a").alias("cls"), "cls_b", "sim")
-    cs = (uc.join(sim, "cls")
-            .groupBy(U, F.col("cls_b").alias("cls")).agg(F.sum(F.col("_cnt") * F.col("sim")).alias("_s"))
-            .join(n_hist, U).withColumn("raw", F.col("_s") / F.col("_nh"))
-            .withColumn("_s9", F.round("raw", 9)))
-    # catalog-sized and read three times below: ranked once and materialised
+    q = uc.join(class_vec, "cls").groupBy(U, "token").agg(F.sum(F.col("_cnt") * F.col("value")).alias("q"))
+    # catalog-sized and read several times below: ranked once and materialised
     ranked = global_rank(ic.select(I, "cls"), [F.asc("cls"), F.asc(I)], "_gr")
-    starts = ranked.groupBy("cls").agg(F.min("_gr").alias("_st"), F.count(F.lit(1)).alias("_size"))
-    ranked = ranked.join(starts, "cls").select(I, "cls", (F.col("_gr") - F.col("_st") + 1).alias("rank"))
-    seen_r = h.select(U, I).join(ranked, I).select(U, "cls", "rank")
-    seen_c = seen_r.groupBy(U, "cls").agg(F.count(F.lit(1)).alias("_seen"))
-    cand = (cs.join(starts.select("cls", "_size"), "cls")
-              .join(seen_c, [U, "cls"], "left")
-              .withColumn("_avail", F.col("_size") - F.coalesce("_seen", F.lit(0))))
+    starts = ranked.groupBy("cls").agg(F.min("_gr").alias("_st"), F.count(F.lit(1)).alias("_size"), F.min(I).alias("_first"))
+    starts = materialize(starts)
+    sizes = starts.select("cls", "_size", "_first")
+    seen = h.select(U, I, "cls").join(ic.select(I), I, "left_semi") if category is not None else h.select(U, I, "cls")
+    cs = best_classes(q, n_hist, class_vec, sizes, seen, n, depth)
+    seen_c = seen.groupBy(U, "cls").agg(F.count(F.lit(1)).alias("_seen"))
+    cand = (cs.join(sizes, "cls").join(seen_c, [U, "cls"], "left").fillna({"_seen": 0})
+              .withColumn("_avail", F.col("_size") - F.col("_seen")))
     w_incl = Window.partitionBy(U).orderBy(F.desc("_s9")).rangeBetween(Window.unboundedPreceding, 0)
     w_tie = Window.partitionBy(U, "_s9")
     better = F.sum("_avail").over(w_incl) - F.sum("_avail").over(w_tie)
-    kept = cand.withColumn("_better", better).where((F.col("_better") < n) & (F.col("_avail") > 0))
-    want = kept.select(U, "cls", F.least(F.col("_avail"), F.lit(n)).alias("_want"), "raw", "_s9")
-    slots = first_unseen(want.select(U, "cls", "_want"), seen_r, [U, "cls"], n)
-    items = (slots.join(ranked.select("cls", F.col("rank").alias("_pos"), I), ["cls", "_pos"])
-                  .join(want.select(U, "cls", "raw", "_s9"), [U, "cls"]))
+    kept = cand.withColumn("_better", better).where((F.col("_better") < n) & (F.col("_avail") > 0) & (F.col("_s9") > 0))
+    last = F.col("_st") - 1 + F.least(F.col("_size"), F.col("_seen") + n)
+    slots = kept.join(starts.select("cls", "_st"), "cls").select(U, "raw", "_s9", F.explode(F.sequence("_st", last)).alias("_gr"))
+    items = slots.join(ranked.select("_gr", I), "_gr").join(seen.select(U, I), [U, I], "left_anti")
     top = materialize(top_k(items, n, F.desc("_s9")).select(U, F.col("rank").cast("int").alias("rank"), I, clip01("raw").alias("score")))
     # score 0: the first items by item_id that are neither seen nor in the list; a
     # short user's list and history are all that is excluded
     count = top.groupBy(U).agg(F.count(F.lit(1)).alias("_have"))
     short = warm.join(count, U, "left").fillna({"_have": 0}).where(F.col("_have") < n)
-    short = short.join(h.select(U).distinct(), U, "left_semi")  # a history without any catalog item scores nothing
-    order = global_rank(ic.select(I).distinct(), [F.asc(I)], "rank")
-    taken = h.select(U, I).union(top.select(U, I)).join(short.select(U), U, "left_semi").distinct()
-    fill = first_unseen(short.select(U, F.lit(n).alias("_want")), taken.join(order, I).select(U, "rank"), [U], n)
-    fill = fill.join(order.select(F.col("rank").alias("_pos"), I), "_pos").join(short, U)
-    fill = fill.select(U, (F.col("slot") + F.col("_have")).cast("int").alias("rank"), I, F.lit(0.0).alias("score")).where(F.col("rank") <= n)
-    recs = materialize(top.unionByName(fill))
+    short = materialize(short.join(h.select(U).distinct(), U, "left_semi"))  # a history without any catalog item scores nothing
+    recs = top
+    if not short.isEmpty():
+        order = global_rank(ic.select(I).distinct(), [F.asc(I)], "rank")
+        taken = h.select(U, I).union(top.select(U, I)).join(short.select(U), U, "left_semi").distinct()
+        fill = first_unseen(short.select(U, F.lit(n).alias("_want")), taken.join(order, I).select(U, "rank"), [U], n)
+        fill = fill.join(order.select(F.col("rank").alias("_pos"), I), "_pos").join(short, U)
+        fill = fill.select(U, (F.col("slot") + F.col("_have")).cast("int").alias("rank"), I, F.lit(0.0).alias("score")).where(F.col("rank") <= n)
+        recs = materialize(top.unionByName(fill))
     rest = users.join(recs.select(U), U, "left_anti")  # cold users, and those whose candidates are exhausted
     cold = recommend_popular(rest, pop, n, categories=categories, category=category)
     return recs.withColumn("source", F.lit("content")).unionByName(cold.withColumn("source", F.lit("popular")))
@@ -270,7 +320,7 @@ def recommend_hybrid(users: DataFrame, bundle, n: int, category=None) -> DataFra
     k = 3 * n
     a = recommend_collaborative(users, bundle.train, bundle.pop, k, bundle.B, bundle.user_factors,
                                 bundle.item_factors, bundle.categories, category)
-    b = recommend_content(users, bundle.train, bundle.pop, bundle.item_class, bundle.class_sim, k,
+    b = recommend_content(users, bundle.train, bundle.pop, bundle.item_class, bundle.class_vec, k,
                           bundle.categories, category)
     return blend(a, b, n, bundle.collab_weight, bundle.content_weight)
 
@@ -286,9 +336,9 @@ def recommend(users: DataFrame, bundle, n: int | None = None, kind: str = "colla
                                     bundle.item_factors, bundle.categories, category)
         reason = F.when(F.col("source") == "popular", F.lit(REASON_POPULAR)).otherwise(F.lit(REASON_COLLAB))
     elif kind == "content_based":
-        if bundle.class_sim is None:
+        if bundle.class_vec is None:
             return recommend(users, bundle, n, "collaborative", category)
-        r = recommend_content(users, bundle.train, bundle.pop, bundle.item_class, bundle.class_sim, n,
+        r = recommend_content(users, bundle.train, bundle.pop, bundle.item_class, bundle.class_vec, n,
                               bundle.categories, category)
         reason = F.when(F.col("source") == "popular", F.lit(REASON_POPULAR)).otherwise(F.lit(REASON_CONTENT))
     elif kind == "hybrid":

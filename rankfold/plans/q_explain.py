@@ -138,7 +138,7 @@ SELECT user_id, item_id, 'content_similarity' AS method, error,
 FROM x3""", recursive=True))
 def x3_content_explanation_e(spark, sf_dir):
     p, b, pairs = _pairs_and_bundle(spark, sf_dir)
-    x = X.explain_content(pairs, p.train, b.item_class, b.class_sim, b.categories)
+    x = X.explain_content(pairs, p.train, b.item_class, b.class_vec, b.categories)
     return x.withColumn("similar_items", _ids(x, "most_similar_seen_items", "item_id")).drop("most_similar_seen_items")
 
 
@@ -149,7 +149,7 @@ def x3_content_evidence_e(spark, sf_dir):
     """X-3 evidence rows: the 3 history items most similar to the target."""
     from rankfold.functions.exprs import round4
     p, b, pairs = _pairs_and_bundle(spark, sf_dir)
-    ev = X.content_evidence(pairs, p.train, b.item_class, b.class_sim)
+    ev = X.content_evidence(pairs, p.train, b.item_class, b.class_vec)
     return ev.where(F.col("pos") <= 3).select("user_id", "item_id", F.col("pos").cast("int").alias("pos"),
                                               F.col("seen").alias("history_item"), round4("sim").alias("similarity"))
 

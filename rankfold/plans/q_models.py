@@ -69,7 +69,8 @@ def c4_item_similarity_e(spark, sf_dir):
     """C-4 expanded to item pairs for checking (table E has a fixed 100-item catalog;
     the model itself stays at class level)."""
     p = flows.prepared(spark, sf_dir, E)
-    _, _, ic, sim = content_model(p.pairs, TT.categories(spark, sf_dir), p.pop)
+    _, _, ic, vec = content_model(p.pairs, TT.categories(spark, sf_dir), p.pop)
+    sim = FT.class_similarity(vec)
     a = ic.select(F.col("item_id").alias("item_a"), F.col("cls").alias("cls_a"))
     b = ic.select(F.col("item_id").alias("item_b"), F.col("cls").alias("cls_b"))
     return (a.crossJoin(b).join(sim, ["cls_a", "cls_b"], "left")
@@ -83,7 +84,8 @@ FROM isim s JOIN cls ca ON s.item_a = ca.doc JOIN cls cb ON s.item_b = cb.doc"""
 def c4_class_similarity_l_30_25(spark, sf_dir):
     """C-4 at class level on L (nonzero pairs)."""
     p = flows.prepared(spark, sf_dir, L)
-    _, _, _, sim = content_model(p.pairs, TT.categories(spark, sf_dir), p.pop, 30, 25)
+    _, _, _, vec = content_model(p.pairs, TT.categories(spark, sf_dir), p.pop, 30, 25)
+    sim = FT.class_similarity(vec)
     return sim.where(F.col("sim") > 0).select("cls_a", "cls_b", F.round("sim", 6).alias("sim"))
 
 
@@ -114,19 +116,10 @@ def c6_gram_e(spark, sf_dir):
 @query("c7_ease_weights_e", Q.with_prep(E, Q.ease(), body="""
 SELECT src, dst, ROUND(weight, 6) AS weight FROM bw""", recursive=True))
 def c7_ease_weights_e(spark, sf_dir):
-    """C-7: distributed CG solve of (G + 500 I)^-1 -> B (checked against an
-    exact Gauss-Jordan inverse in SQL)."""
+    """C-7: blocked inverse of G + 500 I on the lower triangle -> B (checked
+    against an exact Gauss-Jordan inverse in SQL)."""
     p = flows.prepared(spark, sf_dir, E)
-    B = EA.ease_fit(p.train, 500.0)
-    return B.select("src", "dst", F.round("weight", 6).alias("weight"))
-
-
-@query("c7_ease_weights_l_cap", Q.with_prep(L, Q.ease(cap=150), body="""
-SELECT src, dst, ROUND(weight, 6) AS weight FROM bw""", recursive=True))
-def c7_ease_weights_l_cap(spark, sf_dir):
-    """C-7 on L with a 150-item active cap (the reference's cap mechanism)."""
-    p = flows.prepared(spark, sf_dir, L)
-    B = EA.ease_fit(p.train, 500.0, max_items=150)
+    B = EA.ease_fit(p.train, 500.0).table()
     return B.select("src", "dst", F.round("weight", 6).alias("weight"))
 
 

@@ -72,7 +72,7 @@ SELECT "table", CAST(n AS BIGINT) AS n_rows, 'ease+tfidf' AS algorithm, '500.0'
   UNION ALL SELECT 'categories', COUNT(*) FROM cat
   UNION ALL SELECT 'tfidf', COUNT(*) FROM tfidf
   UNION ALL SELECT 'item_class', COUNT(*) FROM items
-  UNION ALL SELECT 'class_sim', COUNT(*) FROM (SELECT DISTINCT ca.cls AS a, cb.cls AS b FROM isim s JOIN cls ca ON s.item_a = ca.doc JOIN cls cb ON s.item_b = cb.doc)
+  UNION ALL SELECT 'class_vec', COUNT(*) FROM (SELECT DISTINCT cls, token FROM tfidf JOIN cls ON cls.doc = tfidf.doc)
   UNION ALL SELECT 'B', (SELECT n * (n - 1) FROM nn))""", recursive=True))
 def a5_a6_bundle_roundtrip(spark, sf_dir):
     """A-5 / A-6: save a trained bundle to the shared folder, load it
@@ -84,6 +84,7 @@ def a5_a6_bundle_roundtrip(spark, sf_dir):
     lb, meta = IO.load_bundle(spark, path)
     counts = [getattr(lb, n).agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("n_rows"))
               for n in IO.BUNDLE_TABLES if getattr(lb, n) is not None]
+    counts.append(lb.B.table().agg(F.lit("B").alias("table"), F.count(F.lit(1)).alias("n_rows")))
     info = IO.model_info(meta).select(F.col("info.algorithm").alias("algorithm"), F.col("info.ease_lambda").alias("ease_lambda"))
     return functools.reduce(lambda a, b: a.unionByName(b), counts).crossJoin(info)  # one-row side
 

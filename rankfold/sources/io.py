@@ -7,6 +7,7 @@ pushdown reach the files. Writers go to the cluster's shared storage.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ PROPERTIES = T.StructType([
     T.StructField("timestamp", T.LongType()), T.StructField("itemid", T.LongType()),
     T.StructField("property", T.StringType()), T.StructField("value", T.StringType())])
 
-BUNDLE_TABLES = ("train", "pop", "items", "categories", "tfidf", "item_class", "class_sim", "B",
+BUNDLE_TABLES = ("train", "pop", "items", "categories", "tfidf", "item_class", "class_vec",
                  "user_factors", "item_factors")
 
 
@@ -57,39 +58,111 @@ def read_properties(spark: SparkSession, paths, fmt: str = "csv",
     return r.format(fmt).load(present)
 
 
-def save_bundle(bundle, path: str, metadata: dict | None = None) -> None:
-    """A-5: every model table as Parquet under ``path/<table>`` + a metadata row."""
-    spark = None
-    for name in BUNDLE_TABLES:
-        df = getattr(bundle, name, None)
-        if df is None:
-            continue
-        spark = df.sparkSession
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+def _fs(spark: SparkSession, path: str):
+    """The path and its file system, for names that are not tables."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _publish(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there as a whole or not at all: written beside, then renamed over."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    beside, fs = _fs(spark, f"{path}.{uuid.uuid4().hex[:8]}")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+    files.rename(files.makeQualified(beside), files.makeQualified(_fs(spark, path)[0]), over)
+
+
+def _published(spark: SparkSession, path: str) -> str | None:
+    at, fs = _fs(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode().strip()
+    finally:
+        stream.close()
+
+
+def _bundle_parts(bundle) -> dict:
+    """Table name -> (DataFrame, how to write it)."""
+    from rankfold.operators.ease import write_tiles
+    plain = lambda df, at: df.write.parquet(at)
+    parts = {name: (df, plain) for name in BUNDLE_TABLES if (df := getattr(bundle, name, None)) is not None}
+    if bundle.B is not None:
+        parts["ease_items"], parts["ease_tiles"] = (bundle.B.items, plain), (bundle.B.tiles, write_tiles)
+    return parts
+
+
+def save_bundle(bundle, path: str, metadata: dict | None = None, keep: int = 2) -> str:
+    """A-5: one version folder ``path/versions/<name>`` with every model table, a
+    metadata table and the row counts, then the name in ``path/CURRENT``.
+
+    The pointer is written last and at once, so a reader finds the former
+    version until the new one is whole, however far a save that dies has come.
+    Versions beyond the last ``keep`` published ones go afterwards. Returns the name.
+    """
+    parts = _bundle_parts(bundle)
+    spark = bundle.train.sparkSession
+    version = f"{_dt.datetime.now(_dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:6]}"
+    at = f"{path}/versions/{version}"
+    counts = []
+    for name, (df, write) in parts.items():
+        write(df, f"{at}/{name}")
+        counts.append((name, spark.read.parquet(f"{at}/{name}").count()))  # from the files' footers
     meta = dict(metadata or {})
     meta.setdefault("created_at", _dt.datetime.now(_dt.timezone.utc).isoformat())
+    if bundle.B is not None:
+        meta["ease_tile"] = bundle.B.tile
     rows = [(str(k), str(v)) for k, v in sorted(meta.items())]
-    spark.createDataFrame(rows, "key string, value string").coalesce(1).write.mode("overwrite").parquet(
-        f"{path}/_metadata")
+    spark.createDataFrame(rows, "key string, value string").coalesce(1).write.parquet(f"{at}/_metadata")
+    spark.createDataFrame([*counts, ("_metadata", len(rows))], "name string, n long").coalesce(1).write.parquet(f"{at}/_counts")
+    _publish(spark, f"{path}/CURRENT", version)
+    _drop_versions(spark, path, version, keep)
+    return version
+
+
+def _drop_versions(spark: SparkSession, path: str, current: str, keep: int) -> None:
+    """Removes whole versions older than the last ``keep``; unfinished ones, which may be another save at work, only if older."""
+    root, fs = _fs(spark, f"{path}/versions")
+    names = sorted(s.getPath().getName() for s in fs.listStatus(root))
+    whole = [n for n in names if n <= current and _exists(spark, f"{path}/versions/{n}/_counts")]
+    for name in names:
+        if len(whole) > keep and name < whole[-keep]:
+            fs.delete(_fs(spark, f"{path}/versions/{name}")[0], True)
 
 
 def load_bundle(spark: SparkSession, path: str):
-    """A-6: load the tables that exist; a missing or unreadable bundle raises
-    ``RuntimeError('model not initialised')``."""
+    """A-6: the version that ``path/CURRENT`` names, each table with the rows that were
+    counted when it was saved; a bundle that is missing, unreadable or of
+    other counts raises ``RuntimeError('model not initialised')``."""
+    from rankfold.operators.ease import Weights
     from rankfold.operators.model import Bundle
-    if not _exists(spark, f"{path}/_metadata"):
-        raise RuntimeError("model not initialised")
-    kw = {}
     try:
-        for name in BUNDLE_TABLES:
-            p = f"{path}/{name}"
-            kw[name] = spark.read.parquet(p) if _exists(spark, p) else None
-        meta = spark.read.parquet(f"{path}/_metadata")
+        version = _published(spark, f"{path}/CURRENT")
+        if not version:
+            raise FileNotFoundError(path)
+        at = f"{path}/versions/{version}"
+        counts = {r["name"]: r["n"] for r in spark.read.parquet(f"{at}/_counts").collect()}  # one row per table
+        tables = {name: spark.read.parquet(f"{at}/{name}") for name in counts}
+        wrong = [name for name, n in counts.items() if tables[name].count() != n]
     except Exception as e:  # noqa: BLE001 - broken files mean "not initialised"
         raise RuntimeError("model not initialised") from e
-    # a handful of rows; the hybrid weights are part of the model
-    weights = {r["key"]: float(r["value"]) for r in meta.where(F.col("key").isin("hybrid_collab_weight", "hybrid_content_weight")).collect()}
-    return Bundle(**kw, collab_weight=weights.get("hybrid_collab_weight"), content_weight=weights.get("hybrid_content_weight")), meta
+    if wrong:
+        raise RuntimeError("model not initialised") from ValueError(f"rows are missing from {', '.join(sorted(wrong))}")
+    meta = tables["_metadata"]
+    known = {r["key"]: r["value"] for r in meta.where(F.col("key").isin("hybrid_collab_weight", "hybrid_content_weight", "ease_tile")).collect()}
+    weights = {k: float(v) for k, v in known.items() if k != "ease_tile"}  # the hybrid weights are part of the model
+    B = None
+    if "ease_tiles" in tables:
+        B = Weights(tables["ease_items"], tables["ease_tiles"], counts["ease_items"], int(known["ease_tile"]))
+    return Bundle(**{name: tables.get(name) for name in BUNDLE_TABLES}, B=B, collab_weight=weights.get("hybrid_collab_weight"),
+                  content_weight=weights.get("hybrid_content_weight")), meta
 
 
 def model_info(meta: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ def test_ease_matches_dense_inverse(spark):
     rows = [(f"u{u}", f"i{i:02d}", float(rng.integers(1, 6))) for u in range(80) for i in range(40)
             if rng.random() < 0.3]
     train = spark.createDataFrame(rows, "user_id string, item_id string, weight double")
-    B = {(r.src, r.dst): r.weight for r in EA.ease_fit(train, 500.0, block=16).collect()}
+    B = {(r.src, r.dst): r.weight for r in EA.ease_fit(train, 500.0, block=16).table().collect()}
     pdf = train.toPandas()
     items = sorted(pdf.item_id.unique())
     X_ = pdf.pivot_table(index="user_id", columns="item_id", values="weight", fill_value=0.0)[items].to_numpy()
@@ -93,17 +93,22 @@ def test_svd_factors_unit_norm_and_evr(spark, fx1):
     assert 0.0 < evr <= 1.0 + 1e-9
 
 
-def test_tiles_invert_the_matrix(spark):
+def test_tiles_invert_the_matrix(spark, monkeypatch):
     rng = np.random.default_rng(2)
     n, tile = 30, 7
     A = rng.random((n, n)) * (rng.random((n, n)) < 0.2)
     A = A @ A.T + np.eye(n)
-    cells = spark.createDataFrame([(int(r), int(c), float(A[r, c])) for r, c in zip(*np.nonzero(A))], "r long, c long, g double")
-    P = np.zeros((n, n))
-    for t in EA.inverse_tiles(EA.gram_tiles(cells, n, tile), n, tile).collect():
-        h, w = min(tile, n - t.i * tile), min(tile, n - t.j * tile)
-        P[t.i * tile:t.i * tile + h, t.j * tile:t.j * tile + w] = np.frombuffer(t.a).reshape(h, w)
-    assert np.abs(A @ P - np.eye(n)).max() < 1e-8
+    cells = spark.createDataFrame([(int(r), int(c), float(A[r, c])) for r, c in zip(*np.nonzero(np.tril(A)))], "r long, c long, g double")
+    for cell_bytes in (EA.CELL_BYTES, 2 * tile * tile * 8):  # one cell, and a grid of several
+        monkeypatch.setattr(EA, "CELL_BYTES", cell_bytes)
+        P = np.zeros((n, n))
+        for t in spark.read.parquet(EA.inverse_tiles(EA.gram_tiles(cells, n, tile), n, tile)).collect():
+            assert t.i >= t.j
+            h, w = min(tile, n - t.i * tile), min(tile, n - t.j * tile)
+            part = -np.frombuffer(t.a).reshape(h, w)
+            P[t.i * tile:t.i * tile + h, t.j * tile:t.j * tile + w] = part
+            P[t.j * tile:t.j * tile + w, t.i * tile:t.i * tile + h] = part.T
+        assert np.abs(A @ P - np.eye(n)).max() < 1e-8
 
 
 def test_ease_block_topk_equals_join_form(spark):
@@ -112,6 +117,7 @@ def test_ease_block_topk_equals_join_form(spark):
     rows = [(f"u{u:02d}", f"i{i:02d}", float(rng.integers(1, 6))) for u in range(40) for i in range(30)
             if rng.random() < 0.25]
     train = spark.createDataFrame(rows, "user_id string, item_id string, weight double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
     B = EA.ease_fit(train, 50.0, block=8)
     fast = {(r.user_id, r.item_id): r.raw for r in EA.score_ease_topk(train, B, 5, block=7, slice_entries=40, task_bytes=1000).collect()}
     raw = EA.score_ease(train, B).join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
@@ -119,6 +125,20 @@ def test_ease_block_topk_equals_join_form(spark):
     ref = {(r.user_id, r.item_id): r.raw for r in raw.withColumn("k", F.row_number().over(w)).where("k <= 5").collect()}
     assert set(fast) == set(ref)
     assert all(abs(fast[k] - ref[k]) < 1e-9 for k in ref)
+    allowed = spark.createDataFrame([(f"i{i:02d}",) for i in range(0, 30, 4)], "item_id string")
+    some = {(r.user_id, r.item_id) for r in EA.score_ease_topk(train, B, 3, allowed, block=7, slice_entries=40).collect()}
+    raw = raw.join(allowed, "item_id", "left_semi")
+    assert some == {(r.user_id, r.item_id) for r in raw.withColumn("k", F.row_number().over(w)).where("k <= 3").collect()}
+    table = B.table()
+    pairs = table.where("substr(src, 2, 2) < substr(dst, 2, 2)").select("src", "dst").unionByName(
+        spark.createDataFrame([("i01", "i01"), ("i01", "none")], "src string, dst string"))
+    got = {(r.src, r.dst): r.weight for r in B.at(pairs).collect()}
+    assert got == {(r.src, r.dst): r.weight for r in table.collect() if r.src < r.dst}
+    y = spark.createDataFrame([(f"i{i:02d}", float(i - 9)) for i in range(30)], "item_id string, value double")
+    want = {r.user_id: r.s for r in EA.score_ease(train, B).join(y, "item_id").groupBy("user_id").agg(F.sum(F.col("raw") * F.col("value")).alias("s")).collect()}
+    got = {r.user_id: r.value for r in EA.project_scores(train, B, y, block=7, slice_entries=40).collect()}
+    assert got.keys() == want.keys() and all(abs(got[u] - want[u]) < 1e-8 for u in want)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
 
 
 def test_factor_block_topk_equals_brute_force(spark):

@@ -126,6 +126,50 @@ def test_sources_missing_files_and_bundle(spark, tmp_path):
         IO.load_bundle(spark, str(tmp_path / "no_bundle"))
 
 
+def _small_bundle(spark, k):
+    from rankfold.operators.ease import Weights
+    from rankfold.operators.model import Bundle
+    one = lambda n: spark.range(n).selectExpr("cast(id AS string) AS item_id")
+    tiles = spark.createDataFrame([(0, 0, bytearray(8 * k * k))], "i int, j int, a binary")
+    return Bundle(train=one(k), pop=one(k), items=one(k), class_vec=one(k), collab_weight=0.5,
+                  B=Weights(spark.range(k).selectExpr("cast(id AS string) AS item_id", "id AS idx", "1.0D AS scale"), tiles, k, k))
+
+
+def test_a_save_that_dies_leaves_the_former_bundle(spark, tmp_path, monkeypatch):
+    from rankfold.sources import io as IO
+    path = str(tmp_path / "model")
+    IO.save_bundle(_small_bundle(spark, 3), path, {"hybrid_collab_weight": 0.5})
+
+    def rows():
+        b, meta = IO.load_bundle(spark, path)
+        return (b.train.count(), b.pop.count(), b.items.count(), b.class_vec.count(), b.B.items.count(), b.B.n, b.B.tile, b.collab_weight)
+    assert rows() == (3, 3, 3, 3, 3, 3, 3, 0.5)
+    parts = IO._bundle_parts(_small_bundle(spark, 5))
+    for dies in [*parts, "_publish"]:  # after any table, and with all tables but no pointer
+        def broken(bundle, dies=dies):
+            out = dict(IO_parts(bundle))
+            if dies in out:
+                def write(df, at):
+                    raise OSError(dies)
+                out[dies] = (out[dies][0], write)
+            return out
+        IO_parts = IO._bundle_parts
+        with monkeypatch.context() as m:
+            m.setattr(IO, "_bundle_parts", broken)
+            if dies == "_publish":
+                m.setattr(IO, "_publish", lambda *a: (_ for _ in ()).throw(OSError("_publish")))
+            with pytest.raises(OSError, match=dies):
+                IO.save_bundle(_small_bundle(spark, 5), path, {})
+        assert rows() == (3, 3, 3, 3, 3, 3, 3, 0.5)
+    IO.save_bundle(_small_bundle(spark, 4), path, {})
+    assert rows()[:7] == (4,) * 7
+    version = IO.save_bundle(_small_bundle(spark, 6), path, {})
+    assert rows()[0] == 6 and len([p for p in (tmp_path / "model" / "versions").iterdir()]) == 2  # older and unfinished ones are gone
+    spark.range(2).selectExpr("cast(id AS string) AS item_id").write.mode("overwrite").parquet(f"{path}/versions/{version}/pop")
+    with pytest.raises(RuntimeError, match="not initialised"):
+        IO.load_bundle(spark, path)
+
+
 def test_run_rows_rename_at(spark):
     from rankfold.sources import io as IO
     m = spark.createDataFrame([(0.5, 3)], "`precision@10` double, n long")

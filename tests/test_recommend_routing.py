@@ -30,17 +30,21 @@ def content(spark):
     docs = spark.createDataFrame(texts, "item_id string, text string")
     tf = FT.tfidf(docs, "item_id")
     ic, vec = FT.item_classes(tf, docs)
-    return ic.cache(), FT.class_similarity(vec).cache(), spark.createDataFrame(
+    return ic.cache(), vec.cache(), spark.createDataFrame(
         [("a", "x"), ("b", "x"), ("c", "y"), ("d", "y"), ("e", "z"), ("f", "x")], "item_id string, category string")
 
 
 def test_classes_tell_token_counts_apart(content):
-    ic, sim, _ = content
+    from rankfold.operators import features as FT
+    ic, vec, _ = content
+    sim = FT.class_similarity(vec)
     cls = {r.item_id: r.cls for r in ic.collect()}
     assert cls["a"] == cls["f"] != cls["b"] and cls["c"] == cls["d"]
     s = {(r.cls_a, r.cls_b): r.sim for r in sim.collect()}
     assert 0.9 < s[(cls["a"], cls["b"])] < 0.999 and s[(cls["a"], cls["a"])] == pytest.approx(1.0)
     assert (cls["a"], cls["e"]) not in s  # no common token: no row
+    some = FT.similarity_of(sim.where("cls_a <= cls_b").select("cls_a", "cls_b"), vec)
+    assert {(r.cls_a, r.cls_b): r.sim for r in some.collect()} == {k: pytest.approx(v) for k, v in s.items() if k[0] <= k[1]}
 
 
 def test_content_lists_fill_up_with_zero_scores_and_fall_back(spark, content):
@@ -90,12 +94,11 @@ def test_whole_catalog_queries_match_a_dense_solve(spark):
     np.fill_diagonal(b, 0.0)
     raw = np.where(x.to_numpy() > 0, -np.inf, x.to_numpy() @ b)
 
-    sums = {r.dst: r for r in QR.c7_ease_weights_l(spark, sf).collect()}
-    assert set(sums) == set(items)
-    for j, item in enumerate(items):
-        assert sums[item].n_src == len(items) - 1
-        assert sums[item].sum_weight == pytest.approx(b[:, j].sum(), abs=2e-6)
-        assert sums[item].max_abs_weight == pytest.approx(np.abs(b[:, j]).max(), abs=2e-6)
+    v = {r.item_id: r.v for r in QR.c7_ease_weights_l(spark, sf).collect()}
+    assert set(v) == set(items) and set(v.values()) <= set(range(1, 12))
+    table = EA.ease_fit(flows.prepared(spark, sf, "L").train, 500.0, block=64).table().toPandas()  # several tiles
+    mine = table.pivot(index="src", columns="dst", values="weight").reindex(index=items, columns=items).fillna(0.0).to_numpy()
+    assert np.abs(mine - b).max() < 1e-9
 
     for query, n in ((QR.r3_collaborative_ease_l, 10), (QR.r10_batch_collaborative_l, 5)):
         got = {}
@@ -110,3 +113,70 @@ def test_whole_catalog_queries_match_a_dense_solve(spark):
                 mine = sorted(got[u])
                 assert [s for _, _, s in mine] == pytest.approx(list(want), abs=2e-4)
                 assert [row[items.index(i)] for _, i, _ in mine] == pytest.approx(list(best), abs=1e-8)
+
+
+def _brute_content(vectors, items, train, n):
+    """vectors: class -> {token: value}; items: item -> class."""
+    out = {}
+    for u in sorted({u for u, _ in train}):
+        mine = [i for v, i in train if v == u and i in items]
+        q = {}
+        for i in mine:
+            for t, x in vectors[items[i]].items():
+                q[t] = q.get(t, 0.0) + x
+        score = {c: round(sum(q.get(t, 0.0) * x for t, x in v.items()) / len(mine), 9) for c, v in vectors.items()}
+        rest = sorted((-score[c], i) for i, c in items.items() if i not in set(mine))[:n]
+        out[u] = [(i, min(1.0, -s)) for s, i in rest]
+    return out
+
+
+@pytest.mark.parametrize("depth", [2, 7, 64])
+def test_content_lists_by_impact_equal_brute_force(spark, depth):
+    """Many ties within and across classes, users of one and of several buckets, seen first items."""
+    rng = np.random.default_rng(depth)
+    vectors, items = {}, {}
+    for c in range(60):
+        bucket = ("popular_high", "popular_low", "popular_medium")[int(rng.integers(0, 3))]
+        x = {bucket: float(rng.choice([0.3, 0.5])), f"cat_{c % 23}": float(rng.choice([0.6, 0.8]))}
+        if c % 5 == 0:
+            x["brass"] = 0.4
+        vectors[f"k{c:02d}"] = x
+        for _ in range(int(rng.integers(1, 5))):
+            items[f"i{rng.integers(0, 10**6):06d}"] = f"k{c:02d}"
+    names = sorted(items)
+    train = [(f"u{u}", names[int(k)]) for u in range(25) for k in rng.choice(len(names), int(rng.integers(1, 12)), replace=False)]
+    train += [("first", i) for i in names[:9]]
+    vec = spark.createDataFrame([(c, t, x) for c, v in vectors.items() for t, x in v.items()], "cls string, token string, value double")
+    ic = spark.createDataFrame([*items.items()], "item_id string, cls string")
+    pop = spark.createDataFrame([(i, 1) for i in names], "item_id string, popularity long")
+    tr = _train(spark, [(u, i, 1) for u, i in train])
+    got = {}
+    for r in R.recommend_content(tr.select("user_id"), tr, pop, ic, vec, 10, depth=depth).collect():
+        got.setdefault(r.user_id, []).append((r["rank"], r.item_id, round(r.score, 9)))
+    want = _brute_content(vectors, items, train, 10)
+    assert {u: [(i, s) for _, i, s in sorted(v)] for u, v in got.items()} == want
+
+
+def test_a_hundred_thousand_classes_are_not_paired(spark):
+    """Each class shares one of three tokens with a third of all others; the lists read a few entries of them."""
+    n = 100_000
+    ids = spark.range(n).selectExpr("lpad(id, 6, '0') AS k", "id")
+    ic = ids.selectExpr("concat('i', k) AS item_id", "concat('c', k) AS cls")
+    vec = ids.selectExpr("concat('c', k) AS cls", "concat('cat_', id div 4) AS token", "0.8D AS value").unionByName(ids.selectExpr(
+        "concat('c', k) AS cls", "element_at(array('popular_high', 'popular_medium', 'popular_low'), cast(id % 3 + 1 AS int)) AS token",
+        "0.6D - 0.0001D * (id % 7) AS value"))
+    train = _train(spark, [(f"u{u}", f"i{(u * 977 + 13 * h) % n:06d}", 1) for u in range(40) for h in range(5)])
+    pop = ic.selectExpr("item_id", "1L AS popularity")
+    asked = {}
+    for r in R.recommend_content(train.select("user_id"), train, pop, ic, vec, 10).collect():
+        asked.setdefault(r.user_id, []).append((r["rank"], r.item_id, round(r.score, 9)))
+    assert len(asked) == 40 and {len(v) for v in asked.values()} == {10}
+    token = np.arange(n) // 4
+    bucket, value = np.arange(n) % 3, 0.6 - 0.0001 * (np.arange(n) % 7)
+    for u in (0, 7, 39):
+        mine = np.array([(u * 977 + 13 * h) % n for h in range(5)])
+        score = sum(0.64 * (token == token[i]) + value * value[i] * (bucket == bucket[i]) for i in mine) / 5
+        score = np.round(score, 9)
+        score[mine] = -1
+        best = np.lexsort((np.arange(n), -score))[:10]
+        assert [(i, s) for _, i, s in sorted(asked[f"u{u}"])] == [(f"i{i:06d}", pytest.approx(score[i], abs=2e-9)) for i in best]
