@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankfold.config import DEFAULTS
-from rankfold.session import batch_bytes, materialize, remove_path, scratch_path, ship_package
+from rankfold.session import batch_bytes, materialize, remove_path, scratch_path, ship_package, shuffles_removed
 
 U, I = "user_id", "item_id"
 
@@ -74,8 +74,8 @@ CELL_BYTES = 128 << 20
 
 
 def tile_size(n: int) -> int:
-    """Side of the tiles: some ten steps for small catalogs, 32 MB tiles for large ones."""
-    return min(2048, max(256, 256 * math.ceil(n / 2560)))
+    """Side of the tiles: 8 MB tiles for small catalogs, some ten steps up to 20,000 items, 32 MB tiles beyond."""
+    return min(2048, max(1024, 256 * math.ceil(n / 2560)))
 
 
 def _side(k: int, n: int, tile: int) -> int:
@@ -125,9 +125,10 @@ def gram_tiles(entries: DataFrame, n: int, tile: int) -> DataFrame:
     return cells.groupBy("i", "j").cogroup(places.groupBy("i", "j")).applyInArrow(build, _TILE)
 
 
-def _grid(nb: int, tile: int) -> int:
-    """Groups of tile rows, so that two groups' tiles of one column fit into CELL_BYTES."""
-    return min(nb, max(1, math.ceil(2 * nb * tile * tile * 8 / CELL_BYTES)))
+def _grid(nb: int, tile: int, cores: int) -> int:
+    """Groups of tile rows: two groups' tiles of one column fit into CELL_BYTES, and
+    there are two cells for every core."""
+    return min(nb, max(math.ceil(2 * nb * tile * tile * 8 / CELL_BYTES), math.ceil(math.sqrt(4 * cores))))
 
 
 def _sweep(k: int, n: int, tile: int):
@@ -177,12 +178,12 @@ def inverse_tiles(tiles: DataFrame, n: int, tile: int) -> str:
     """
     spark = tiles.sparkSession
     nb = math.ceil(n / tile)
-    groups = _grid(nb, tile)
+    groups = _grid(nb, tile, spark.sparkContext.defaultParallelism)
     group = lambda c: F.floor(F.col(c) * F.lit(groups) / F.lit(nb)).cast("int")
     number = lambda r, c: (r * (r + 1) / 2 + c).cast("int")
     cells = groups * (groups + 1) // 2
     every = F.sequence(F.lit(0), F.lit(groups - 1))
-    with batch_bytes(spark, 4 * tile * tile * 8):
+    with batch_bytes(spark, 4 * tile * tile * 8), shuffles_removed(spark):
         at = _store(tiles, "gram")
         for k in range(nb):
             now = spark.read.parquet(at)

@@ -78,18 +78,27 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def batch_bytes(spark: SparkSession, n: int):
-    """Arrow batches of at most about ``n`` bytes for the jobs run inside; the
-    session's own setting is put back."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+def _setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the jobs run inside; the session's own is put back."""
     before = spark.conf.get(key, None)
-    spark.conf.set(key, str(n))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def batch_bytes(spark: SparkSession, n: int):
+    """Arrow batches of at most about ``n`` bytes for the jobs run inside."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(n))
+
+
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files go as soon as each job run inside has ended: for loops of
+    large steps, each of which is written."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per context: their working
     directory and import path need not hold the repository."""

@@ -99,8 +99,8 @@ def test_tiles_invert_the_matrix(spark, monkeypatch):
     A = rng.random((n, n)) * (rng.random((n, n)) < 0.2)
     A = A @ A.T + np.eye(n)
     cells = spark.createDataFrame([(int(r), int(c), float(A[r, c])) for r, c in zip(*np.nonzero(np.tril(A)))], "r long, c long, g double")
-    for cell_bytes in (EA.CELL_BYTES, 2 * tile * tile * 8):  # one cell, and a grid of several
-        monkeypatch.setattr(EA, "CELL_BYTES", cell_bytes)
+    for groups in (1, 3):  # one cell, and a grid of six
+        monkeypatch.setattr(EA, "_grid", lambda *a, groups=groups: groups)
         P = np.zeros((n, n))
         for t in spark.read.parquet(EA.inverse_tiles(EA.gram_tiles(cells, n, tile), n, tile)).collect():
             assert t.i >= t.j
