@@ -78,7 +78,7 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
+def session_setting(spark: SparkSession, key: str, value: str):
     """A session setting for the jobs run inside; the session's own is put back."""
     before = spark.conf.get(key, None)
     spark.conf.set(key, value)
@@ -90,13 +90,13 @@ def _setting(spark: SparkSession, key: str, value: str):
 
 def batch_bytes(spark: SparkSession, n: int):
     """Arrow batches of at most about ``n`` bytes for the jobs run inside."""
-    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(n))
+    return session_setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(n))
 
 
 def shuffles_removed(spark: SparkSession):
     """Shuffle files go as soon as each job run inside has ended: for loops of
     large steps, each of which is written."""
-    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return session_setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -7,8 +7,11 @@
 * ``quality_batch_writer``: Q-10 on a stream via ``foreachBatch``.
 * ``upsert_batch_writer``: per-epoch partial aggregates written idempotently
   (overwrite of ``epoch=<id>``), so a retried micro-batch never double counts.
-* ``error_counts`` / ``error_hold``: T-11 as a native windowed count with a
-  watermark, and the ``for:`` hold over its few rows.
+* ``error_alerts``: T-11 on the stream: a windowed count with a watermark, then
+  the ``for:`` hold in ``transformWithState`` with event-time timers, so it goes on
+  and ends as time passes, also without events. ``error_hold`` is the batch form.
+* ``late_rows_writer``: T-16, rows behind the watermark to a side table.
+* ``quarantine_batch_writer``: Q-10, a micro-batch split into good, bad and report.
 
 All writers target the shared folder; the checkpoint location makes restarts
 exactly-once for the file sinks.
@@ -16,11 +19,13 @@ exactly-once for the file sinks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rankfold.functions.exprs import event_weight
+from rankfold.session import session_setting
 
 
 def event_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -131,6 +136,117 @@ def error_hold(counts: DataFrame, window_s: int = 3600, threshold: float = 0.25,
         "series", "window_start_us", "total", "bad", "cond", F.col("held_windows").cast("long").alias("held_windows"), "firing")
 
 
+class ErrorHold(StatefulProcessor):
+    """The ``for:`` hold of one series over its closed windows: one number pair of
+    state. Windows without events have no row; a timer at the end of the window
+    that follows the last one known gives them out once the watermark is past it."""
+
+    def __init__(self, window_us: int, threshold: float, hold_windows: int):
+        self.window_us, self.threshold, self.hold_windows = window_us, threshold, hold_windows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "start_us long, held long")
+
+    def _row(self, series, start, total, bad, held):
+        cond = total > 0 and bad > self.threshold * total
+        held = held + 1 if cond else 0
+        return held, Row(series=series, window_start_us=start, total=total, bad=bad, cond=cond, held_windows=held,
+                         firing=cond and held >= self.hold_windows)
+
+    def _empty_until(self, series, last, held, end):
+        """Windows without events after ``last`` that end by ``end``."""
+        while last + 2 * self.window_us <= end:
+            last += self.window_us
+            held, row = self._row(series, last, 0, 0, held)
+            yield last, held, row
+
+    def _wait(self, last):
+        for timer in [*self.handle.listTimers()]:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((last + 2 * self.window_us) // 1000)
+
+    def handleInputRows(self, key, rows, timerValues):
+        series, = key
+        last, held = self.last.get() if self.last.exists() else (None, 0)
+        for r in sorted(rows, key=lambda r: r.window_start_us):
+            if last is not None:
+                for last, held, row in self._empty_until(series, last, held, r.window_start_us):
+                    yield row
+            last = r.window_start_us
+            held, row = self._row(series, last, r.total, r.bad, held)
+            yield row
+        self.last.update((last, held))
+        self._wait(last)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        series, = key
+        last, held = self.last.get()
+        for last, held, row in self._empty_until(series, last, held, timerValues.getCurrentWatermarkInMs() * 1000):
+            yield row
+        self.last.update((last, held))
+        self._wait(last)
+
+    def close(self) -> None:
+        pass
+
+
+def error_alerts(stream: DataFrame, series: str = "endpoint", window_s: int = 3600, threshold: float = 0.25, hold_windows: int = 2,
+                 watermark: str = "2 hours", ts: str = "ts", bad: str = "is_error") -> DataFrame:
+    """T-11 on the stream: a row for every closed window of a series, also those
+    without events, with the hold so far; ``firing`` once it is long enough.
+    Append mode; the counts are partial aggregates, a series' task sees one row per window.
+    Run it with ``rocks_state``."""
+    s = with_event_time(stream, ts, watermark)
+    counts = s.groupBy(F.window(ts, f"{window_s} seconds").alias("w"), F.col(series).cast("string").alias("series")).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col(bad)).alias("bad"))
+    closed = counts.select("series", F.window_time("w").alias("at"), F.unix_micros(F.col("w.start")).alias("window_start_us"), "total", "bad")
+    return closed.groupBy("series").transformWithState(
+        ErrorHold(window_s * 1_000_000, threshold, hold_windows),
+        "series string, window_start_us long, total long, bad long, cond boolean, held_windows long, firing boolean", "append", "EventTime")
+
+
+def rocks_state(spark: SparkSession):
+    """For the streams started inside: state in RocksDB, which ``transformWithState`` asks for."""
+    return session_setting(spark, "spark.sql.streaming.stateStore.providerClass",
+                           "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def late_rows_writer(path: str, delay_s: int, ts: str = "ts"):
+    """T-16: each micro-batch's rows at or behind the watermark (the greatest time of the
+    epochs before, less the delay) to ``late/epoch=<id>``, and the batch's own
+    greatest time to ``marks/epoch=<id>``. Both are overwritten when an epoch is replayed."""
+    def write(batch: DataFrame, epoch_id: int):
+        spark = batch.sparkSession
+        marks = [r["at"] for r in spark.read.schema("at timestamp, epoch long").parquet(f"{path}/marks").where(F.col("epoch") < epoch_id)
+                 .agg(F.max("at").alias("at")).collect()] if epoch_id else [None]  # one value
+        rows = batch.withColumn("_at", F.col(ts).cast("timestamp"))
+        late = F.lit(False) if marks[0] is None else F.col("_at") <= F.lit(marks[0]) - F.expr(f"INTERVAL {int(delay_s)} SECONDS")
+        rows.where(late).drop("_at").write.mode("overwrite").parquet(f"{path}/late/epoch={epoch_id}")
+        rows.agg(F.max("_at").alias("at")).write.mode("overwrite").parquet(f"{path}/marks/epoch={epoch_id}")
+    return write
+
+
+def quarantine_batch_writer(rules, path: str):
+    """Q-10 on a stream: each micro-batch goes to ``good``, ``bad`` (with the names of
+    the failed rules) and ``report`` under its epoch. A replayed epoch is
+    overwritten; ``done/epoch=<id>`` is written last, and readers take finished epochs only."""
+    from rankfold.operators.quality import check, quarantine
+
+    def write(batch: DataFrame, epoch_id: int):
+        good, bad = quarantine(batch, rules)
+        good.write.mode("overwrite").parquet(f"{path}/good/epoch={epoch_id}")
+        bad.write.mode("overwrite").parquet(f"{path}/bad/epoch={epoch_id}")
+        check(batch, rules).write.mode("overwrite").parquet(f"{path}/report/epoch={epoch_id}")
+        batch.sparkSession.range(1).select(F.lit(epoch_id).alias("n")).write.mode("overwrite").parquet(f"{path}/done/epoch={epoch_id}")
+    return write
+
+
+def read_finished(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """``good``, ``bad`` or ``report`` of the epochs whose three sinks are whole."""
+    return spark.read.parquet(f"{path}/{part}").join(spark.read.parquet(f"{path}/done").select("epoch"), "epoch", "left_semi").drop("epoch")
+
+
 def latest_batch_writer(path: str):
     """Update-mode sink: each epoch's updated aggregate rows, overwritten per epoch."""
     def write(batch: DataFrame, epoch_id: int):

@@ -274,3 +274,83 @@ def test_window_grid_is_dense_over_many_blocks(spark):
     s = spark.createDataFrame([("a",), ("b",)], "endpoint string")
     assert sorted(map(tuple, T.window_grid(lg, "5 minutes", series=s).groupBy("endpoint").count().collect())) == [("a", 2501), ("b", 2501)]
     assert T.window_grid(lg.limit(0), "5 minutes").count() == 0
+
+
+def _files(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_alerts_go_on_and_end_as_time_passes(spark, tmp_path):
+    """A hold over three windows, across a restart; a series that falls silent is
+    followed by windows without events while another series moves the clock."""
+    import datetime as dt
+    from rankfold.streaming import streams as ST
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    day = dt.datetime(2024, 1, 1)
+    schema = "endpoint string, ts timestamp, is_error boolean"
+    at = lambda h, m=5: day + dt.timedelta(hours=h, minutes=m)
+    first = [("a", at(h), True) for h in range(3)] + [("b", at(h), False) for h in range(4)]
+    second = [("a", at(4), True)] + [("b", at(h), False) for h in range(4, 13)]
+
+    def run():
+        with ST.rocks_state(spark):
+            ST.run_to_completion(ST.error_alerts(ST.event_stream(spark, src, spark.createDataFrame([], schema).schema), hold_windows=2), out, ck)
+    seen = []
+    for rows in (first, second):
+        _files(spark, src, rows, schema)
+        run()
+        seen.append({(r.series, r.window_start_us // 3_600_000_000): (r.total, r.held_windows, r.firing) for r in spark.read.parquet(out).collect()})
+    base = int(day.replace(tzinfo=dt.timezone.utc).timestamp()) // 3600
+    early = {h - base: v for (s, h), v in seen[0].items() if s == "a"}
+    assert early == {0: (1, 1, False)}  # the clock stands at 01:05
+    got = {h - base: v for (s, h), v in seen[1].items() if s == "a"}
+    assert got == {0: (1, 1, False), 1: (1, 2, True), 2: (1, 3, True), 3: (0, 0, False), 4: (1, 1, False), 5: (0, 0, False),
+                   6: (0, 0, False), 7: (0, 0, False), 8: (0, 0, False), 9: (0, 0, False)}  # 10:05 by the end
+    assert spark.read.parquet(out).count() == len(seen[1])  # no window twice
+
+
+def test_state_leaves_behind_the_watermark(spark, tmp_path):
+    """Thirty days through a watermark of one: the rows of state stay those of about two days, and late rows are put aside once."""
+    import datetime as dt
+    from rankfold.streaming import streams as ST
+    src, out, ck, side, ck2 = (str(tmp_path / x) for x in ("src", "out", "ck", "side", "ck2"))
+    schema = "event_id long, ts timestamp"
+    day, most = dt.datetime(2024, 1, 1), 0
+    empty = spark.createDataFrame([], schema).schema
+    for k in range(6):
+        rows = [(k * 1000 + n, day + dt.timedelta(days=5 * k, minutes=72 * n)) for n in range(100)]
+        rows += rows[:7] + ([(99, day + dt.timedelta(hours=1))] if k == 4 else [])  # repeats, and one late row
+        _files(spark, src, rows, schema)
+        s = ST.with_event_time(ST.event_stream(spark, src, empty), "ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
+        q = (s.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("at"), "n")
+             .writeStream.format("parquet").option("checkpointLocation", ck).trigger(availableNow=True).start(out))
+        q.awaitTermination()
+        most = max([most, *[op["numRowsTotal"] for op in q.lastProgress["stateOperators"]]])
+        write = ST.late_rows_writer(side, 86_400)
+        ST.run_foreach_batch(ST.event_stream(spark, src, empty), lambda b, e: (write(b, e), write(b, e))[0], ck2)  # each epoch twice
+    counts = {r["at"]: r.n for r in spark.read.parquet(out).collect()}
+    assert len(counts) == 28 and set(counts.values()) == {20}
+    assert most <= 45  # of 600 events: those within the watermark
+    late = spark.read.schema(schema).parquet(f"{side}/late").collect()
+    assert [r.event_id for r in late] == [99]
+
+
+def test_a_replayed_epoch_changes_no_sink(spark, tmp_path):
+    from rankfold.operators import quality as DQ
+    from rankfold.streaming import streams as ST
+    path = str(tmp_path / "q")
+    rules = [DQ.NotNull("u_not_null", "u"), DQ.Between("w_range", "w", low=0)]
+    write = ST.quarantine_batch_writer(rules, path)
+    first = spark.createDataFrame([("a", 1.0), (None, -1.0), ("b", -2.0)], "u string, w double")
+    second = spark.createDataFrame([("c", 3.0), (None, 1.0)], "u string, w double")
+    for epoch, batch in ((0, first), (1, second), (1, second)):
+        write(batch, epoch)
+    first.write.parquet(f"{path}/good/epoch=2")  # an epoch that died after its first sink
+
+    def state():
+        good, bad, rep = (ST.read_finished(spark, path, p) for p in ("good", "bad", "report"))
+        return (sorted(r.u for r in good.collect()), sorted(",".join(r.failed_rules) for r in bad.collect()),
+                {r.rule: r.v for r in rep.groupBy("rule").agg(F.sum("violations").alias("v")).collect()})
+    assert state() == (["a", "c"], ["u_not_null", "u_not_null,w_range", "w_range"], {"u_not_null": 2, "w_range": 2})
+    write(first, 0)
+    assert state()[0] == ["a", "c"]
