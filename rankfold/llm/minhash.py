@@ -15,7 +15,7 @@ follows from the threshold and the wanted miss probability of a single link.
    different sets that shares a bucket loses its link, and no group becomes
    rows of pairs.
 
-Defined cases: rows without an id are left out; null, empty and blank texts
+Defined cases: rows without an id are counted and linked with nothing (no component); null, empty and blank texts
 have no shingles, link with nothing and are kept; a text with fewer words than
 a shingle is one shingle; every row gives a row, also where rows repeat; rows
 that share an id but not a text are one node, compared by one of the texts (the
@@ -245,5 +245,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, rows: int
         "digest", F.coalesce("comp", "node").alias("comp"))
     out = features.select("id", "n", "digest").join(per_set, "digest", "left")
     lone = F.col("n") == 0
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                      F.when(lone, F.col("id")).otherwise(F.col("comp")).alias("component_id"))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+                     F.when(lone, F.col("id")).otherwise(F.col("comp")).alias("component_id"))
+    # rows without an id: counted, linked with nothing
+    alone = rows_of(docs, id_col, text).toDF("id", "text").where("id is null").mapInArrow(
+        _features(size, bands, rows), f"id {id_type}, n long, digest binary, bands array<long>")
+    return out.unionByName(alone.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))

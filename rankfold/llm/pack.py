@@ -6,8 +6,10 @@ credit in turn. What a source got too much or too little is its deficit, which
 the next window starts with.
 
 1. Every text is tokenised once; ids go to a table in the shared folder with a
-   block number, a hash of the row. Blocks have a bounded mean size, so a source with
-   a third of all rows is spread over all blocks.
+   block number, a hash of the row and of its place in the input. Blocks have a bounded
+   mean size: a source with a third of all rows, and one row repeated many
+   times, are spread over all blocks. The table is written before anything
+   reads block numbers, so tasks that run again do not move rows.
 2. Deficits are carried across blocks by prefix sums of the blocks' token
    totals by source: a block packs all its tokens, so what it passes on is
    known from totals alone and blocks are packed side by side.
@@ -102,7 +104,7 @@ def token_table(docs: DataFrame, path: str, ranks: str | None, id_col: str, text
     rows = rows_of(docs, id_col, text, source).toDF("id", "text", "source").select(
         "id", "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         F.xxhash64("id", "source", F.octet_length("text")).alias("turn"))
-    rows = rows.withColumn("block", F.pmod("turn", F.lit(blocks)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("turn", F.monotonically_increasing_id()), F.lit(blocks)))
     kind = rows.schema["id"].dataType.simpleString()
     at = scratch_path(spark, "tokens")
     rows.select("id", "text", "source", "block", "turn").mapInArrow(

@@ -16,7 +16,7 @@ as byte planes of their differences, which the shuffle's codec packs.
 A word is removed if a window that covers it also starts in a document with a
 smaller id; windows are judged on the input.
 
-Defined cases: rows without an id are left out; null, empty and blank texts
+Defined cases: rows without an id keep all their words and take none from others; null, empty and blank texts
 have no words; rows with one id are one document as to order (they remove
 nothing from each other); a text of any length is handled whole; other columns
 play no part; an empty table gives an empty result.
@@ -291,5 +291,13 @@ def drop_repeats(docs: DataFrame, words: int = 13, id_col: str = "doc_id", text:
         replies = replies.union(sent.groupBy("range").applyInArrow(_judge(len(lengths) - 1), _REPLY))
     out = dealt.cogroup(replies.groupBy("chunk")).applyInArrow(
         _finish(lengths, words, ranges, longest), "id long, n_words long, n_removed long, kept string, sha string, longest long")
-    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "kept",
-                      F.col("sha").alias("kept_sha256"), F.col("longest").alias("longest_repeat"))
+    kind = docs.schema[id_col].dataType
+    out = out.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_removed", "kept", F.col("sha").alias("kept_sha256"),
+                     F.col("longest").alias("longest_repeat"))
+    # rows without an id have no place in the order: their words stay, and no other text loses words to them
+    alone = rows_of(docs, id_col, text).toDF("id", "text").where("id is null").select(
+        F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"), 0).alias("words"))
+    line = F.array_join("words", " ")
+    return out.unionByName(alone.select(F.lit(None).cast(kind).alias(id_col), F.size("words").cast("long").alias("n_words"),
+                                        F.lit(0).cast("long").alias("n_removed"), line.alias("kept"),
+                                        F.sha2(line.cast("binary"), 256).alias("kept_sha256"), F.lit(0).cast("long").alias("longest_repeat")))

@@ -272,3 +272,11 @@ def test_entry_has_every_operator():
     import __spark_entry__ as e
     names = set(e.queries())
     assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)} and "pipeline" in names
+
+
+def test_packing_spreads_one_row_repeated(spark, paths, monkeypatch):
+    monkeypatch.setattr(pack, "BLOCK_BYTES", 1 << 17)
+    docs = spark.range(20000).selectExpr("CAST(NULL AS long) AS doc_id", "'the same words in every row, many times over' AS text", "'s' AS source")
+    rows = pack.pack(docs, *paths).selectExpr("shiftright(sequence_id, 32) AS block", "length").groupBy("block").sum("length").collect()
+    total = sum(r[1] for r in rows)
+    assert len(rows) >= 6 and max(r[1] for r in rows) < 1.5 * total / len(rows)

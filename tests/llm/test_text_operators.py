@@ -328,3 +328,16 @@ def test_dense_group_of_near_copies(spark, plain_words, monkeypatch, block):
     want = plain_near(docs, plain_words, 85, 5)
     assert len({c for _, _, c in want}) > 3
     assert sorted(tuple(r) for r in rows) == want
+
+
+def test_rows_without_an_id_are_kept(spark, plain_words):
+    docs = [(1, "a b c d e f g h i j k l m n o"), (None, "a b c d e f g h i j k l m n o"), (None, None), (None, "x y"), (2, "a b c d e f g h i j k l m n o p")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    key = lambda r: tuple((x is not None, x) for x in r)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.drop_repeats(df).collect()), key=key)
+    plain = plain_repeats([d for d in docs if d[0] is not None], plain_words, 13)
+    assert got == sorted([*plain, *[(None, len(plain_words(t)), 0, sha(" ".join(plain_words(t)))) for i, t in docs if i is None]], key=key)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, percent=85).collect()), key=key)
+    assert got == sorted([(1, 11, 1), (2, 12, 1), (None, 11, None), (None, 0, None), (None, 1, None)], key=key)
+    only = df.where("doc_id is null")
+    assert substrings.drop_repeats(only).count() == minhash.near_duplicates(only).count() == 3
