@@ -1,9 +1,9 @@
 """Latent factors: normalisation, blocked dot-product scoring, SVD (C-8..C-10, R-2).
 
 Dot-product scoring is users x items by nature. It never emits that full
-product: users and items are cut into slices, a task multiplies one slice of
-each, masks what is seen and keeps a user's best k; a final W-4 top-k merges
-the blocks.
+product: items lie in blocks by norm, users in slices, a task multiplies one
+slice of each, masks what is seen and keeps a user's best k; users skip the
+blocks whose bound is below their k-th best product.
 """
 
 from __future__ import annotations
@@ -18,9 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankfold.operators.ranking import global_rank
 from rankfold.session import materialize, ship_package
 
 U, I = "user_id", "item_id"
+GROWTH = 8            # blocks up to a round's end, times those before it
+MAX_BLOCKS = 1 << 20  # blocks of items by norm
+SLACK = 1 + 1e-9      # over the rounding of a product and two norms
 
 
 def l2_normalize(df: DataFrame, col: str = "factor") -> DataFrame:
@@ -33,11 +37,6 @@ def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def _slices(df: DataFrame, size: int) -> int:
-    """Number of hash slices of about ``size`` rows each."""
-    return max(1, -(-df.count() // size))
-
-
 def _score_slice(k: int):
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {U: [], I: [], "raw": []}
@@ -69,35 +68,89 @@ def _score_slice(k: int):
     return score
 
 
-def top_k_dot(user_factors: DataFrame, item_factors: DataFrame, k: int,
-              seen: DataFrame | None = None, block: int = 2048, users: int = 4096) -> DataFrame:
-    """R-2: per user the k best items by u.v (ties item_id), seen items masked.
+def _best(cand: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy(U).orderBy(F.desc("raw"), F.asc(I))
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _score_blocks(users: DataFrame, items: DataFrame, seen: DataFrame | None, k: int, slices: int) -> DataFrame:
+    """Candidates of users (user_id, factor, _lo, _n: the blocks _lo .. _lo + _n - 1) among items (item_id, factor, _b)."""
+    s_of = F.pmod(F.xxhash64(U), F.lit(slices)).cast("int").alias("_s")
+    blocks = F.explode(F.sequence(F.col("_lo"), (F.col("_lo") + F.col("_n") - 1).cast("int"))).alias("_b")
+    left = users.select(blocks, s_of, U, F.lit(None).cast("string").alias(I), "factor")
+    if seen is not None:
+        here = seen.join(users.select(U, "_lo", "_n"), U).where("_b >= _lo and _b < _lo + _n")
+        left = left.unionByName(here.select("_b", s_of, U, I, F.lit(None).cast("array<double>").alias("factor")))
+    right = items.select("_b", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_s"), I, "factor")
+    schema = T.StructType([T.StructField(U, T.StringType()), T.StructField(I, T.StringType()),
+                           T.StructField("raw", T.DoubleType())])
+    return left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInArrow(_score_slice(k), schema)
 
-    Users and items are cut into hash slices; a task is one (item block, user
-    slice) pair and gets each of its vectors once. Seen pairs go to the one
-    task that holds both their user and item, so masking is done there and
-    only k candidates per user and block leave it.
 
+def top_k_dot(user_factors: DataFrame, item_factors: DataFrame, k: int, seen: DataFrame | None = None,
+              block: int = 2048, users: int = 4096, report: list | None = None) -> DataFrame:
+    """R-2: per user the k best items by u.v (ties item_id), seen items masked.
+
+    Items lie in blocks by descending norm, so a user's product with anything
+    from block b on is at most |u| x (largest norm of b). Rounds take the first
+    block, then up to ``GROWTH`` times as many as before; after each, a user
+    goes on only to the blocks whose bound reaches the k-th best product found
+    so far, and a user none of them reaches is done. The result is exact: a block that could
+    hold a tie is read. Where all norms are about equal the bound says nothing
+    and one round reads every block, without ordering the items.
+
+    A task is one (item block, user slice) pair and gets each of its vectors
+    once; seen pairs go to the one task that holds both their user and item, so
+    masking is done there and only k candidates per user and block leave it.
+    The largest norms of the blocks, at most ``MAX_BLOCKS`` numbers, are one
+    row that every user meets.
+
+    ``report``, if given, gets one (users, user-block visits, blocks) per round.
     Output (user_id, rank, item_id, raw).
     """
     ship_package(user_factors.sparkSession)
-    nb, ns = _slices(item_factors, block), _slices(user_factors, users)
-    b_of = lambda c: F.pmod(F.xxhash64(c), F.lit(nb)).cast("int")
-    s_of = lambda c: F.pmod(F.xxhash64(c), F.lit(ns)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    norm = F.sqrt(F.aggregate("factor", F.lit(0.0), lambda a, x: a + x * x))
     uf = user_factors.select(F.col("id").cast("string").alias(U), F.col("factor").cast("array<double>").alias("factor"))
-    left = uf.select(every(nb).alias("_b"), s_of(U).alias("_s"), U, F.lit(None).cast("string").alias(I), "factor")
-    if seen is not None:
-        pairs = seen.select(F.col(U).cast("string").alias(U), F.col(I).cast("string").alias(I)).distinct()
-        left = left.unionByName(pairs.select(b_of(I).alias("_b"), s_of(U).alias("_s"), U, I,
-                                             F.lit(None).cast("array<double>").alias("factor")))
     vf = item_factors.select(F.col("id").cast("string").alias(I), F.col("factor").cast("array<double>").alias("factor"))
-    right = vf.select(b_of(I).alias("_b"), every(ns).alias("_s"), I, "factor")
-    schema = T.StructType([T.StructField(U, T.StringType()), T.StructField(I, T.StringType()),
-                           T.StructField("raw", T.DoubleType())])
-    cand = left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInArrow(_score_slice(k), schema)
-    w = Window.partitionBy(U).orderBy(F.desc("raw"), F.asc(I))
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if seen is not None:
+        seen = seen.select(F.col(U).cast("string").alias(U), F.col(I).cast("string").alias(I)).distinct()
+    n_users = uf.count()
+    n, least, most = vf.agg(F.count(F.lit(1)), F.min(norm), F.max(norm)).first()
+    block = max(block, -(-n // MAX_BLOCKS))
+    nb, ns = max(1, -(-n // block)), max(1, -(-n_users // users))
+    if nb == 1 or least >= 0.999 * most:
+        b_of = F.pmod(F.xxhash64(I), F.lit(nb)).cast("int")
+        every = uf.withColumn("_lo", F.lit(0)).withColumn("_n", F.lit(nb))
+        if report is not None:
+            report.append((n_users, n_users * nb, nb))
+        return _best(_score_blocks(every, vf.withColumn("_b", b_of), None if seen is None else seen.withColumn("_b", b_of), k, ns), k)
+
+    ranked = global_rank(vf.withColumn("_norm", norm), [F.desc("_norm"), F.asc(I)], "_g")
+    items = ranked.withColumn("_b", F.floor((F.col("_g") - 1) / block).cast("int")).drop("_g")
+    edges = materialize(items.groupBy("_b").agg(F.max("_norm").alias("_norm")))
+    if seen is not None:
+        seen = materialize(seen.join(items.select(I, "_b"), I))
+    uf = uf.withColumn("_norm", norm)
+    found, lo, hi = None, 0, 1
+    while lo < nb:
+        reach = F.lit(1)
+        asked = uf.select(U, "_norm")
+        if found is not None:
+            bar = found.groupBy(U).agg(F.when(F.count(F.lit(1)) >= k, F.min("raw")).alias("_bar"))
+            row = edges.where((F.col("_b") >= lo) & (F.col("_b") < hi)).agg(F.array_sort(F.collect_list("_norm")).alias("_edges"))
+            asked = asked.join(bar, U, "left").crossJoin(F.broadcast(row))  # one row of at most MAX_BLOCKS numbers
+            reach = F.size(F.filter("_edges", lambda x: F.col("_bar").isNull() | (x * F.col("_norm") * SLACK >= F.col("_bar"))))
+        asked = materialize(asked.select(U, F.lit(lo).alias("_lo"), reach.alias("_n")).where("_n > 0"))
+        left, visits, far = asked.agg(F.count(F.lit(1)), F.sum("_n"), F.max("_n")).first()
+        if report is not None:
+            report.append((left, visits or 0, nb))
+        if not left:
+            break
+        here = items.where((F.col("_b") >= lo) & (F.col("_b") < lo + far))
+        new = _score_blocks(uf.select(U, "factor").join(asked, U), here, seen, k, max(1, -(-left // users)))
+        found = materialize(_best(new if found is None else found.drop("rank").unionByName(new), k))
+        lo, hi = hi, hi * GROWTH
+    return found
 
 
 # ---------------------------------------------------------------- C-8 / C-10

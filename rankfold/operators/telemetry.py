@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankfold.operators.scan import carry_last, run_length
+from rankfold.session import materialize
+
 # fixed values: histogram buckets of the reference's metric definitions
 LATENCY_BUCKETS = (0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0)
 PREDICTION_LATENCY_BUCKETS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0)
@@ -60,6 +63,38 @@ def _bounds(buckets) -> Column:
     return F.array(*[F.lit(float(b)) for b in buckets], F.lit(INF))
 
 
+def size_histograms(log: DataFrame, sizes: dict[str, str], labels=("method", "endpoint"), buckets=SIZE_BUCKETS,
+                    window: str = "1 hour", ts: str = "ts") -> DataFrame:
+    """T-2 for message sizes: one cumulative histogram per entry of ``sizes``
+    (metric name -> column of bytes), window and labels, as rows with a
+    ``metric`` column. The log is read and aggregated once for all of them.
+    A size that is null was not measured and counts in no bucket.
+    """
+    aggs = []
+    for m, (name, col) in enumerate(sizes.items()):
+        aggs += [*_bucket_counts(col, buckets, f"_m{m}_"), F.sum(col).alias(f"_s{m}")]
+    h = log.groupBy(_win(ts, window).start.alias("window_start"), *labels).agg(*aggs)
+    n = len(buckets)
+    rows = [F.struct(F.lit(name).alias("metric"), _bounds(buckets).alias("le"),
+                     F.array(*[F.col(f"_m{m}_{i}") for i in range(n + 1)]).alias("cum"),
+                     F.col(f"_s{m}").alias("sum"), F.col(f"_m{m}_{n}").alias("count")) for m, name in enumerate(sizes)]
+    return h.select("window_start", *labels, F.inline(F.array(*rows)))
+
+
+def batch_sizes(requests: DataFrame, batch, ts: str = "ts") -> DataFrame:
+    """Size and time (of the first request) of every batch call, the input of a
+    ``BATCH_BUCKETS`` histogram. ``batch`` names the columns that requests of one
+    call share; a request with a null among them is a call of its own.
+    """
+    keys = list(batch)
+    single = F.lit(False)
+    for k in keys:
+        single = single | F.col(k).isNull()
+    alone = requests.where(single).select(*keys, F.col(ts).alias("ts"), F.lit(1).cast("bigint").alias("batch_size"))
+    calls = requests.where(~single).groupBy(*keys).agg(F.min(ts).alias("ts"), F.count(F.lit(1)).alias("batch_size"))
+    return calls.unionByName(alone)
+
+
 def histogram_long(hist: DataFrame, labels=()) -> DataFrame:
     """Histogram arrays -> one row per bucket (le, cumulative count)."""
     return hist.select("window_start", *labels, F.inline(F.arrays_zip(F.col("le").alias("le"), F.col("cum").alias("cum"))))
@@ -98,9 +133,10 @@ def counter_rate(samples: DataFrame, series=("series",), window: str = "5 minute
 
     Increase = sum of positive deltas between consecutive samples, a drop is a
     counter reset (the new value counts as the increase); no extrapolation.
+    The sample before is carried over blocks of time, so a series of very many
+    samples is read by many tasks.
     """
-    w = Window.partitionBy(*series).orderBy(ts)
-    d = samples.withColumn("_prev", F.lag(value).over(w))
+    d = carry_last(samples, series, ts, value, "_prev", max(3600.0, seconds(window)), include=False)
     inc = F.when(F.col("_prev").isNull(), F.lit(0.0)).when(F.col(value) >= F.col("_prev"),
                                                              F.col(value) - F.col("_prev")).otherwise(F.col(value))
     d = d.withColumn("_inc", inc.cast("double"))
@@ -185,25 +221,20 @@ def absence(log: DataFrame, series: str = "endpoint", window: str = "1 hour", ts
     c = log.groupBy(_win(ts, window).start.alias("window_start"), series).agg(
         F.count(F.lit(1)).alias("n"), F.max(ts).alias("_last"))
     j = grid.join(c, ["window_start", series], "left")
-    w = Window.partitionBy(series).orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last("_last", ignorenulls=True).over(w)
+    j = carry_last(j, [series], "window_start", "_last", "_seen", 1000 * seconds(window))
     end = F.col("window_start") + F.expr(f"INTERVAL {int(seconds(window))} SECONDS")
-    since = (F.unix_micros(end.cast("timestamp")) - F.unix_micros(last.cast("timestamp"))) / 1e6
+    since = (F.unix_micros(end.cast("timestamp")) - F.unix_micros(F.col("_seen").cast("timestamp"))) / 1e6
     return j.select("window_start", series, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
                     (F.coalesce("n", F.lit(0)) == 0).alias("down"), since.alias("seconds_since_seen"))
 
 
 def hold(cond: DataFrame, windows_needed: int, series=("series",), order: str = "window_start",
-         flag: str = "cond") -> DataFrame:
+         flag: str = "cond", block: float = 3_600_000.0) -> DataFrame:
     """T-11 (batch): firing once ``flag`` held for ``windows_needed`` consecutive
-    windows (gaps and islands: row_number difference)."""
-    w_all = Window.partitionBy(*series).orderBy(order)
-    w_flag = Window.partitionBy(*series, flag).orderBy(order)
-    isl = cond.withColumn("_island", F.row_number().over(w_all) - F.row_number().over(w_flag))
-    w_isl = Window.partitionBy(*series, flag, "_island").orderBy(order)
-    run = F.row_number().over(w_isl)
-    return isl.withColumn("held_windows", F.when(F.col(flag), run).otherwise(F.lit(0))).withColumn(
-        "firing", F.col(flag) & (F.col("held_windows") >= windows_needed)).drop("_island")
+    windows. The run's length is carried over blocks of time (``block`` seconds,
+    or units of a numeric ``order``)."""
+    return run_length(cond, series, order, flag, "held_windows", block).withColumn(
+        "firing", F.col(flag) & (F.col("held_windows") >= windows_needed))
 
 
 def repeat_ratio(log: DataFrame, key=("user_id", "recommendation_type", "endpoint"), ttl_s: float = 3600.0,
@@ -274,7 +305,6 @@ def rule_metrics(log: DataFrame, step: str = "5 minutes", lookback: str = "1 hou
     The log is aggregated to minutes once, and written; all but the versions
     and the repeats follow from its few rows.
     """
-    from rankfold.session import materialize
     secs = int(seconds(step))
     plus = lambda c, s: c + F.expr(f"INTERVAL {int(s)} SECONDS")
     minutes = materialize(log.groupBy(_win(ts, "1 minute").start.alias("minute")).agg(
@@ -296,13 +326,12 @@ def rule_metrics(log: DataFrame, step: str = "5 minutes", lookback: str = "1 hou
                   .groupBy(_win("_first", step).start.alias("window_start")).agg(F.max("_first").alias("_reload")))
     repeats = repeat_ratio(log, ttl_s=ttl_s, window=step, ts=ts).select("window_start", "repeat_ratio")
 
-    g = window_grid(minutes, step, "minute")
-    for t in (steps, back, before, reloads, repeats):
+    g = window_grid(minutes, step, "minute").join(reloads, "window_start", "left").withColumn("series", F.lit("all"))
+    g = carry_last(g, ["series"], "window_start", "_reload", "_reloaded", 1000.0 * secs)
+    for t in (steps, back, before, repeats):
         g = g.join(t, "window_start", "left")
-    so_far = Window.partitionBy("series").orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)  # rows of the grid only
-    g = g.withColumn("series", F.lit("all")).withColumn("_reload", F.max("_reload").over(so_far))
     n = F.coalesce("n", F.lit(0)).cast("double")
-    end, reload = (F.unix_micros(c.cast("timestamp")) for c in (plus(F.col("window_start"), secs), F.col("_reload")))
+    end, reload = (F.unix_micros(c.cast("timestamp")) for c in (plus(F.col("window_start"), secs), F.col("_reloaded")))
     quiet = F.when(F.col("minutes") * 60 < secs, 0.0).otherwise(F.col("least") / 60.0)
     metrics = {
         "requests": n, "request_rate": n / float(secs), "lowest_minute_rate": F.coalesce(quiet, F.lit(0.0)),
@@ -321,7 +350,8 @@ def evaluate_rules(metrics: DataFrame, rules: DataFrame, window: str = "1 hour")
     """T-12: rule table (name, metric, op, threshold, hold_s, severity) applied to a
     long metric series (series, window_start, metric, value) -> alert states.
 
-    The hold is counted in windows: max(1, ceil(hold_s / window seconds)).
+    The hold is counted in windows: max(1, ceil(hold_s / window seconds)); its
+    length is carried over blocks of windows.
     """
     secs = seconds(window)
     j = metrics.join(F.broadcast(rules), "metric")  # rule table: a few rows
@@ -331,10 +361,8 @@ def evaluate_rules(metrics: DataFrame, rules: DataFrame, window: str = "1 hour")
              .otherwise(F.lit(False)))
     j = j.withColumn("cond", F.coalesce(cond, F.lit(False)))
     j = j.withColumn("_need", F.greatest(F.lit(1), F.ceil(F.col("hold_s") / F.lit(secs))).cast("int"))
-    w_all = Window.partitionBy("name", "series").orderBy("window_start")
-    w_flag = Window.partitionBy("name", "series", "cond").orderBy("window_start")
-    isl = j.withColumn("_island", F.row_number().over(w_all) - F.row_number().over(w_flag))
-    run = F.row_number().over(Window.partitionBy("name", "series", "cond", "_island").orderBy("window_start"))
-    out = isl.withColumn("held_windows", F.when(F.col("cond"), run).otherwise(F.lit(0)))
+    # the metrics' long expressions are worked out once; the scan reads their values
+    j = materialize(j.select("name", "severity", "series", "window_start", "metric", "value", "cond", "_need"))
+    out = run_length(j, ["name", "series"], "window_start", "cond", "held_windows", 1000 * secs)
     return out.select("name", "severity", "series", "window_start", "metric", "value", "cond", "held_windows",
                       (F.col("cond") & (F.col("held_windows") >= F.col("_need"))).alias("firing"))

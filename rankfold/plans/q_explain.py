@@ -215,3 +215,27 @@ def x6_explain_all_e(spark, sf_dir):
     return a.select("user_id", "item_id", F.col("ease.confidence").alias("ease_confidence"),
                     F.col("content.average_similarity_to_history").alias("content_similarity"),
                     F.col("shap.total_score").alias("shap_total"), F.col("lime.local_fidelity").alias("lime_fidelity"))
+
+
+_X6 = "x4t AS (SELECT user_id, item_id, SUM(shap) AS tot, COUNT(*) AS n FROM xsr GROUP BY user_id, item_id)"
+
+
+@query("x6_explain_combined_e", Q.with_prep(E, *_XP, _X1, Q.content(), _X3, _X4, _X6, body=f"""
+SELECT a.user_id, a.item_id, a.error AS ease_error,
+       CASE WHEN a.error IS NULL THEN {Q.r4("CASE WHEN COALESCE(a.tot, 0.0) > 0 THEN LEAST(1.0, GREATEST(0.0, a.tot)) ELSE 0.0 END")} END AS ease_confidence,
+       CASE WHEN a.error IS NULL THEN CAST(a.n AS BIGINT) END AS ease_supporting,
+       CASE WHEN c.error IS NULL THEN {Q.r4("COALESCE(c.av, 0.0)")} END AS content_similarity,
+       CASE WHEN a.user_id IN (SELECT id FROM vv) AND a.item_id IN (SELECT id FROM vv) THEN ROUND(s.tot, 6) END AS shap_total,
+       CASE WHEN a.user_id IN (SELECT id FROM vv) AND a.item_id IN (SELECT id FROM vv) THEN CAST(s.n AS BIGINT) END AS shap_components,
+       a.user_id IN (SELECT id FROM vv) AND a.item_id IN (SELECT id FROM vv) AS lime_given
+FROM x1 a JOIN x3 c ON c.user_id = a.user_id AND c.item_id = a.item_id
+LEFT JOIN x4t s ON s.user_id = a.user_id AND s.item_id = a.item_id""", recursive=True))
+def x6_explain_combined_e(spark, sf_dir):
+    """X-6: one row per pair with what every explainer says; of the sampled one (LIME) only whether it is given."""
+    p, b, pairs = _pairs_and_bundle(spark, sf_dir, factors=True)
+    a = X.explain(pairs, b, "all")
+    return a.select("user_id", "item_id", F.col("ease.error").alias("ease_error"), F.col("ease.confidence").alias("ease_confidence"),
+                    F.col("ease.n_supporting").alias("ease_supporting"),
+                    F.col("content.average_similarity_to_history").alias("content_similarity"),
+                    F.col("shap.total_score").alias("shap_total"), F.col("shap.n_components").alias("shap_components"),
+                    F.col("lime.error").isNull().alias("lime_given"))

@@ -79,6 +79,47 @@ def t2_latency_histogram_sum_count(spark, sf_dir):
     return h.select(_us(), "endpoint", "count", F.round("sum", 6).alias("sum"))
 
 
+_SIZES = "[" + ", ".join(f"{b}::DOUBLE" for b in T.SIZE_BUCKETS) + ", 'inf'::DOUBLE]"
+_BATCH = "[" + ", ".join(f"{b}::DOUBLE" for b in T.BATCH_BUCKETS) + ", 'inf'::DOUBLE]"
+
+
+@query("t2_size_histograms", f"""
+WITH ex AS (SELECT time_bucket(INTERVAL '1 hour', e.ts) AS w,
+                   CASE WHEN e.event_type IN ('purchase', 'signup') THEN 'POST' ELSE 'GET' END AS method,
+                   e.event_type AS endpoint, octet_length(encode(e.props)) AS req, octet_length(encode(p.html)) AS resp
+            FROM events e LEFT JOIN pages p ON p.page_id = e.event_id),
+m AS (SELECT w, method, endpoint, 'request' AS metric, req AS v FROM ex
+      UNION ALL SELECT w, method, endpoint, 'response', resp FROM ex),
+b AS (SELECT w, method, endpoint, metric, le, COUNT(*) FILTER (WHERE v <= le) AS cum
+      FROM m CROSS JOIN (SELECT unnest({_SIZES}) AS le) GROUP BY ALL),
+t AS (SELECT w, method, endpoint, metric, CAST(SUM(v) AS BIGINT) AS sum, COUNT(v) AS count FROM m GROUP BY ALL)
+SELECT epoch_us(b.w) AS window_start_us, b.method, b.endpoint, b.metric, b.le, b.cum, t.sum, t.count
+FROM b JOIN t ON b.w = t.w AND b.method = t.method AND b.endpoint = t.endpoint AND b.metric = t.metric""")
+def t2_size_histograms(spark, sf_dir):
+    """T-2: request and response sizes in bytes by method and endpoint: a request's body is
+    the event's props, the answer the page of its number (none: not measured)."""
+    ev, pages = TT.table(spark, sf_dir, "events"), TT.table(spark, sf_dir, "pages")
+    log = ev.select("ts", "event_id", F.col("event_type").alias("endpoint"),
+                    F.when(F.col("event_type").isin("purchase", "signup"), F.lit("POST")).otherwise(F.lit("GET")).alias("method"),
+                    F.octet_length("props").alias("req"))
+    answers = pages.select(F.col("page_id").alias("event_id"), F.octet_length("html").alias("resp"))
+    h = T.size_histograms(log.join(answers, "event_id", "left"), {"request": "req", "response": "resp"})
+    return h.select(_us(), "method", "endpoint", "metric", F.inline(F.arrays_zip("le", "cum")), "sum", "count")
+
+
+@query("t2_batch_size_histogram", f"""
+WITH c AS (SELECT l_orderkey, date_trunc('day', MIN(o.o_orderdate)) AS w, COUNT(*) AS n
+           FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey GROUP BY l_orderkey)
+SELECT epoch_us(CAST(w AS TIMESTAMP)) AS window_start_us, le, COUNT(*) FILTER (WHERE n <= le) AS cum, CAST(SUM(n) AS BIGINT) AS sum, COUNT(*) AS count
+FROM c CROSS JOIN (SELECT unnest({_BATCH}) AS le) GROUP BY w, le""")
+def t2_batch_size_histogram(spark, sf_dir):
+    """T-2: sizes of batch calls per day; a call is an order, its requests are the lines."""
+    o = TT.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("ts"))
+    lines = TT.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    h = T.histogram(T.batch_sizes(lines.join(o, "o_orderkey"), ["o_orderkey"]), "batch_size", T.BATCH_BUCKETS, (), "1 day")
+    return h.select(_us(), F.inline(F.arrays_zip("le", "cum")), "sum", "count")
+
+
 @query("t3_request_rate_sliding", _with(body="""
 SELECT ws AS window_start_us, COUNT(*) AS n, COUNT(*) / 3600.0 AS rate FROM (
   SELECT epoch_us(time_bucket(INTERVAL '15 minutes', ts)) - k * 900000000 AS ws FROM lg CROSS JOIN range(0, 4) t(k))

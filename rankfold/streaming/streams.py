@@ -132,7 +132,7 @@ def error_hold(counts: DataFrame, window_s: int = 3600, threshold: float = 0.25,
         "series", F.explode(F.sequence("lo", top.cast("long"), F.lit(w_us))).alias("window_start_us"))
     c = grid.join(counts, ["series", "window_start_us"], "left").fillna({"total": 0, "bad": 0})
     c = c.withColumn("cond", (F.col("total") > 0) & (F.col("bad") > F.lit(threshold) * F.col("total")))
-    return hold(c, hold_windows, order="window_start_us").select(
+    return hold(c, hold_windows, order="window_start_us", block=1000.0 * w_us).select(
         "series", "window_start_us", "total", "bad", "cond", F.col("held_windows").cast("long").alias("held_windows"), "firing")
 
 

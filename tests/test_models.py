@@ -157,6 +157,42 @@ def test_factor_block_topk_equals_brute_force(spark):
         assert [got[(f"u{i}", k + 1)] for k in range(4)] == [f"v{j}" for j in best]
 
 
+def test_norm_ordered_topk_prunes_and_stays_exact(spark):
+    """Norms fall off as in a trained catalogue (popular items long): most user-block products are never
+    made, and the lists equal those of all products, ties, masks and null or zero vectors included."""
+    from rankfold.operators.factors import top_k_dot
+    rng = np.random.default_rng(8)
+    n, m, k = 30, 640, 5
+    U_ = rng.normal(size=(n, 6))
+    U_[3] = 0.0  # all products are ties at 0: nothing may be skipped
+    V_ = rng.normal(size=(m, 6)) * (0.985 ** np.arange(m))[:, None]
+    V_[7] = V_[6]  # a tie among long vectors
+    ids = [f"v{j:03d}" for j in rng.permutation(m)]
+    uf = spark.createDataFrame([(f"u{i}", [float(x) for x in r]) for i, r in enumerate(U_)], "id string, factor array<double>")
+    vf = spark.createDataFrame([(ids[j], [float(x) for x in r]) for j, r in enumerate(V_)], "id string, factor array<double>")
+    masked = {(i, j) for i in range(n) for j in range(0, 40, 1 + i % 3)}
+    seen = spark.createDataFrame([(f"u{i}", ids[j]) for i, j in sorted(masked)], "user_id string, item_id string")
+    report = []
+    got = {}
+    for r in top_k_dot(uf, vf, k, seen=seen, block=16, users=8, report=report).collect():
+        got.setdefault(r.user_id, {})[r.rank] = r.item_id
+    for i in range(n):
+        rows = sorted(((-float(U_[i] @ V_[j]), ids[j]) for j in range(m) if (i, j) not in masked))
+        want = [x for _, x in rows[:k]]
+        assert [got[f"u{i}"][r + 1] for r in range(k)] == want, i
+    visits = sum(v for _, v, _ in report)
+    assert visits < 0.5 * n * (m // 16)  # over half of all products are pruned
+    assert report[-1][0] < n and visits >= m // 16  # the zero vector went everywhere
+
+
+def test_equal_norms_read_every_block_in_one_round(spark):
+    from rankfold.operators.factors import top_k_dot
+    f = spark.createDataFrame([(f"x{i}", [float(np.cos(i)), float(np.sin(i))]) for i in range(60)], "id string, factor array<double>")
+    report = []
+    assert top_k_dot(f, f, 3, block=10, report=report).count() == 180
+    assert report == [(60, 360, 6)]
+
+
 def test_training_from_files_uses_every_setting(spark, tmp_path):
     """From event and property CSVs to a bundle: weights, threshold, hold-out and blend weights come from the settings."""
     import dataclasses
