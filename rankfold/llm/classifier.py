@@ -38,7 +38,7 @@ _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _KIND = np.where(_BLANK, 0, np.where(_LETTER, 1, 2)).astype(np.int8)
-_ALL = np.ones(256, bool)
+_SHOWN = ~_BLANK  # blanks after a token are no part of its hash
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray):
@@ -69,7 +69,7 @@ def features(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none, none, count
-    words = word_hashes(data, starts, ends, _ALL, fold=True)
+    words = word_hashes(data, starts, ends, _SHOWN, fold=True)
     upper = np.add.reduceat(((data >= 65) & (data <= 90)).astype(np.int32), starts) if len(starts) else starts
     digit = np.add.reduceat(((data >= 48) & (data <= 57)).astype(np.int32), starts)
     size = ends - starts
@@ -163,27 +163,31 @@ def _examples(batches):
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text: str = "text",
           most: int = MAX_TRAIN) -> Model:
     """Fits on at most ``most`` labelled rows. Texts become sparse features in
-    the tasks; the driver gets those of the bounded sample only."""
+    the tasks. An id with several document rows gives one example, that with the
+    smallest features, and a label given n times counts n times: the driver gets
+    at most ``most`` examples however often an id is repeated."""
     prepare(docs.sparkSession)
     sample = rows_of(labels, id_col, label).toDF("id", "y").where("id is not null and y is not null").withColumn(
         "y", F.col("y").cast("int")).withColumn("turn", F.xxhash64(F.col("id"), F.lit(11)))
     sample = first_by_hash(sample, "turn", most).drop("turn")
-    # the sample is bounded by ``most`` rows of two numbers
+    # the sample is bounded by ``most`` rows of three numbers
+    sample = sample.groupBy("id", "y").agg(F.count(F.lit(1)).alias("n"))
     joined = rows_of(docs, id_col, text).toDF("id", "text").join(F.broadcast(sample), "id")
-    rows = joined.select("id", "y", "text").mapInArrow(_with_id(_examples), "id string, y int, index binary, value binary").collect()
-    rows.sort(key=lambda r: (r["id"], r["index"], r["y"]))
-    return fit([(np.frombuffer(r["index"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(float), r["y"])
-                for r in rows])
+    made = joined.select("id", "y", "n", "text").mapInArrow(_with_id(_examples), "id string, n long, y int, index binary, value binary")
+    rows = made.groupBy("id", "y", "n").agg(F.min(F.struct("index", "value")).alias("x")).collect()
+    rows.sort(key=lambda r: (r["id"], r["x"]["index"], r["y"]))
+    return fit([(np.frombuffer(r["x"]["index"], np.int32).astype(np.int64), np.frombuffer(r["x"]["value"], np.float32).astype(float), r["y"])
+                for r in rows for _ in range(r["n"])])
 
 
 def _with_id(make):
-    """The features with the id before them, for a stable order of the updates."""
+    """The features with the id and the label's count before them, for a stable order of the updates."""
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                ids = part.column("id").cast(pa.string())
+                ids, times = part.column("id").cast(pa.string()), part.column("n")
                 for made in make([part]):
-                    yield pa.RecordBatch.from_arrays([ids, *made.columns], names=["id", *made.schema.names])
+                    yield pa.RecordBatch.from_arrays([ids, times, *made.columns], names=["id", "n", *made.schema.names])
     return run
 
 

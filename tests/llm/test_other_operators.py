@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -166,6 +167,92 @@ def test_classifier_on_hard_texts(spark, hard, nothing):
     assert classifier.add_score(nothing, model).count() == 0
 
 
+PLAIN = ["The cat, the cat, THE CAT sat!!", "cat 42 a1b Zz", "", None, "  \n", "naïve été -- naïve été", "x " * 30, "A"]
+
+
+def _plain_features(text):
+    """Features of one text as readable keys, with their counts, and its number of tokens."""
+    made, toks = Counter(), []
+    for m in re.finditer(rb"([0-9A-Za-z\x80-\xff]+)|[^\x09-\x0d\x200-9A-Za-z\x80-\xff]+", (text or "").encode()):
+        raw, low = m.group(), m.group().lower()
+        upper = sum(65 <= c <= 90 for c in raw)
+        case = 0 if upper == 0 else 2 if upper == len(raw) else 1
+        shape = (case, any(48 <= c <= 57 for c in raw), min(len(raw), 28) // 4) if m.group(1) else low
+        toks.append((low, shape))
+    pairs = Counter((a[0], b[0]) for a, b in zip(toks, toks[1:]))
+    made.update(("word", w) for w, _ in toks)
+    made.update({("pair", *p): c for p, c in pairs.items()})
+    made.update(("shape", x) for _, x in toks)
+    made.update(("shapes", a[1], b[1]) for a, b in zip(toks, toks[1:]))
+    again = sum(c - 1 for c in pairs.values())
+    return made + Counter({"again": again}), len(toks)
+
+
+def test_classifier_features_and_score_equal_plain_ones():
+    import pyarrow as pa
+    owner, index, count = classifier.features(pa.array(PLAIN, pa.string()))
+    plain = [_plain_features(t) for t in PLAIN]
+    assert list(count) == [n for _, n in plain]
+    keys, cells = defaultdict(lambda: [0] * len(PLAIN)), defaultdict(lambda: [0] * len(PLAIN))
+    for row, (made, _) in enumerate(plain):
+        for key, c in made.items():
+            keys[key][row] = c
+    for row, i in zip(owner, index):
+        cells[i][row] += 1
+    assert sorted(keys.values()) == sorted(cells.values())  # a key has an index of its own, with the same counts in every text
+    rng = np.random.default_rng(2)
+    model = classifier.Model(np.array(sorted(cells)[::2]), rng.normal(size=len(sorted(cells)[::2])) * 5, 0.3)
+    weight = dict(zip(model.index, model.weight))
+    for row, score in enumerate(model.scores(pa.array(PLAIN, pa.string()))):
+        total = sum(weight.get(i, 0.0) * c[row] for i, c in cells.items())
+        assert score == pytest.approx(1 / (1 + np.exp(-(0.3 + total / max(1, count[row])))), abs=1e-9)
+
+
+def test_classifier_updates_equal_plain_ftrl():
+    rng = np.random.default_rng(5)
+    examples = []
+    for _ in range(120):
+        index = np.sort(rng.choice(40, 6, replace=False))
+        examples.append((index, rng.random(6), int(index[0] % 3 == 0)))
+    model = classifier.fit(examples, epochs=3)
+    alpha, beta, l1, l2 = 1.0, 1.0, 0.0002, 0.001
+    z, n, ones = defaultdict(float), defaultdict(float), sum(y for *_, y in examples)
+    scale = {0: len(examples) / (2 * (len(examples) - ones)), 1: len(examples) / (2 * ones)}
+
+    def weight(i):
+        if i == "bias":
+            return -z[i] / ((beta + n[i] ** 0.5) / alpha)
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for k in order.permutation(len(examples)):
+            index, value, y = examples[k]
+            row = [*zip(index, value), ("bias", 1.0)]
+            old = {i: weight(i) for i, _ in row}
+            p = 1 / (1 + np.exp(-sum(old[i] * x for i, x in row)))
+            for i, x in row:
+                g = (p - y) * scale[y] * x
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * old[i]
+                n[i] += g * g
+    assert model.bias == pytest.approx(weight("bias"), abs=1e-9)
+    got = dict(zip(model.index, model.weight))
+    assert all(got.get(i, 0.0) == pytest.approx(weight(i), abs=1e-9) for i in range(40)) and set(got) <= set(range(40))
+
+
+def test_classifier_sample_stays_bounded_when_one_id_has_very_many_rows(spark, monkeypatch):
+    """5,000 documents of one labelled id, and a label given three times."""
+    docs = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("same id text "), (F.col("id") % 50).cast("string")).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(8, "good words here"), (9, "free money !!!")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(7, 1), (8, 1), (8, 1), (8, 1), (9, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(classifier, "fit", lambda examples, **k: seen.append(examples))
+    classifier.train(docs, labels)
+    assert sorted(y for *_, y in seen[0]) == [0, 1, 1, 1, 1]
+    classifier.train(docs, labels, most=2)
+    assert len(seen[1]) <= 2
+
+
 URLS = [("http://a.example.org/es/1", "block"), ("https://EXAMPLE.org/en/15?x", "block"), ("http://example.org/en/2", "allow"), ("http://myorg/", "allow"),
         ("http://x.com/de/", "block"), ("http://x.com/DE/", "allow"), ("http://x.com/fr/a", "allow"), (None, "allow"), ("no scheme", "allow"), ("http://org", "allow"),
         ("http://m.casino-win.net/", "block"), ("http://casinowin.net/", "allow"), ("http://casino.org/", "allow"), ("://example.org/es/#f", "block"), ("", "allow")]
