@@ -41,9 +41,25 @@ MISS = 1e-6
 BLOCK, GROUP_SHINGLES = 256, 1 << 20
 
 
-def band_count(threshold: float, rows: int, miss: float = MISS) -> int:
-    """Bands for which a link at the threshold is missed with at most probability ``miss``."""
-    return math.ceil(math.log(miss) / math.log(1 - threshold**rows))
+def band_chance(percent: int, rows: int) -> float:
+    """The least probability that a band of two sets linked at ``percent`` is
+    equal, over all sizes. A permutation's minimum and maximum are drawn without
+    replacement, so with i common of u shingles both agree with probability
+    i(i-1) / (u(u-1)), which is under (i/u)^2 and least for small sets."""
+    pairs, odd = divmod(rows, 2)
+    least = 1.0
+    for u in range(2, 401):  # with i >= percent * u / 100 the lower envelope grows with u, so larger sets have no less
+        i = -(-percent * u // 100)
+        least = min(least, (i * (i - 1) / (u * (u - 1))) ** pairs * (i / u) ** odd)
+    return least
+
+
+def band_count(percent: int, rows: int, miss: float = MISS) -> int:
+    """Bands for which a link of any size is missed with at most probability ``miss``."""
+    chance = band_chance(percent, rows)
+    if chance <= 0:
+        raise ValueError(f"at {percent} percent sets of two or three shingles may share no band; take rows=1")
+    return 1 if chance >= 1 else math.ceil(math.log(miss) / math.log1p(-chance))
 
 
 def shingle_sets(column, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +87,8 @@ def shingle_sets(column, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(hashed: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """Band keys [row, band] from min-max signatures; rows without shingles get zeros."""
-    k = math.ceil(bands * rows / 2)
+    each = -(-rows // 2)  # permutations of a band: no two bands share one
+    k = bands * each
     with np.errstate(over="ignore"):
         seeds = mix(np.arange(1, 2 * k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     full = np.flatnonzero(np.diff(offsets) > 0)
@@ -91,7 +108,7 @@ def signatures(hashed: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -
     for b in range(bands):
         key = np.full(len(offsets) - 1, b + 1, np.uint64)
         for j in range(rows):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[b * rows + j])
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[2 * b * each + j])
         keys[:, b] = key
     return keys
 
@@ -215,7 +232,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, rows: int
     over links with 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     prepare(spark)
-    bands = band_count(percent / 100, rows, miss)
+    bands = band_count(percent, rows, miss)
     rows_in = rows_of(docs, id_col, text).toDF("id", "text").where("id is not null")
     id_type = rows_in.schema["id"].dataType.simpleString()
     features = materialize(rows_in.mapInArrow(
