@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankfold.llm import decontaminate, minhash, pii, rules, substrings
 from rankfold.llm import text as words_of
@@ -74,6 +75,24 @@ def test_decontamination(spark, hard, monkeypatch, block):
             assert len(inside) == b - a and inside[0] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r[1]))[a]
 
 
+def test_a_benchmark_of_many_blocks_is_one_pass_at_a_time(spark, monkeypatch):
+    """64 blocks: the driver never has more than one partition's, two tables of passes exist at most, results are those of one block."""
+    items = [(i, " ".join(f"w{(7 * i + j) % 500}" for j in range(12))) for i in range(64)]
+    docs = [(i, " ".join(f"w{(3 * i + j) % 500}" for j in range(40))) for i in range(50)] + [(None, None), (7, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("c1", F.lit("kept"))
+    bench, alive, most = spark.createDataFrame(items, "item_id long, text string"), set(), []
+    whole = decontaminate.mark_contamination(df, bench, words=10)
+    write, remove = decontaminate._written, decontaminate.remove_path
+    monkeypatch.setattr(decontaminate, "_written", lambda d, path: (alive.add(path), most.append(len(alive)), write(d, path))[-1])
+    monkeypatch.setattr(decontaminate, "remove_path", lambda s, path: (alive.remove(path), remove(s, path))[-1])
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20)
+    cut = decontaminate.mark_contamination(df, bench, words=10)
+    assert len(most) == 63 and max(most) == 2
+    assert cut.columns == whole.columns
+    assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+    assert sum(r.contamination.n_hit > 0 for r in whole.collect()) > 10
+
+
 def test_decontamination_of_and_by_nothing(spark, hard, nothing):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.mark_contamination(nothing, bench).count() == 0
