@@ -21,6 +21,7 @@ class Bundle:
     tfidf: DataFrame | None = None        # (doc=item_id, token, value)
     item_class: DataFrame | None = None   # (item_id, cls)
     class_vec: DataFrame | None = None    # (cls, token, value)
+    class_sim: DataFrame | None = None    # (cls_a, cls_b, sim), none where sim is 0; only where asked for
     B: Weights | None = None              # EASE weights (tile store)
     user_factors: DataFrame | None = None  # (id, factor)
     item_factors: DataFrame | None = None  # (id, factor)

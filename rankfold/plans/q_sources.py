@@ -12,6 +12,7 @@ import functools
 from pyspark.sql import functions as F
 
 from rankfold.operators import prepare as P
+from rankfold.operators.features import class_similarity
 from rankfold.plans import flows
 from rankfold.plans import sqlfrag as Q
 from rankfold.plans.registry import query
@@ -73,11 +74,13 @@ SELECT "table", CAST(n AS BIGINT) AS n_rows, 'ease+tfidf' AS algorithm, '500.0'
   UNION ALL SELECT 'tfidf', COUNT(*) FROM tfidf
   UNION ALL SELECT 'item_class', COUNT(*) FROM items
   UNION ALL SELECT 'class_vec', COUNT(*) FROM (SELECT DISTINCT cls, token FROM tfidf JOIN cls ON cls.doc = tfidf.doc)
+  UNION ALL SELECT 'class_sim', COUNT(*) FROM (SELECT DISTINCT ca.cls AS a, cb.cls AS b FROM isim s JOIN cls ca ON s.item_a = ca.doc JOIN cls cb ON s.item_b = cb.doc)
   UNION ALL SELECT 'B', (SELECT n * (n - 1) FROM nn))""", recursive=True))
 def a5_a6_bundle_roundtrip(spark, sf_dir):
     """A-5 / A-6: save a trained bundle to the shared folder, load it
     back, report each table's row count and the metadata."""
     p, b = flows.bundle(spark, sf_dir, "E")
+    b.class_sim = class_similarity(b.class_vec)
     path = scratch_path(spark, "bundle")
     IO.save_bundle(b, path, {"model_type": "hybrid", "algorithm": "ease+tfidf", "ease_lambda": 500.0,
                              "hybrid_collab_weight": 0.6, "hybrid_content_weight": 0.4})

@@ -22,7 +22,7 @@ PROPERTIES = T.StructType([
     T.StructField("timestamp", T.LongType()), T.StructField("itemid", T.LongType()),
     T.StructField("property", T.StringType()), T.StructField("value", T.StringType())])
 
-BUNDLE_TABLES = ("train", "pop", "items", "categories", "tfidf", "item_class", "class_vec",
+BUNDLE_TABLES = ("train", "pop", "items", "categories", "tfidf", "item_class", "class_vec", "class_sim",
                  "user_factors", "item_factors")
 
 

@@ -170,6 +170,17 @@ def test_a_save_that_dies_leaves_the_former_bundle(spark, tmp_path, monkeypatch)
         IO.load_bundle(spark, path)
 
 
+def test_bundle_roundtrip_counts_the_class_pairs(spark, tmp_path):
+    from rankfold.plans.q_sources import a5_a6_bundle_roundtrip
+    rows = [(10 * u + i, u, f'{{"k": "{i}"}}', "view", 86_400 * i + u) for u in range(4) for i in range(6)]
+    (spark.createDataFrame(rows, "event_id long, user_id long, props string, event_type string, s long")
+        .selectExpr("event_id", "user_id", "props", "event_type", "timestamp_seconds(s) AS ts").write.parquet(str(tmp_path / "events.parquet")))
+    spark.createDataFrame([(i, "abc"[i % 3] * 3) for i in range(6)], "p_partkey long, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["table"]: r.n_rows for r in a5_a6_bundle_roundtrip(spark, str(tmp_path)).collect()}
+    assert got["class_sim"] == 9 and got["class_vec"] == 6  # three classes, all with popular_low
+    assert got["item_class"] == 6
+
+
 def test_run_rows_rename_at(spark):
     from rankfold.sources import io as IO
     m = spark.createDataFrame([(0.5, 3)], "`precision@10` double, n long")
