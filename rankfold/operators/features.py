@@ -14,6 +14,7 @@ from rankfold.config import DEFAULTS
 from rankfold.functions.exprs import popularity_bucket
 
 I = "item_id"
+MAX_LITERALS = 1000  # tokens of a vocabulary that a filter names
 
 # fixed value: token pattern (runs of two or more Unicode word characters)
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -61,10 +62,23 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str = "text",
 
     Output (doc, token, tf, value); documents without any kept token have no rows
     (a zero vector). The planner broadcasts the vocabulary only while it is small.
+
+    With at most ``MAX_LITERALS`` features, the tokens are found first, by counts
+    alone; then a document sends the words it has of them, once, to the
+    task that counts them and takes the norm. Rows that repeat an id are one document.
     """
-    tf = term_stats(docs, id_col, text_col)
+    max_features = DEFAULTS.tfidf_max_features if max_features is None else max_features
     n_docs = docs.agg(F.count(F.lit(1)).alias("_n"))
-    voc = vocabulary(tf, max_features).crossJoin(n_docs)  # one-row side
+    if max_features is not None and max_features <= MAX_LITERALS:
+        words = docs.select(F.explode(tokenize(text_col)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("total_tf"))
+        named = [r["token"] for r in words.orderBy(F.desc("total_tf"), F.asc("token")).limit(max_features).collect()]
+        kept = F.filter(tokenize(text_col), lambda t: t.isin(named))
+        dealt = docs.select(F.col(id_col).alias("doc"), kept.alias("_kept")).where(F.size("_kept") > 0).repartition("doc")
+        tf = dealt.select("doc", F.explode("_kept").alias("token")).groupBy("doc", "token").agg(F.count(F.lit(1)).alias("tf"))
+        voc = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(n_docs)  # one-row side
+    else:
+        tf = term_stats(docs, id_col, text_col)
+        voc = vocabulary(tf, max_features).crossJoin(n_docs)  # one-row side
     voc = voc.select("token", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = tf.join(voc, "token").withColumn("x", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc")))

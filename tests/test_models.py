@@ -31,6 +31,21 @@ def test_gram_salting_equals_plain(spark):
     assert a == pytest.approx(b)
 
 
+def test_tfidf_of_few_features_counts_only_their_words(spark):
+    rows = [(1, "aa aa bb cc"), (2, "bb dd"), (2, "bb aa"), (None, "aa ee"), (3, None), (4, "ff"), (None, "aa")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    few = FT.tfidf(docs, "id", "text", 2)
+    got = {(r.doc, r.token): (r.tf, round(r.value, 9)) for r in few.collect()}
+    idf = np.log(8 / np.array([4.0, 3.0])) + 1  # of aa (three documents) and bb (two); seven rows
+    norm = lambda a, b: np.hypot(a * idf[0], b * idf[1])
+    want = {(1, "aa"): (2, 2 * idf[0] / norm(2, 1)), (1, "bb"): (1, idf[1] / norm(2, 1)), (2, "aa"): (1, idf[0] / norm(1, 2)),
+            (2, "bb"): (2, 2 * idf[1] / norm(1, 2)), (None, "aa"): (2, 1.0)}
+    assert got == {k: (tf, round(v, 9)) for k, (tf, v) in want.items()}
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc" in plan.replace("#", " ") and ", token" not in " ".join(
+        x for x in plan.splitlines() if "hashpartitioning(doc" in x).split("hashpartitioning(", 1)[1].split(")")[0]
+
+
 def test_tfidf_smooth_idf_and_norm(spark):
     docs = spark.createDataFrame([(1, "cat_a popular_low"), (2, "cat_b popular_low"), (3, "cat_a popular_high")],
                                  "id long, text string")
