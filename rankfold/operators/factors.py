@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankfold.operators.ranking import global_rank
-from rankfold.session import materialize, ship_package
+from rankfold.session import materialize, remove_path, scratch_path, ship_package, shuffles_removed
 
 U, I = "user_id", "item_id"
 GROWTH = 8            # blocks up to a round's end, times those before it
@@ -173,6 +173,12 @@ def _product(cells: DataFrame, vectors: DataFrame, by: str, to: str) -> DataFram
     return j.groupBy(F.col(to).alias("id")).agg(vector_to_array(Summarizer.sum(scaled)).alias("vec"))
 
 
+def _stored(vectors: DataFrame) -> tuple[DataFrame, str]:
+    """Vectors written to the shared folder, and their path."""
+    vectors.write.parquet(at := scratch_path(vectors.sparkSession, "svd"))
+    return vectors.sparkSession.read.schema(vectors.schema).parquet(at), at
+
+
 def _gram(vectors: DataFrame, p: int) -> np.ndarray:
     """V^T V: p x p numbers, summed in the tasks."""
     def run(batches):
@@ -204,7 +210,9 @@ def svd_fit(inter: DataFrame, k: int = 50, user: str = U, item: str = I, iterati
     The item vectors (k + ``oversample`` numbers each) and the user vectors are
     DataFrames; a product with the matrix is a join and a grouped vector sum.
     Only the vectors' small Gram matrix comes to the driver. Start vectors are
-    hashes of the ids, so a run is repeatable. Returns (user_factors,
+    hashes of the ids, so a run is repeatable. Each product is written by itself;
+    its shuffle files go with its job, and the vectors of a round with the next,
+    so disk holds one product whatever the number of iterations. Returns (user_factors,
     item_factors, evr) with user = U*S and item = V, both L2-normalised, sign
     fixed so each component's largest |user loading| is positive
     (deterministic, quirk 18).
@@ -219,15 +227,25 @@ def svd_fit(inter: DataFrame, k: int = 50, user: str = U, item: str = I, iterati
     uniform = lambda j, s: (F.pmod(F.xxhash64("id", j, F.lit(s)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
     normal = F.transform(F.sequence(F.lit(1), F.lit(p)), lambda j: F.sqrt(-2 * F.log(uniform(j, 1))) * F.cos(2 * np.pi * uniform(j, 2)))
     q = cells.select(F.col("i").alias("id")).distinct().select("id", normal.alias("vec"))
-    for _ in range(iterations):
-        z = materialize(_product(cells, _product(cells, q, "i", "u"), "u", "i"))
-        q = _times(z, _whiten(_gram(z, p)))
-    q = materialize(q)
-    q = materialize(_times(q, _whiten(_gram(q, p))))  # once more: exactly orthonormal
-    y = materialize(_product(cells, q, "i", "u"))
-    values, w = np.linalg.eigh(_gram(y, p))
-    w = w[:, np.argsort(-values)[:k]]
-    us = materialize(_times(y, w))  # U * S
+    last = None
+    with shuffles_removed(spark):
+        for _ in range(iterations):
+            y, y_at = _stored(_product(cells, q, "i", "u"))
+            z, z_at = _stored(_product(cells, y, "u", "i"))
+            for at in filter(None, (y_at, last)):
+                remove_path(spark, at)
+            last = z_at
+            q = _times(z, _whiten(_gram(z, p)))
+        q, q_at = _stored(q)
+        if last:
+            remove_path(spark, last)
+        last, q = q_at, materialize(_times(q, _whiten(_gram(q, p))))  # once more: exactly orthonormal
+        remove_path(spark, last)
+        y, y_at = _stored(_product(cells, q, "i", "u"))
+        values, w = np.linalg.eigh(_gram(y, p))
+        w = w[:, np.argsort(-values)[:k]]
+        us = materialize(_times(y, w))  # U * S
+        remove_path(spark, y_at)
     mx = us.select(F.posexplode("vec").alias("c", "x")).groupBy("c").agg(F.max_by("x", F.abs("x")).alias("xm")).collect()  # k rows
     signs = np.ones(k)
     for r in mx:

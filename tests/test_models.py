@@ -126,6 +126,23 @@ def test_tiles_invert_the_matrix(spark, monkeypatch):
         assert np.abs(A @ P - np.eye(n)).max() < 1e-8
 
 
+def test_svd_leaves_no_more_on_disk_with_more_iterations(spark):
+    import os
+    from rankfold.operators.factors import svd_fit
+    from rankfold.session import shared_dir
+    rng = np.random.default_rng(2)
+    rows = [(f"u{u}", f"i{i}", float(rng.integers(1, 6))) for u in range(12) for i in range(9) if rng.random() < 0.5]
+    train = spark.createDataFrame(rows, "user_id string, item_id string, weight double")
+    at = shared_dir(spark).removeprefix("file:")
+    tables = lambda: sum(d.startswith(("rdd-", "svd-")) for _, folders, _ in os.walk(at) for d in folders)
+    left = []
+    for iterations in (1, 4):
+        before = tables()
+        svd_fit(train, k=2, iterations=iterations)
+        left.append(tables() - before)
+    assert left[0] == left[1]
+
+
 def test_ease_block_topk_equals_join_form(spark):
     from pyspark.sql import Window, functions as F
     rng = np.random.default_rng(11)
