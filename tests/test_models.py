@@ -143,6 +143,35 @@ def test_svd_leaves_no_more_on_disk_with_more_iterations(spark):
     assert left[0] == left[1]
 
 
+@pytest.mark.parametrize("n,tile,wide", [(23, 4, 2), (24, 4, 3), (10, 4, 5)])
+def test_inverse_takes_several_tile_columns_a_step(spark, n, tile, wide, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, n))
+    A = x.T @ x + np.eye(n)
+    cells = spark.createDataFrame([(int(r), int(c), float(A[r, c])) for r, c in zip(*np.nonzero(np.tril(A)))], "r long, c long, g double")
+    monkeypatch.setattr(EA, "_grid", lambda *a: 3)
+    P = np.zeros((n, n))
+    for t in spark.read.parquet(EA.inverse_tiles(EA.gram_tiles(cells, n, tile), n, tile, wide)).collect():
+        h, w = min(tile, n - t.i * tile), min(tile, n - t.j * tile)
+        part = -np.frombuffer(t.a).reshape(h, w)
+        P[t.i * tile:t.i * tile + h, t.j * tile:t.j * tile + w] = part
+        P[t.j * tile:t.j * tile + w, t.i * tile:t.i * tile + h] = part.T
+    assert np.abs(A @ P - np.eye(n)).max() < 1e-8
+
+
+def test_tiles_lie_in_row_groups_of_a_few(spark, tmp_path):
+    import pyarrow.parquet as pq
+    tiles = spark.range(40).coalesce(1).selectExpr("cast(id AS int) AS i", "0 AS j", "cast(repeat('x', 800) AS binary) AS a")
+    at = EA.write_tiles(tiles, str(tmp_path / "tiles"))
+    groups = [m.row_group(g).num_rows for f in (tmp_path / "tiles").glob("part-*") for m in [pq.ParquetFile(f).metadata] for g in range(m.num_row_groups)]
+    assert sum(groups) == spark.read.parquet(at).count() == 40 and max(groups) <= EA.ROW_GROUP
+
+
+def test_a_tile_is_a_small_row_whatever_the_catalog(spark):
+    for n in (1, 5_000, 20_000, 200_000):
+        assert 8 * EA.TILE ** 2 <= 2 << 20 and EA.step_tiles(n, EA.TILE) * EA.TILE in (1024, 2048)
+
+
 def test_ease_block_topk_equals_join_form(spark):
     from pyspark.sql import Window, functions as F
     rng = np.random.default_rng(11)
