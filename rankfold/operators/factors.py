@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankfold.operators.ranking import global_rank
-from rankfold.session import materialize, remove_path, scratch_path, ship_package, shuffles_removed
+from rankfold.session import batch_bytes, materialize, remove_path, scratch_path, ship_package, shuffles_removed
 
 U, I = "user_id", "item_id"
 GROWTH = 8            # blocks up to a round's end, times those before it
 MAX_BLOCKS = 1 << 20  # blocks of items by norm
 SLACK = 1 + 1e-9      # over the rounding of a product and two norms
+LEAST = np.finfo(np.float64).min
+#: Vectors, and bytes of vectors, in a packed row; bytes of packs that a task meets; bytes of an Arrow batch.
+PACK, PACK_BYTES, PART_BYTES, BATCH_BYTES = 4096, 4 << 20, 64 << 20, 8 << 20
 
 
 def l2_normalize(df: DataFrame, col: str = "factor") -> DataFrame:
@@ -37,35 +40,140 @@ def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def _score_slice(k: int):
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {U: [], I: [], "raw": []}
-        if left.num_rows and right.num_rows:
-            right = right.sort_by(I)  # so that equal scores go by item_id
-            items = right.column(I).to_pandas()
-            v = np.vstack(right.column("factor").to_numpy()).astype(np.float64)
-            known = left.filter(pc.is_valid(left.column("factor")))
-            if known.num_rows:
-                users, vectors = known.column(U).to_pandas(), known.column("factor").to_numpy()
-                seen = left.filter(pc.is_null(left.column("factor")))
-                row = pd.Index(users).get_indexer(seen.column(U).to_pandas())
-                col = pd.Index(items).get_indexer(seen.column(I).to_pandas())
-                row, col = row[(row >= 0) & (col >= 0)], col[(row >= 0) & (col >= 0)]
-                kk = min(k, len(items))
-                for lo in range(0, len(users), 512):
-                    s = np.vstack(vectors[lo:lo + 512]).astype(np.float64) @ v.T
-                    here = (row >= lo) & (row < lo + 512)
-                    s[row[here] - lo, col[here]] = -np.inf
-                    best = np.argsort(-s, axis=1, kind="stable")[:, :kk]
-                    raw = np.take_along_axis(s, best, axis=1)
-                    ok = np.isfinite(raw)
-                    out[U].append(np.repeat(users.to_numpy()[lo:lo + 512], kk).reshape(raw.shape)[ok])
-                    out[I].append(items.to_numpy()[best[ok]])
-                    out["raw"].append(raw[ok])
-        return pa.table({U: pa.array(np.concatenate(out[U]) if out[U] else [], pa.string()),
-                         I: pa.array(np.concatenate(out[I]) if out[I] else [], pa.string()),
-                         "raw": pa.array(np.concatenate(out["raw"]) if out["raw"] else [], pa.float64())})
-    return score
+def _packed(columns: list, key: str):
+    """Rows sorted by ``key`` as one row each: its lists by column, vectors as one block of numbers."""
+    def run(batches):
+        held = []
+
+        def row():
+            t = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for f, x in zip(columns[0], columns[1](t), strict=True)], schema=columns[0])
+
+        for batch in batches:
+            at = batch.column(key).to_numpy()
+            for cut in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at)) + 1):
+                if len(cut):
+                    if held and held[0].column(key)[0].as_py() != at[cut[0]]:
+                        yield row()
+                    held.append(batch.slice(cut[0], len(cut)))
+        if held:
+            yield row()
+    return run
+
+
+_ITEMS = pa.schema([("_pack", pa.int32()), ("_first", pa.int32()), ("_ids", pa.list_(pa.string())), ("_iv", pa.binary())])
+_USERS = pa.schema([("_s", pa.int32()), ("_users", pa.list_(pa.string())), ("_hi", pa.list_(pa.int32())), ("_uv", pa.binary()),
+                    ("_row", pa.list_(pa.int32())), ("_at", pa.list_(pa.int32())), ("_item", pa.list_(pa.string()))])
+
+
+def _numbers(vectors: pa.ChunkedArray) -> np.ndarray:
+    return np.vstack(vectors.to_numpy()).astype(np.float64)
+
+
+def _item_row(t: pa.Table) -> list:
+    return [t.column("_pack")[0].as_py(), pc.min(t.column("_b")).as_py(), t.column(I).to_pylist(), _numbers(t.column("factor")).tobytes()]
+
+
+def _user_row(t: pa.Table) -> list:
+    """Users with their vectors, and the seen pairs by pack, as rows of those users."""
+    known = pc.is_valid(t.column("factor"))
+    users, seen = t.filter(known), t.filter(pc.invert(known))
+    ids = users.column(U).to_pandas()
+    pairs = pd.DataFrame({U: seen.column(U).to_pandas(), "at": seen.column("_pack").to_numpy(), "item": seen.column(I).to_pandas()})
+    pairs = pairs.merge(pd.DataFrame({U: ids, "row": np.arange(len(ids))}), on=U).sort_values("at", kind="stable")
+    return [t.column("_s")[0].as_py(), ids.tolist(), users.column("_hi").to_pylist(), _numbers(users.column("factor")).tobytes() if len(ids) else b"",
+            pairs["row"].tolist(), pairs["at"].tolist(), pairs["item"].tolist()]
+
+
+def _top(score: np.ndarray, k: int, eps: float) -> np.ndarray:
+    """Mask of the best ``k`` columns of each row; ties at the edge go by column."""
+    edge = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k, None] if score.shape[1] > k else np.full((len(score), 1), LEAST)
+    over, tied = score > edge + eps, np.abs(score - edge) <= eps
+    return over | (tied & (tied.cumsum(1) <= k - over.sum(1, keepdims=True)))
+
+
+class _Slice:
+    """One slice of users and the best products found for it so far."""
+
+    def __init__(self, row: dict, k: int):
+        self.users, self.hi, self.k = pa.array(row["_users"], pa.string()), np.array(row["_hi"], np.int64), k
+        self.v = np.frombuffer(row["_uv"], np.float64).reshape(len(self.users), -1) if len(self.users) else np.zeros((0, 1))
+        self.row, self.at, self.item = np.array(row["_row"], np.int64), np.array(row["_at"], np.int64), np.array(row["_item"], object)
+        self.norm = np.sqrt((self.v ** 2).sum(1).max(initial=0.0))
+        self.best = np.full((len(self.users), k), LEAST)  # ascending: the first is the k-th best
+        self.found, self.held = [], 0
+
+    def meet(self, pack: int, first: int, ids: pa.Array, blob: bytes) -> None:
+        v = np.frombuffer(blob, np.float64).reshape(len(ids), -1)
+        rows = np.flatnonzero(self.hi > first)
+        lo, hi = np.searchsorted(self.at, [pack, pack + 1])
+        shut = None
+        if hi > lo:
+            shut = pd.DataFrame({"i": self.item[lo:hi], "row": self.row[lo:hi]}).merge(
+                pd.DataFrame({"i": ids.to_pandas(), "col": np.arange(len(ids))}), on="i")
+            shut = shut["row"].to_numpy(), shut["col"].to_numpy()
+        eps = 1e-13 * self.norm * np.sqrt((v ** 2).sum(1).max())
+        for a in range(0, len(rows), 512):
+            r = rows[a:a + 512]
+            s = self.v[r] @ v.T
+            if not np.isfinite(eps):
+                s[~np.isfinite(s)] = -np.inf
+            if shut is not None:
+                at = np.searchsorted(r, shut[0])
+                mine = (at < len(r)) & (r[np.minimum(at, len(r) - 1)] == shut[0])
+                s[at[mine], shut[1][mine]] = -np.inf
+            hit = s >= np.maximum(self.best[r, :1] - (eps if np.isfinite(eps) else 0.0), LEAST)
+            many = np.count_nonzero(hit, axis=1) > 4 * self.k
+            if many.any():
+                hit[many] &= _top(s[many], self.k, eps if np.isfinite(eps) else 0.0)
+            at, col = np.nonzero(hit)
+            if len(at):
+                # once more product by product, so that equal vectors have equal products wherever they lie
+                self._add(r, at, np.einsum("ij,ij->i", self.v[r[at]], v[col]), ids.take(pa.array(col)))
+
+    def _add(self, r, at, raw, items) -> None:
+        order = np.lexsort((-raw, at))
+        pos = np.arange(len(at)) - np.searchsorted(at, at)
+        keep = pos < self.k
+        new = np.full((len(r), self.k), LEAST)
+        new[at[keep], pos[keep]] = raw[order][keep]
+        touched = np.unique(at)
+        self.best[r[touched]] = np.sort(np.concatenate([self.best[r[touched]], new[touched]], axis=1), axis=1)[:, self.k:]
+        self.found.append(pa.table({"row": r[at], I: items, "raw": raw}))
+        self.held += len(at)
+        if self.held > 16 * self.k * len(self.users):
+            self.found = [self._kept()]
+            self.held = self.found[0].num_rows
+
+    def _kept(self) -> pa.Table:
+        t = pa.concat_tables(self.found)
+        t = t.filter(pa.array(t.column("raw").to_numpy() >= self.best[t.column("row").to_numpy(), 0]))
+        t = t.sort_by([("row", "ascending"), ("raw", "descending"), (I, "ascending")])
+        row = t.column("row").to_numpy()
+        return t.filter(pa.array(np.arange(len(row)) - np.searchsorted(row, row) < self.k))
+
+    def rows(self):
+        if self.found:
+            t = self._kept().combine_chunks()
+            yield pa.RecordBatch.from_arrays([self.users.take(t.column("row").combine_chunks()), t.column(I).combine_chunks(),
+                                              t.column("raw").combine_chunks()], names=[U, I, "raw"])
+
+
+def _score(k: int):
+    """Slices of users meet packs of items: the best ``k`` of a run of packs for each user."""
+    def run(batches):
+        now, held = None, None
+        for batch in batches:
+            for t in range(batch.num_rows):
+                if (s := batch.column("_s")[t].as_py()) != now:
+                    if held is not None:
+                        yield from held.rows()
+                    now, held = s, _Slice({c: batch.column(c)[t].as_py() for c in _USERS.names}, k)
+                held.meet(batch.column("_pack")[t].as_py(), batch.column("_first")[t].as_py(), batch.column("_ids")[t].values, batch.column("_iv")[t].as_py())
+        if held is not None:
+            yield from held.rows()
+    return run
 
 
 def _best(cand: DataFrame, k: int) -> DataFrame:
@@ -73,18 +181,34 @@ def _best(cand: DataFrame, k: int) -> DataFrame:
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _score_blocks(users: DataFrame, items: DataFrame, seen: DataFrame | None, k: int, slices: int) -> DataFrame:
-    """Candidates of users (user_id, factor, _lo, _n: the blocks _lo .. _lo + _n - 1) among items (item_id, factor, _b)."""
+def _score_blocks(users: DataFrame, items: DataFrame, seen: DataFrame | None, k: int, slices: int, block: int, shape: tuple) -> DataFrame:
+    """The best ``k`` for users (user_id, factor, _lo, _n: the blocks _lo .. _lo + _n - 1) among items (item_id, factor, _b).
+
+    Items lie in packs of whole blocks, users in slices, one row each, written
+    once. Every part of the slices meets every part of the packs (a part of the
+    packs is at most ``PART_BYTES``), so vectors are shuffled once, whatever their number,
+    and k candidates a user leave each part of the packs. ``shape``: items and numbers in a vector.
+    """
+    spark = users.sparkSession
+    n, d = shape
+    per = max(1, min(PACK, PACK_BYTES // (8 * max(1, d))) // block)
+    packs, cores = max(1, -(-n // (block * per))), spark.sparkContext.defaultParallelism
+    parts = min(packs, max(-(-8 * n * d // PART_BYTES), -(-2 * cores // slices)))
+    pack = F.floor(F.col("_b") / per).cast("int").alias("_pack")
     s_of = F.pmod(F.xxhash64(U), F.lit(slices)).cast("int").alias("_s")
-    blocks = F.explode(F.sequence(F.col("_lo"), (F.col("_lo") + F.col("_n") - 1).cast("int"))).alias("_b")
-    left = users.select(blocks, s_of, U, F.lit(None).cast("string").alias(I), "factor")
+    left = users.where("factor is not null").select(s_of, U, "factor", (F.col("_lo") + F.col("_n")).cast("int").alias("_hi"),
+                                                    F.lit(None).cast("int").alias("_pack"), F.lit(None).cast("string").alias(I))
     if seen is not None:
-        here = seen.join(users.select(U, "_lo", "_n"), U).where("_b >= _lo and _b < _lo + _n")
-        left = left.unionByName(here.select("_b", s_of, U, I, F.lit(None).cast("array<double>").alias("factor")))
-    right = items.select("_b", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_s"), I, "factor")
-    schema = T.StructType([T.StructField(U, T.StringType()), T.StructField(I, T.StringType()),
-                           T.StructField("raw", T.DoubleType())])
-    return left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInArrow(_score_slice(k), schema)
+        here = seen.join(users.select(U, "_lo", "_n").distinct(), U).where("_b >= _lo and _b < _lo + _n")
+        left = left.unionByName(here.select(s_of, U, F.lit(None).cast("array<double>").alias("factor"), F.lit(None).cast("int").alias("_hi"), pack, I))
+    spread = max(1, min(slices, -(-4 * cores // parts)))
+    with batch_bytes(spark, BATCH_BYTES):
+        right = items.select(pack, "_b", I, "factor").repartitionById(parts, F.pmod("_pack", F.lit(parts)))
+        right = materialize(right.sortWithinPartitions("_pack", I).mapInArrow(_packed([_ITEMS, _item_row], "_pack"), "_pack int, _first int, _ids array<string>, _iv binary"))
+        left = left.repartitionById(spread, F.pmod("_s", F.lit(spread)))
+        left = materialize(left.sortWithinPartitions("_s", U).mapInArrow(
+            _packed([_USERS, _user_row], "_s"), "_s int, _users array<string>, _hi array<int>, _uv binary, _row array<int>, _at array<int>, _item array<string>"))
+        return materialize(_best(left.crossJoin(right).mapInArrow(_score(k), f"{U} string, {I} string, raw double"), k))
 
 
 def top_k_dot(user_factors: DataFrame, item_factors: DataFrame, k: int, seen: DataFrame | None = None,
@@ -99,9 +223,9 @@ def top_k_dot(user_factors: DataFrame, item_factors: DataFrame, k: int, seen: Da
     hold a tie is read. Where all norms are about equal the bound says nothing
     and one round reads every block, without ordering the items.
 
-    A task is one (item block, user slice) pair and gets each of its vectors
-    once; seen pairs go to the one task that holds both their user and item, so
-    masking is done there and only k candidates per user and block leave it.
+    Blocks lie in packs, users in slices; both are shuffled and written once and
+    then meet (``_score_blocks``). Seen pairs go with the slice of their user and are
+    masked in the pack of their item; only k candidates per user leave a run of packs.
     The largest norms of the blocks, at most ``MAX_BLOCKS`` numbers, are one
     row that every user meets.
 
@@ -115,7 +239,8 @@ def top_k_dot(user_factors: DataFrame, item_factors: DataFrame, k: int, seen: Da
     if seen is not None:
         seen = seen.select(F.col(U).cast("string").alias(U), F.col(I).cast("string").alias(I)).distinct()
     n_users = uf.count()
-    n, least, most = vf.agg(F.count(F.lit(1)), F.min(norm), F.max(norm)).first()
+    n, least, most, d = vf.agg(F.count(F.lit(1)), F.min(norm), F.max(norm), F.max(F.size("factor"))).first()
+    least, most, d = least or 0.0, most or 0.0, d or 1
     block = max(block, -(-n // MAX_BLOCKS))
     nb, ns = max(1, -(-n // block)), max(1, -(-n_users // users))
     if nb == 1 or least >= 0.999 * most:
@@ -123,7 +248,7 @@ def top_k_dot(user_factors: DataFrame, item_factors: DataFrame, k: int, seen: Da
         every = uf.withColumn("_lo", F.lit(0)).withColumn("_n", F.lit(nb))
         if report is not None:
             report.append((n_users, n_users * nb, nb))
-        return _best(_score_blocks(every, vf.withColumn("_b", b_of), None if seen is None else seen.withColumn("_b", b_of), k, ns), k)
+        return _score_blocks(every, vf.withColumn("_b", b_of), None if seen is None else seen.withColumn("_b", b_of), k, ns, block, (n, d))
 
     ranked = global_rank(vf.withColumn("_norm", norm), [F.desc("_norm"), F.asc(I)], "_g")
     items = ranked.withColumn("_b", F.floor((F.col("_g") - 1) / block).cast("int")).drop("_g")
@@ -134,7 +259,7 @@ def top_k_dot(user_factors: DataFrame, item_factors: DataFrame, k: int, seen: Da
     found, lo, hi = None, 0, 1
     while lo < nb:
         reach = F.lit(1)
-        asked = uf.select(U, "_norm")
+        asked = uf.groupBy(U).agg(F.max("_norm").alias("_norm"))  # an id may come twice
         if found is not None:
             bar = found.groupBy(U).agg(F.when(F.count(F.lit(1)) >= k, F.min("raw")).alias("_bar"))
             row = edges.where((F.col("_b") >= lo) & (F.col("_b") < hi)).agg(F.array_sort(F.collect_list("_norm")).alias("_edges"))
@@ -147,8 +272,8 @@ def top_k_dot(user_factors: DataFrame, item_factors: DataFrame, k: int, seen: Da
         if not left:
             break
         here = items.where((F.col("_b") >= lo) & (F.col("_b") < lo + far))
-        new = _score_blocks(uf.select(U, "factor").join(asked, U), here, seen, k, max(1, -(-left // users)))
-        found = materialize(_best(new if found is None else found.drop("rank").unionByName(new), k))
+        new = _score_blocks(uf.select(U, "factor").join(asked, U), here, seen, k, max(1, -(-left // users)), block, (min(n, far * block), d))
+        found = new if found is None else materialize(_best(found.unionByName(new).drop("rank"), k))
         lo, hi = hi, hi * GROWTH
     return found
 

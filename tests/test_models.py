@@ -281,3 +281,50 @@ def test_training_from_files_uses_every_setting(spark, tmp_path):
     assert pop == counts
     assert {r.item_id: r.category for r in b.categories.collect()} == {str(i): f"c{(i + 2) % 3}" for i in range(7)}
     assert {r.key: r.value for r in meta.collect()}["popularity_from"] == "train"
+
+
+@pytest.mark.parametrize("long", [1.0, 3.0])
+def test_topk_of_copies_and_repeated_ids(spark, monkeypatch, long):
+    """Equal vectors go by item_id across packs, ids that come twice count twice, and masks hold for every row of an id.
+    A slice meets packs of several blocks, and several runs of packs. Ids that come twice stopped the scoring before."""
+    from rankfold.operators import factors as FX
+    monkeypatch.setattr(FX, "PACK", 32)
+    monkeypatch.setattr(FX, "PART_BYTES", 32 * 3 * 8 * 2)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(200, 3))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[50:120] = v[50]
+    v[:20] *= long  # 3.0: by norm, in rounds
+    rows = [(f"v{j:03d}", [float(x) for x in v[j]]) for j in range(200)] + [("v060", [float(x) for x in v[60]])]
+    vf = spark.createDataFrame(rows, "id string, factor array<double>")
+    users = [(f"u{i}", [float(x) for x in v[i * 9]]) for i in range(20)] + [("u3", [float(x) for x in v[51]]), ("none", None)]
+    uf = spark.createDataFrame(users, "id string, factor array<double>")
+    seen = [(f"u{i}", f"v{j:03d}") for i in range(20) for j in range(45, 75, 2 + i % 3)]
+    got = {}
+    for r in FX.top_k_dot(uf, vf, 6, seen=spark.createDataFrame(seen, "user_id string, item_id string"), block=8, users=7).collect():
+        got.setdefault(r.user_id, []).append((r["rank"], r.item_id, round(r.raw, 9)))
+    for u in {x for x, f in users if f}:
+        want = sorted((-round(float(np.dot(f, g)), 9), i) for x, f in users if x == u for i, g in rows if (u, i) not in seen)[:6]
+        assert [(i, s) for _, i, s in sorted(got[u])] == [(i, -s) for s, i in want], u
+    assert "none" not in got
+
+
+def test_gram_of_many_items_sends_histories_not_pairs(spark, monkeypatch):
+    """The products are made where an item's rows are: users longer than a chunk, items dealt by partner, rows that come
+    twice and null keys give the sums of the self join."""
+    import itertools
+    monkeypatch.setattr(EA, "HOT_ITEM", 4)  # before, there was one exchange of all pairs
+    monkeypatch.setattr(EA, "PAIRS", 50)
+    rng = np.random.default_rng(2)
+    rows = [(f"u{u}", f"i{int(i):03d}", float(rng.integers(1, 6))) for u in range(12) for i in rng.choice(300, 9, replace=False)]
+    rows += [("long", f"i{k:03d}", 2.0) for k in range(40)] + [(f"w{u}", "i299", 1.0) for u in range(9)]
+    rows += [rows[0], (None, "i001", 1.0), ("u1", None, 3.0)]
+    want = {}
+    for u in {r[0] for r in rows if r[0]}:
+        mine = [r for r in rows if r[0] == u and r[1]]
+        for a, b in itertools.product(mine, mine):
+            if a[1] <= b[1]:
+                want[a[1], b[1]] = want.get((a[1], b[1]), 0.0) + a[2] * b[2]
+    h = spark.createDataFrame(rows, "user_id string, item_id string, weight double")
+    g = EA.gram(h, mirror=False, chunk=20)
+    assert {(r.i, r.j): r.g for r in g.collect()} == pytest.approx(want)
