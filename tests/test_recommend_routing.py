@@ -180,3 +180,63 @@ def test_a_hundred_thousand_classes_are_not_paired(spark):
         score[mine] = -1
         best = np.lexsort((np.arange(n), -score))[:10]
         assert [(i, s) for _, i, s in sorted(asked[f"u{u}"])] == [(f"i{i:06d}", pytest.approx(score[i], abs=2e-9)) for i in best]
+
+
+def test_content_lists_of_a_small_class_table_equal_brute_force(spark, monkeypatch):
+    """Users are scored against all classes at once, and no posting list is read."""
+    monkeypatch.setattr(R, "best_classes", None)  # before, it was the only way
+    rng = np.random.default_rng(31)
+    vectors, items = {}, {}
+    for c in range(40):
+        bucket = ("popular_high", "popular_low", "popular_medium")[int(rng.integers(0, 3))]
+        vectors[f"k{c:02d}"] = {bucket: float(rng.choice([0.3, 0.5])), f"cat_{c % 17}": float(rng.choice([0.6, 0.8]))}
+        for _ in range(int(rng.integers(1, 5))):
+            items[f"i{rng.integers(0, 10**6):06d}"] = f"k{c:02d}"
+    items["i0"] = ""  # without a token
+    names = sorted(items)
+    train = [(f"u{u}", names[int(k)]) for u in range(25) for k in rng.choice(len(names), int(rng.integers(1, 12)), replace=False)]
+    train += [("first", i) for i in names[:9]] + [("blank", "i0")]
+    vec = spark.createDataFrame([(c, t, x) for c, v in vectors.items() for t, x in v.items()], "cls string, token string, value double")
+    ic = spark.createDataFrame([*items.items()], "item_id string, cls string")
+    pop = spark.createDataFrame([(i, 1) for i in names], "item_id string, popularity long")
+    tr = _train(spark, [(u, i, 1) for u, i in train])
+    want = _brute_content({**vectors, "": {}}, items, train, 10)
+    for head in (R.HEAD, 1):  # with the heads of the classes broadcast, and without
+        monkeypatch.setattr(R, "HEAD", head)
+        got = {}
+        for r in R.recommend_content(tr.select("user_id"), tr, pop, ic, vec, 10).collect():
+            got.setdefault(r.user_id, []).append((r["rank"], r.item_id, round(r.score, 9)))
+        assert {u: [(i, s) for _, i, s in sorted(v)] for u, v in got.items()} == want
+
+
+def test_popular_lists_read_the_head_of_the_ranking_only(spark, monkeypatch):
+    """With seen items masked, neither histories nor lists are joined with the whole catalog."""
+    read = []
+    whole = R.first_unseen
+    monkeypatch.setattr(R, "first_unseen", lambda want, seen, keys, n: (read.append(seen.count()), whole(want, seen, keys, n))[1])
+    pop = spark.range(5000).selectExpr("concat('i', lpad(id, 4, '0')) AS item_id", "10000 - id AS popularity")
+    seen = spark.range(40).selectExpr("concat('u', id % 4) AS user_id", "concat('i', lpad(id * 100, 4, '0')) AS item_id")
+    want = {f"u{u}": [j for j in range(7) if not (j == 0 and u == 0)][:5] for u in range(4)}
+    for head in (R.HEAD, 3):
+        monkeypatch.setattr(R, "HEAD", head)
+        got = {}
+        for r in R.recommend_popular(seen.select("user_id"), pop, 5, seen=seen).collect():
+            got.setdefault(r.user_id, []).append((r["rank"], int(r.item_id[1:])))
+        assert {u: [i for _, i in sorted(v)] for u, v in got.items()} == want
+    assert read == [1, 1]  # of forty rows, the one among the first 15; all forty before
+
+
+def test_positions_of_long_and_short_keys(spark, monkeypatch):
+    """Short keys are numbered where their rows are, long ones by many tasks; null keys have no position."""
+    from rankfold.operators import ranking
+    rows = [("long", k, k % 7) for k in range(50)] + [(f"k{i}", j, 1) for i in range(30) for j in range(i % 5 + 1)] + [(None, 1, 1)]
+    df = spark.createDataFrame(rows, "k string, v int, x int").repartition(5)
+    monkeypatch.setattr(ranking, "HOT_KEY", 10)
+    sorts = []
+    whole = ranking.global_rank
+    monkeypatch.setattr(ranking, "global_rank", lambda d, *a, **b: (sorts.append(d.count()), whole(d, *a, **b))[1])
+    for count in (None, "n"):
+        got = [(r.k, r.v, r.rk, *([r.n] if count else [])) for r in ranking.rank_within(df, "k", [F.asc("v")], "rk", count).collect()]
+        size = {k: sum(r[0] == k for r in rows) for k, _, _ in rows}
+        assert sorted(got) == sorted((k, v, v + 1, *([size[k]] if count else [])) for k, v, _ in rows if k)
+    assert sorts == [50, 50]  # only the long key's rows; all rows before
