@@ -328,3 +328,22 @@ def test_gram_of_many_items_sends_histories_not_pairs(spark, monkeypatch):
     h = spark.createDataFrame(rows, "user_id string, item_id string, weight double")
     g = EA.gram(h, mirror=False, chunk=20)
     assert {(r.i, r.j): r.g for r in g.collect()} == pytest.approx(want)
+
+
+def test_products_are_summed_in_the_tasks(spark):
+    """A batch leaves one row an id, and what is held is bounded; before, every cell's vector was a row of its own up to the shuffle."""
+    import pyarrow as pa
+    from rankfold.operators import factors as FX
+    rng = np.random.default_rng(3)
+    ids, w, vec = [f"k{x}" for x in rng.integers(0, 30, 400)], rng.normal(size=400), rng.normal(size=(400, 4))
+    t = pa.table({"id": ids, "w": w, "vec": vec.tolist()})
+    for held in (10, 1000):
+        out = pa.Table.from_batches(list(FX._sums(held)(t.to_batches(max_chunksize=50)))).to_pandas()
+        assert len(out) == 30 if held == 1000 else 30 <= len(out) < 400
+        for k in set(ids):
+            mine = np.array(ids) == k
+            assert np.allclose(np.sum(list(out[out["id"] == k]["vec"]), axis=0), w[mine] @ vec[mine])
+    cells = spark.createDataFrame([*zip(ids, [f"c{j}" for j in range(400)], map(float, w), strict=True)], "u string, i string, w double")
+    vectors = spark.createDataFrame([(f"c{j}", [float(x) for x in vec[j]]) for j in range(400)], "id string, vec array<double>")
+    got = {r.id: r.vec for r in FX._product(cells, vectors, "i", "u").collect()}
+    assert set(got) == set(ids) and all(np.allclose(got[k], w[np.array(ids) == k] @ vec[np.array(ids) == k]) for k in got)
