@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rankfold.functions.exprs import clip01, round4
 from rankfold.operators.ease import Weights
 from rankfold.operators.features import similarity_of
+from rankfold.session import materialize
 
 U, I = "user_id", "item_id"
 
@@ -61,6 +62,7 @@ def explain_ease(pairs: DataFrame, train: DataFrame, B: Weights, catalog: DataFr
     """X-1: history items checked, contribution = sum of the top_k raw B
     (user weights not applied), confidence = clip(total, 0, 1), and the top_k
     contributing history items themselves."""
+    pairs = materialize(_pairs(pairs))  # read by every part below
     base = _error(pairs, train, catalog)
     active = B.items.select(I).withColumn("_act", F.lit(True))
     act_src = B.items.select(F.col(I).alias("src"))
@@ -93,8 +95,10 @@ def explain_neighbors(pairs: DataFrame, user_factors: DataFrame, train: DataFram
     interacted with the item; up to 5 supporting items (first 5 items of each such
     neighbour, target excluded, sorted)."""
     from rankfold.operators.factors import top_k_dot
-    users = _pairs(pairs).select(U).distinct()
+    pairs = materialize(_pairs(pairs))  # read by every part below
+    users = pairs.select(U).distinct()
     model_users = user_factors.join(train.select(F.col(U).alias("id")).distinct(), "id", "left_semi")
+    model_users = materialize(model_users.select("id", "factor"))
     uf = model_users.join(users.withColumnRenamed(U, "id"), "id", "left_semi")
     self_mask = uf.select(F.col("id").alias(U), F.col("id").alias(I))
     nb = top_k_dot(uf, model_users, n_neighbors, seen=self_mask).select(U, F.col(I).alias("nb"))

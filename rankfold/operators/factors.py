@@ -26,6 +26,8 @@ GROWTH = 8            # blocks up to a round's end, times those before it
 MAX_BLOCKS = 1 << 20  # blocks of items by norm
 SLACK = 1 + 1e-9      # over the rounding of a product and two norms
 LEAST = np.finfo(np.float64).min
+TINY = 1e-140         # norms up to it have squares that underflow
+ROWS = 256            # users of a slice that meet a pack at once
 #: Vectors, and bytes of vectors, in a packed row; bytes of packs that a task meets; bytes of an Arrow batch.
 PACK, PACK_BYTES, PART_BYTES, BATCH_BYTES = 4096, 4 << 20, 64 << 20, 8 << 20
 
@@ -100,7 +102,10 @@ class _Slice:
         self.users, self.hi, self.k = pa.array(row["_users"], pa.string()), np.array(row["_hi"], np.int64), k
         self.v = np.frombuffer(row["_uv"], np.float64).reshape(len(self.users), -1) if len(self.users) else np.zeros((0, 1))
         self.row, self.at, self.item = np.array(row["_row"], np.int64), np.array(row["_at"], np.int64), np.array(row["_item"], object)
-        self.norm = np.sqrt((self.v ** 2).sum(1).max(initial=0.0))
+        norms = np.sqrt((self.v ** 2).sum(1))
+        self.norms, self.norm = np.where(norms > TINY, norms, 1.0), norms.max(initial=0.0)
+        with np.errstate(all="ignore"):  # of use where all is finite
+            self.unit = (self.v / self.norms[:, None]).astype(np.float32)
         self.best = np.full((len(self.users), k), LEAST)  # ascending: the first is the k-th best
         self.found, self.held = [], 0
 
@@ -113,25 +118,49 @@ class _Slice:
             shut = pd.DataFrame({"i": self.item[lo:hi], "row": self.row[lo:hi]}).merge(
                 pd.DataFrame({"i": ids.to_pandas(), "col": np.arange(len(ids))}), on="i")
             shut = shut["row"].to_numpy(), shut["col"].to_numpy()
-        eps = 1e-13 * self.norm * np.sqrt((v ** 2).sum(1).max())
-        for a in range(0, len(rows), 512):
-            r = rows[a:a + 512]
-            s = self.v[r] @ v.T
-            if not np.isfinite(eps):
-                s[~np.isfinite(s)] = -np.inf
+        most = np.sqrt((v ** 2).sum(1).max())
+        eps = 1e-13 * self.norm * most
+        # single precision finds what may be among the best, by vectors of length 1 at most: a product is off by less than ``miss``
+        single, miss = np.isfinite(eps) and most > TINY, (v.shape[1] + 16) * 2.0 ** -23
+        small = (v / most).astype(np.float32) if single else None
+        for a in range(0, len(rows), ROWS):
+            r = rows[a:a + ROWS]
+            s = self.unit[r] @ small.T if single else self._products(r, v)
             if shut is not None:
                 at = np.searchsorted(r, shut[0])
                 mine = (at < len(r)) & (r[np.minimum(at, len(r) - 1)] == shut[0])
                 s[at[mine], shut[1][mine]] = -np.inf
-            hit = s >= np.maximum(self.best[r, :1] - (eps if np.isfinite(eps) else 0.0), LEAST)
-            many = np.count_nonzero(hit, axis=1) > 4 * self.k
-            if many.any():
-                hit[many] &= _top(s[many], self.k, eps if np.isfinite(eps) else 0.0)
+            if single:
+                with np.errstate(over="ignore"):
+                    edge = np.maximum((self.best[r, :1] / self.norms[r, None] / most - miss).astype(np.float32), np.finfo(np.float32).min)
+                near = np.flatnonzero(s.max(axis=1) >= edge[:, 0])
+                r, s, edge = r[near], s[near], edge[near]
+                new = np.flatnonzero(self.best[r, 0] == LEAST)
+                if len(new) and s.shape[1] > self.k:  # nothing to beat yet
+                    edge[new] = np.maximum(edge[new], np.partition(s[new], s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k, None] - 2 * miss)
+            else:
+                edge = np.maximum(self.best[r, :1], LEAST)
+            hit = s >= edge
             at, col = np.nonzero(hit)
+            many = np.flatnonzero(np.bincount(at, minlength=len(r)) > 4 * self.k)
+            if len(many):
+                if single and s.shape[1] > self.k:
+                    best = s[many]
+                    hit[many] &= best >= np.partition(best, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k, None] - 2 * miss
+                    many = many[hit[many].sum(axis=1) > 4 * self.k]
+                if len(many):  # about equal ones, in double precision
+                    full = s[many] if not single else np.where(np.isneginf(s[many]), -np.inf, self._products(r[many], v))
+                    hit[many] &= _top(full, self.k, eps if single else 0.0)
+                at, col = np.nonzero(hit)
             if len(at):
                 # once more product by product, so that equal vectors have equal products wherever they lie
                 self._add(r, at, np.einsum("ij,ij->i", self.v[r[at]], v[col]), ids.take(pa.array(col)))
 
+    def _products(self, r, v) -> np.ndarray:
+        s = self.v[r] @ v.T
+        s[~np.isfinite(s)] = -np.inf
+        return s
+
     def _add(self, r, at, raw, items) -> None:
         order = np.lexsort((-raw, at))
         pos = np.arange(len(at)) - np.searchsorted(at, at)
