@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rankfold.config import DEFAULTS
 from rankfold.functions.exprs import round4
+from rankfold.session import materialize
 
 U, I = "user_id", "item_id"
 
@@ -127,6 +128,7 @@ def catalog_concentration(recs: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def user_fairness(recs: DataFrame, pop: DataFrame, categories: DataFrame) -> DataFrame:
     """F-6: overall = mean(1 - popular_fraction, diversity) of the 4-dp parts."""
+    recs = materialize(recs.select(U, I))  # the lists are read three times
     pb = popularity_bias(recs, pop).select(U, "popular_items_fraction", "gini_coefficient")
     cd = category_diversity(recs, categories).select(U, "category_diversity_score")
     j = pb.join(cd, U, "full_outer")

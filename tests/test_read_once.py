@@ -3,9 +3,11 @@ nearest users are found in single precision and ranked in double."""
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankfold.operators import explain as X
 from rankfold.operators import factors as FX
+from rankfold.operators import fairness as FA
 
 
 def counted(df, seen):
@@ -36,6 +38,15 @@ def test_neighbour_explanation_makes_pairs_once(spark, train, pairs):
     assert sorted(map(str, got)) == sorted(map(str, X.explain_neighbors(pairs, uf, train, 2, 3).collect()))
 
 
+def test_user_fairness_makes_lists_once(spark, pairs):
+    seen = spark.sparkContext.accumulator(0)
+    pop = spark.createDataFrame([(f"i{i}", i) for i in range(11)], "item_id string, popularity long")
+    cats = spark.createDataFrame([(f"i{i}", f"c{i % 4}") for i in range(10)], "item_id string, category string")
+    recs = pairs.withColumn("rank", F.lit(1))
+    got = FA.user_fairness(counted(recs, seen), pop, cats).collect()
+    assert (seen.value, len(got)) == (42, 14)
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e-150, 1e30])
 def test_products_closer_than_single_precision(scale):
     """Equal vectors, and vectors that differ by 1e-9, of long, short and zero users."""
