@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rankfold.operators import ease as EA
 from rankfold.operators import explain as X
 from rankfold.operators import factors as FX
 from rankfold.operators import fairness as FA
@@ -30,6 +31,24 @@ def pairs(spark):
     return spark.createDataFrame([(f"u{u}", f"i{(u + k) % 12}") for u in range(14) for k in range(3)], "user_id string, item_id string")
 
 
+@pytest.fixture(scope="module")
+def B(train):
+    return EA.ease_fit(train, 2.0)
+
+
+def test_ease_explanation_makes_pairs_once(spark, train, pairs, B):
+    seen = spark.sparkContext.accumulator(0)
+    got = X.explain_ease(counted(pairs, seen), train, B, train).collect()
+    assert (seen.value, len(got)) == (42, 42)
+    assert sorted(map(str, got)) == sorted(map(str, X.explain_ease(pairs, train, B, train).collect()))
+
+
+def test_weights_looked_up_alike_when_not_broadcast(train, pairs, B, monkeypatch):
+    few = sorted(map(str, X.ease_contributions(pairs, train, B).collect()))
+    monkeypatch.setattr(EA, "FOUND", 0)
+    assert few and sorted(map(str, X.ease_contributions(pairs, train, B).collect())) == few
+
+
 def test_neighbour_explanation_makes_pairs_once(spark, train, pairs):
     rng, seen = np.random.default_rng(3), spark.sparkContext.accumulator(0)
     uf = spark.createDataFrame([(f"u{u}", rng.normal(size=4).tolist()) for u in range(13)], "id string, factor array<double>")
