@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankfold.operators.ranking import global_rank
-from rankfold.session import batch_bytes, materialize, remove_path, scratch_path, ship_package, shuffles_removed
+from rankfold.session import batch_bytes, materialize, remove_path, scratch_path, ship_package, shuffles_removed, stored
 
 U, I = "user_id", "item_id"
 GROWTH = 8            # blocks up to a round's end, times those before it
@@ -309,15 +309,27 @@ def top_k_dot(user_factors: DataFrame, item_factors: DataFrame, k: int, seen: Da
 
 # ---------------------------------------------------------------- C-8 / C-10
 
+def _matrix(column: pa.Array, p: int) -> np.ndarray:
+    """The vectors of a column: arrays of one each, or packs of many."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, p)
+    return column.flatten().to_numpy().reshape(-1, p)
+
+
 def _times(vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
     """Every row vector times a small (at most a few dozen squared) matrix."""
+    p, kind = matrix.shape[0], vectors.schema["vec"].dataType.simpleString()
+
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                m = np.vstack(batch.column("vec").to_numpy(zero_copy_only=False)) @ matrix
+            if batch.num_rows and kind == "binary":
+                rows = pa.array([(np.frombuffer(x.as_buffer(), np.float64).reshape(-1, p) @ matrix).tobytes() for x in batch.column("vec")], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), rows], names=["id", "vec"])
+            elif batch.num_rows:
+                m = _matrix(batch.column("vec"), p) @ matrix
                 rows = pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(m.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), rows], names=["id", "vec"])
-    return vectors.select("id", "vec").mapInArrow(run, "id string, vec array<double>")
+    return vectors.select("id", "vec").mapInArrow(run, f"id string, vec {kind}")
 
 
 def _summed(t: pa.Table) -> pa.Table:
@@ -362,6 +374,121 @@ def _product(cells: DataFrame, vectors: DataFrame, by: str, to: str) -> DataFram
     return parts.groupBy("id").agg(vector_to_array(Summarizer.sum(array_to_vector("vec"))).alias("vec"))
 
 
+#: Vectors in a pack of the SVD; bytes of the sums that a task of a product holds.
+SVD_PACK, SVD_BYTES = 4096, 96 << 20
+
+
+class _Blocks:
+    """The matrix, cut into blocks of rows and packs of columns, and both ways of multiplying it by packs of vectors.
+
+    ``cells`` (u, i, w) is numbered by the sorted ids. A product has one task for a block of rows: it holds their sums, while packs of
+    vectors and the cells of the block in them pass. So a vector is sent once for every block, not once for every cell, and no sum
+    leaves a task before it is whole. Packs are rows (id, vec): the number of the pack, and up to ``SVD_PACK`` vectors."""
+
+    def __init__(self, cells: DataFrame, p: int, counts: tuple[int, int]):
+        self.p, cores = p, cells.sparkSession.sparkContext.defaultParallelism
+        cells = cells.where("u is not null and i is not null and w is not null")
+        self.ids, self.n, self.size = {}, dict(zip("ui", counts, strict=True)), {}
+        for c in "ui":
+            self.ids[c] = materialize(global_rank(cells.select(F.col(c).alias("id")).distinct(), [F.asc("id")], "idx").select("id", (F.col("idx") - 1).alias("idx")))
+            self.n[c] = self.ids[c].count()
+            self.size[c] = self.rows_of(self.n[c], p, cores)
+        named = cells
+        for c in "ui":
+            named = named.join(self.ids[c].select(F.col("id").alias(c), F.col("idx").alias(f"_{c}")), c)
+        named = stored(named.select("_u", "_i", "w"), "cells")
+        self.cells = {"u": self._cut(named, "u", "i"), "i": self._cut(named, "i", "u")}
+
+    @staticmethod
+    def rows_of(n: int, p: int, cores: int) -> int:
+        """Rows of a block, a multiple of a pack: a task's share, as far as the sums fit ``SVD_BYTES``."""
+        most = max(1, SVD_BYTES // (8 * p * SVD_PACK))
+        return SVD_PACK * max(1, min(most, -(-n // (cores * SVD_PACK))))
+
+    @staticmethod
+    def pays(n_cells: int, counts: tuple[int, int], p: int, cores: int) -> bool:
+        """Whether vectors are sent less often by block than by cell, in both products."""
+        return all(-(-n // _Blocks.rows_of(n, p, cores)) * other <= n_cells for n, other in (counts, counts[::-1]))
+
+    def _blocks(self, c: str) -> int:
+        return max(1, -(-self.n[c] // self.size[c]))
+
+    def _cut(self, named: DataFrame, to: str, by: str) -> DataFrame:
+        size, number = self.size[to], lambda c, n: F.floor(F.col(c) / n).cast("int")
+        rows = named.select(number(f"_{to}", size).alias("block"), number(f"_{by}", SVD_PACK).alias("pack"),
+                            (F.col(f"_{to}") % size).cast("int").alias("r"), (F.col(f"_{by}") % SVD_PACK).cast("int").alias("c"), "w")
+
+        def run(batches):
+            for batch in batches:
+                block, pack = batch.column("block").to_numpy(), batch.column("pack").to_numpy()
+                edges = np.flatnonzero(np.r_[True, (np.diff(block) != 0) | (np.diff(pack) != 0), True]) if batch.num_rows else [0]
+                blobs = [[batch.column(x).to_numpy()[a:z].tobytes() for a, z in zip(edges[:-1], edges[1:], strict=True)] for x in ("r", "c", "w")]
+                yield pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]], pa.int32()), pa.array(pack[edges[:-1]], pa.int32()),
+                                                  *[pa.array(x, pa.binary()) for x in blobs]], names=["block", "pack", "r", "c", "w"])
+
+        dealt = rows.repartitionById(self._blocks(to), F.col("block")).sortWithinPartitions("block", "pack", "r")
+        return stored(dealt.mapInArrow(run, "block int, pack int, r binary, c binary, w binary"), "svd-cells")
+
+    def packs(self, vectors: DataFrame, c: str) -> DataFrame:
+        """(id, vec) by id as packs."""
+        p = self.p
+
+        def pack(t: pa.Table) -> pa.Table:
+            t = t.sort_by("idx")
+            m = t.column("vec").combine_chunks().flatten().to_numpy()
+            return pa.table({"id": [str(t.column("idx")[0].as_py() // SVD_PACK)], "vec": pa.array([m.tobytes()], pa.binary())})
+
+        rows = self.ids[c].join(vectors, "id").select("idx", "vec")
+        return rows.groupBy(F.floor(F.col("idx") / SVD_PACK)).applyInArrow(pack, "id string, vec binary")  # SVD_PACK rows a group
+
+    def rows(self, packs: DataFrame, c: str, p: int) -> DataFrame:
+        """Packs as (id, vec) by id."""
+        def run(batches):
+            for batch in batches:
+                for x, v in zip(batch.column("id").to_pylist(), batch.column("vec"), strict=True):
+                    m = np.frombuffer(v.as_buffer(), np.float64).reshape(-1, p)
+                    yield from pa.table({"idx": pa.array(np.arange(len(m)) + int(x) * SVD_PACK), "vec": pa.ListArray.from_arrays(
+                        np.arange(0, m.size + 1, p, dtype=np.int32), pa.array(m.ravel()))}).to_batches()
+        return packs.mapInArrow(run, "idx long, vec array<double>").join(self.ids[c], "idx").select("id", "vec")
+
+    def product(self, vectors: DataFrame, to: str) -> DataFrame:
+        """Sums of weight x vector, as packs of ``to``."""
+        n, size, p, blocks = self.n[to], self.size[to], self.p, self._blocks(to)
+        none = [F.lit(None).cast("binary").alias(x) for x in ("r", "c", "w")]
+        rows = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("id").cast("int").alias("pack"), F.lit(0).alias("kind"), "vec", *none)
+        rows = rows.unionByName(self.cells[to].select("block", "pack", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("vec"), "r", "c", "w"))
+
+        def run(batches):
+            now, total, v = None, None, None
+
+            def packs():
+                for x in range(0, len(total), SVD_PACK):
+                    yield pa.RecordBatch.from_arrays([pa.array([str((now * size + x) // SVD_PACK)]), pa.array([total[x : x + SVD_PACK].tobytes()], pa.binary())],
+                                                     names=["id", "vec"])
+
+            for batch in batches:
+                for t in range(batch.num_rows):
+                    if (block := batch.column("block")[t].as_py()) != now:
+                        if now is not None:
+                            yield from packs()
+                        now, total = block, None
+                        total = np.zeros((max(0, min(size, n - now * size)), p))
+                    read = lambda x, kind: np.frombuffer(batch.column(x)[t].as_buffer(), kind)  # noqa: B023,E731
+                    if batch.column("kind")[t].as_py() == 0:
+                        v = read("vec", np.float64).reshape(-1, p).copy()
+                        continue
+                    r = read("r", np.int32)  # in order
+                    first = np.flatnonzero(np.diff(r, prepend=-1))
+                    parts = v.take(read("c", np.int32), axis=0)
+                    parts *= read("w", np.float64)[:, None]
+                    total[r[first]] += parts if len(first) == len(r) else np.add.reduceat(parts, first, axis=0)
+            if now is not None:
+                yield from packs()
+
+        dealt = rows.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "pack", "kind")
+        return dealt.mapInArrow(run, "id string, vec binary")
+
+
 def _stored(vectors: DataFrame) -> tuple[DataFrame, str]:
     """Vectors written to the shared folder, and their path."""
     vectors.write.parquet(at := scratch_path(vectors.sparkSession, "svd"))
@@ -374,7 +501,7 @@ def _gram(vectors: DataFrame, p: int) -> np.ndarray:
         total = np.zeros((p, p))
         for batch in batches:
             if batch.num_rows:
-                m = np.vstack(batch.column("vec").to_numpy(zero_copy_only=False))
+                m = _matrix(batch.column("vec"), p)
                 total += m.T @ m
         yield pa.RecordBatch.from_arrays([pa.array([i for i in range(p)], pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))],
                                          names=["i", "row"])
@@ -397,7 +524,8 @@ def svd_fit(inter: DataFrame, k: int = 50, user: str = U, item: str = I, iterati
     """C-8: truncated SVD of the user x item weight matrix by randomised subspace iteration.
 
     The item vectors (k + ``oversample`` numbers each) and the user vectors are
-    DataFrames; a product with the matrix is a join and a grouped vector sum.
+    DataFrames; a product with the matrix goes by blocks (``_Blocks``), or, where there are so many blocks
+    that vectors would be sent more often than by cell, is a join and a grouped vector sum.
     Only the vectors' small Gram matrix comes to the driver. Start vectors are
     hashes of the ids, so a run is repeatable. Each product is written by itself;
     its shuffle files go with its job, and the vectors of a round with the next,
@@ -408,19 +536,24 @@ def svd_fit(inter: DataFrame, k: int = 50, user: str = U, item: str = I, iterati
     """
     spark = inter.sparkSession
     ship_package(spark)
-    cells = materialize(inter.select(F.col(user).cast("string").alias("u"), F.col(item).cast("string").alias("i"),
-                                     F.col("weight").cast("double").alias("w")))
+    cells = stored(inter.select(F.col(user).cast("string").alias("u"), F.col(item).cast("string").alias("i"),
+                                F.col("weight").cast("double").alias("w")), "svd-matrix")
     n_users, n_items = cells.select("u").distinct().count(), cells.select("i").distinct().count()
     k = max(1, min(k, min(n_users, n_items) - 1))
     p = min(k + oversample, n_users, n_items)
     uniform = lambda j, s: (F.pmod(F.xxhash64("id", j, F.lit(s)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
     normal = F.transform(F.sequence(F.lit(1), F.lit(p)), lambda j: F.sqrt(-2 * F.log(uniform(j, 1))) * F.cos(2 * np.pi * uniform(j, 2)))
     q = cells.select(F.col("i").alias("id")).distinct().select("id", normal.alias("vec"))
-    last = None
-    with shuffles_removed(spark):
+    last, blocks = None, None
+    with shuffles_removed(spark), batch_bytes(spark, BATCH_BYTES):
+        if _Blocks.pays(cells.count(), (n_users, n_items), p, spark.sparkContext.defaultParallelism):
+            blocks = _Blocks(cells, p, (n_users, n_items))
+            q, last = _stored(blocks.packs(q, "i"))
+        by_user = lambda q: blocks.product(q, "u") if blocks else _product(cells, q, "i", "u")
+        by_item = lambda y: blocks.product(y, "i") if blocks else _product(cells, y, "u", "i")
         for _ in range(iterations):
-            y, y_at = _stored(_product(cells, q, "i", "u"))
-            z, z_at = _stored(_product(cells, y, "u", "i"))
+            y, y_at = _stored(by_user(q))
+            z, z_at = _stored(by_item(y))
             for at in filter(None, (y_at, last)):
                 remove_path(spark, at)
             last = z_at
@@ -430,17 +563,19 @@ def svd_fit(inter: DataFrame, k: int = 50, user: str = U, item: str = I, iterati
             remove_path(spark, last)
         last, q = q_at, materialize(_times(q, _whiten(_gram(q, p))))  # once more: exactly orthonormal
         remove_path(spark, last)
-        y, y_at = _stored(_product(cells, q, "i", "u"))
+        y, y_at = _stored(by_user(q))
         values, w = np.linalg.eigh(_gram(y, p))
         w = w[:, np.argsort(-values)[:k]]
-        us = materialize(_times(y, w))  # U * S
+        us = _times(y, w)  # U * S
+        us = materialize(blocks.rows(us, "u", k) if blocks else us)
         remove_path(spark, y_at)
     mx = us.select(F.posexplode("vec").alias("c", "x")).groupBy("c").agg(F.max_by("x", F.abs("x")).alias("xm")).collect()  # k rows
     signs = np.ones(k)
     for r in mx:
         signs[r["c"]] = -1.0 if r["xm"] < 0 else 1.0
     user_f = l2_normalize(_times(us, np.diag(signs)).select("id", F.col("vec").alias("factor")))
-    item_f = l2_normalize(_times(q, w * signs).select("id", F.col("vec").alias("factor")))
+    item_v = _times(q, w * signs)
+    item_f = l2_normalize((blocks.rows(item_v, "i", k) if blocks else item_v).select("id", F.col("vec").alias("factor")))
     return user_f, item_f, explained_variance_ratio(cells, us, n_users)
 
 
