@@ -429,5 +429,5 @@ def j5_cooccurrence_l(spark, sf_dir):
     """J-5 at scale: salted user self-join of L's train pairs (i <= j)."""
     from rankfold.operators import ease
     p = flows.prepared(spark, sf_dir, L)
-    g = ease.gram(p.train, mirror=False)
+    g = ease.gram(p.train_alone(), mirror=False)
     return g.select(F.col("i").alias("item_a"), F.col("j").alias("item_b"), F.round("g", 6).alias("g"))
